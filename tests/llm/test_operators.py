@@ -73,9 +73,9 @@ def test_jaccard_join_equals_brute_force(spark, like):
 
 def test_chain_within_large_groups(spark):
     """Neighbours of a chain link while its ends do not; the chain is longer than a group."""
-    base = [f"w{i}" for i in range(200)]
+    base = [f"w{i}" for i in range(500)]
     rows = []
-    for i in range(150):
+    for i in range(400):
         rows.append((i, " ".join(base)))
         base[i] = f"v{i}"
     like = neardup.Likeness(1, 90, 100)

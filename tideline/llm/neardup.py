@@ -21,7 +21,7 @@ from tideline.llm.common import mix, pieces, prepare, stored
 from tideline.llm.components import components
 
 #: Members of a group at most, and classes that ask it in one task at most.
-GROUP, ASKING = 64, 1024
+GROUP, ASKING = 256, 1024
 #: Ids up to which a list of classes is broadcast (16 bytes each); a longer list is joined by shuffle.
 MOST_SENT = 250_000
 
@@ -171,50 +171,97 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+class TokenGroup:
+    """One row of the matrix: the members of a group, the union of their tokens, and which member has which token of it."""
+
+    #: Cells of the member-by-token table up to which it is laid out; beyond, members are compared one by one.
+    MOST_CELLS = 1 << 26
+
+    def __init__(self, like: Likeness) -> None:
+        self.like, self.nodes, self.sets = like, [], []
+        self.union: np.ndarray | None = None
+        self.parent: dict[int, int] = {}
+
+    def add(self, node: int, tokens: np.ndarray, comp: int) -> None:
+        self.nodes.append(node)
+        self.sets.append(tokens)
+        self.parent[node] = comp
+        self.parent.setdefault(comp, comp)
+
+    def _close(self) -> None:
+        self.sizes = np.array([len(t) for t in self.sets])
+        self.union = self.sets[0] if len(self.sets) == 1 else np.unique(np.concatenate(self.sets))
+        self.table = None
+        if len(self.sets) > 1 and len(self.sets) * len(self.union) <= self.MOST_CELLS:
+            self.table = np.zeros((len(self.sets), len(self.union)), bool)
+            for row, t in zip(self.table, self.sets, strict=True):
+                row[np.searchsorted(self.union, t)] = True
+
+    def _root(self, x: int) -> int:
+        while self.parent.setdefault(x, x) != x:
+            x = self.parent[x]
+        return x
+
+    def ask(self, node: int, tokens: np.ndarray, comp: int) -> list[tuple[int, int]]:
+        """Links of the class with members, but none that joins what the links given before join already."""
+        if self.union is None:
+            self._close()
+        at = np.searchsorted(self.union, tokens)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == tokens]
+        if self.like.den * len(at) < self.like.num * len(tokens):
+            return []  # no member can have enough of its tokens: the group stays closed
+        self.parent.setdefault(node, comp)
+        if len(self.sets) == 1:
+            both = np.array([len(at)])
+        elif self.table is not None:
+            both = self.table[:, at].sum(axis=1)
+        else:
+            both = np.array([shared(tokens, t) for t in self.sets])
+        out = []
+        for i in np.flatnonzero(self.like.den * both >= self.like.num * (len(tokens) + self.sizes - both)):
+            a, b = self._root(node), self._root(self.nodes[i])
+            if a != b and node != self.nodes[i]:
+                self.parent[max(a, b)] = min(a, b)
+                out.append((node, self.nodes[i]))
+        return out
+
+
 def open_groups(members: DataFrame, asking: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """Links a, b: for each (gid, node) of asking, its first link with a member of group gid, if it has one.
+    """Links a, b between those who ask and members of the groups they ask.
 
-    members: gid, node, at most GROUP of each gid. Those who ask a group are dealt into chunks of about ASKING, each a task's
-    work beside the group's members. A group is opened for a class only if its union holds as many of the class's tokens as
-    a linked set must.
+    members, asking: gid, node and comp (the component that is known so far); a group has about GROUP members. Those who
+    ask a group are dealt into chunks of about ASKING, each a task's work beside the group's members.
     """
     chunks = asking.groupBy("gid").agg(F.count("*").alias("_n")).select("gid", F.ceil(F.col("_n") / ASKING).cast("int").alias("_chunks"))
-    asks = asking.join(chunks, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), "node")
-    held = members.join(chunks, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "node")
+    asks = asking.join(chunks, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), "node", "comp")
+    held = members.join(chunks, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "node", "comp")
     rows = held.unionByName(asks).join(sets, "node").repartition("gid", "chunk").sortWithinPartitions("gid", "chunk", "role", "node")
 
     def each(batches):
-        now, group, union = None, [], None
+        now, group = None, TokenGroup(like)
         for batch in batches:
-            a, b = [], []
-            for r in zip(*(batch.column(c) for c in ("gid", "chunk", "role", "node", "tokens")), strict=True):
-                key, role, node = (r[0].as_py(), r[1].as_py()), r[2].as_py(), r[3].as_py()
-                tokens = np.frombuffer(r[4].as_buffer(), np.uint64)
-                if key != now:
-                    now, group, union = key, [], None
+            links = []
+            for gid, chunk, role, node, comp, held in zip(*(batch.column(c).to_pylist() for c in ("gid", "chunk", "role", "node", "comp", "tokens")), strict=True):
+                if (gid, chunk) != now:
+                    now, group = (gid, chunk), TokenGroup(like)
+                tokens = np.frombuffer(held, np.uint64)
                 if role == 0:
-                    group.append((node, tokens.copy()))
-                    continue
-                if union is None and group:
-                    union = group[0][1] if len(group) == 1 else np.unique(np.concatenate([t for _, t in group]))
-                if not group or like.den * shared(tokens, union) < like.num * len(tokens):
-                    continue
-                for other, t in group:
-                    if other != node and like.link(len(tokens), len(t), shared(tokens, t)):
-                        a.append(node)
-                        b.append(other)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return rows.select("gid", "chunk", "role", "node", "tokens").mapInArrow(each, "a long, b long")
+                    group.add(node, tokens, comp)
+                elif group.nodes:
+                    links += group.ask(node, tokens, comp)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
+
+    return rows.select("gid", "chunk", "role", "node", "comp", "tokens").mapInArrow(each, "a long, b long")
 
 
 def link_components(docs: DataFrame, like: Likeness = Likeness()) -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows (stored), and component_id of each node.
 
     1. Each block names its smallest class as leader; every class of the block asks the leader. Links give first components.
-    2. A component, cut into groups of at most GROUP classes, is a row of the matrix. Where classes of two components
-       share a block, those of the smaller component ask the groups of the larger.
+    2. Groups of about GROUP classes are cut from each component, and from the single classes that asked the same leader.
+       Where a block holds several components, each asks the groups of the larger ones, and single classes ask the groups of
+       single classes, each pair of groups in one direction.
     No pair within a component is looked at again, and copies were merged before, so neither large groups of copies nor
     large groups of near copies are expanded into pairs.
     """
@@ -226,29 +273,31 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> tuple[DataF
     stars = stored(several.filter("node <> lead").select("node", "lead").distinct(), "near-stars")
     need = stars.select("node").union(stars.select("lead")).distinct()
     sets = stored(token_sets(docs, stored(owners.join(need, "node"), "near-owners"), like), "near-sets")
-    leaders = stars.select(F.col("lead").alias("gid"), F.col("lead").alias("node")).distinct()
-    first = stored(open_groups(leaders, stars.select(F.col("lead").alias("gid"), "node"), sets, like), "near-links")
-    comps = stored(components(first), "near-comps")
-
-    named = several.join(comps, "node", "left").select("block", F.coalesce("comp", "node").alias("comp")).distinct()
-    ends = named.groupBy("block").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("block")
-    mixed = stored(named.join(ends, "block"), "near-mixed")
+    leaders = stars.select(F.col("lead").alias("gid"), F.col("lead").alias("node"), F.col("lead").alias("comp")).distinct()
+    first = stored(open_groups(leaders, stars.select(F.col("lead").alias("gid"), "node", F.col("node").alias("comp")), sets, like), "near-links")
+    comps = components(first)
     sizes = comps.groupBy("comp").agg(F.count("*").alias("n"))
-    x, y = mixed.select("block", F.col("comp").alias("x")), mixed.select("block", F.col("comp").alias("y"))
-    pairs = x.join(y, "block").filter("x < y").select("x", "y").distinct()
-    compared = stars.select(F.least("node", "lead").alias("x"), F.greatest("node", "lead").alias("y"), F.lit(True).alias("compared")).distinct()
-    nx, ny = sizes.select(F.col("comp").alias("x"), F.col("n").alias("nx")), sizes.select(F.col("comp").alias("y"), F.col("n").alias("ny"))
-    pairs = pairs.join(nx, "x", "left").join(ny, "y", "left").withColumn("nx", F.coalesce("nx", F.lit(1))).withColumn("ny", F.coalesce("ny", F.lit(1)))
-    # two single classes that the first step compared do not link
-    pairs = pairs.join(compared, ["x", "y"], "left").filter(F.coalesce("compared", F.lit(False)) & (F.col("nx") == 1) & (F.col("ny") == 1) == F.lit(False))
-    pairs = stored(pairs.select(F.when(F.col("nx") <= F.col("ny"), F.col("x")).otherwise(F.col("y")).alias("small"), F.when(F.col("nx") <= F.col("ny"), F.col("y")).otherwise(F.col("x")).alias("large")), "near-pairs")
-    cut = comps.join(sizes, "comp").select("comp", "node", F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (GROUP * 0.75)))).alias("gid"))
-    asked = pairs.select(F.col("large").alias("comp")).distinct()
-    alone = asked.join(comps.select("comp").distinct(), "comp", "left_anti").select("comp", F.col("comp").alias("node"), F.xxhash64("comp", F.lit(0).cast("long")).alias("gid"))
-    groups = stored(cut.join(asked, "comp", "left_semi").unionByName(alone), "near-groups")
-    askers = pairs.join(comps.withColumnRenamed("comp", "small"), "small", "left").select(F.coalesce("node", "small").alias("node"), F.col("large").alias("comp"))
-    asks = askers.join(groups.select("comp", "gid").distinct(), "comp").select("gid", "node").distinct()
-    second = open_groups(groups.select("gid", "node"), asks, sets, like)
+    comps = stored(comps.join(sizes, "comp").select("node", "comp", "n"), "near-comps")
+
+    named = several.join(comps, "node", "left").select("block", F.coalesce("comp", "node").alias("comp"), F.coalesce("n", F.lit(1)).alias("n")).distinct()
+    # of two single classes one is the block's leader, which the other has asked
+    open_ = named.groupBy("block").agg(F.count("*").alias("_c"), F.max("n").alias("_m")).filter("_c > 2 OR (_c = 2 AND _m > 1)").select("block")
+    mixed = stored(named.join(open_, "block"), "near-mixed")
+    asked_first = stars.groupBy("node").agg(F.min("lead").alias("home"))
+    single = mixed.filter("n = 1").select(F.col("comp").alias("node")).distinct().join(asked_first, "node", "left").withColumn("home", F.coalesce("home", "node"))
+    homes = single.groupBy("home").agg(F.ceil(F.count("*") / (GROUP * 0.75)).alias("_cuts"))
+    single = stored(single.join(homes, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("_cuts"))).alias("gid")), "near-single")
+    entries = mixed.join(single.withColumnRenamed("node", "comp"), "comp", "left")  # gid: null for a component of several
+    entries = stored(entries.select("block", "comp", "n", "gid"), "near-entries")
+    goals = entries.select("block", F.coalesce("gid", "comp").alias("goal"), F.col("n").alias("goal_n")).distinct()
+    upward = F.when(F.col("goal_n") == 1, (F.col("n") == 1) & (F.col("gid") <= F.col("goal"))).otherwise((F.col("n") < F.col("goal_n")) | ((F.col("n") == F.col("goal_n")) & (F.col("comp") < F.col("goal"))))
+    pairs = stored(entries.join(goals, "block").filter(upward).select("comp", "goal", F.col("goal_n") > 1).toDF("comp", "goal", "whole").distinct(), "near-pairs")
+    wanted = pairs.filter("whole").select(F.col("goal").alias("comp")).distinct()
+    cut = comps.join(wanted, "comp", "left_semi").select("comp", "node", F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (GROUP * 0.75)))).alias("gid"))
+    groups = stored(cut.unionByName(single.select(F.col("node").alias("comp"), "node", "gid")), "near-groups")
+    to_groups = pairs.filter("whole").join(cut.select(F.col("comp").alias("goal"), "gid").distinct(), "goal").select("comp", "gid").unionByName(pairs.filter("NOT whole").select("comp", F.col("goal").alias("gid")))
+    asks = to_groups.join(comps.select("comp", "node"), "comp", "left").select("gid", F.coalesce("node", "comp").alias("node"), "comp").distinct()
+    second = open_groups(groups.select("gid", "node", "comp"), asks, sets, like)
     final = stored(components(first.unionByName(second)), "near-final")
     named = owners.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
