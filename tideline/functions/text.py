@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 
 def mmss(seconds: Column) -> Column:
@@ -53,7 +54,7 @@ def likeness(typed: Column, name: Column) -> Column:
     )
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(types.IntegerType())
 def osa_distance(a, b):  # noqa: ANN001
     """Edits between two names where two neighbours that changed places count once (optimal string alignment)."""
     import pandas as pd

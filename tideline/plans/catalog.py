@@ -15,7 +15,7 @@ _SQL: dict[str, str] = {}
 
 #: Vectors under this id are named references, the others probes; distances of the proxy vectors need this cut.
 REFERENCES, CUT, LOOSE = 100, 0.70, 0.75
-EVENTS = "(SELECT *, (epoch_ms(ts) // 1000)::BIGINT AS s FROM events)"
+EVENTS = "(SELECT *, (epoch_us(ts) // 1000000)::BIGINT AS s FROM events)"
 
 
 def query(sql: str | None = None):
@@ -46,7 +46,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def events_s(self) -> DataFrame:
-        return self.events.withColumn("s", F.floor(F.unix_millis("ts") / 1000).cast("long"))
+        """Adds s: ts as seconds since 1970, its clock read as UTC whatever the session's zone."""
+        return self.events.withColumn("s", F.unix_seconds(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())))
 
     def references(self) -> DataFrame:
         return self.embeddings.filter(F.col("vec_id") < REFERENCES).select(F.concat(F.lit("spk"), "label").alias("name"), "vec_id", "embedding")
@@ -65,7 +66,7 @@ class Tables:
 
     def slots(self) -> DataFrame:
         e = self.events_s()
-        return e.select((F.col("user_id") % 50).alias("session"), F.col("event_id").alias("seq"), (F.col("user_id") % 10).alias("cluster"), F.col("s").alias("start_s"), (F.col("s") + F.floor("value") * 10 + 1).cast("long").alias("end_s"))
+        return e.select((F.col("user_id") % 49).alias("session"), F.col("event_id").alias("seq"), (F.col("user_id") % 10).alias("cluster"), F.col("s").alias("start_s"), (F.col("s") + F.floor("value") * 10 + 1).cast("long").alias("end_s"))
 
 
 _REF = f"(SELECT 'spk' || label AS name, vec_id AS ref, embedding AS rv FROM embeddings WHERE vec_id < {REFERENCES})"
@@ -139,7 +140,7 @@ def toxic_share_intervals(spark, sf_dir):
     return g.select("quality", "n", "k", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-_SLOTS = f"(SELECT user_id % 50 AS session, event_id AS seq, user_id % 10 AS cluster, s AS start_s, (s + floor(value) * 10 + 1)::BIGINT AS end_s FROM {EVENTS})"
+_SLOTS = f"(SELECT user_id % 49 AS session, event_id AS seq, user_id % 10 AS cluster, s AS start_s, (s + floor(value) * 10 + 1)::BIGINT AS end_s FROM {EVENTS})"
 
 
 @query(f"WITH g AS (SELECT session, seq, start_s, start_s + 600 AS end_s FROM {_SLOTS} WHERE seq % 2 = 1), t AS (SELECT * FROM {_SLOTS} WHERE seq % 2 = 0), p AS (SELECT g.session, g.seq, g.start_s, g.end_s, t.cluster, sum(greatest(least(g.end_s, t.end_s) - greatest(g.start_s, t.start_s), 0)) AS o, min(greatest(t.start_s - g.end_s, g.start_s - t.end_s, 0)) AS gap FROM g LEFT JOIN t ON g.session = t.session GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY session, seq ORDER BY o DESC, CASE WHEN o > 0 THEN 0 ELSE gap END, cluster) AS n FROM p) SELECT session, seq, start_s, end_s, cluster, o::BIGINT AS overlap_s, CASE WHEN o > 0 THEN 0 ELSE gap END::BIGINT AS gap_s FROM r WHERE n = 1")
@@ -222,7 +223,7 @@ def grace_sessions(spark, sf_dir):
     return segments.grace_sessions(e, ["user_id"], "s", "e", 10800)
 
 
-@query("WITH r AS (SELECT conv_id, turn, turn * 7.5 AS s, turn * 7.5 + 7.45 AS e FROM conversations), p AS (SELECT *, lead(s) OVER (PARTITION BY conv_id ORDER BY s) AS n FROM r), q AS (SELECT *, CASE WHEN n IS NULL THEN e ELSE least(e + 0.1, greatest(n, e)) END AS pe FROM p) SELECT conv_id, turn, round(pe, 6) AS piece_end_s, round(coalesce(sum(pe - s + 0.1) OVER (PARTITION BY conv_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS spliced_s FROM q")
+@query("WITH r AS (SELECT conv_id, turn, turn * 7.5::DOUBLE AS s, turn * 7.5::DOUBLE + 7.45::DOUBLE AS e FROM conversations), p AS (SELECT *, lead(s) OVER (PARTITION BY conv_id ORDER BY s) AS n FROM r), q AS (SELECT *, CASE WHEN n IS NULL THEN e ELSE least(e + 0.1::DOUBLE, greatest(n, e)) END AS pe FROM p) SELECT conv_id, turn, round(pe, 6) AS piece_end_s, round(coalesce(sum(pe - s + 0.1::DOUBLE) OVER (PARTITION BY conv_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS spliced_s FROM q")
 def splice_plan(spark, sf_dir):
     r = Tables(spark, sf_dir).conversations.select("conv_id", "turn", (F.col("turn") * 7.5).cast("double").alias("start_s"), (F.col("turn") * 7.5 + 7.45).cast("double").alias("end_s"))
     return segments.splice(r, ["conv_id"], 0.1, 0.1).select("conv_id", "turn", F.round("piece_end_s", 6).alias("piece_end_s"), F.round("spliced_s", 6).alias("spliced_s"))
