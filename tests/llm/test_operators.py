@@ -360,6 +360,14 @@ def test_common_lines_go_and_depleted_documents_with_them(spark):
     assert {r["doc_id"] for r in quality.keep_good(spark.createDataFrame(rows, DOCS), limits).collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_common_lines_that_go_together_are_all_found(spark):
+    """Every document has the same five lines and two of its own."""
+    shared_lines = [f"{w} one two three four" for w in ("home", "about", "contact", "imprint", "privacy")]
+    rows = [(i, "\n".join([*shared_lines, *(" ".join(f"own{i}x{k}y{j}" for k in range(15)) for j in range(2))]), "en", "h", 0) for i in range(300)]
+    got = quality.quality_table(spark.createDataFrame(rows, DOCS), quality.Limits(most_docs=50)).collect()
+    assert all(r["n_left"] == 30 for r in got)
+
+
 def test_quality_edge_cases(spark):
     got = quality.quality_table(odd_documents(spark)).collect()
     assert len(got) == 10 and all(r["base_failed"] and not r["kept"] for r in got if r["n_words"] < 20)
