@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from tideline.llm.common import prepare, stored
 
 
+#: Queries that a task scores at a time.
+SLICE = 1024
+
+
 @dataclass(frozen=True)
 class Quantizer:
     """books: (M, K, dim) codewords of full dimension; a vector is about the sum of one codeword of each book."""
@@ -36,6 +40,17 @@ class Quantizer:
         error = ((vectors[:, None, :] - sums) ** 2).sum(axis=2)
         return codes[np.arange(n), error.argmin(axis=1)]
 
+    def shortlist(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, most: int) -> np.ndarray:
+        """For each query the rows of codes that seem nearest, from tables of its inner products with all codewords."""
+        most = min(most, len(codes))
+        table = np.einsum("qd,mkd->mqk", queries.astype(np.float32), self.books)
+        inner = np.zeros((len(queries), len(codes)), np.float32)
+        for m in range(len(self.books)):
+            inner += table[m][:, codes[:, m]]
+        if most == len(codes):
+            return np.tile(np.arange(most), (len(queries), 1))
+        return np.argpartition(norms[None, :] - 2 * inner, most - 1, axis=1)[:, :most]
+
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(self.books[m][codes[:, m]] for m in range(len(self.books)))
 
@@ -90,12 +105,13 @@ def _pack(blocks: DataFrame, quantizer: Quantizer | None) -> DataFrame:
     return blocks.groupBy("block").applyInArrow(each, "block int, ids binary, vectors binary, codes binary, norms binary")
 
 
-def search(vectors: DataFrame, k: int = 10, every: int = 100, sample_rows: int = 16384, books: int = 16, words: int = 64, shortlist: int = 96, block_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, k: int = 10, every: int = 100, sample_rows: int = 16384, books: int = 16, words: int = 64, shortlist: int = 96, block_rows: int = 4096, query_rows: int = 8192) -> DataFrame:
     """For each row whose id is divisible by `every`, its k nearest other rows by Euclidean distance.
 
     The quantizer is fitted on about sample_rows rows chosen by hash (a bound on what the driver receives); every row is
     indexed. Rows are dealt by hash into blocks of about block_rows, queries into blocks of about query_rows, and each
-    query block meets each index block in one task of a join on the pair of block numbers. There, tables of inner
+    query block meets each index block in one task of a join on the pair of block numbers; blocks of queries are large,
+    because each of them reads the whole index, and are worked off in slices. There, tables of inner
     products of queries and codewords, with the stored norms, score the block's codes; the `shortlist` best different
     vectors are measured exactly, and the block's k nearest go on. Ties go to the smaller id; copies of a vector fill no
     more than one place of the shortlist. Defined cases: see usable(); tables without queries give an empty result.
@@ -117,7 +133,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, sample_rows: int =
     asked = stored(_pack(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select(block(2, n_ask), "vec_id", "v"), None), "ann-queries")
     left = index.withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(n_ask - 1))))
     right = asked.select(F.col("block").alias("ask"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))))
-    tables = quantizer.books
+    tables = quantizer
 
     def score(batches):
         for batch in batches:
@@ -130,21 +146,17 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, sample_rows: int =
                 order = np.argsort(copy_of, kind="stable")  # ids are sorted, so each vector's ids come in order
                 begin = np.searchsorted(copy_of[order], np.arange(len(first)))
                 end = np.append(begin[1:], len(ids))
-                lut = np.einsum("qd,mkd->qmk", q.astype(np.float32), tables)
-                inner = np.zeros((len(q_ids), len(first)), np.float32)
-                for m in range(tables.shape[0]):
-                    inner += lut[:, m, :][:, codes[first, m]]
-                near = norms[first][None, :] - 2 * inner
-                most = min(shortlist, len(first))
-                best = np.argpartition(near, most - 1, axis=1)[:, :most] if most < len(first) else np.tile(np.arange(most), (len(q_ids), 1))
                 out_q, out_v, out_d = [], [], []
                 for i, own in enumerate(q_ids):
-                    d = np.sqrt(((v[first[best[i]]] - q[i]) ** 2).sum(axis=1))
+                    if i % SLICE == 0:
+                        best = tables.shortlist(q[i : i + SLICE], codes[first], norms[first], shortlist)
+                    near = best[i % SLICE]
+                    d = np.sqrt(((v[first[near]] - q[i]) ** 2).sum(axis=1))
                     pairs = []
                     for j in np.argsort(d, kind="stable"):
                         if len(pairs) >= k and d[j] > pairs[k - 1][0]:
                             break
-                        c = best[i][j]
+                        c = near[j]
                         pairs += [(d[j], x) for x in ids[order[begin[c] : min(end[c], begin[c] + k + 1)]] if x != own]
                         pairs.sort()
                     out_q += [own] * min(k, len(pairs))
