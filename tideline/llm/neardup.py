@@ -44,39 +44,52 @@ class Likeness:
 
 @dataclass(frozen=True)
 class Blocks:
-    """How sets of one size band are cut: hash values below `share` of all are used and cut into `parts` equal ranges."""
+    """How sets of one size band are cut: hash values into `parts` equal ranges, `differing` of which may hold other elements."""
 
     tag: int
-    share: float
     parts: int
     differing: int
 
 
+@dataclass(frozen=True)
+class Minima:
+    """How large sets are cut: bands of `rows` ranges of hash values each, named by the smallest element of each range."""
+
+    rows: int
+    bands: int
+
+    @property
+    def least(self) -> int:
+        """Elements from which a set is large: two for each range."""
+        return 2 * self.rows * self.bands
+
+
 @lru_cache(maxsize=16)
-def bands(like: Likeness, largest: int = 1 << 26) -> tuple[np.ndarray, tuple[Blocks | None, ...]]:
-    """Size bands, each so wide that linked sets lie in one band or in neighbours, and for each band how its sets and
-    those of the band below are cut.
+def minima(like: Likeness, miss: float = 1e-9) -> Minima:
+    """Two large sets of similarity s agree in a range with probability s, in a band with s ** rows, and miss each other in
+    all bands with (1 - s ** rows) ** bands, which is `miss` or less from the threshold on."""
+    share = like.num / like.den
+    rows = max(1, round(math.log(0.41) / math.log(share))) if share < 1 else 1
+    return Minima(rows, math.ceil(math.log(miss) / math.log1p(-(share**rows))) if share < 1 else 1)
+
+
+@lru_cache(maxsize=16)
+def bands(like: Likeness) -> tuple[np.ndarray, tuple[Blocks | None, ...]]:
+    """Size bands of the sets that aren't large, each so wide that linked sets lie in one band or in neighbours, and for
+    each band how its sets and those of the band below are cut.
 
     Linked sets of a band differ in at most D elements, so of D + 1 + m ranges of hash values at least 1 + m hold the
-    same elements in both; m is what may be empty. Any link therefore shows as an equal block. Where sets are large only
-    a share of the hash values is used, and D is then the expected number plus six standard deviations and six: a miss
-    has a probability under 1e-8 for each pair that is just at the threshold.
+    same elements in both; m is what may be empty. Any link therefore shows as an equal block.
     """
     tops, plans, low, below = [], [], 1, 1
-    while low <= largest:
+    while low <= minima(like).least:
         top = max(low, low * like.den // like.num)
         d = like.differing(2 * top)
-        share, bound = 1.0, d
-        target = 512
-        mean = d * target / top
-        sampled = math.ceil(mean + 6 * math.sqrt(mean) + 6)
-        if top > target and sampled < d:
-            share, bound = target / top, sampled
-        parts = bound + 1
+        parts = d + 1
         for _ in range(20):
-            empty = parts * math.exp(-below * share / parts)
-            parts = bound + 2 + math.ceil(empty + 4 * math.sqrt(empty))
-        plans.append(Blocks(len(plans), share, parts, bound) if d else None)
+            empty = parts * math.exp(-below / parts)
+            parts = d + 2 + math.ceil(empty + 4 * math.sqrt(empty))
+        plans.append(Blocks(len(plans), parts, d) if d else None)
         tops.append(top)
         below, low = low, top + 1
     return np.array(tops), tuple(plans)
@@ -101,23 +114,37 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
+def ranges(tokens: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The equal range of hash values in which each element lies, and where the ranges that hold some begin."""
+    part = np.minimum((tokens.astype(np.float64) * (parts / 2.0**64)).astype(np.int64), parts - 1)
+    return part, np.flatnonzero(np.diff(part, prepend=-1))
+
+
 def blocks(tokens: np.ndarray, like: Likeness) -> np.ndarray:
-    """Names of a set's blocks: for its own band and for the one above. Empty ranges are left out, unless so many are empty
-    that equal ranges might all be."""
-    tops, plans = bands(like)
-    own = int(np.searchsorted(tops, len(tokens)))
-    mixed, out = mix(tokens), []
-    for plan in plans[own : own + 2]:
-        if plan is None or not len(tokens):
-            continue
-        n = len(tokens) if plan.share == 1 else int(np.searchsorted(tokens, np.uint64(int(plan.share * 2**64))))
-        part = np.minimum((tokens[:n].astype(np.float64) * (plan.parts / (plan.share * 2.0**64))).astype(np.int64), plan.parts - 1)
-        starts = np.flatnonzero(np.diff(part, prepend=-1))
-        name = np.uint64((plan.tag + 1) * 0xD6E8FEB86659FD93 % 2**64)
-        if n:
-            out.append(mix(np.add.reduceat(mixed[:n], starts) + mix(part[starts].astype(np.uint64) + name)))
-        if plan.parts - len(starts) >= plan.parts - plan.differing:
-            out.append(mix(mix(np.setdiff1d(np.arange(plan.parts), part).astype(np.uint64) + name)))
+    """Names of a set's blocks; linked sets have one in common.
+
+    A large set has a block for each band of minima. Any other has one for each range of its own size band and of the band
+    above; empty ranges are left out, unless so many are empty that equal ranges might all be. A set that can link with sets
+    on either side of the bound has both kinds.
+    """
+    n, large, out = len(tokens), minima(like), []
+    if not n or like.num >= like.den:
+        return np.zeros(0, np.uint64)
+    if n < large.least:
+        tops, plans = bands(like)
+        own, mixed = int(np.searchsorted(tops, n)), mix(tokens)
+        for plan in filter(None, plans[own : own + 2]):
+            part, starts = ranges(tokens, plan.parts)
+            name = np.uint64((plan.tag + 1) * 0xD6E8FEB86659FD93 % 2**64)
+            out.append(mix(np.add.reduceat(mixed, starts) + mix(part[starts].astype(np.uint64) + name)))
+            if len(starts) <= plan.differing:
+                out.append(mix(mix(np.setdiff1d(np.arange(plan.parts), part).astype(np.uint64) + name)))
+    if like.den * n >= like.num * large.least:
+        part, starts = ranges(tokens, large.rows * large.bands)
+        least = np.zeros(large.rows * large.bands, np.uint64)
+        least[part[starts]] = mix(tokens[starts] + part[starts].astype(np.uint64))
+        each = least.reshape(large.bands, large.rows)
+        out.append(mix(each.sum(axis=1, dtype=np.uint64) + np.arange(large.bands, dtype=np.uint64))[each.any(axis=1)])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
