@@ -97,6 +97,28 @@ def test_blocks_meet_for_every_link():
                 assert np.array_equal(a, b) or np.intersect1d(neardup.blocks(a, like), neardup.blocks(b, like)).size
 
 
+def test_links_share_the_blocks_that_cuts_promise():
+    """Sets that lose, gain or exchange as many elements as the threshold allows share the promised number of blocks."""
+    rng = np.random.default_rng(2)
+    some = 0
+    for like in (neardup.Likeness(), neardup.Likeness(5, 80, 100)):
+        for n in (10, 23, 57, 120, 260, 290, 310, 500):
+            for _ in range(30):
+                a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+                gained = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+                for lost, won in ((1, 0), (0, 1), (1, 1)):
+                    k = 0
+                    while like.link(n, n + (won - lost) * (k + 1), n - lost * (k + 1)):
+                        k += 1
+                    b = np.unique(np.concatenate([rng.permutation(a)[lost * k :], gained[: won * k]]))
+                    if np.array_equal(a, b):
+                        continue
+                    (x, of_x), (y, of_y) = neardup.cut(a, like), neardup.cut(b, like)
+                    assert np.intersect1d(x, y).size >= max(of_x, of_y)
+                    some = max(some, of_x)
+    assert some > 5
+
+
 def test_jaccard_join_edge_cases(spark):
     got = neardup.join_table(odd_documents(spark)).collect()
     by = {}

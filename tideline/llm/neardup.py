@@ -120,16 +120,17 @@ def ranges(tokens: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return part, np.flatnonzero(np.diff(part, prepend=-1))
 
 
-def blocks(tokens: np.ndarray, like: Likeness) -> np.ndarray:
-    """Names of a set's blocks; linked sets have one in common.
+def cut(tokens: np.ndarray, like: Likeness) -> tuple[np.ndarray, int]:
+    """Names of a set's blocks, and how many of them any set that links with it has in common with it, at least.
 
     A large set has a block for each band of minima. Any other has one for each range of its own size band and of the band
     above; empty ranges are left out, unless so many are empty that equal ranges might all be. A set that can link with sets
-    on either side of the bound has both kinds.
+    on either side of the bound has both kinds. Elements that differ touch at most as many ranges as a plan lets differ, so
+    linked sets share all the other ranges that hold elements; bands of minima promise one block.
     """
-    n, large, out = len(tokens), minima(like), []
+    n, large, out, promised = len(tokens), minima(like), [], []
     if not n or like.num >= like.den:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), 1
     if n < large.least:
         tops, plans = bands(like)
         own, mixed = int(np.searchsorted(tops, n)), mix(tokens)
@@ -137,6 +138,7 @@ def blocks(tokens: np.ndarray, like: Likeness) -> np.ndarray:
             part, starts = ranges(tokens, plan.parts)
             name = np.uint64((plan.tag + 1) * 0xD6E8FEB86659FD93 % 2**64)
             out.append(mix(np.add.reduceat(mixed, starts) + mix(part[starts].astype(np.uint64) + name)))
+            promised.append(len(starts) - plan.differing)
             if len(starts) <= plan.differing:
                 out.append(mix(mix(np.setdiff1d(np.arange(plan.parts), part).astype(np.uint64) + name)))
     if like.den * n >= like.num * large.least:
@@ -145,27 +147,35 @@ def blocks(tokens: np.ndarray, like: Likeness) -> np.ndarray:
         least[part[starts]] = mix(tokens[starts] + part[starts].astype(np.uint64))
         each = least.reshape(large.bands, large.rows)
         out.append(mix(each.sum(axis=1, dtype=np.uint64) + np.arange(large.bands, dtype=np.uint64))[each.any(axis=1)])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        promised.append(1)
+    return (np.concatenate(out), max(1, min(promised))) if out else (np.zeros(0, np.uint64), 1)
+
+
+def blocks(tokens: np.ndarray, like: Likeness) -> np.ndarray:
+    """Names of a set's blocks; linked sets have one in common, or more (see cut)."""
+    return cut(tokens, like)[0]
 
 
 def sketches(docs: DataFrame, like: Likeness) -> DataFrame:
-    """doc_id, n_shingles, node and blocks of every row; a text without words has no node."""
+    """doc_id, n_shingles, node, blocks and promised (see cut) of every row; a text without words has no node."""
     prepare(docs.sparkSession)
 
     def each(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
-                n, node, names = [], [], []
+                n, node, names, promised = [], [], [], []
                 for value in piece.column("text"):
                     tokens = shingles(value.as_py() or "", like.words)
                     n.append(len(tokens))
                     node.append(node_of(tokens) if len(tokens) else None)
-                    names.append(blocks(tokens, like).view(np.int64))
+                    found, least = cut(tokens, like)
+                    names.append(found.view(np.int64))
+                    promised.append(least)
                 ends = np.cumsum([0, *map(len, names)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(names)))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists], ["doc_id", "n_shingles", "node", "blocks"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(promised, pa.int32())], ["doc_id", "n_shingles", "node", "blocks", "promised"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(each, "doc_id long, n_shingles long, node long, blocks array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(each, "doc_id long, n_shingles long, node long, blocks array<long>, promised int")
 
 
 def token_sets(docs: DataFrame, owners: DataFrame, like: Likeness) -> DataFrame:
@@ -288,12 +298,12 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> tuple[DataF
     1. Each block names its smallest class as leader; every class of the block asks the leader. Links give first components.
     2. Groups of about GROUP classes are cut from each component, and from the single classes that asked the same leader.
        Where a block holds several components, each asks the groups of the larger ones, and single classes ask the groups of
-       single classes, each pair of groups in one direction.
+       single classes, each pair of groups in one direction, if they share the blocks that a link needs.
     No pair within a component is looked at again, and copies were merged before, so neither large groups of copies nor
     large groups of near copies are expanded into pairs.
     """
     rows = stored(sketches(docs, like), "near-rows")
-    owners = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    owners = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("promised").alias("promised"))
     posted = rows.filter("node IS NOT NULL").select("node", F.explode("blocks").alias("block"))
     lists = posted.groupBy("block").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("block", "lead")
     several = stored(posted.join(lists, "block").distinct(), "near-blocks")
@@ -318,7 +328,10 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> tuple[DataF
     entries = stored(entries.select("block", "comp", "n", "gid"), "near-entries")
     goals = entries.select("block", F.coalesce("gid", "comp").alias("goal"), F.col("n").alias("goal_n")).distinct()
     upward = F.when(F.col("goal_n") == 1, (F.col("n") == 1) & (F.col("gid") <= F.col("goal"))).otherwise((F.col("n") < F.col("goal_n")) | ((F.col("n") == F.col("goal_n")) & (F.col("comp") < F.col("goal"))))
-    pairs = stored(entries.join(goals, "block").filter(upward).select("comp", "goal", F.col("goal_n") > 1).toDF("comp", "goal", "whole").distinct(), "near-pairs")
+    # a class shares with a component or group all the blocks that it shares with a member
+    met = entries.join(goals, "block").filter(upward).groupBy("comp", "goal", (F.col("goal_n") > 1).alias("whole")).agg(F.count("*").alias("met"))
+    least = owners.join(comps, "node", "left").groupBy(F.coalesce("comp", "node").alias("comp")).agg(F.min("promised").alias("promised"))
+    pairs = stored(met.join(least, "comp").filter("met >= promised").select("comp", "goal", "whole"), "near-pairs")
     wanted = pairs.filter("whole").select(F.col("goal").alias("comp")).distinct()
     cut = comps.join(wanted, "comp", "left_semi").select("comp", "node", F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (GROUP * 0.75)))).alias("gid"))
     groups = stored(cut.unionByName(single.select(F.col("node").alias("comp"), "node", "gid")), "near-groups")
