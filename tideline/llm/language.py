@@ -15,6 +15,8 @@ from tideline.llm.common import mix, pieces, prepare
 
 #: A slot index takes 21 bits of a hash, so three probes use 63 of its 64 bits.
 SLOT_BITS, PROBES = 21, 3
+#: Bytes of text whose grams are laid out at once, whole texts at least; each takes some 80 bytes meanwhile.
+PIECE = 1 << 20
 _SPACE = np.uint32(32)
 
 
@@ -87,7 +89,7 @@ def learn(labelled: DataFrame, docs_per_language: int = 2000, most_grams: int =
 
     def count(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 hashes, ends = grams(piece.column("text"))
                 bit = np.repeat(piece.column("bit").to_numpy(), np.diff(ends, prepend=0))
                 for l in np.unique(bit):
@@ -140,7 +142,7 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", keep: tuple[s
 
     def each(batches):
         for batch in batches:
-            for piece in pieces(batch, "_text"):
+            for piece in pieces(batch, "_text", PIECE):
                 names, score = classify(piece.column("_text"), sent.value)
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
