@@ -336,3 +336,6 @@ def local_supplier_volume(spark, sf_dir):
     t = Tables(spark, sf_dir)
     j = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey")).join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.supplier, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+from tideline.plans import sessions  # noqa: E402, F401  (registers its queries)
