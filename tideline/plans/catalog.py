@@ -13,6 +13,8 @@ from tideline.operators import vectors as vec
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
+#: Ids of ten sessions: as many sessions as the table needs, each of 50 ids at most.
+SESSION_IDS = 500
 #: Vectors under this id are named references, the others probes; distances of the proxy vectors need this cut.
 REFERENCES, CUT, LOOSE = 100, 0.70, 0.75
 EVENTS = "(SELECT *, (epoch_us(ts) // 1000000)::BIGINT AS s FROM events)"
@@ -56,13 +58,14 @@ class Tables:
         return self.embeddings.filter(F.col("vec_id") >= REFERENCES)
 
     def clusters(self) -> DataFrame:
-        """session (ten of them), id, speech seconds and first appearance."""
-        e = self.probes().filter(F.col("vec_id") < 500)
-        return e.select((F.col("vec_id") % 10).alias("session"), F.col("vec_id").alias("id"), ((F.col("vec_id") % 13) + 0.5).alias("speech_s"), (F.col("vec_id") * 7 % 101).cast("double").alias("first_s"), "embedding", "label")
+        """session (ten for each SESSION_IDS ids), id, speech seconds and first appearance."""
+        block = F.floor(F.col("vec_id") / SESSION_IDS)
+        return self.probes().select((block * 10 + F.col("vec_id") % 10).alias("session"), F.col("vec_id").alias("id"), ((F.col("vec_id") % 13) + 0.5).alias("speech_s"), (F.col("vec_id") * 7 % 101).cast("double").alias("first_s"), "embedding", "label")
 
     def conflicts(self) -> DataFrame:
         c = self.clusters().select("session", F.col("id").alias("a"))
-        return c.filter(F.col("a") % 4 == 0).select("session", "a", (F.col("a") + 10).alias("b")).filter("b < 500")
+        pairs = c.filter(F.col("a") % 4 == 0).select("session", "a", (F.col("a") + 10).alias("b"))
+        return pairs.filter(F.floor(F.col("a") / SESSION_IDS) == F.floor(F.col("b") / SESSION_IDS))
 
     def slots(self) -> DataFrame:
         e = self.events_s()
@@ -114,7 +117,7 @@ _TRIALS = f"(SELECT a.label = b.label AS same, round(1 - list_inner_product(a.em
 def _trials(spark, sf_dir) -> DataFrame:
     c = Tables(spark, sf_dir).clusters()
     left, right = c.select("session", "id", "label", "embedding"), c.select(F.col("session").alias("s2"), F.col("id").alias("i2"), F.col("label").alias("l2"), F.col("embedding").alias("e2"))
-    pairs = left.join(right, (F.col("id") > F.col("i2")) & (F.col("session") != F.col("s2")))
+    pairs = vec.against(left, right).filter((F.col("id") > F.col("i2")) & (F.col("session") != F.col("s2")))
     return pairs.select((F.col("label") == F.col("l2")).alias("same"), F.round(V.cosine_distance(F.col("embedding"), F.col("e2")), 6).alias("distance"))
 
 
