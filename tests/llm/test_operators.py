@@ -390,6 +390,30 @@ def test_common_lines_that_go_together_are_all_found(spark):
     assert all(r["n_left"] == 30 for r in got)
 
 
+def brute_left(rows, limits):
+    """n_left of each document where different whole texts of a host decide."""
+    plain = lambda text: [" ".join(x.lower().split()) for x in text.split("\n") if x.split()]
+    texts = {}
+    for _, text, _, host, _ in rows:
+        for line in set(plain(text)):
+            texts.setdefault((host, line), set()).add(text)
+    most = {h: max(limits.most_docs, limits.most_share * sum(r[3] == h for r in rows)) for h in {r[3] for r in rows}}
+    return {r[0]: sum(len(x.split()) for x in plain(r[1]) if len(texts[r[3], x]) <= most[r[3]]) for r in rows}
+
+
+def test_lines_of_different_documents_go_whatever_else_they_hold(spark):
+    """Pages of stock lines only, and documents with many common lines and one of their own; exact copies count once."""
+    rng = random.Random(10)
+    menu = [f"menu {i} one two three four" for i in range(40)]
+    rows = [(i, "\n".join(rng.sample(menu, 12)), "en", "stock", 0) for i in range(300)]
+    rows += [(1000 + n * 1000 + i, "\n".join([*menu[:n], f"own {i} five six seven eight"]), "en", f"n{n}", 0) for n in (10, 20) for i in range(100)]
+    rows += [(5000 + i, "\n".join(menu), "en", "copies", 0) for i in range(100)]
+    limits = quality.Limits(most_docs=50)
+    got = {r["doc_id"]: r["n_left"] for r in quality.quality_table(spark.createDataFrame(rows, DOCS), limits).collect()}
+    assert got == brute_left(rows, limits)
+    assert {got[i] for i in range(300)} == {0} and {got[i] for i in (11000, 21000)} == {6} and got[5000] == 240
+
+
 def test_quality_edge_cases(spark):
     got = quality.quality_table(odd_documents(spark)).collect()
     assert len(got) == 10 and all(r["base_failed"] and not r["kept"] for r in got if r["n_words"] < 20)

@@ -15,8 +15,8 @@ from tideline.llm.common import mix, pieces, prepare, stored
 
 _SPACES = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
-#: Orders of the line hashes in which a document's first lines are taken.
-ORDERS = 4
+#: A document with fewer than one word in so many outside the lines it shares is a near copy of those that share the same.
+NEAR_WORDS = 50
 
 
 @dataclass(frozen=True)
@@ -55,6 +55,10 @@ def line_hash(line: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(line.lower().split()), digest_size=8).digest(), "little", signed=True)
 
 
+def whole_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def figures(text: str) -> tuple[int, int, int, int, int, list[tuple[int, int]]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and (hash, words) of each line with a word."""
     data = text.encode("utf-8", "surrogatepass")
@@ -71,68 +75,49 @@ def figures(text: str) -> tuple[int, int, int, int, int, list[tuple[int, int]]]:
     return len(words), chars, len(data) - len(data.translate(None, _SYMBOLS)), dup, repeat_words(words), lines
 
 
-def ends(lines: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    """The first and the second of a text's different line hashes, in each order."""
-    found = np.unique(np.array([h for h, _ in lines], np.int64))
-    if not len(found):
-        return [], []
-    firsts, seconds = [], []
-    for turn in range(ORDERS):
-        rank = mix(found.view(np.uint64) + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64))
-        two = np.argpartition(rank, 1)[:2] if len(found) > 2 else np.argsort(rank)
-        two = two[np.argsort(rank[two])]
-        firsts.append(int(found[two[0]]))
-        seconds.append(int(found[two[-1]]))
-    return firsts, seconds
-
-
 def measure(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, host, the five figures, lines (array of hash and words) and the document's first and second lines.
-
-    firsts and seconds have, for each of ORDERS orders of the hashes, the first and the second among its different lines
-    (the first again where there is one line). They stand for the document when its lines are counted, see line_limits().
-    """
+    """keep, host, the five figures, a digest of the whole text and lines (array of hash and words)."""
     prepare(docs.sparkSession)
     rows = docs.select(*keep, F.col(host).cast("string").alias("host"), F.col(text).alias("_text"))
     schema = rows.drop("_text").schema
     for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
         schema = schema.add(name, "long")
-    for name in ("firsts", "seconds"):
-        schema = schema.add(name, T.ArrayType(T.LongType()))
-    schema = schema.add("lines", T.ArrayType(T.StructType().add("h", "long").add("w", "long")))
+    schema = schema.add("digest", "long").add("lines", T.ArrayType(T.StructType().add("h", "long").add("w", "long")))
     line = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64())]))
 
     def each(batches):
         for batch in batches:
             for piece in pieces(batch, "_text"):
-                columns: list[list] = [[] for _ in range(8)]
+                columns: list[list] = [[] for _ in range(7)]
                 for value in piece.column("_text"):
-                    *numbers, lines = figures(value.as_py() or "")
-                    for column, x in zip(columns, [*numbers, *ends(lines), [{"h": h, "w": w} for h, w in lines]], strict=True):
+                    text_ = value.as_py() or ""
+                    *numbers, lines = figures(text_)
+                    for column, x in zip(columns, [*numbers, whole_hash(text_), [{"h": h, "w": w} for h, w in lines]], strict=True):
                         column.append(x)
-                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [line]
+                kinds = [pa.int64()] * 6 + [line]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in [*keep, "host"]), *map(pa.array, columns, kinds)], names=schema.names)
 
     return rows.mapInArrow(each, schema)
 
 
 def line_limits(measured: DataFrame, limits: Limits) -> DataFrame:
-    """host and line of the lines above their host's limit.
+    """host and line of the lines above their host's limit. measured has a column _row that numbers its rows.
 
-    Lines in enough documents of a host are counted again among different documents only. A document stands there for the
-    smallest of its other lines' hashes: copies and near copies of one document, which share nearly all lines, count once
-    or a few times, so that a line isn't boilerplate for having been copied along with its document. Where two common
-    lines go together, the one may stand for all documents of the other; so each of ORDERS orders of the hashes gives a
-    count, and the largest decides. A line that stands alone counts by itself. Null hosts are one host.
+    Lines in enough rows of a host are counted again among different whole texts only. A text nearly all of whose words,
+    but not all, are in such lines stands for all texts with the same ones (see NEAR_WORDS): near copies of one document
+    count once, so that a line isn't boilerplate for having been copied along with its document. Null hosts are one host.
     """
-    lines = measured.select("host", "firsts", "seconds", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("h"))
+    lines = measured.select("_row", "host", "n_words", "digest", F.explode("lines").alias("x")).select("_row", "host", "n_words", "digest", "x.h", "x.w")
     hosts = measured.groupBy("host").agg(F.greatest(F.lit(float(limits.most_docs)), F.count("*") * F.lit(limits.most_share)).alias("_most")).withColumnRenamed("host", "_host")
     above = lambda counted: counted.join(hosts, counted["host"].eqNullSafe(hosts["_host"])).filter(F.col("docs") > F.col("_most")).select(F.col("host").alias("_host"), F.col("h").alias("_h"))
-    some = stored(above(lines.groupBy("host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") > limits.most_docs)), "quality-some")
-    common = lines.join(some, lines["host"].eqNullSafe(some["_host"]) & (lines["h"] == some["_h"])).select("host", "h", "firsts", "seconds")
-    other = F.transform("firsts", lambda x, i: F.struct(i.alias("turn"), F.when(x == F.col("h"), F.get("seconds", i)).otherwise(x).alias("other")))
-    different = common.select("host", "h", F.explode(other).alias("x")).select("host", "h", "x.turn", "x.other").distinct()
-    return above(different.groupBy("host", "h", "turn").agg(F.count("*").alias("n")).groupBy("host", "h").agg(F.max("n").alias("docs")))
+    each = measured.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("h"))
+    some = stored(above(each.groupBy("host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") > limits.most_docs)), "quality-some")
+    common = lines.join(some, lines["host"].eqNullSafe(some["_host"]) & (lines["h"] == some["_h"]))
+    texts = common.groupBy("_row", "host", "n_words", "digest").agg(F.sum("w").alias("_shared"), F.array_sort(F.collect_set("h")).alias("hs"))
+    own = F.col("n_words") - F.col("_shared")
+    stands = F.when((own > 0) & (own * NEAR_WORDS < F.col("n_words")), F.xxhash64("hs")).otherwise(F.col("digest"))
+    different = texts.select("host", F.explode("hs").alias("h"), stands.alias("stands")).distinct()
+    return above(different.groupBy("host", "h").agg(F.count("*").alias("docs")))
 
 
 def judge(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -142,7 +127,7 @@ def judge(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
     gone = lines.join(over, lines["host"].eqNullSafe(over["_host"]) & (F.col("x.h") == over["_h"])).groupBy("_row").agg(F.sum("x.w").alias("_gone"))
     failed = (F.col("n_words") < limits.base_words) | (100 * F.col("n_repeat_words") > limits.base_repeat * F.col("n_words"))
     return (
-        measured.drop("lines", "firsts", "seconds").join(gone, "_row", "left").withColumn("n_left", F.col("n_words") - F.coalesce(F.col("_gone"), F.lit(0)))
+        measured.drop("lines", "digest").join(gone, "_row", "left").withColumn("n_left", F.col("n_words") - F.coalesce(F.col("_gone"), F.lit(0)))
         .withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= limits.least_left * F.col("n_words"))).drop("_gone")
     )
 
