@@ -278,6 +278,49 @@ def test_license_rules_are_ordered(spark):
     assert licenses.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Someone
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE_HEADER = """# Copyright 2020 Someone
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+"""
+GPL_NOTICE = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+"""
+
+
+def test_wrapped_licenses_are_recognised(spark):
+    crlf = lambda x: x.replace("\n", "\r\n")
+    texts = [(1, MIT_TEXT), (2, APACHE_HEADER), (3, GPL_NOTICE), (4, crlf(MIT_TEXT)), (5, crlf(APACHE_HEADER)), (7, "Released under the MIT.\nLicense"), (8, "Released under\nthe MIT License"), (9, "Not released under\nthe MIT License today")]
+    got = {r["doc_id"]: (r["n_known"], r["licenses"]) for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    mit, apache = (2, ["MIT-text"]), (3, ["Apache-2.0", "Apache-2.0-header"])
+    assert got == {1: mit, 2: apache, 3: (2, ["GPL-3.0-or-later"]), 4: mit, 5: apache, 7: (0, []), 8: (1, ["MIT"]), 9: (0, [])}
+
+
 # --- 8 nearest neighbours
 
 

@@ -7,8 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences end at a full stop, exclamation or question mark before white space, and at line ends.
+#: Where sentences may begin and end: a full stop, exclamation or question mark before white space, and line ends.
 CUT = "[.!?]+[ \\t\\r]+|[\\r\\n]+"
+#: Marks of a sentence's end and of a line's end in a normalised text; a sentence may run over line ends.
+_STOP, _LINE = "\x01", "\x02"
 _NOT_PLAIN = "[^a-z0-9]+"
 
 # Sentences of public license texts and notices, by id.
@@ -29,6 +31,13 @@ SENTENCES = {
     "reserved": "All rights reserved",
 }
 
+# The published headers' own sentences where they run on, by the ids of the sentences they hold, in order.
+PUBLISHED = {
+    "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0": ("apache2_copy",),
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License": ("apache2_notice", "apache2_not_use"),
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software": ("mit_grant", "mit_keep"),
+}
+
 # A rule is a license and the sentence ids that have to follow each other among a text's known sentences.
 RULES = (
     ("Apache-2.0", ("apache2_notice",)),
@@ -49,23 +58,29 @@ def normalised(sentence: str) -> str:
     return re.sub(_NOT_PLAIN, " ", sentence.lower()).strip()
 
 
-def sentences(text: Column) -> Column:
-    """Array of a text's sentences in lower case, with runs of anything but a-z and 0-9 as one space."""
-    return F.transform(F.split(text, CUT), lambda s: F.trim(F.regexp_replace(F.lower(s), _NOT_PLAIN, " ")))
+def marked(text: Column) -> Column:
+    """A text in lower case, with runs of anything but a-z and 0-9 as one space and a mark at each end of a sentence or line."""
+    out = F.regexp_replace(F.lower(F.translate(text, _STOP + _LINE, "  ")), "[.!?]+[ \\t\\r\\n]+", _STOP)
+    out = F.regexp_replace(F.regexp_replace(out, "[\\r\\n]+", _LINE), f"[^a-z0-9{_STOP}{_LINE}]+", " ")
+    out = F.regexp_replace(out, f"[ {_LINE}]*{_LINE}[ {_LINE}]*", _LINE)
+    out = F.regexp_replace(out, f"[ {_STOP}{_LINE}]*{_STOP}[ {_STOP}{_LINE}]*", _STOP)
+    return F.concat(F.lit(_STOP), F.trim(out), F.lit(_STOP))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: dict[str, str] = SENTENCES, rules=RULES, published: dict[str, tuple[str, ...]] = PUBLISHED) -> DataFrame:
     """Per document: key, n_known (known sentences in its whole text) and licenses (array of license names, sorted).
 
-    A rule matches where its ids follow each other among the document's known sentences, whatever other sentences stand
+    A known sentence begins and ends at a sentence's or line's end, and may be wrapped over lines; a published one counts as
+    all the sentences that it holds. A rule matches where its ids follow each other among the document's known sentences, whatever other sentences stand
     between. Each document is worked on alone, without a shuffle; the tables of sentences and rules are parameters of
     fixed size. Defined cases: a null or empty text knows no sentence; repeated rows give equal rows; an empty table gives
     an empty result; other columns are left out.
     """
-    table = F.create_map(*[F.lit(x) for name, s in known.items() for x in (normalised(s), name)])
-    longest = max(len(normalised(s)) for s in known.values())
-    some = F.filter(sentences(F.coalesce(F.col(text), F.lit(""))), lambda s: (s != "") & (F.length(s) <= longest))
-    ids = F.filter(F.transform(some, lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+    held = {normalised(x): ids for x, ids in published.items()} | {normalised(x): (name,) for name, x in known.items()}
+    table = F.create_map(*[x for sentence, ids in held.items() for x in (F.lit(sentence), F.array(*map(F.lit, ids)))])
+    any_of = "|".join(x.replace(" ", f"[ {_LINE}]") for x in sorted(held, key=len, reverse=True))
+    found = F.regexp_extract_all(marked(F.coalesce(F.col(text), F.lit(""))), F.lit(f"(?<=[{_STOP}{_LINE}])(?:{any_of})(?=[{_STOP}{_LINE}])"), F.lit(0))
+    ids = F.flatten(F.transform(found, lambda x: F.try_element_at(table, F.translate(x, _LINE, " "))))
     rows = docs.select(F.col(key), ids.alias("_ids")).withColumn("_run", F.concat(F.lit("|"), F.array_join("_ids", "|"), F.lit("|")))
     matched = F.array(*[F.when(F.contains(F.col("_run"), F.lit("|" + "|".join(ids) + "|")), F.lit(name)) for name, ids in rules])
     return rows.select(key, F.size("_ids").cast("long").alias("n_known"), F.array_sort(F.array_compact(matched)).alias("licenses"))
