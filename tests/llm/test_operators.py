@@ -165,6 +165,20 @@ def test_language_edge_cases(spark):
     assert language.language_table(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_every_language_can_be_predicted(spark):
+    """More languages than a word has bits, and one of few texts beside one with a long tail of words."""
+    rng = random.Random(7)
+    word = lambda l: "".join(chr(0x4E00 + 60 * l + rng.randrange(60)) for _ in range(4))
+    vocabulary = [[word(l) for _ in range(8)] for l in range(70)]
+    rows = [(100 * l + i, " ".join(rng.choices(vocabulary[l], k=20)), f"l{l}", "s", 0) for l in range(70) for i in range(5)]
+    long = [word(80) for _ in range(600)]
+    rows += [(20_000 + i, " ".join(long), "long", "s", 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, DOCS)
+    filters = language.learn(docs, 2000, 500)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs, filters).collect()}
+    assert len(filters.languages) == 71 and all(got[r[0]][0] == r[2] and got[r[0]][1] > 0.1 for r in rows)
+
+
 def test_probe_returns_all_languages_of_a_gram():
     slots = np.zeros(1 << language.SLOT_BITS, np.uint8)
     h = np.array([12345678901234567890], np.uint64)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import mix, pieces, prepare
+from tideline.llm.common import mix, pieces, prepare, stored
 
 #: A slot index takes 21 bits of a hash, so three probes use 63 of its 64 bits.
 SLOT_BITS, PROBES = 21, 3
@@ -22,7 +22,8 @@ _SPACE = np.uint32(32)
 
 @dataclass(frozen=True)
 class Filters:
-    """languages: names by bit, the most frequent first. slots: bit l of a slot is language l's filter. false_positive: by language."""
+    """languages: names by bit, the most frequent first. slots: a row of words for each slot, in which language l's filter
+    has bit l, counted through the words. false_positive: by language."""
 
     languages: tuple[str, ...]
     slots: np.ndarray
@@ -57,7 +58,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def probe(slots: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """For each hash the bitmask of the languages whose filter holds it."""
+    """For each hash the words of the bitmask of the languages whose filter holds it."""
     low = np.uint64((1 << SLOT_BITS) - 1)
     found = slots[hashes & low]
     for k in range(1, PROBES):
@@ -69,18 +70,19 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def learn(labelled: DataFrame, docs_per_language: int = 2000, most_grams: int = 200_000, least_count: int = 3, ratio: float = 0.34, most_languages: int = 64) -> Filters:
-    """Fit the filters on about docs_per_language whole texts of each of the most_languages most frequent languages.
+def learn(labelled: DataFrame, docs_per_language: int = 2000, most_grams: int = 100_000, least_count: int = 3, ratio: float = 0.34) -> Filters:
+    """Fit the filters on about docs_per_language whole texts of each language.
 
     labelled: doc_id, text, lang, all non-null. Texts are chosen by a hash of doc_id. A gram enters the filter of each
-    language in which it is at least `ratio` times as frequent as in the language where it is most frequent; the
-    most_grams most frequent grams enter. The driver receives these grams (16 bytes each) and nothing else.
+    language in which its share of all grams is at least `ratio` times that in the language where it is greatest; of these
+    about the most_grams most frequent of each language are taken, so that no language loses its grams to another. The
+    driver receives these (12 bytes each) and nothing else.
     """
     prepare(labelled.sparkSession)
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = tuple(r["lang"] for r in counts)
-    kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-    slots = np.zeros(1 << SLOT_BITS, dtype=kind)
+    kind, bits = next(((t, n) for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= n), (np.uint64, 64))
+    slots = np.zeros((1 << SLOT_BITS, max(1, -(-len(languages) // bits))), dtype=kind)
     if not languages:
         return Filters((), slots, np.zeros(0))
     wide = 1 << 30
@@ -97,17 +99,27 @@ def learn(labelled: DataFrame, docs_per_language: int = 2000, most_grams: int =
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), l, np.int32)), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["bit", "gram", "n"])
 
     found = sample.select("text", F.col("_l.bit").alias("bit")).mapInArrow(count, "bit int, gram long, n long")
-    totals = F.array(*[F.sum(F.when(F.col("bit") == i, F.col("n"))) for i in range(len(languages))])
-    by_gram = found.groupBy("gram").agg(totals.alias("c")).filter(F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))) >= least_count)
-    kept = by_gram.withColumn("most", F.array_max("c")).orderBy(F.desc("most"), "gram").limit(most_grams).select("gram", F.transform("c", lambda x: F.coalesce(x, F.lit(0))).alias("c")).toArrow()
-    grams_ = kept.column("gram").to_numpy().view(np.uint64)
-    table = np.array(kept.column("c").to_pylist(), dtype=float).reshape(len(grams_), len(languages))
-    share = table / np.maximum(table.sum(axis=0), 1)
-    enters = (share >= ratio * share.max(axis=1, keepdims=True)) & (table > 0)
-    masks = (enters.astype(kind) << np.arange(len(languages), dtype=kind)).sum(axis=1).astype(kind)
-    for k in range(PROBES):
-        np.bitwise_or.at(slots, (grams_ >> np.uint64(SLOT_BITS * k)) & np.uint64((1 << SLOT_BITS) - 1), masks)
-    fill = np.array([np.mean((slots >> kind(l)) & kind(1)) for l in range(len(languages))])
+    by = stored(found.groupBy("gram", "bit").agg(F.sum("n").alias("n")), "language-grams")
+    totals = by.groupBy("bit").agg(F.sum("n").alias("total"))
+    shares = by.join(F.broadcast(totals), "bit").select("gram", F.struct("bit", "n", (F.col("n") / F.col("total")).alias("share")).alias("x"))
+    by_gram = shares.groupBy("gram").agg(F.collect_list("x").alias("x")).filter(F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x["n"]) >= least_count)
+    enters = F.filter("x", lambda x: x["share"] >= ratio * F.array_max(F.transform("x", lambda y: y["share"])))
+    entering = stored(by_gram.select("gram", F.explode(enters).alias("x")).select("gram", "x.bit", "x.n"), "language-entering")
+    # the least count that fits for each language, and the part of the grams with one less that fits too, by their hash
+    least: dict[int, list] = {}
+    for r in sorted(entering.groupBy("bit", "n").agg(F.count("*").alias("grams")).collect(), key=lambda r: (r["bit"], -r["n"])):
+        cut = least.setdefault(r["bit"], [0, 1 << 62, 0])
+        if cut[0] < most_grams:
+            cut[:] = [cut[0] + r["grams"], r["n"], int(wide * min(1.0, (most_grams - cut[0]) / r["grams"]))]
+    cuts = labelled.sparkSession.createDataFrame([(b, n, part) for b, (_, n, part) in least.items()], "bit int, least long, part long")
+    fits = (F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & (F.pmod("gram", F.lit(wide)) < F.col("part")))
+    kept = entering.join(F.broadcast(cuts), "bit").filter(fits).select("gram", "bit").toArrow()
+    grams_, bit = kept.column("gram").to_numpy().view(np.uint64), kept.column("bit").to_numpy()
+    for l in range(len(languages)):
+        own = grams_[bit == l]
+        for k in range(PROBES):
+            slots[(own >> np.uint64(SLOT_BITS * k)) & np.uint64((1 << SLOT_BITS) - 1), l // bits] |= kind(1 << l % bits)
+    fill = np.array([np.mean((slots[:, l // bits] >> kind(l % bits)) & kind(1)) for l in range(len(languages))])
     return Filters(languages, slots, fill**PROBES)
 
 
@@ -120,8 +132,9 @@ def classify(texts: pa.Array, filters: Filters) -> tuple[list[str], np.ndarray]:
         return ["und"] * len(n), np.zeros(len(n))
     masks = probe(filters.slots, hashes)
     shares = np.zeros((len(n), len(filters.languages)))
+    kind, bits = masks.dtype.type, masks.dtype.itemsize * 8
     for l, fp in enumerate(filters.false_positive):
-        seen = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(l)) & masks.dtype.type(1), dtype=np.int64)])
+        seen = np.concatenate([[0], np.cumsum((masks[:, l // bits] >> kind(l % bits)) & kind(1), dtype=np.int64)])
         hits = seen[ends] - seen[starts]
         shares[:, l] = np.clip((hits / np.maximum(n, 1) - fp) / (1 - fp), 0, 1)
     best = shares.argmax(axis=1)
@@ -136,7 +149,7 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", keep: tuple[s
     gets the most frequent language with score 0; without learned languages everything is `und`.
     """
     prepare(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # a fixed number of slots, one to eight bytes each
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # a fixed number of slots, a bit for each language
     rows = docs.select(*keep, F.col(text).alias("_text"))
     schema = rows.drop("_text").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
