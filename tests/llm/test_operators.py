@@ -130,6 +130,14 @@ def test_jaccard_join_edge_cases(spark):
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [1, 2, 3, 4, 5, 7, 8] and len(kept) == 8
 
 
+def test_rows_that_share_an_id_are_kept_by_their_text(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (1, b), (3, c), (7, c + " more"), (7, d), (None, d + " more"), (None, "x " + c), (None, "lonely text of its own"), (None, "lonely text of its own"), (9, b), (9, b), (10, ""), (10, "")]
+    kept = neardup.keep_one(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)).collect()
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=key) == sorted([(1, a), (1, b), (3, c), (7, d), (None, "lonely text of its own"), (10, ""), (10, "")], key=key)
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 60)]

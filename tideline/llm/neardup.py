@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import mix, pieces, prepare, stored
+from tideline.llm.common import mix, n_words, pieces, prepare, stored
 from tideline.llm.components import components
 
 #: Members of a group at most, and classes that ask it in one task at most.
@@ -358,11 +358,18 @@ def join_table(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, like: Likeness = Likeness(5, 80, 100)) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all columns; rows that cannot be linked stay."""
-    kept = stored(join_table(docs, like).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")), "near-kept")
-    ids = kept.distinct()
-    same = docs["doc_id"].cast("long") == ids["_kept"]
-    out = docs.join(ids, same, "left_semi")
-    if not kept.groupBy("_kept").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each component, with all columns: the one with the smallest doc_id (null ids last), then by its key, which
+    doc_id and whole text decide. Rows without words cannot be linked and stay, repeated ones too."""
+    key = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    keyed = docs.withColumn("_key", key)
+    found = stored(join_table(keyed.select(F.col("_key").alias("doc_id"), "text"), like), "near-rows-linked")
+    ids = keyed.groupBy("_key").agg(F.min(F.col("doc_id").cast("long")).alias("_id"))
+    linked = found.filter("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("_n"))
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_key"))
+    best = linked.join(ids, linked["doc_id"] == ids["_key"]).groupBy("component_id").agg(F.min_by(F.struct("_key", "_n"), order).alias("b"))
+    best = stored(best.select(F.col("b._key").alias("_kept"), F.col("b._n").alias("_n")), "near-kept")
+    kept = best.select("_kept").union(found.filter("n_shingles = 0").select("doc_id")).distinct()
+    out = keyed.join(kept, keyed["_key"] == kept["_kept"], "left_semi")
+    if not best.filter("_n > 1").isEmpty():
+        out = out.withColumn("_own", F.when(n_words(F.col("text")) == 0, F.monotonically_increasing_id())).dropDuplicates(["_key", "_own"])
+    return out.select(*docs.columns)
