@@ -64,7 +64,7 @@ def near_texts(seed, n=260):
     return out
 
 
-@pytest.mark.parametrize("like", [neardup.Likeness(), neardup.Likeness(5, 80, 100)])
+@pytest.mark.parametrize("like", [neardup.Likeness(), neardup.Likeness(5, 80, 100), neardup.Likeness(5, 80, 100, exact=True)])
 def test_jaccard_join_equals_brute_force(spark, like):
     rows = near_texts(like.words)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.join_table(spark.createDataFrame(rows, "doc_id long, text string"), like).collect()}
@@ -83,40 +83,80 @@ def test_chain_within_large_groups(spark):
     assert got == {d: c for d, (_, c) in brute_components(rows, like).items()} and set(got.values()) == {0}
 
 
-def test_blocks_meet_for_every_link():
-    rng = np.random.default_rng(1)
-    for like in (neardup.Likeness(), neardup.Likeness(5, 80, 100)):
-        for n in (9, 10, 11, 19, 20, 57, 200, 999, 3000):
-            for _ in range(20):
-                a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
-                for drop in range(len(a)):
-                    if not like.link(len(a), len(a) - drop, len(a) - drop):
-                        break
-                drop -= 1
-                b = np.sort(rng.permutation(a)[drop:])
-                assert np.array_equal(a, b) or np.intersect1d(neardup.blocks(a, like), neardup.blocks(b, like)).size
+def names_of(cuts):
+    return np.concatenate([names for _, names in cuts]) if cuts else np.zeros(0, np.uint64)
+
+
+def linked_sets(rng, like, n):
+    """A set of n elements with sets that lose, gain or exchange as many elements as the threshold allows."""
+    a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+    gained = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for lost, won in ((1, 0), (0, 1), (1, 1)):
+        k = 0
+        while like.link(n, n + (won - lost) * (k + 1), n - lost * (k + 1)):
+            k += 1
+        b = np.unique(np.concatenate([rng.permutation(a)[lost * k :], gained[: won * k]]))
+        if not np.array_equal(a, b):
+            yield a, b
+
 
+LIKES = [neardup.Likeness(), neardup.Likeness(5, 80, 100)]
 
-def test_links_share_the_blocks_that_cuts_promise():
-    """Sets that lose, gain or exchange as many elements as the threshold allows share the promised number of blocks."""
+
+def test_rarest_blocks_meet_for_every_link():
+    """Whatever the order of rarity: each set shows spare + len(names) of its names, the ones that only it has first."""
     rng = np.random.default_rng(2)
     some = 0
-    for like in (neardup.Likeness(), neardup.Likeness(5, 80, 100)):
-        for n in (10, 23, 57, 120, 260, 290, 310, 500):
-            for _ in range(30):
-                a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
-                gained = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                for lost, won in ((1, 0), (0, 1), (1, 1)):
-                    k = 0
-                    while like.link(n, n + (won - lost) * (k + 1), n - lost * (k + 1)):
-                        k += 1
-                    b = np.unique(np.concatenate([rng.permutation(a)[lost * k :], gained[: won * k]]))
-                    if np.array_equal(a, b):
-                        continue
-                    (x, of_x), (y, of_y) = neardup.cut(a, like), neardup.cut(b, like)
-                    assert np.intersect1d(x, y).size >= max(of_x, of_y)
-                    some = max(some, of_x)
-    assert some > 5
+    for like in LIKES:
+        for n in (9, 10, 11, 19, 23, 57, 120, 260, 500, 3000):
+            for _ in range(20):
+                for a, b in linked_sets(rng, like, n):
+                    x, y = neardup.cut(a, like), neardup.cut(b, like)
+                    both = np.intersect1d(names_of(x), names_of(y))
+                    order = {int(h): i for i, h in enumerate(rng.permutation(both))}
+                    show = []
+                    for cuts in (x, y):
+                        shown = set()
+                        for spare, names in cuts:
+                            held = sorted((int(h) for h in names if int(h) in order), key=order.get)
+                            shown |= set(held[: max(0, spare + len(held))])
+                            some = max(some, len(names) - len(held))
+                        show.append(shown)
+                    assert show[0] & show[1]
+    assert some > 20
+
+
+def test_hints_meet_for_every_link():
+    rng = np.random.default_rng(3)
+    for like in LIKES:
+        for n in (9, 23, 120, 800):
+            shares = []
+            for _ in range(40):
+                for a, b in linked_sets(rng, like, n):
+                    shares.append(np.mean(neardup.hints(a, like) == neardup.hints(b, like)))
+            rows, _ = neardup.minima(like)
+            assert min(shares) > 0 and np.mean(shares) > 0.8 * (like.num / like.den) ** rows
+
+
+def test_a_passage_in_thousands_of_texts_links_none_of_them(spark):
+    """One passage in 3000 different texts, and near copies of a tenth of these: pairs are not formed, links are found."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for i in range(3000):
+        w = [f"w{rng.randrange(3000)}" for _ in range(70)]
+        rows.append((2 * i, " ".join(w) + " " + passage))
+        if i % 10 == 0:
+            w[35] = "other"
+            rows.append((2 * i + 1, passage + " " + " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.join_table(spark.createDataFrame(rows, "doc_id long, text string"), neardup.Likeness(5, 80, 100)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_clashing_names_stay(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "k1", "r1", "n1"), (2, text, "k2", "r2", "n2")], "doc_id long, text string, key string, row string, node string")
+    assert [tuple(r) for r in neardup.keep_one(docs).collect()] == [(1, text, "k1", "r1", "n1")]
 
 
 def test_jaccard_join_edge_cases(spark):

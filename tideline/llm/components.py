@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import stored
+from tideline.llm.common import discard, stored
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node and comp (the smallest node of its component) of every node in links (a long, b long; a <> b).
+    """node and comp (the smallest node of its component) of every node in links (a long, b long; a <> b), stored.
 
     Each round joins every node with the smallest of its neighbours and writes the new links to the shared folder, so
     neither a component nor the links pass through the driver; it sees two numbers a round. Partial minima are taken
@@ -24,11 +24,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = stored(large, "links")
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(low, large["u"] == low["w"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x"))
-        now = stored(small.select("x.u", "x.v").filter("u <> v").distinct(), "links")
+        before, now = now, stored(small.select("x.u", "x.v").filter("u <> v").distinct(), "links")
+        discard(before, large)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break
         seen = state
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    out = stored(found, "components")
+    discard(now)
+    return out

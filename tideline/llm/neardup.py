@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join by a token-group matrix.
 
 Documents with one shingle set form a class. Classes are put into groups of similar classes (a leader and what links
-with it); a group stores the union of its members' tokens. A class asks only groups with which it shares a block (see
-Blocks), and a group is opened only if the class's overlap with the union reaches what the threshold needs of any member.
+with it); a group stores the union of its members' tokens. A class asks only groups with which it shares one of its rarest
+blocks (see cut), and a group is opened only if the class's overlap with the union reaches what the threshold needs of any
+member.
 """
 
 from __future__ import annotations
@@ -17,22 +18,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import mix, n_words, pieces, prepare, stored
+from tideline.llm.common import discard, mix, n_words, pieces, prepare, stored
 from tideline.llm.components import components
 
 #: Members of a group at most, and classes that ask it in one task at most.
 GROUP, ASKING = 256, 1024
-#: Ids up to which a list of classes is broadcast (16 bytes each); a longer list is joined by shuffle.
-MOST_SENT = 250_000
+#: Parts into which the askers of one group are dealt before they learn how many chunks the group has.
+SALTS = 32
+#: Numbers that are laid out at once when a set's minima are taken.
+CELLS = 1 << 18
 
 
 @dataclass(frozen=True)
 class Likeness:
-    """Shingles of `words` words; sets link when den * intersection >= num * union."""
+    """Shingles of `words` words; sets link when den * intersection >= num * union.
+
+    Classes that share none of their hints (see hints) are left out before blocks are cut; two linked sets at the threshold
+    share none with a probability of `miss` or less. With exact=True nothing is left out: blocks meet for every link.
+    """
 
     words: int = 3
     num: int = 90
     den: int = 100
+    exact: bool = False
+    miss: float = 1e-9
 
     def differing(self, sizes: int) -> int:
         """The most elements in which two linked sets with `sizes` elements together can differ."""
@@ -51,38 +60,50 @@ class Blocks:
     differing: int
 
 
-@dataclass(frozen=True)
-class Minima:
-    """How large sets are cut: bands of `rows` ranges of hash values each, named by the smallest element of each range."""
+@lru_cache(maxsize=16)
+def minima(like: Likeness) -> tuple[int, int]:
+    """Rows and bands of the hints: sets of similarity s agree in a band with s ** rows, in none with
+    (1 - s ** rows) ** bands, which is `miss` or less from the threshold on."""
+    share = like.num / like.den
+    rows = max(1, round(math.log(0.52) / math.log(share)))
+    return rows, math.ceil(math.log(like.miss) / math.log1p(-(share**rows)))
 
-    rows: int
-    bands: int
 
-    @property
-    def least(self) -> int:
-        """Elements from which a set is large: two for each range."""
-        return 2 * self.rows * self.bands
+@lru_cache(maxsize=16)
+def seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of odd multipliers, a pair for each minimum."""
+    drawn = np.random.default_rng(20).integers(0, 2**32, (2, count, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    return drawn[0], drawn[1]
 
 
-@lru_cache(maxsize=16)
-def minima(like: Likeness, miss: float = 1e-9) -> Minima:
-    """Two large sets of similarity s agree in a range with probability s, in a band with s ** rows, and miss each other in
-    all bands with (1 - s ** rows) ** bands, which is `miss` or less from the threshold on."""
-    share = like.num / like.den
-    rows = max(1, round(math.log(0.41) / math.log(share))) if share < 1 else 1
-    return Minima(rows, math.ceil(math.log(miss) / math.log1p(-(share**rows))) if share < 1 else 1)
+def hints(tokens: np.ndarray, like: Likeness) -> np.ndarray:
+    """A name for each band of minima of a set: the smallest value under each of several hash functions, `rows` to a band."""
+    if not len(tokens) or like.exact or like.num >= like.den:
+        return np.zeros(0, np.uint64)
+    rows, bands_ = minima(like)
+    first, second = seeds(rows * bands_)
+    plain = (tokens >> np.uint64(32)).astype(np.uint32)
+    step = max(1, CELLS // len(plain))
+    least = np.empty(rows * bands_, np.uint32)
+    for i in range(0, len(least), step):
+        h = plain * first[i : i + step]
+        h ^= h >> np.uint32(15)
+        h *= second[i : i + step]
+        least[i : i + step] = h.min(axis=1)
+    each = mix(least.astype(np.uint64) + (np.arange(len(least), dtype=np.uint64) << np.uint64(32)))
+    return mix(each.reshape(bands_, rows).sum(axis=1, dtype=np.uint64))
 
 
 @lru_cache(maxsize=16)
 def bands(like: Likeness) -> tuple[np.ndarray, tuple[Blocks | None, ...]]:
-    """Size bands of the sets that aren't large, each so wide that linked sets lie in one band or in neighbours, and for
-    each band how its sets and those of the band below are cut.
+    """Size bands, each so wide that linked sets lie in one band or in neighbours, and for each band how its sets and those
+    of the band below are cut.
 
     Linked sets of a band differ in at most D elements, so of D + 1 + m ranges of hash values at least 1 + m hold the
-    same elements in both; m is what may be empty. Any link therefore shows as an equal block.
+    same elements in both; m is what may be empty.
     """
     tops, plans, low, below = [], [], 1, 1
-    while low <= minima(like).least:
+    while low <= 1 << 36:
         top = max(low, low * like.den // like.num)
         d = like.differing(2 * top)
         parts = d + 1
@@ -120,83 +141,80 @@ def ranges(tokens: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return part, np.flatnonzero(np.diff(part, prepend=-1))
 
 
-def cut(tokens: np.ndarray, like: Likeness) -> tuple[np.ndarray, int]:
-    """Names of a set's blocks, and how many of them any set that links with it has in common with it, at least.
+def cut(tokens: np.ndarray, like: Likeness) -> list[tuple[int, np.ndarray]]:
+    """A set's blocks in each of its plans, with the plan's spare: names of ranges of hash values with their elements.
 
-    A large set has a block for each band of minima. Any other has one for each range of its own size band and of the band
-    above; empty ranges are left out, unless so many are empty that equal ranges might all be. A set that can link with sets
-    on either side of the bound has both kinds. Elements that differ touch at most as many ranges as a plan lets differ, so
-    linked sets share all the other ranges that hold elements; bands of minima promise one block.
+    A set is cut by the plan of its own size band and by that of the band above, so linked sets have a plan in common.
+    Elements that differ touch at most `differing` ranges, so all but so many of a set's blocks are shared by any set that
+    links with it: of its differing + 1 rarest blocks one is shared, and the rarest shared one is among those of both sets.
+    A block that no other class has takes one of these places; spare = differing + 1 - blocks, so a set has to show
+    spare + (its blocks that other classes have too) of these. Where so few ranges hold elements that all may differ, one
+    block for all such sets is added.
     """
-    n, large, out, promised = len(tokens), minima(like), [], []
+    n, out = len(tokens), []
     if not n or like.num >= like.den:
-        return np.zeros(0, np.uint64), 1
-    if n < large.least:
-        tops, plans = bands(like)
-        own, mixed = int(np.searchsorted(tops, n)), mix(tokens)
-        for plan in filter(None, plans[own : own + 2]):
-            part, starts = ranges(tokens, plan.parts)
-            name = np.uint64((plan.tag + 1) * 0xD6E8FEB86659FD93 % 2**64)
-            out.append(mix(np.add.reduceat(mixed, starts) + mix(part[starts].astype(np.uint64) + name)))
-            promised.append(len(starts) - plan.differing)
-            if len(starts) <= plan.differing:
-                out.append(mix(mix(np.setdiff1d(np.arange(plan.parts), part).astype(np.uint64) + name)))
-    if like.den * n >= like.num * large.least:
-        part, starts = ranges(tokens, large.rows * large.bands)
-        least = np.zeros(large.rows * large.bands, np.uint64)
-        least[part[starts]] = mix(tokens[starts] + part[starts].astype(np.uint64))
-        each = least.reshape(large.bands, large.rows)
-        out.append(mix(each.sum(axis=1, dtype=np.uint64) + np.arange(large.bands, dtype=np.uint64))[each.any(axis=1)])
-        promised.append(1)
-    return (np.concatenate(out), max(1, min(promised))) if out else (np.zeros(0, np.uint64), 1)
-
-
-def blocks(tokens: np.ndarray, like: Likeness) -> np.ndarray:
-    """Names of a set's blocks; linked sets have one in common, or more (see cut)."""
-    return cut(tokens, like)[0]
+        return out
+    tops, plans = bands(like)
+    own, mixed = int(np.searchsorted(tops, n)), mix(tokens)
+    for plan in filter(None, plans[own : own + 2]):
+        part, starts = ranges(tokens, plan.parts)
+        name = np.uint64((plan.tag + 1) * 0xD6E8FEB86659FD93 % 2**64)
+        names = mix(np.add.reduceat(mixed, starts) + mix(part[starts].astype(np.uint64) + name))
+        spare = plan.differing + 1 - len(starts)
+        out.append((spare, names if spare <= 0 else np.append(names, mix(np.array([name])))))
+    return out
 
 
 def sketches(docs: DataFrame, like: Likeness) -> DataFrame:
-    """doc_id, n_shingles, node, blocks and promised (see cut) of every row; a text without words has no node."""
+    """doc_id, n_shingles, node and hints of every row; a text without words has no node."""
     prepare(docs.sparkSession)
 
     def each(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
-                n, node, names, promised = [], [], [], []
+                n, node, names = [], [], []
                 for value in piece.column("text"):
                     tokens = shingles(value.as_py() or "", like.words)
                     n.append(len(tokens))
                     node.append(node_of(tokens) if len(tokens) else None)
-                    found, least = cut(tokens, like)
-                    names.append(found.view(np.int64))
-                    promised.append(least)
+                    names.append(hints(tokens, like).view(np.int64))
                 ends = np.cumsum([0, *map(len, names)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(names)))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(promised, pa.int32())], ["doc_id", "n_shingles", "node", "blocks", "promised"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists], ["doc_id", "n_shingles", "node", "hints"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(each, "doc_id long, n_shingles long, node long, blocks array<long>, promised int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(each, "doc_id long, n_shingles long, node long, hints array<long>")
 
 
 def token_sets(docs: DataFrame, owners: DataFrame, like: Likeness) -> DataFrame:
-    """node and tokens (sorted 64-bit hashes) of the classes in owners (node, doc_id of one of its documents)."""
-    few = owners.count() <= MOST_SENT
+    """node, tokens (sorted 64-bit hashes) and plans (see cut) of the classes in owners (node, doc_id of one of its documents)."""
     want = owners.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
     ids = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text"))
-    rows = ids.join(F.broadcast(want) if few else want, F.col("_doc") == F.col("_id")).select("_node", "text")
+    rows = ids.join(want, F.col("_doc") == F.col("_id")).select("_node", "text")
+    plan = pa.list_(pa.struct([("spare", pa.int32()), ("names", pa.list_(pa.int64()))]))
 
     def each(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
-                node, sets = [], []
+                node, sets, plans = [], [], []
                 for name, value in zip(piece.column("_node").to_pylist(), piece.column("text"), strict=True):
                     tokens = shingles(value.as_py() or "", like.words)
                     if len(tokens) and node_of(tokens) == name:  # an id that several texts have
                         node.append(name)
                         sets.append(tokens.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
+                        plans.append([{"spare": spare, "names": names.view(np.int64)} for spare, names in cut(tokens, like)])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary()), pa.array(plans, plan)], ["node", "tokens", "plans"])
 
-    return rows.mapInArrow(each, "node long, tokens binary")
+    return rows.mapInArrow(each, "node long, tokens binary, plans array<struct<spare int, names array<long>>>")
+
+
+def rarest_blocks(sets: DataFrame) -> DataFrame:
+    """node and block: of each class and plan as many of its rarest blocks as a link needs (see cut). Blocks that one class
+    alone has leave before anything is sorted, and so does every class that has enough of these to link with none."""
+    posted = sets.select("node", F.posexplode("plans").alias("plan", "p")).select("node", "plan", F.col("p.spare").alias("spare"), F.explode("p.names").alias("block"))
+    known = posted.groupBy("block").agg(F.count("*").alias("c")).filter("c > 1")
+    held = posted.join(known, "block").groupBy("node", "plan", "spare").agg(F.array_sort(F.collect_list(F.struct("c", "block"))).alias("held"))
+    show = F.col("spare") + F.size("held")
+    return held.filter(show > 0).select("node", F.explode(F.slice("held", F.lit(1), show)).alias("x")).select("node", F.col("x.block").alias("block"))
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -270,10 +288,12 @@ def open_groups(members: DataFrame, asking: DataFrame, sets: DataFrame, like: Li
     members, asking: gid, node and comp (the component that is known so far); a group has about GROUP members. Those who
     ask a group are dealt into chunks of about ASKING, each a task's work beside the group's members.
     """
-    chunks = asking.groupBy("gid").agg(F.count("*").alias("_n")).select("gid", F.ceil(F.col("_n") / ASKING).cast("int").alias("_chunks"))
-    asks = asking.join(chunks, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), "node", "comp")
-    held = members.join(chunks, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "node", "comp")
-    rows = held.unionByName(asks).join(sets, "node").repartition("gid", "chunk").sortWithinPartitions("gid", "chunk", "role", "node")
+    count = asking.groupBy("gid").agg(F.count("*").alias("_n")).select("gid", F.ceil(F.col("_n") / ASKING).cast("int").alias("_chunks"))
+    salted = count.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asks = asking.withColumn("_salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")).join(salted, ["gid", "_salt"])
+    asks = asks.select("gid", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), "node", "comp")
+    held = members.join(count, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "node", "comp")
+    rows = held.unionByName(asks).join(sets.select("node", "tokens"), "node").repartition("gid", "chunk").sortWithinPartitions("gid", "chunk", "role", "node")
 
     def each(batches):
         now, group = None, TokenGroup(like)
@@ -293,23 +313,31 @@ def open_groups(members: DataFrame, asking: DataFrame, sets: DataFrame, like: Li
 
 
 def link_components(docs: DataFrame, like: Likeness = Likeness()) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all rows (stored), and component_id of each node.
+    """The sketches of all rows (stored), and component_id of each node (stored).
 
-    1. Each block names its smallest class as leader; every class of the block asks the leader. Links give first components.
-    2. Groups of about GROUP classes are cut from each component, and from the single classes that asked the same leader.
+    1. Classes that share a hint with another are cut into blocks, and show their rarest ones.
+    2. Each block names its smallest class as leader; every class of the block asks the leader. Links give first components.
+    3. Groups of about GROUP classes are cut from each component, and from the single classes that asked the same leader.
        Where a block holds several components, each asks the groups of the larger ones, and single classes ask the groups of
-       single classes, each pair of groups in one direction, if they share the blocks that a link needs.
+       single classes, each pair of groups in one direction.
     No pair within a component is looked at again, and copies were merged before, so neither large groups of copies nor
-    large groups of near copies are expanded into pairs.
+    large groups of near copies are expanded into pairs. A passage that many documents have is in nobody's rarest blocks but
+    for those documents that hold little else, which link.
     """
     rows = stored(sketches(docs, like), "near-rows")
-    owners = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("promised").alias("promised"))
-    posted = rows.filter("node IS NOT NULL").select("node", F.explode("blocks").alias("block"))
+    classes = rows.filter("node IS NOT NULL")
+    owners = owners_of(classes)
+    if not like.exact:
+        posted = classes.select("node", F.explode("hints").alias("hint"))
+        met = posted.groupBy("hint").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("hint")
+        owners = owners.join(posted.join(met, "hint").select("node").distinct(), "node")
+    owners = stored(owners.filter("doc_id IS NOT NULL"), "near-owners")
+    sets = stored(token_sets(docs, owners, like), "near-sets")
+    posted = stored(rarest_blocks(sets), "near-posted")
     lists = posted.groupBy("block").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("block", "lead")
-    several = stored(posted.join(lists, "block").distinct(), "near-blocks")
+    several = stored(posted.join(lists, "block"), "near-blocks")
     stars = stored(several.filter("node <> lead").select("node", "lead").distinct(), "near-stars")
-    need = stars.select("node").union(stars.select("lead")).distinct()
-    sets = stored(token_sets(docs, stored(owners.join(need, "node"), "near-owners"), like), "near-sets")
+    discard(posted, owners)
     leaders = stars.select(F.col("lead").alias("gid"), F.col("lead").alias("node"), F.col("lead").alias("comp")).distinct()
     first = stored(open_groups(leaders, stars.select(F.col("lead").alias("gid"), "node", F.col("node").alias("comp")), sets, like), "near-links")
     comps = components(first)
@@ -326,22 +354,36 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> tuple[DataF
     single = stored(single.join(homes, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("_cuts"))).alias("gid")), "near-single")
     entries = mixed.join(single.withColumnRenamed("node", "comp"), "comp", "left")  # gid: null for a component of several
     entries = stored(entries.select("block", "comp", "n", "gid"), "near-entries")
+    discard(several, stars, mixed)
     goals = entries.select("block", F.coalesce("gid", "comp").alias("goal"), F.col("n").alias("goal_n")).distinct()
     upward = F.when(F.col("goal_n") == 1, (F.col("n") == 1) & (F.col("gid") <= F.col("goal"))).otherwise((F.col("n") < F.col("goal_n")) | ((F.col("n") == F.col("goal_n")) & (F.col("comp") < F.col("goal"))))
-    # a class shares with a component or group all the blocks that it shares with a member
-    met = entries.join(goals, "block").filter(upward).groupBy("comp", "goal", (F.col("goal_n") > 1).alias("whole")).agg(F.count("*").alias("met"))
-    least = owners.join(comps, "node", "left").groupBy(F.coalesce("comp", "node").alias("comp")).agg(F.min("promised").alias("promised"))
-    pairs = stored(met.join(least, "comp").filter("met >= promised").select("comp", "goal", "whole"), "near-pairs")
+    pairs = stored(entries.join(goals, "block").filter(upward).select("comp", "goal", (F.col("goal_n") > 1).alias("whole")).distinct(), "near-pairs")
     wanted = pairs.filter("whole").select(F.col("goal").alias("comp")).distinct()
-    cut = comps.join(wanted, "comp", "left_semi").select("comp", "node", F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (GROUP * 0.75)))).alias("gid"))
-    groups = stored(cut.unionByName(single.select(F.col("node").alias("comp"), "node", "gid")), "near-groups")
-    to_groups = pairs.filter("whole").join(cut.select(F.col("comp").alias("goal"), "gid").distinct(), "goal").select("comp", "gid").unionByName(pairs.filter("NOT whole").select("comp", F.col("goal").alias("gid")))
+    cuts = comps.join(wanted, "comp", "left_semi").select("comp", "node", F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (GROUP * 0.75)))).alias("gid"))
+    groups = stored(cuts.unionByName(single.select(F.col("node").alias("comp"), "node", "gid")), "near-groups")
+    of_comps = groups.join(wanted, "comp", "left_semi").select(F.col("comp").alias("goal"), "gid").distinct()
+    to_groups = pairs.filter("whole").join(of_comps, "goal").select("comp", "gid").unionByName(pairs.filter("NOT whole").select("comp", F.col("goal").alias("gid")))
     asks = to_groups.join(comps.select("comp", "node"), "comp", "left").select("gid", F.coalesce("node", "comp").alias("node"), "comp").distinct()
     second = open_groups(groups.select("gid", "node", "comp"), asks, sets, like)
-    final = stored(components(first.unionByName(second)), "near-final")
-    named = owners.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    final = components(first.unionByName(second))
+    named = owners_of(classes).join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return rows, named.select("node", "comp").join(least, "comp").select(F.col("node").alias("_node"), "component_id")
+    found = stored(named.select("node", "comp").join(least, "comp").select(F.col("node").alias("_node"), "component_id"), "near-found")
+    discard(sets, first, comps, single, entries, pairs, groups, final)
+    return rows, found
+
+
+def owners_of(classes: DataFrame) -> DataFrame:
+    """node and its smallest doc_id."""
+    return classes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+
+
+def rows_with_components(docs: DataFrame, like: Likeness) -> DataFrame:
+    rows, found = link_components(docs, like)
+    linked = rows.filter("node IS NOT NULL").join(found, F.col("node") == F.col("_node"), "left").select("doc_id", "n_shingles", "component_id")
+    out = stored(linked.unionByName(rows.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))), "near-documents")
+    discard(rows, found)
+    return out
 
 
 def join_table(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
@@ -352,24 +394,28 @@ def join_table(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     component_id; rows that repeat a doc_id with other texts are documents of their own; an empty table gives an empty
     result; other columns are left out.
     """
-    rows, found = link_components(docs, like)
-    with_words = rows.filter("node IS NOT NULL").join(found, F.col("node") == F.col("_node"), "left").select("doc_id", "n_shingles", "component_id")
-    return with_words.unionByName(rows.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return rows_with_components(docs, like)
 
 
 def keep_one(docs: DataFrame, like: Likeness = Likeness(5, 80, 100)) -> DataFrame:
     """One row of each component, with all columns: the one with the smallest doc_id (null ids last), then by its key, which
-    doc_id and whole text decide. Rows without words cannot be linked and stay, repeated ones too."""
-    key = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    keyed = docs.withColumn("_key", key)
-    found = stored(join_table(keyed.select(F.col("_key").alias("doc_id"), "text"), like), "near-rows-linked")
-    ids = keyed.groupBy("_key").agg(F.min(F.col("doc_id").cast("long")).alias("_id"))
-    linked = found.filter("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("_n"))
-    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_key"))
-    best = linked.join(ids, linked["doc_id"] == ids["_key"]).groupBy("component_id").agg(F.min_by(F.struct("_key", "_n"), order).alias("b"))
-    best = stored(best.select(F.col("b._key").alias("_kept"), F.col("b._n").alias("_n")), "near-kept")
-    kept = best.select("_kept").union(found.filter("n_shingles = 0").select("doc_id")).distinct()
-    out = keyed.join(kept, keyed["_key"] == kept["_kept"], "left_semi")
-    if not best.filter("_n > 1").isEmpty():
-        out = out.withColumn("_own", F.when(n_words(F.col("text")) == 0, F.monotonically_increasing_id())).dropDuplicates(["_key", "_own"])
-    return out.select(*docs.columns)
+    doc_id and whole text decide.
+
+    Defined cases: rows without words, null texts too, cannot be linked and all stay, repeated ones too; of rows that are
+    equal in id and text one stays; rows that share an id but not a text are documents of their own, and so are rows without
+    an id; an empty table gives an empty result; columns may have any names.
+    """
+    text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id")
+    key = F.xxhash64(doc_id.isNull(), doc_id, F.sha2(text, 256))
+    keyed = docs.select(F.struct("*").alias("row"), key.alias("key"), doc_id.cast("long").alias("id"), text.alias("text"))
+    found = rows_with_components(keyed.select(F.col("key").alias("doc_id"), "text"), like)
+    ids = keyed.groupBy("key").agg(F.min("id").alias("id"))
+    linked = found.filter("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))
+    best = linked.join(ids, linked["doc_id"] == ids["key"]).groupBy("component_id").agg(F.min_by(F.struct("key", "n"), order).alias("b"))
+    best = stored(best.select(F.col("b.key").alias("kept"), F.col("b.n").alias("n")), "near-kept")
+    once = best.filter("n = 1").select("kept").union(found.filter("n_shingles = 0").select("doc_id")).distinct()
+    several = best.filter("n > 1").select("kept")
+    out = keyed.join(once, F.col("key") == F.col("kept"), "left_semi").select("row")
+    again = keyed.join(several, F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"]).select("row")
+    return out.unionByName(again).select("row.*")
