@@ -247,6 +247,16 @@ def test_url_filter_follows_intervals(spark):
     assert urlfilter.evaluate(spark.createDataFrame([], "page_id long, url string, fetched_at long"), entries).count() == 0
 
 
+def test_url_filter_takes_long_urls_empty_lists_and_equal_keys(spark):
+    long = "http://" + ".".join(["a"] * 60) + ".b.org/" + "/".join(["d"] * 20_000)
+    pages = spark.createDataFrame([(1, long, 5), (2, "http://c.b.org", 5)], "page_id long, url string, fetched_at long")
+    none = spark.createDataFrame([], "list string, kind string, key string, action string, effective long")
+    assert [(r["n_active"], r["blocked"]) for r in urlfilter.evaluate(pages, none).collect()] == [(0, False)] * 2
+    entries = spark.createDataFrame([("l", "domain", "b.org", "add", 1), ("m", "domain", "b.org", "add", 1), ("l", "path", long[7:].split("/")[0] + "/d/d/", "add", 1)], none.schema)
+    got = {r["page_id"]: (r["n_active"], r["list"], r["kind"]) for r in urlfilter.evaluate(pages, entries).collect()}
+    assert got == {1: (3, "l", "path"), 2: (2, "l", "domain")}
+
+
 # --- 4 mixing
 
 
@@ -276,6 +286,18 @@ def test_mix_edge_cases(spark):
     assert mixed.columns == odd_documents(spark).columns and sum(len(words_of(r["text"])) for r in mixed.collect()) == taken
 
 
+def test_rows_without_an_id_draw_by_their_texts(spark):
+    rows = [(None, f"w{i} " * 10, "en", "a", 0) for i in range(600)] + [(i, "x " * 10, "en", "b", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    by = {r["size"]: r for r in mixing.mix_table(docs).groupBy(F.round("target").alias("size")).agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()}
+    assert all(abs(r["taken"] - r["size"]) < 0.1 * r["size"] for r in by.values()) and sum(r["n"] for r in by.values()) == 1200
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 7, 8, "x")], "doc_id long, text string, source string, copies long, rate long, row string")
+    assert {tuple(r) for r in mixing.mix_documents(docs).collect()} == {(1, "a b c", "s", 7, 8, "x")}
+
+
 # --- 5 WARC
 
 
@@ -297,6 +319,23 @@ def test_warc_round_trip_and_edge_cases(spark):
     assert warc.read_archive(spark, warc.write_archive(pages.limit(0))).count() == 0
 
 
+def test_records_keep_their_own_url_and_repetitions(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RUN", 3)
+    big = "x" * 3_000_000
+    rows = [(1, "http://a", "p"), (1, "http://b", "p"), (1, None, "p"), (2, "http://a", "p"), (5, "http://z", big), (6, "http://z", big)] + [(7, "http://c", "q")] * 8
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = warc.write_archive(pages)
+    got = warc.read_archive(spark, path, bodies="records").collect()
+    fields = [(warc.parse_stream(r["record"])[0], r) for r in got]
+    assert sorted((r["page_id"], f["WARC-Target-URI"]) for (f, _), r in fields) == sorted((i, u or "") for i, u, _ in rows)
+    assert len({f["WARC-Record-ID"] for (f, _), _ in fields}) == len(rows)
+    responses = {f["WARC-Record-ID"]: (f["WARC-Target-URI"], r["payload"]) for (f, _), r in fields if r["record_type"] == "response"}
+    assert sorted(u for u, _ in responses.values()) == ["http://a", "http://c", "http://z"]
+    assert all(responses[f["WARC-Refers-To"]][1].decode() == {i: h for i, _, h in rows}[r["page_id"]] and r["payload"] is None for (f, _), r in fields if r["record_type"] == "revisit")
+    told = sorted(map(tuple, warc.rebuilt(warc.read_archive(spark, path, bodies="records")).collect()))
+    assert told == sorted(map(tuple, warc.read_archive(spark, path).collect()))
+
+
 def test_damaged_archive_fails(spark):
     path = warc.write_archive(spark.createDataFrame([(1, "u", "one")], "page_id long, url string, html string"))
     spark.createDataFrame([(hashlib.sha256(b"one").hexdigest(), b"two")], "sha256 string, payload binary").write.mode("overwrite").parquet(path + "/payloads")
@@ -453,6 +492,17 @@ def test_sharding_edge_cases(spark):
     assert sharding.shard(spark.createDataFrame([("k1", "t"), (None, "u")], "doc_id string, text string")).count() == 2
 
 
+def test_equal_rows_fill_slots_without_gaps(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = [(None, "same")] * 50 + [(0, "same")] * 3 + [(64 * i, f"t{i}") for i in range(200)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(rows) and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sum(r["doc_id"] is None for r in got) == 50
+
+
 # --- 10 quality
 
 
@@ -526,6 +576,12 @@ def test_quality_edge_cases(spark):
     assert quality.keep_good(odd_documents(spark)).columns == odd_documents(spark).columns
 
 
+def test_quality_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "s", "k", "r", "b")], "doc_id long, text string, source string, key string, row string, bad string")
+    assert [tuple(r) for r in quality.keep_good(docs).collect()] == [(1, text, "s", "k", "r", "b")]
+
+
 # --- pipeline
 
 

@@ -47,32 +47,39 @@ def targets(weighted: DataFrame, share: float = SHARE, most: float = MOST) -> Da
     )
 
 
-def mixed(docs: DataFrame, rates: DataFrame, key: str = "doc_id", source: str = "source", seed: int = 17) -> DataFrame:
-    """Add _copies to every document: floor(rate) plus one more with probability the rate's fraction, drawn from a hash of seed and key.
+def mixed(rows: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
+    """Adds source_size, target and copies to rows (source, doc_id, digest of the text, and others of other names): floor(rate)
+    copies, and one more with probability the rate's fraction, drawn from a hash of seed, doc_id and digest.
 
-    Equal rows draw alike, and reruns draw alike. The rates are stored first, so Spark sees their size and
-    broadcasts them only under its own limit; beyond it the join is by shuffle, split where a source is hot.
+    Equal rows draw alike, reruns draw alike, and rows without an id draw by their texts. The rates are stored first, so Spark
+    sees their size and broadcasts them only under its own limit; beyond it the join is by shuffle, split where a source is hot.
     """
-    known = stored(rates, "mix-rates").select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    draw = (unit_hash(F.lit(seed), F.col(key)) < F.col("_rate") - F.floor("_rate")).cast("int")
-    return docs.join(known, docs[source].eqNullSafe(known["_mix_source"]), "left").withColumn("_copies", (F.floor("_rate") + draw).cast("int"))
+    known = stored(rates, "mix-rates").select(F.col("source").alias("of"), "source_size", "target", "rate")
+    draw = (unit_hash(F.lit(seed), F.col("doc_id"), F.col("digest")) < F.col("rate") - F.floor("rate")).cast("int")
+    return rows.join(known, rows["source"].eqNullSafe(known["of"]), "left").withColumn("copies", (F.floor("rate") + draw).cast("int"))
+
+
+def _digest(text: str = "text") -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest")
 
 
 def mix_table(docs: DataFrame, seed: int = 17) -> DataFrame:
     """Every document with its size, its source's size and target, and the words that the mix takes of it.
 
     Defined cases: a null source is a source of its own, last in order; a null or empty text has size 0 and takes 0;
-    repeated rows draw alike; an empty table gives an empty result; further columns are left out.
+    rows of one id and text draw alike; an empty table gives an empty result; further columns are left out.
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", _digest(), n_words(F.col("text")).alias("size"))
     rates = targets(cyclic_weights(source_sizes(sized, size=F.col("size"))))
-    return mixed(sized, rates, seed=seed).select(
-        "doc_id", "size", F.col("_source_size").alias("source_size"), F.round("_target", 6).alias("target"), (F.col("size") * F.col("_copies")).cast("long").alias("taken")
-    )
+    return mixed(sized, rates, seed).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The mix itself: every document as often as drawn, with all its columns."""
+    """The mix itself: every document as often as drawn, with all its columns, whatever their names.
+
+    Defined cases are those of mix_table; a source whose rate is 0 (without words) gives no rows.
+    """
     rates = targets(cyclic_weights(source_sizes(docs)))
-    out = mixed(docs, rates, seed=seed).filter("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "source", "doc_id", _digest())
+    drawn = mixed(rows, rates, seed).filter("copies > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -8,7 +8,7 @@ from tideline.llm.sharding import MULTIPLIER
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 MIXING = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight,
       sum(source_size) OVER () * 1.5::DOUBLE AS total, source_size * 2.0::DOUBLE AS cap FROM s),
@@ -19,7 +19,7 @@ l AS (SELECT arg_min(level, ratio) AS level FROM f WHERE level < ratio),
 t AS (SELECT f.source, f.source_size, CASE WHEN l.level IS NULL THEN cap ELSE least(cap, l.level * weight) END AS target FROM f CROSS JOIN l),
 r AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS rate FROM t)
 SELECT d.doc_id, d.size, r.source_size, round(r.target, 6) AS target,
-  (d.size * (floor(rate) + CASE WHEN ('0x' || substr(md5('17|' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+  (d.size * (floor(rate) + CASE WHEN ('0x' || substr(md5('17|' || coalesce(d.doc_id::VARCHAR, '') || '|' || d.digest), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
@@ -73,7 +73,31 @@ j AS (SELECT doc_id, coalesce(doc_id, 0)::HUGEINT AS k, 0::BIGINT AS cand, 0::BI
 s AS (SELECT doc_id, arg_max(shard, cand) AS shard, arg_max(grown, cand) AS grown FROM j GROUP BY doc_id),
 a AS (SELECT crc.doc_id, (octet_length(encode(text)) + 8)::BIGINT AS size, text_crc32, s.shard, s.grown FROM crc JOIN s ON crc.doc_id IS NOT DISTINCT FROM s.doc_id)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY coalesce(doc_id, 0) % 64, coalesce(doc_id, 0), size, text_crc32) - 1)::BIGINT AS slot, grown::INT AS grown_shard FROM a
+  (row_number() OVER (PARTITION BY shard ORDER BY substr(md5(concat_ws('|', coalesce(doc_id, 0), size, text_crc32)), 1, 2), coalesce(doc_id, 0), size, text_crc32, doc_id NULLS LAST) - 1)::BIGINT AS slot, grown::INT AS grown_shard FROM a
+"""
+
+
+SPACE = "[\\x20\\x09-\\x0D]+"
+QUALITY = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, generate_subscripts(ws, 1)::BIGINT AS i, unnest(ws) AS w FROM (SELECT r, regexp_extract_all(text, '{WORD}') AS ws FROM d)),
+g AS (SELECT r, i, array_to_string([w, lead(w, 1) OVER v, lead(w, 2) OVER v, lead(w, 3) OVER v, lead(w, 4) OVER v, lead(w, 5) OVER v, lead(w, 6) OVER v, lead(w, 7) OVER v], ' ') AS g, lead(w, 7) OVER v IS NOT NULL AS whole FROM w WINDOW v AS (PARTITION BY r ORDER BY i)),
+t AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g WHERE whole),
+m AS (SELECT w.r, count(*) AS n FROM (SELECT w.r, w.i, max(t.i) OVER (PARTITION BY w.r ORDER BY w.i) AS last FROM w LEFT JOIN t ON w.r = t.r AND w.i = t.i AND t.c > 1) w WHERE w.last > w.i - 8 GROUP BY w.r),
+l AS (SELECT r, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT r, string_split(text, chr(10)) AS ls FROM d)),
+p AS (SELECT l.r, l.i, d.host, line, len(regexp_extract_all(line, '{WORD}'))::BIGINT AS n, md5(trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACE}', ' ', 'g'), ' ')) AS h FROM l JOIN d ON l.r = d.r WHERE regexp_matches(line, '{WORD}')),
+u AS (SELECT r, count(*) - count(DISTINCT line) AS dups FROM p GROUP BY r),
+f AS (SELECT d.r, d.doc_id, d.host, md5(d.text) AS digest, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS n_words, length(regexp_replace(text, '{SPACE}', '', 'g'))::BIGINT AS word_chars,
+      len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(u.dups, 0)::BIGINT AS n_dup_lines, coalesce(m.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN u ON d.r = u.r LEFT JOIN m ON d.r = m.r),
+most AS (SELECT host, greatest(50, count(*) * 0.01) AS most FROM d GROUP BY host),
+s AS (SELECT p.host, p.h FROM p JOIN most ON p.host IS NOT DISTINCT FROM most.host GROUP BY p.host, p.h, most HAVING count(DISTINCT p.r) > most),
+c AS (SELECT p.r, p.host, p.h, p.n FROM p JOIN s ON p.host IS NOT DISTINCT FROM s.host AND p.h = s.h),
+o AS (SELECT c.r, c.host, f.digest, f.n_words, sum(c.n) AS held, md5(string_agg(DISTINCT c.h, ',' ORDER BY c.h)) AS held_lines FROM c JOIN f ON c.r = f.r GROUP BY ALL),
+k AS (SELECT o.r, CASE WHEN n_words > held AND (n_words - held) * 50 < n_words THEN held_lines ELSE digest END AS stands FROM o),
+x AS (SELECT c.host, c.h FROM c JOIN k ON c.r = k.r JOIN most ON c.host IS NOT DISTINCT FROM most.host GROUP BY c.host, c.h, most HAVING count(DISTINCT k.stands) > most),
+z AS (SELECT p.r, sum(p.n) AS gone FROM p JOIN x ON p.host IS NOT DISTINCT FROM x.host AND p.h = x.h GROUP BY p.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words - coalesce(gone, 0))::BIGINT AS n_left, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - coalesce(gone, 0) >= 0.3 * n_words AS kept FROM f LEFT JOIN z ON f.r = z.r
 """
 
 
@@ -87,4 +111,4 @@ def _crc_table() -> list[int]:
 
 
 def sql(entries, start: str) -> dict[str, str]:
-    return {"op3_url_filter": url_sql(entries, start), "op4_source_mixing": MIXING, "op5_warc_archive": WARC, "op7_license_scan": licenses_sql(), "op9_sharding": sharding_sql()}
+    return {"op3_url_filter": url_sql(entries, start), "op4_source_mixing": MIXING, "op5_warc_archive": WARC, "op7_license_scan": licenses_sql(), "op9_sharding": sharding_sql(), "op10_quality_rules": QUALITY}

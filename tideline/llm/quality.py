@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import mix, pieces, prepare, stored
+from tideline.llm.common import discard, mix, pieces, prepare, stored
 
 _SPACES = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
@@ -143,9 +143,12 @@ def quality_table(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows of docs that the rules keep, with all columns. A row is found again by source and whole text, so rows that
-    are equal in both share a verdict, as they do in quality_table()."""
-    digest = F.sha2(F.concat_ws("|", F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("source").cast("string"))), F.coalesce(F.col("text"), F.lit(""))), 256)
-    measured = stored(measure(docs.withColumn("_key", digest), keep=("_key",)).withColumn("_row", F.monotonically_increasing_id()), "quality")
-    bad = stored(judge(measured, limits).filter("NOT kept").select("_key").distinct(), "quality-bad")
-    return docs.withColumn("_key", digest).join(bad, "_key", "left_anti").select(*docs.columns)
+    """The rows of docs that the rules keep, with all columns, whatever their names. A row is found again by source and whole
+    text, so rows that are equal in both share a verdict, as they do in quality_table(), whose defined cases hold here too."""
+    text, source = F.coalesce(F.col("text"), F.lit("")), F.col("source").cast("string")
+    digest = F.sha2(F.concat(F.when(source.isNull(), "0").otherwise(F.concat(F.lit("1"), source)), F.lit("|"), text), 256)
+    keyed = docs.select(F.struct("*").alias("row"), digest.alias("key"), source.alias("source"), text.alias("text"))
+    measured = stored(measure(keyed, keep=("key",)).withColumn("_row", F.monotonically_increasing_id()), "quality")
+    bad = stored(judge(measured, limits).filter("NOT kept").select(F.col("key").alias("bad")).distinct(), "quality-bad")
+    discard(measured)
+    return keyed.join(bad, F.col("key") == F.col("bad"), "left_anti").select("row.*")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import bpe, language, licenses, mixing, neardup, nearest, quality, sharding, urlfilter, warc
 
-#: Where the tokenizer file is; a parameter of the deployment.
-TOKENIZER = os.environ.get("TIDELINE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+#: Where the tokenizer file is.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Dated entries of the URL lists that op3 applies (list, kind, key, action, effective).
 URL_ENTRIES = (
@@ -53,7 +52,9 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_archive(spark, warc.write_archive(_table(spark, sf_dir, "pages")))
+    """Every record is rebuilt from header and payload, and the columns are read off the rebuilt record."""
+    path = warc.write_archive(_table(spark, sf_dir, "pages"))
+    return warc.rebuilt(warc.read_archive(spark, path, bodies="records"))
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents carry no URL; a document's source counts as its host."""
     return quality.quality_table(_table(spark, sf_dir, "documents"))
 
 

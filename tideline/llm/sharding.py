@@ -46,29 +46,34 @@ def jump(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(more)), start, step)
 
 
-def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, buckets: int = 64) -> DataFrame:
+#: Repetitions of one row that are numbered in one array.
+RUN = 100_000
+
+
+def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24) -> DataFrame:
     """Put every row into one of `shards` shards by its key alone, and number the rows of a shard from 0.
 
-    Adds to the table's key and text: size (UTF-8 bytes of the text plus 8), text_crc32, law ("key"), shard,
-    slot and grown_shard (the shard if there were one more). Defined cases: a null key counts as key 0, a null
-    text as no bytes (size 8, checksum 0); repeated rows share a shard and get slots of their own; an empty
-    table gives an empty result; other columns of the table are left out. Slots are numbered in `buckets`
-    slices of a shard, so no task orders a whole shard.
+    Columns: the key, size (UTF-8 bytes of the text plus 8), text_crc32, law ("key"), shard, slot and grown_shard (the shard
+    if there were one more). Defined cases: a null key counts as key 0, a null text as no bytes (size 8, checksum 0);
+    repeated rows share a shard and get slots of their own; an empty table gives an empty result; other columns of the table
+    are left out. Rows that are equal in all of these are counted before the shuffle and written out again after it. A
+    shard's different rows are numbered in 256 slices, by a hash of key, size and checksum, so no task orders a whole shard.
     """
     rows = df.select(
-        F.col(key), key64(df, key).alias("_key"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
+        F.col(key).alias("k"), key64(df, key).alias("bits"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"),
-    )
-    rows = rows.withColumn("_to", jump(F.col("_key"), shards)).select(
-        key, "size", "text_crc32", "_key",
-        F.col("_to.shard").cast("int").alias("shard"), F.col("_to.grown").cast("int").alias("grown_shard"),
-        F.pmod(F.col("_key"), F.lit(buckets)).cast("int").alias("_bucket"),
-    )
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy("shard", "_bucket").orderBy("_key", "size", "text_crc32")
-    return (
-        rows.withColumn("_at", F.row_number().over(within)).join(starts, ["shard", "_bucket"])
-        .select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_at") - 1).cast("long").alias("slot"), "grown_shard")
-    )
+    ).withColumn("to", jump(F.col("bits"), shards))
+    rows = rows.select("k", "bits", "size", "text_crc32", F.col("to.shard").cast("int").alias("shard"), F.col("to.grown").cast("int").alias("grown_shard"))
+    each = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    slice_ = F.substring(F.md5(F.concat_ws("|", F.col("bits"), F.col("size"), F.col("text_crc32"))), 1, 2)
+    each = each.withColumn("slice", slice_)
+    before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = each.groupBy("shard", "slice").agg(F.sum("n").alias("of")).select("shard", "slice", F.coalesce(F.sum("of").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("shard", "slice").orderBy("bits", "size", "text_crc32", F.col("k").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("at", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["shard", "slice"]).withColumn("at", F.col("at") + F.col("start"))
+    told = [F.col("k").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard"]
+    few = placed.filter(F.col("n") <= RUN).select(*told, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("slot"), "grown_shard")
+    runs = placed.filter(F.col("n") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN)))).repartition("shard", "bits", "run")
+    first = F.col("at") + F.col("run") * RUN
+    many = runs.select(*told, F.explode(F.sequence(first, F.least(first + RUN, F.col("at") + F.col("n")) - 1)).alias("slot"), "grown_shard")
+    return few.unionByName(many)
