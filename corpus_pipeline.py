@@ -16,28 +16,41 @@ NEAR = neardup.Likeness(words=5, num=80, den=100)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without a recognisable language. Rows are found again by their whole text, which alone decides."""
+    """Reject documents without a recognisable language. Rows are found again by their whole text, which alone decides.
+
+    Null and empty texts, and texts without letters, have no language and go; rows of equal text share a verdict; without any
+    labelled text no language is known and every row goes; an empty table gives an empty result; all columns stay, of any name.
+    """
     filters = language.learn(language.training_rows(docs))
-    keyed = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_key", F.sha2("_text", 256))
-    judged = language.predict(keyed, filters, text="_text", keep=("_key",))
-    bad = stored(judged.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("_key").distinct(), "language-bad")
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.struct("*").alias("row"), text.alias("text"), F.sha2(text, 256).alias("key"))
+    judged = language.predict(keyed, filters, keep=("key",))
+    bad = stored(judged.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select(F.col("key").alias("bad")).distinct(), "language-bad")
+    return keyed.join(bad, F.col("key") == F.col("bad"), "left_anti").select("row.*")
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents that fail the rules on their own figures, or that the lines common to their source deplete.
+
+    Null and empty texts have no words and go; a null source is one source; rows equal in source and text share a verdict; an
+    empty table gives an empty result; all columns stay, of any name.
+    """
     return quality.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies, that with the smallest id; see keep_one for nulls, ties and repeated rows."""
     return neardup.keep_one(docs, NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks; see mix_table for nulls, ties and repeated rows."""
     return mixing.mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_table(docs, TOKENIZER, keep=("doc_id", "lang", "source"))
+    """Token ids of each document with digests of ids and decoded text; a null text counts as empty, and every row gives one."""
+    return bpe.encode_table(docs, TOKENIZER, keep=("doc_id", "lang", "source"), ids=True)
 
 
 STAGES = [
