@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows of a batch that goes to Python; texts are long, so batches are short.
 BATCH_ROWS = 1000
+#: Bytes of ids up to which a list of them goes to every executor, so that whole texts need not be moved to meet it.
+MOST_SENT = 64 << 20
 
 _own_dirs: dict[str, str] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -60,6 +62,12 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sent(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored table of rows of so many bytes, marked for broadcast where all of it is at most MOST_SENT bytes; a larger one
+    is left to a join by shuffle. Its rows are counted first."""
+    return F.broadcast(table) if table.count() * row_bytes <= MOST_SENT else table
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as a long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

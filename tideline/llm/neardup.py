@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import discard, mix, n_words, pieces, prepare, stored
+from tideline.llm.common import discard, mix, pieces, prepare, sent, stored
 from tideline.llm.components import components
 
 #: Members of a group at most, and classes that ask it in one task at most.
@@ -187,7 +187,7 @@ def sketches(docs: DataFrame, like: Likeness) -> DataFrame:
 
 def token_sets(docs: DataFrame, owners: DataFrame, like: Likeness) -> DataFrame:
     """node, tokens (sorted 64-bit hashes) and plans (see cut) of the classes in owners (node, doc_id of one of its documents)."""
-    want = owners.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+    want = sent(owners.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")), 16)
     ids = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text"))
     rows = ids.join(want, F.col("_doc") == F.col("_id")).select("_node", "text")
     plan = pa.list_(pa.struct([("spare", pa.int32()), ("names", pa.list_(pa.int64()))]))
@@ -414,8 +414,10 @@ def keep_one(docs: DataFrame, like: Likeness = Likeness(5, 80, 100)) -> DataFram
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))
     best = linked.join(ids, linked["doc_id"] == ids["key"]).groupBy("component_id").agg(F.min_by(F.struct("key", "n"), order).alias("b"))
     best = stored(best.select(F.col("b.key").alias("kept"), F.col("b.n").alias("n")), "near-kept")
-    once = best.filter("n = 1").select("kept").union(found.filter("n_shingles = 0").select("doc_id")).distinct()
-    several = best.filter("n > 1").select("kept")
-    out = keyed.join(once, F.col("key") == F.col("kept"), "left_semi").select("row")
-    again = keyed.join(several, F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"]).select("row")
+    once = best.filter("n = 1").select("kept")
+    gone = stored(linked.join(once, F.col("doc_id") == F.col("kept"), "left_anti").select(F.col("doc_id").alias("gone")), "near-gone")
+    several = stored(best.filter("n > 1").select("kept"), "near-several")
+    discard(found, best)
+    out = keyed.join(sent(gone, 8), F.col("key") == F.col("gone"), "left_anti").select("row")
+    again = keyed.join(sent(several, 8), F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"]).select("row")
     return out.unionByName(again).select("row.*")
