@@ -44,14 +44,18 @@ def edit_budget(name: Column) -> Column:
     return F.when(n < 4, 0).when(n < 8, 1).otherwise(2)
 
 
-def likeness(typed: Column, name: Column) -> Column:
-    """same, prefix, word_prefix, near_miss or null, for two folded names."""
-    near = F.levenshtein(typed, name, 4)
-    return (
-        F.when(typed == name, "same").when(F.startswith(name, typed), "prefix")
-        .when(F.exists(F.split(name, " "), lambda w: F.startswith(w, typed)), "word_prefix")
-        .when((near >= 0) & (near <= 2 * edit_budget(typed)) & (osa_distance(typed, name) <= edit_budget(typed)), "near_miss")
-    )
+def without_characters(name: Column, most: int) -> Column:
+    """A name and what is left of it without any one (or two, for most=2) of its characters; distinct."""
+    drop = lambda x: F.when(F.char_length(x) > 0, F.transform(F.sequence(F.lit(1), F.char_length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))).otherwise(F.array().cast("array<string>"))
+    out = F.array(name)
+    for _ in range(most):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, drop))))
+    return out
+
+
+def prefixes(word: Column) -> Column:
+    """All prefixes of a word, itself included."""
+    return F.when(F.char_length(word) > 0, F.transform(F.sequence(F.lit(1), F.char_length(word)), lambda i: F.substr(word, F.lit(1), i))).otherwise(F.array().cast("array<string>"))
 
 
 @F.pandas_udf(types.IntegerType())
@@ -85,3 +89,36 @@ def mail_address(link: Column) -> Column:
 
 def rfc3339(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def yaml_scalar(text: Column) -> Column:
+    """A text as a quoted JSON string, which YAML reads as the same text; null stays null as the word null."""
+    return F.coalesce(F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'^\{"t":(.*)\}$', 1), F.lit("null"))
+
+
+def audio_span(millis: Column) -> Column:
+    """A span of audio for people: tenths of seconds under a minute, h:mm:ss from there on."""
+    tenths, s = F.floor(millis / 100), F.floor(millis / 1000)
+    return F.when(millis < 60_000, F.format_string("%d.%01d s", F.floor(tenths / 10), tenths % 10)).otherwise(F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60))
+
+
+def ticks_to_millis(ticks: Column, numer: Column, denom: Column) -> Column:
+    return ticks.cast("double") * numer / denom / 1e6
+
+
+def percent(done: Column, total: Column) -> Column:
+    """Whole percent, 100 at most; 0 of nothing."""
+    whole = F.floor(done.cast("decimal(38,0)") * 100 / F.nullif(total, F.lit(0)))
+    return F.least(F.coalesce(whole, F.lit(0)), F.lit(100)).cast("long")
+
+
+def elapsed(seconds: Column) -> Column:
+    """47s or 4m07s."""
+    s = F.floor(seconds).cast("long")
+    return F.when(s >= 60, F.format_string("%dm%02ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%ds", s))
+
+
+def sample_at(seconds: Column, rate: int, rounded: bool = True) -> Column:
+    """The sample of an instant, by rounding to the nearest one or by cutting off; not before 0."""
+    at = F.greatest(seconds, F.lit(0.0)) * rate
+    return (F.floor(at + 0.5) if rounded else F.floor(at)).cast("long")

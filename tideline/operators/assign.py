@@ -64,6 +64,65 @@ def tentative_names(ranked: DataFrame, awarded: DataFrame, conflicts: DataFrame,
     return parts.groupBy(*keys).applyInPandas(walk, ranked.select(*keys, "id", "name", "similarity").schema)
 
 
+def hand_awards(resolved: DataFrame, forced: DataFrame, conflicts: DataFrame, keys: list[str], order: str, pending: DataFrame | None = None) -> DataFrame:
+    """Names given by hand that stand: keys, id, name. resolved: keys, id, name and order, as vectors.resolved_rows gives them;
+    forced: keys, id, name; pending: keys, id of the cluster whose row an answer would add.
+
+    A cluster's first row counts, a forced name replaces it. A row goes where its cluster conflicts with one that was forced to
+    that name; the pending cluster's row goes also where it conflicts with a cluster before it (by id) that stands under that
+    name. Rows that stand do not contest each other, so joins settle it without a walk.
+    """
+    force = forced.select(*keys, "id", "name").distinct()
+    first = resolved.groupBy(*keys, "id").agg(F.min_by("name", order).alias("name")).join(force.select(*keys, "id"), [*keys, "id"], "left_anti")
+    edges = symmetric(conflicts, keys)
+    against = edges.join(force.withColumnRenamed("id", "b"), [*keys, "b"]).select(*keys, F.col("a").alias("id"), "name").distinct()
+    stands = first.join(against, [*keys, "id", "name"], "left_anti")
+    if pending is not None:
+        asked = stands.join(pending.select(*keys, "id").distinct(), [*keys, "id"])
+        held = edges.join(stands.withColumnRenamed("id", "b"), [*keys, "b"]).filter("b < a").select(*keys, F.col("a").alias("id"), "name").distinct()
+        stands = stands.join(asked.join(held, [*keys, "id", "name"], "left_semi").select(*keys, "id"), [*keys, "id"], "left_anti")
+    return force.unionByName(stands)
+
+
+def derived_labels(clusters: DataFrame, ranked: DataFrame, hand: DataFrame, denied: DataFrame, forced: DataFrame, conflicts: DataFrame, keys: list[str], cut: float, loose: float, floor: float = 5.0) -> DataFrame:
+    """The label of each cluster from the whole of what is known: clusters (keys, id, first_s, speech_s), ranked (keys, id, name,
+    similarity: each name's best), hand (keys, id, name: awarded by hand), denied (keys, id, name). See award_names,
+    tentative_names and labels. Scenarios that differ in what is known are told apart by one more key."""
+    nearest = ranked.groupBy(*keys, "id").agg(F.min(F.struct((-F.col("similarity")).alias("d"), "name")).alias("_b")).select(*keys, "id", F.col("_b.name").alias("name"), (-F.col("_b.d")).alias("similarity"))
+    awarded = award_names(nearest.filter(1 - F.col("similarity") < cut), conflicts, keys)
+    short = ranked.join(clusters.filter(F.col("speech_s") < floor).select(*keys, "id"), [*keys, "id"])
+    guessed = tentative_names(short, awarded, conflicts, keys, loose)
+    return labels(clusters, forced, hand, awarded, guessed, denied, conflicts, keys)
+
+
+def judged_answers(answers: DataFrame, corrected: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """What an answer would do: answers (keys, id, name), the labels (keys, id, label, kind) once wrong references are gone and
+    once the answer is in. Gives keys, id, name, verdict and other: vetoed where the cluster does not take the name (other is
+    the smallest cluster that has it), taken where another named cluster loses its name (the smallest), else applied."""
+    mine = after.select(*keys, "id", F.col("label").alias("_now"))
+    lost = corrected.filter("kind <> 'unknown'").join(after.select(*keys, "id", F.col("label").alias("_now")), [*keys, "id"]).filter("label <> _now").select(*keys, F.col("id").alias("_lost"))
+    a = answers.select(*keys, "id", "name").join(mine, [*keys, "id"], "left")
+    holder = a.join(after.select(*keys, F.col("id").alias("_held"), F.col("label").alias("_label")), keys).filter("_held <> id AND _label = name").groupBy(*keys, "id").agg(F.min("_held").alias("_holder"))
+    loser = a.join(lost, keys).filter("_lost <> id").groupBy(*keys, "id").agg(F.min("_lost").alias("_loser"))
+    out = a.join(holder, [*keys, "id"], "left").join(loser, [*keys, "id"], "left")
+    verdict = F.when(~F.col("_now").eqNullSafe(F.col("name")), "vetoed").when(F.col("_loser").isNotNull(), "taken").otherwise("applied")
+    return out.select(*keys, "id", "name", verdict.alias("verdict"), F.when(verdict == "vetoed", F.col("_holder")).when(verdict == "taken", F.col("_loser")).alias("other"))
+
+
+def without_each(ranked: DataFrame, keys: list[str], loose: float) -> DataFrame:
+    """Rankings as they would be without each single reference: scenario (the reference left out), keys, id, name, similarity.
+
+    ranked: keys, id, name, reference, similarity of every pair. Leaving a reference out changes a name's best similarity only
+    for those clusters that it is the best of, so a session is worked out again only for references that are within `loose`
+    of one of its clusters and the best of their name there; others give no rows, as nothing changes.
+    """
+    order = Window.partitionBy(*keys, "id", "name").orderBy(F.desc("similarity"), "reference")
+    two = ranked.withColumn("_n", F.row_number().over(order)).filter("_n <= 2").groupBy(*keys, "id", "name").agg(F.max(F.when(F.col("_n") == 1, F.col("reference"))).alias("_best"), F.max("similarity").alias("similarity"), F.max(F.when(F.col("_n") == 2, F.col("similarity"))).alias("_second"))
+    touched = two.filter(1 - F.col("similarity") < loose).select(*keys, F.col("_best").alias("scenario")).distinct()
+    out = two.join(touched, keys)
+    return out.select("scenario", *keys, "id", "name", F.when(F.col("_best") == F.col("scenario"), F.col("_second")).otherwise(F.col("similarity")).alias("similarity")).filter("similarity IS NOT NULL")
+
+
 def labels(clusters: DataFrame, forced: DataFrame, assigned: DataFrame, identified: DataFrame, tentative: DataFrame, denied: DataFrame, conflicts: DataFrame, keys: list[str]) -> DataFrame:
     """The label of each cluster (keys, id, first_s) by precedence: forced, assigned by hand, identified, tentative, Unknown N.
 
@@ -123,13 +182,22 @@ def linkage_groups(pool: DataFrame, pairs: DataFrame, conflicts: DataFrame, keys
 
 def reservoir(offers: DataFrame, capacity: int = 10) -> DataFrame:
     """A name's references after its offers in order (name, ord, embedding, clip_s): an equal vector changes nothing; below
-    capacity an offer is added; else it replaces the shortest timed clip if strictly longer. Worked on name by name."""
+    capacity an offer is added; else it replaces the shortest timed clip if strictly longer.
+
+    The outcome depends on the order, so a name's offers are walked one by one; the walk sees a number for each vector, not the
+    vectors, and of offers that follow each other with one vector only the first, as those after it change nothing unless
+    it was refused: a refused one is tried again if longer, so the longest of such a run stays too.
+    """
+    w = Window.partitionBy("name").orderBy("ord")
+    o = offers.withColumn("_v", F.xxhash64("embedding"))
+    o = o.withColumn("_run", F.sum(F.when(F.col("_v").eqNullSafe(F.lag("_v").over(w)), 0).otherwise(1)).over(w))
+    longer = F.max("clip_s").over(Window.partitionBy("name", "_run").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    o = o.withColumn("_m", longer).filter(F.col("_m").isNull() | (F.col("clip_s") > F.col("_m")))
 
     def fold(pdf):
         held = []
         for r in pdf.sort_values("ord").itertuples():
-            v = tuple(r.embedding)
-            if any(v == tuple(h.embedding) for h in held):
+            if any(r.vector == h.vector for h in held):
                 continue
             if len(held) < capacity:
                 held.append(r)
@@ -141,4 +209,4 @@ def reservoir(offers: DataFrame, capacity: int = 10) -> DataFrame:
                     held[held.index(least)] = r
         return pdf.loc[[h.Index for h in held], ["name", "ord", "clip_s"]]
 
-    return offers.groupBy("name").applyInPandas(fold, offers.select("name", "ord", "clip_s").schema)
+    return o.select("name", "ord", "clip_s", F.col("_v").alias("vector")).groupBy("name").applyInPandas(fold, offers.select("name", "ord", "clip_s").schema)

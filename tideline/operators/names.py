@@ -40,15 +40,37 @@ def vocabulary_prompt(terms: DataFrame, keys: list[str], order: str, term: str,
     return out.select(*keys, F.when(F.size("_k") > 0, F.concat(F.lit(lead), F.array_join("_k", ", "), F.lit("."))).alias("prompt"), "dropped")
 
 
+def name_matches(typed: DataFrame, names: DataFrame) -> DataFrame:
+    """Typed texts beside the names that they are like: typed (typed, folded), names (name, folded). Gives typed, name and rank:
+    0 same, 1 prefix, 2 prefix of a word, 3 near miss (as many edits as edit_budget allows); the best kind of each pair.
+
+    All four are equi-joins: prefixes on the prefixes of names and of their words, near misses on what is left of both
+    without the characters that may differ; only pairs that share one of these are measured.
+    """
+    t = typed.select("typed").filter("typed <> ''").distinct()
+    n = names.select("name").filter("name IS NOT NULL").distinct()
+    starts = n.select("name", F.explode(T.prefixes(F.col("name"))).alias("typed")).withColumn("rank", F.when(F.col("typed") == F.col("name"), 0).otherwise(1))
+    words = n.select("name", F.explode(F.split("name", " ")).alias("word")).distinct().select("name", F.explode(T.prefixes(F.col("word"))).alias("typed"), F.lit(2).alias("rank"))
+    exact = t.join(starts.unionByName(words), "typed").groupBy("typed", "name").agg(F.min("rank").alias("rank"))
+    budget = T.edit_budget(F.col("typed"))
+    left = [t.filter(budget == most).select("typed", F.explode(T.without_characters(F.col("typed"), most)).alias("rest")) for most in (1, 2)]
+    near = left[0].unionByName(left[1]).join(n.select("name", F.explode(T.without_characters(F.col("name"), 2)).alias("rest")), "rest").select("typed", "name").distinct()
+    near = near.join(exact, ["typed", "name"], "left_anti").filter(F.levenshtein("typed", "name") <= 2 * budget)
+    near = near.withColumn("edits", T.osa_distance(F.col("typed"), F.col("name"))).filter(F.col("edits") <= budget).select("typed", "name", F.lit(3).alias("rank"))
+    return exact.unionByName(near)
+
+
 def resolve_names(typed: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """What a typed name means: typed (key, typed), names (name). Gives key, result (blank, enrolled, new or candidates), name and candidates.
 
-    enrolled: exactly one name equals it but for case and spaces. Candidates go by likeness, length, then name.
+    enrolled: exactly one name equals it but for case and spaces. Candidates go by likeness, length, then name. A null text
+    is blank; repeated names count once.
     """
     folded = typed.select(key, F.trim("typed").alias("typed"), F.coalesce(T.folded(F.col("typed")), F.lit("")).alias("_f"))
-    pairs = vec.against(folded.filter("_f <> ''"), names.select("name").distinct()).withColumn("_l", T.likeness(F.col("_f"), T.folded(F.col("name")))).filter("_l IS NOT NULL")
-    rank = F.when(F.col("_l") == "same", 0).when(F.col("_l") == "prefix", 1).when(F.col("_l") == "word_prefix", 2).otherwise(3)
-    g = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), F.char_length("name").alias("n"), F.col("name")))).alias("_c"), F.count_if(F.col("_l") == "same").alias("_same"), F.min(F.when(F.col("_l") == "same", F.col("name"))).alias("_one"))
+    known = names.select("name", T.folded(F.col("name")).alias("_n")).distinct()
+    found = name_matches(folded.select(F.col("_f").alias("typed")), known.select(F.col("_n").alias("name")))
+    pairs = folded.select(key, "_f").join(found.select(F.col("typed").alias("_f"), F.col("name").alias("_n"), "rank"), "_f").join(known, "_n")
+    g = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"), F.char_length("name").alias("n"), F.col("name")))).alias("_c"), F.count_if(F.col("rank") == 0).alias("_same"), F.min(F.when(F.col("rank") == 0, F.col("name"))).alias("_one"))
     result = F.when(F.col("_f") == "", "blank").when(F.col("_same") == 1, "enrolled").when(F.col("_c").isNull(), "new").otherwise("candidates")
     out = folded.join(g, key, "left").withColumn("result", result)
     return out.select(key, "result", F.when(F.col("result") == "enrolled", F.col("_one")).when(F.col("result") == "new", F.col("typed")).alias("name"), F.when(F.col("result") == "candidates", F.transform("_c", lambda c: c["name"])).alias("candidates"))
@@ -73,6 +95,23 @@ def forget_vectors(references: DataFrame, forgotten: DataFrame) -> DataFrame:
     return kept.withColumn("remaining", F.count("*").over(Window.partitionBy("name")))
 
 
+def without_person(references: DataFrame, names: DataFrame) -> DataFrame:
+    """References without all those of some names."""
+    return references.join(names.select("name").distinct(), "name", "left_anti")
+
+
+def without_reference(references: DataFrame, removed: DataFrame, order: str) -> DataFrame:
+    """References without some of a name's, given by their number among that name's in order: removed (name, handle from 1)."""
+    n = references.withColumn("handle", F.row_number().over(Window.partitionBy("name").orderBy(order)))
+    return n.join(removed.select("name", "handle").distinct(), ["name", "handle"], "left_anti").drop("handle")
+
+
+def names_by_appearance(rows: DataFrame, order: str) -> DataFrame:
+    """Different names in the order in which they appear first: name, place."""
+    first = rows.filter("name IS NOT NULL").groupBy("name").agg(F.min(order).alias("first"))
+    return first.orderBy("first", "name")
+
+
 def group_members(asked: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """The clusters that asked labels (keys, label) mean, by first appearance: labels (keys, id, label, first_s). members is null where any label is unknown."""
     a = asked.select(*keys, "label").distinct().join(labels, [*keys, "label"], "left")

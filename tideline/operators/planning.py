@@ -24,20 +24,25 @@ def merge_tracks(mic: DataFrame, speaker: DataFrame, keys: list[str], order: str
     return both.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("start_s", "track", order)))
 
 
-def map_back(pieces: DataFrame, positions: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+def map_back(pieces: DataFrame, positions: DataFrame, keys: list[str], pos: str = "pos", end: str | None = None, least: float = 0.01) -> DataFrame:
     """Where a position of a spliced timeline lies in the original one: original_s.
 
     The first piece whose end lies after the position holds it; a position in a gap becomes that piece's start, one after
-    all pieces the end of the last. pieces: keys, start_s, piece_end_s, spliced_s. Each position meets one piece only.
+    all pieces the end of the last. pieces: keys, piece_start_s, piece_end_s, spliced_s. Each position meets one piece only.
+    Where `end` names the end of a stretch that begins at the position, original_end_s is its end in the piece that holds the
+    position, and `least` after original_s at the earliest.
     """
     w = Window.partitionBy(*keys).orderBy("_at")
-    end = F.col("spliced_s") + F.col("piece_end_s") - F.col("start_s")
-    p = pieces.select(*keys, F.col("start_s").alias("_s"), F.col("piece_end_s").alias("_e"), F.col("spliced_s").alias("_at"), end.alias("_to"))
+    to = F.col("spliced_s") + F.col("piece_end_s") - F.col("piece_start_s")
+    p = pieces.select(*keys, F.col("piece_start_s").alias("_s"), F.col("piece_end_s").alias("_e"), F.col("spliced_s").alias("_at"), to.alias("_to"))
     p = p.withColumn("_from", F.coalesce(F.lag("_to").over(w), F.lit(float("-inf")))).withColumn("_last", F.lead("_to").over(w).isNull())
     other = p.select(*[F.col(k).alias(f"_{k}") for k in keys], "_s", "_e", "_at", "_to", "_from", "_last")
     held = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(pos) >= F.col("_from"), (F.col(pos) < F.col("_to")) | F.col("_last")]
-    inside = F.col("_s") + F.greatest(F.col(pos) - F.col("_at"), F.lit(0.0))
-    return positions.join(other, held).select(*positions.columns, F.least(inside, F.col("_e")).alias("original_s"))
+    start = F.least(F.col("_s") + F.greatest(F.col(pos) - F.col("_at"), F.lit(0.0)), F.col("_e"))
+    out = positions.join(other, held).select(*positions.columns, start.alias("original_s"), "_s", "_e", "_at")
+    if end:
+        out = out.withColumn("original_end_s", F.greatest(F.least(F.col("_s") + F.col(end) - F.col("_at"), F.col("_e")), F.col("original_s") + least))
+    return out.drop("_s", "_e", "_at")
 
 
 def window_plan(tracks: DataFrame, size: str, window: int, stride: int) -> DataFrame:
@@ -94,13 +99,13 @@ def steady_lags(lags: DataFrame, keys: list[str], at: str, lag: str, tolerance:
     A robust line goes through the windows; those further from it than four times the median deviation (`tolerance` at least)
     go. result: measured (lag at the middle of the time left), too_few_windows or inconsistent_windows (over `spread` apart).
     """
-    w = Window.partitionBy(*keys)
-    middle = lambda c: stats.upper_median(F.collect_list(c).over(w))
+    middle = lambda df, c, name: df.join(stats.upper_medians(df, keys, c).withColumnRenamed("upper", name), keys)
     fit = stats.repeated_median(lags, keys, at, lag)
-    p = lags.join(fit, keys).withColumn("_r", F.col(lag) - F.round(F.col("intercept") + F.col("slope") * F.col(at)))
-    p = p.withColumn("_d", F.abs(F.col("_r") - middle("_r"))).withColumn("_n", F.count("*").over(w))
+    counted = lags.groupBy(*keys).agg(F.count("*").alias("_n"))
+    p = lags.join(fit, keys).join(counted, keys).withColumn("_r", F.col(lag) - F.round(F.col("intercept") + F.col("slope") * F.col(at)))
+    p = middle(middle(p, "_r", "_c").withColumn("_d", F.abs(F.col("_r") - F.col("_c"))), "_d", "_m")
     kept = (F.col("_d") <= F.greatest(4 * F.col("_m"), F.lit(tolerance))) & (F.col("_n") >= least)
-    p = p.withColumn("_m", middle("_d")).withColumn("_k", F.coalesce(kept, F.lit(False)))
+    p = lags.select(*keys).distinct().join(p.withColumn("_k", F.coalesce(kept, F.lit(False))), keys, "left").withColumn("_k", F.coalesce("_k", F.lit(False)))
     some = lambda c: F.when(F.col("_k"), c)
     g = p.groupBy(*keys).agg(
         F.count_if("_k").alias("windows"), (F.max(some(F.col("_r"))) - F.min(some(F.col("_r")))).cast("long").alias("spread"), F.first("slope").alias("slope"),
@@ -127,10 +132,11 @@ def timing_profile(buffers: DataFrame, keys: list[str], at: str, order: str, fra
     w = Window.partitionBy(*keys).orderBy(at, order)
     before = F.coalesce(F.sum(frames).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     b = buffers.withColumn("_gap", F.col(at) - F.lag(at).over(w)).withColumn("_n", F.row_number().over(w)).withColumn("_drift", F.col(at) - F.min(at).over(Window.partitionBy(*keys)) - before * period)
+    middle = stats.upper_medians(b, keys, "_gap").withColumnRenamed("upper", "median_gap")
     return b.groupBy(*keys).agg(
-        F.max(F.when(F.col("_n") == 2, F.col("_gap"))).alias("first_gap"), stats.upper_median(F.collect_list("_gap")).alias("median_gap"), F.min("_gap").alias("least_gap"),
+        F.max(F.when(F.col("_n") == 2, F.col("_gap"))).alias("first_gap"), F.min("_gap").alias("least_gap"),
         F.max("_gap").alias("most_gap"), F.max(F.abs("_drift")).alias("most_drift"), F.count("*").alias("n"),
-    )
+    ).join(middle, keys, "left")
 
 
 def batch_selection(sessions: DataFrame, requested: DataFrame | None, again: bool = False) -> DataFrame:

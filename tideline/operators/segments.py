@@ -68,14 +68,32 @@ def blocks(rows: DataFrame, keys: list[str], order: str, label: str, start: str,
     )
 
 
+def plain(text: str) -> Column:
+    """A text in lower case with nothing but its letters and digits, of any script, and single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", ""), r"\s+", " "))
+
+
 def loops(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
-    """Runs of equal texts that a decoder repeats: three or more of three words or more, or five or more of any. Adds nothing else."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", ""), " +", " "))
-    numbered = runs(rows.withColumn("_p", plain), keys, order, F.col("_p"))
+    """Runs of equal texts that a decoder repeats: three or more of three words or more, or five or more of any that has one.
+
+    Case, punctuation and spacing do not count; texts without letters and digits are all equal and repeat like any other.
+    """
+    numbered = runs(rows.withColumn("_p", plain(text)), keys, order, F.col("_p"))
     found = numbered.groupBy(*keys, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"), F.min("_p").alias("plain"))
     return found.filter(((F.col("n") >= 3) & (F.size(F.split("plain", " ")) >= 3)) | (F.col("n") >= 5)).drop("run")
 
 
+def collapsed_loops(rows: DataFrame, keys: list[str], order: str, start: str, end: str, text: str) -> DataFrame:
+    """Rows with each loop (see loops) replaced by one: the first text, from its first start to its last end; n counts them."""
+    numbered = runs(rows.withColumn("_p", plain(text)), keys, order, F.col("_p"))
+    size = F.count("*").over(Window.partitionBy(*keys, "run"))
+    looped = ((size >= 3) & (F.size(F.split("_p", " ")) >= 3)) | (size >= 5)
+    numbered = numbered.withColumn("_of", F.when(looped, F.lit(None)).otherwise(F.col(order)))
+    return numbered.groupBy(*keys, "run", "_of").agg(
+        F.min(order).alias(order), F.min_by(text, order).alias(text), F.min_by(start, order).alias(start), F.max_by(end, order).alias(end), F.count("*").alias("n")
+    ).drop("run", "_of")
+
+
 def edges(rows: DataFrame, keys: list[str], order: str, active: Column) -> DataFrame:
     """Transitions of a boolean: edge is started or stopped; rows without one go."""
     was = F.coalesce(F.lag(active).over(_over(keys, order)), F.lit(False))
@@ -90,14 +108,21 @@ def grace_sessions(rows: DataFrame, keys: list[str], start: str, end: str, grace
     return numbered.groupBy(*keys, "session").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n"))
 
 
-def splice(regions_: DataFrame, keys: list[str], extend: float, gap: float) -> DataFrame:
-    """A compact timeline of regions (start_s, end_s): each but the last lengthened by `extend` up to the next start, then
-    put after each other with a gap. Adds piece_end_s and spliced_s."""
-    w = Window.partitionBy(*keys).orderBy("start_s")
+def splice(regions_: DataFrame, keys: list[str], extend: float, gap: float, size: str | None = None) -> DataFrame:
+    """A compact timeline of regions (start_s, end_s): each but the last lengthened by `extend` up to the next start, and put
+    after each other with a gap. A piece starts where the one before it ends at the earliest, and ends with the track where
+    `size` names a column with its length; pieces without length go. Adds piece_start_s, piece_end_s and spliced_s.
+
+    Ends before a region are at most its start once lengthened, so the latest end of the regions before it bounds its start
+    whether or not those before were kept whole.
+    """
+    w = Window.partitionBy(*keys).orderBy("start_s", "end_s")
     nxt = F.lead("start_s").over(w)
-    pieces = regions_.withColumn("piece_end_s", F.when(nxt.isNull(), F.col("end_s")).otherwise(F.least(F.col("end_s") + extend, F.greatest(nxt, F.col("end_s"))))).filter("piece_end_s > start_s")
+    end = F.when(nxt.isNull(), F.col("end_s")).otherwise(F.least(F.col("end_s") + extend, nxt))
+    pieces = regions_.withColumn("piece_end_s", F.least(end, F.col(size)) if size else end)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.withColumn("spliced_s", F.coalesce(F.sum(F.col("piece_end_s") - F.col("start_s") + gap).over(before), F.lit(0.0)))
+    pieces = pieces.withColumn("piece_start_s", F.greatest(F.col("start_s"), F.coalesce(F.max("piece_end_s").over(before), F.col("start_s")))).filter("piece_end_s > piece_start_s")
+    return pieces.withColumn("spliced_s", F.coalesce(F.sum(F.col("piece_end_s") - F.col("piece_start_s") + gap).over(before), F.lit(0.0)))
 
 
 def levels(rows: DataFrame, keys: list[str], order: str, value: str, audible: float, bridge: int) -> DataFrame:

@@ -20,16 +20,21 @@ def error_rates(trials: DataFrame, cut: float, same: str = "same", distance: str
     ).withColumn("accept_rate", F.try_divide("false_accepts", "n_different")).withColumn("reject_rate", F.try_divide("false_rejects", "n_same"))
 
 
-def equal_error(trials: DataFrame, same: str = "same", distance: str = "distance") -> DataFrame:
+def equal_error(trials: DataFrame, same: str = "same", distance: str = "distance", width: float = 0.001) -> DataFrame:
     """The cut among the distances at which the two error rates differ least (ties: smaller mean rate, smaller cut).
 
-    Rates are running sums over one row for each distance; distances are range-partitioned sums first, so no window holds trials.
+    Trials become one row for each distance, distances stretches of `width`. Running sums go over the stretches, whose number
+    the range of distances bounds, and within each stretch over its own distances.
     """
     by = trials.groupBy(F.col(distance).alias("cut")).agg(F.count_if(F.col(same)).alias("s"), F.count_if(~F.col(same)).alias("x"))
-    total = trials.agg(F.count_if(F.col(same)).alias("ns"), F.count_if(~F.col(same)).alias("nx"))
-    below = Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    rates = by.withColumn("_s", F.coalesce(F.sum("s").over(below), F.lit(0))).withColumn("_x", F.coalesce(F.sum("x").over(below), F.lit(0))).crossJoin(total)
-    rates = rates.withColumn("accept", F.try_divide("_x", "nx")).withColumn("reject", F.try_divide(F.col("ns") - F.col("_s"), F.col("ns")))
+    by = by.withColumn("_w", F.floor(F.col("cut") / width))
+    before = Window.orderBy("_w").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = by.groupBy("_w").agg(F.sum("s").alias("ws"), F.sum("x").alias("wx"))
+    sums = sums.select("_w", F.coalesce(F.sum("ws").over(before), F.lit(0)).alias("bs"), F.coalesce(F.sum("wx").over(before), F.lit(0)).alias("bx"), F.sum("ws").over(every).alias("ns"), F.sum("wx").over(every).alias("nx"))
+    below = Window.partitionBy("_w").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    rates = by.withColumn("_s", F.coalesce(F.sum("s").over(below), F.lit(0))).withColumn("_x", F.coalesce(F.sum("x").over(below), F.lit(0))).join(sums, "_w")
+    rates = rates.withColumn("accept", F.try_divide(F.col("_x") + F.col("bx"), F.col("nx"))).withColumn("reject", F.try_divide(F.col("ns") - F.col("_s") - F.col("bs"), F.col("ns")))
     best = rates.agg(F.min(F.struct(F.abs(F.col("accept") - F.col("reject")).alias("gap"), ((F.col("accept") + F.col("reject")) / 2).alias("rate"), F.col("cut"))).alias("b"))
     return best.select(F.col("b.cut").alias("cut"), F.col("b.rate").alias("rate"))
 
@@ -41,17 +46,27 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.when(ok, F.when(k == 0, 0.0).otherwise((mid - half) / scale)), F.when(ok, F.when(k == n, 1.0).otherwise((mid + half) / scale))
 
 
-def upper_median(values: Column) -> Column:
-    """The upper of the two middle values of an array."""
-    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+def upper_medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The upper of the two middle values of each key's values that aren't null: keys, upper. Equal values are one row with
+    their count, and running sums over these find the middle, so no group is held in one row."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("upper")).agg(F.count("*").alias("_n"))
+    up_to = F.sum("_n").over(Window.partitionBy(*keys).orderBy("upper"))
+    all_ = F.sum("_n").over(Window.partitionBy(*keys))
+    middle = counted.withColumn("_to", up_to).withColumn("_half", F.floor(all_ / 2)).filter("_to > _half AND _to - _n <= _half")
+    return middle.select(*keys, "upper")
 
 
 def repeated_median(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """slope and intercept by upper medians: of each point's slopes to the others, then of those. Few points a key (windows of a track)."""
-    p = points.groupBy(*keys).agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("_p"))
-    slopes = F.transform("_p", lambda a: upper_median(F.transform(F.filter("_p", lambda b: b.x != a.x), lambda b: (b.y - a.y) / (b.x - a.x))))
-    p = p.withColumn("slope", upper_median(F.filter(slopes, lambda s: s.isNotNull())))
-    return p.withColumn("intercept", upper_median(F.transform("_p", lambda a: a.y - F.col("slope") * a.x))).drop("_p")
+    """slope and intercept by upper medians: of each point's slopes to the others, then of those. A key's points are the
+    windows of a track; their pairs are rows of a self-join, and points of one x have no slope to each other. A key whose
+    points all share an x has no row."""
+    p = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("_c"))
+    other = p.select(*keys, F.col("_x").alias("_u"), F.col("_y").alias("_v"), F.col("_c").alias("_k"))
+    slopes = p.join(other, keys).filter("_x <> _u").withColumn("s", (F.col("_v") - F.col("_y")) / (F.col("_u") - F.col("_x"))).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))))
+    each = upper_medians(slopes, [*keys, "_x", "_y", "_c"], "s").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))))
+    slope = upper_medians(each, keys, "upper").withColumnRenamed("upper", "slope")
+    level = p.join(slope, keys).withColumn("_z", F.col("_y") - F.col("slope") * F.col("_x")).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))))
+    return slope.join(upper_medians(level, keys, "_z").withColumnRenamed("upper", "intercept"), keys)
 
 
 def gated_loudness(steps: DataFrame, keys: list[str], order: str, energy: str, absolute: float = -70.0, relative: float = 10.0) -> DataFrame:

@@ -2,20 +2,22 @@
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.functions.vectors import comparable_cosine, cosine_distance, normalised
 
-#: References up to which every probe meets all of them in one broadcast; more are dealt into blocks of this size.
-MOST_BROADCAST = 10_000
+#: Bytes of references up to which every probe meets all of them in one broadcast; more are dealt into blocks of this size.
+MOST_BROADCAST = 32 << 20
 
 
 def against(probes: DataFrame, references: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """Every probe beside every reference. A small reference table is broadcast after its size was checked; a larger one is
-    cut into blocks, and probes are sent to each block by an equi-join."""
-    n = references.limit(most + 1).count()
-    if n <= most:
+    """Every probe beside every reference. References of at most `most` bytes, as their texts and arrays were measured, are
+    broadcast; larger ones are cut into blocks of that size, and probes are sent to each block by an equi-join."""
+    sized = [F.coalesce(F.size(f.name) * 8 if isinstance(f.dataType, T.ArrayType) else F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in references.schema.fields if not isinstance(f.dataType, T.StructType)]
+    total = references.agg(F.sum(sum(sized, F.lit(16)))).first()[0] or 0
+    if total <= most:
         return probes.crossJoin(F.broadcast(references))
-    blocks = -(-references.count() // most)
+    blocks = -(-total // most)
     right = references.withColumn("_block", F.pmod(F.xxhash64(*references.columns), F.lit(blocks)))
     return probes.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(right, "_block").drop("_block")
 
@@ -40,20 +42,87 @@ def nearest_name(probes: DataFrame, references: DataFrame, cut: float, probe: st
     return best.select(probe, F.col("_b.name").alias("name"), (-F.col("_b.d")).alias("similarity")).filter(1 - F.col("similarity") < cut)
 
 
-def unique_vector_matches(clusters: DataFrame, labels: DataFrame, cluster: str, label: str, vector: str = "embedding") -> DataFrame:
-    """Labels whose vector equals that of exactly one cluster: label, cluster."""
-    right = clusters.select(F.col(cluster), F.col(vector).alias("_v"))
-    found = labels.join(right, labels[vector] == right["_v"]).groupBy(label).agg(F.count("*").alias("_n"), F.min(cluster).alias(cluster))
-    return found.filter("_n = 1").drop("_n")
+def unique_vector_matches(clusters: DataFrame, labels: DataFrame, cluster: str, label: str, vector: str = "embedding", keys: list[str] | None = None) -> DataFrame:
+    """Labels whose vector equals that of exactly one cluster, within keys: keys, label, cluster. A null vector equals none."""
+    keys = keys or []
+    right = clusters.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(cluster).alias("_cluster"), F.col(vector).alias("_v"))
+    found = labels.join(right, [F.col(k) == F.col(f"_{k}") for k in keys] + [labels[vector] == right["_v"]])
+    return found.groupBy(*keys, label).agg(F.count("*").alias("_n"), F.min("_cluster").alias(cluster)).filter("_n = 1").drop("_n")
 
 
-def directed_pairs(clusters: DataFrame, conflicts: DataFrame, short: Column, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """Short clusters beside every other cluster of the table: key, other, distance, conflict."""
-    left = clusters.filter(short).select(F.col(key), F.col(vector).alias("_l"))
-    right = clusters.select(F.col(key).alias("other"), F.col(vector).alias("_r"))
-    both = conflicts.select("a", "b").union(conflicts.select("b", "a")).distinct().withColumn("_c", F.lit(True)).toDF("_a", "_b", "_c")
-    pairs = against(left, right).filter(F.col(key) != F.col("other")).select(key, "other", cosine_distance(F.col("_l"), F.col("_r")).alias("distance"))
-    return pairs.join(both, (pairs[key] == both["_a"]) & (pairs["other"] == both["_b"]), "left").select(key, "other", "distance", F.coalesce("_c", F.lit(False)).alias("conflict"))
+def resolved_rows(clusters: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Stored rows (keys, order, name, embedding) as rows of the one cluster (keys, id) whose vector they hold: keys, order, id, name.
+    Rows that match no cluster of their session, or several, go."""
+    one = unique_vector_matches(clusters, rows, "id", order, keys=keys)
+    return rows.select(*keys, order, "name").join(one, [*keys, order])
+
+
+def denials(clusters: DataFrame, denied: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Names that were refused for a cluster, from stored rows (keys, order, name, embedding): distinct keys, id, name."""
+    return resolved_rows(clusters, denied, keys, order).select(*keys, "id", "name").distinct()
+
+
+def _conflicts(conflicts: DataFrame, keys: list[str]) -> DataFrame:
+    one = conflicts.select(*[F.col(k).alias(f"_c{k}") for k in keys], F.col("a").alias("_a"), F.col("b").alias("_b"))
+    return one.union(one.select(*[f"_c{k}" for k in keys], "_b", "_a")).distinct().withColumn("_c", F.lit(True))
+
+
+def _pairs(left: DataFrame, right: DataFrame, keys: list[str], key: str, other: str, apart) -> DataFrame:  # noqa: ANN001
+    """Pairs of one session whose vectors can be compared, with their distance."""
+    there = right.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(key).alias(other), F.col("embedding").alias("_r"))
+    met = left.select(*keys, key, F.col("embedding").alias("_l")).join(there, [F.col(k) == F.col(f"_{k}") for k in keys] + [apart])
+    return met.select(*keys, key, other, (1 - comparable_cosine(F.col("_l"), F.col("_r"))).alias("distance")).filter("distance IS NOT NULL")
+
+
+def directed_pairs(clusters: DataFrame, conflicts: DataFrame, short: Column, keys: list[str], key: str = "id") -> DataFrame:
+    """Short clusters beside every other cluster of their session: keys, key, other, distance, conflict. Vectors of other
+    lengths, and empty ones, are not compared. A session's clusters are few, so its pairs are too."""
+    pairs = _pairs(clusters.filter(short), clusters, keys, key, "other", F.col(key) != F.col("other"))
+    both = _conflicts(conflicts, keys)
+    same = [F.col(k) == F.col(f"_c{k}") for k in keys] + [F.col(key) == F.col("_a"), F.col("other") == F.col("_b")]
+    return pairs.join(both, same, "left").select(*keys, key, "other", "distance", F.coalesce("_c", F.lit(False)).alias("conflict"))
+
+
+def labelled_pairs(clusters: DataFrame, conflicts: DataFrame, named: DataFrame, short: Column, keys: list[str]) -> DataFrame:
+    """Pairs id < other of a session's short clusters with a label: overlapped where they conflict, else same or different where
+    both have a name given by hand (keys, id, name; one a cluster), else unlabelled. Gives keys, id, other, distance, label."""
+    some = clusters.filter(short)
+    pairs = _pairs(some, some, keys, "id", "other", F.col("id") < F.col("other"))
+    both = _conflicts(conflicts, keys)
+    pairs = pairs.join(both, [F.col(k) == F.col(f"_c{k}") for k in keys] + [F.col("id") == F.col("_a"), F.col("other") == F.col("_b")], "left")
+    pairs = pairs.select(*keys, "id", "other", "distance", F.col("_c").alias("conflict"))
+    pairs = pairs.join(named.select(*keys, "id", F.col("name").alias("_mine")), [*keys, "id"], "left")
+    pairs = pairs.join(named.select(*keys, F.col("id").alias("other"), F.col("name").alias("_theirs")), [*keys, "other"], "left")
+    label = F.when(F.col("conflict"), "overlapped").when(F.col("_mine") == F.col("_theirs"), "same").when(F.col("_mine").isNotNull() & F.col("_theirs").isNotNull(), "different").otherwise("unlabelled")
+    return pairs.select(*keys, "id", "other", "distance", label.alias("label"))
+
+
+def trials_of(pairs: DataFrame) -> DataFrame:
+    """Labelled pairs as trials: same is true for one person, false for different and for overlapping voices; unlabelled pairs go."""
+    return pairs.filter("label <> 'unlabelled'").withColumn("same", F.col("label") == "same").drop("label")
+
+
+def trial_pairs(voices: DataFrame, keys: list[str], session: str, order: str, speaker: str, vector: str = "embedding") -> DataFrame:
+    """Every pair of recordings within keys, later beside earlier: order, other, same (one speaker), excluded (one session) and
+    distance. Pairs of one session count as excluded and have no distance; the work is the pairs of each key."""
+    other = voices.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(session).alias("_session"), F.col(order).alias("other"), F.col(speaker).alias("_speaker"), F.col(vector).alias("_vector"))
+    met = voices.join(other, [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(order) > F.col("other")])
+    excluded = F.col(session) == F.col("_session")
+    return met.select(*keys, order, "other", (F.col(speaker) == F.col("_speaker")).alias("same"), excluded.alias("excluded"), F.when(~excluded, cosine_distance(F.col(vector), F.col("_vector"))).alias("distance"))
+
+
+def merged_rankings(ranked: DataFrame, group: list[str], name: str = "name", similarity: str = "similarity") -> DataFrame:
+    """Rankings of a group's members as one: each name at its greatest similarity, with its rank (ties: smaller name)."""
+    best = ranked.groupBy(*group, name).agg(F.max(similarity).alias(similarity))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(similarity), name)))
+
+
+def bundles(members: DataFrame, ranked: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """Groups of two members or more: keys, group, labels in order of place, speech_s, and the name that a member resembles most
+    (null without references). members: keys, group, id, place, label, speech_s; ranked: keys, id, name, similarity."""
+    g = members.groupBy(*keys, group).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda s: s["label"]).alias("labels"), F.sum("speech_s").alias("speech_s"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    best = merged_rankings(ranked.join(members.select(*keys, group, "id"), [*keys, "id"]), [*keys, group]).filter("rank = 1")
+    return g.join(best.select(*keys, group, F.col("name").alias("best"), "similarity"), [*keys, group], "left")
 
 
 def group_means(rows: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:

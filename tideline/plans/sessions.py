@@ -220,13 +220,12 @@ def relabelled_turns(spark, sf_dir):
     return names.relabelled(t, l, ["conv_id"]).select("conv_id", "turn", "speaker", "changed")
 
 
-_GRID = f"(SELECT user_id % 40 // 4 AS session, user_id % 4 AS slot, row_number() OVER (PARTITION BY user_id % 40 ORDER BY user_id, i) - 1 AS frame, ((user_id * 31 + i * 17) % 101) / 100 AS p FROM {_FR})"
+_GRID = f"(SELECT user_id // 4 AS session, user_id % 4 AS slot, i AS frame, ((user_id * 31 + i * 17) % 101) / 100 AS p FROM {_FR})"
 
 
 @query(f"WITH g AS {_GRID}, l AS (SELECT *, ln(greatest(1 - p, 1e-6)) AS q FROM g), a AS (SELECT *, CASE WHEN p > 0.5 THEN round(ln(greatest(p, 1e-6)) - q + sum(q) OVER (PARTITION BY session, frame) - ln(0.5), 9) END AS r FROM l), b AS (SELECT *, CASE WHEN r > 0 OR count(*) FILTER (r > 0) OVER (PARTITION BY session, slot) < 3 THEN r END AS s FROM a), c AS (SELECT *, round(s + CASE WHEN frame >= 24 THEN 0.05 ELSE 0 END, 9) AS s2 FROM b), d AS (SELECT *, round(s2 + CASE WHEN row_number() OVER (PARTITION BY session, slot ORDER BY s2 DESC NULLS LAST, frame) <= 4 THEN 2 * 0.6931471805599453 ELSE 0 END, 9) AS s3 FROM c), e AS (SELECT *, round(s3 + CASE WHEN row_number() OVER (PARTITION BY session, slot ORDER BY s3 DESC NULLS LAST, frame) <= 8 THEN 0.6931471805599453 ELSE 0 END, 9) AS s4 FROM d), f AS (SELECT session, slot, frame, s4 FROM e UNION ALL SELECT session, slot, NULL, 'inf'::DOUBLE FROM (SELECT DISTINCT session, slot FROM g), range(2)), h AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY s4 DESC NULLS LAST, slot, frame NULLS LAST) AS n FROM f) SELECT session, row_number() OVER (PARTITION BY session ORDER BY s4 IS NULL, slot, frame NULLS LAST, n) - 1 AS position, CASE WHEN s4 < 'inf'::DOUBLE THEN slot END AS slot, CASE WHEN s4 < 'inf'::DOUBLE THEN frame END AS frame FROM h WHERE n <= 24")
 def compressed_cache(spark, sf_dir):
-    w = Window.partitionBy(F.col("user_id") % 40).orderBy("user_id", "i")
-    g = _frames(spark, sf_dir).select(F.floor(F.col("user_id") % 40 / 4).alias("session"), (F.col("user_id") % 4).alias("slot"), (F.row_number().over(w) - 1).cast("long").alias("frame"), ((F.col("user_id") * 31 + F.col("i") * 17) % 101 / 100).alias("p"))
+    g = _frames(spark, sf_dir).select(F.floor(F.col("user_id") / 4).alias("session"), (F.col("user_id") % 4).alias("slot"), F.col("i").alias("frame"), ((F.col("user_id") * 31 + F.col("i") * 17) % 101 / 100).alias("p"))
     return cache.compress(g, ["session"], "frame", "slot", "p", 24, 3, 4, 8, 0.05, 2)
 
 
@@ -235,11 +234,14 @@ def markdown_transcripts(spark, sf_dir):
     return reports.markdown(_turns(Tables(spark, sf_dir)), ["conv_id"], "turn")
 
 
-@query()
+_CUE = "printf('%02d:%02d:%02d.%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
+
+
+@query(f"WITH t AS (SELECT *, round(start_s * 1000)::BIGINT AS ms, greatest(round(end_s * 1000), round(start_s * 1000) + 1)::BIGINT AS me, regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[\\r\\n]+', ' ', 'g') AS said FROM {_TURNS}) SELECT conv_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({_CUE.format('ms')} || ' --> ' || {_CUE.format('me')} || chr(10) || '<v ' || speaker || '>' || said, chr(10) || chr(10) ORDER BY turn) || chr(10) AS vtt FROM t GROUP BY conv_id")
 def vtt_transcripts(spark, sf_dir):
     return reports.web_vtt(_turns(Tables(spark, sf_dir)), ["conv_id"], "turn")
 
 
-@query()
+@query(f"SELECT conv_id, to_json({{'version': 1, 'conv_id': conv_id, 'rows': list({{'turn': turn, 'speaker': speaker, 'start_s': start_s, 'end_s': end_s, 'text': text}} ORDER BY turn)}})::VARCHAR AS report FROM {_TURNS} GROUP BY conv_id")
 def json_reports(spark, sf_dir):
     return reports.json_report(_turns(Tables(spark, sf_dir)), ["conv_id"], "turn", 1, "turn", "speaker", "start_s", "end_s", "text")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import tomllib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +16,14 @@ def is_session_id(c: Column) -> Column:
     return F.coalesce(c.rlike(SESSION_ID), F.lit(False))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: StructType, version: tuple[int, int] | None = None) -> DataFrame:
     """A JSON document of a fixed schema; empty where the file is missing. Reading fails on a version outside the range."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     if version:
@@ -30,29 +34,58 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType, version: t
 
 
 def sessions(spark: SparkSession, root: str) -> DataFrame:
-    """Valid session folders under root in order, by what they hold: transcribed, valid or orphaned."""
+    """Valid session folders under root in order, by what they hold: transcribed, valid or orphaned; none where root is missing.
+
+    Folders are listed by name, so empty ones count; what they hold is read off the paths of a scan that opens no file.
+    """
+    if not _exists(spark, root):
+        return spark.createDataFrame([], "session string, state string")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    listed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    folders = spark.createDataFrame([(s.getPath().getName(),) for s in listed if s.isDirectory()], "session string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", "([^/]+)/([^/]+)$", 1).alias("session"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"))
-    has = lambda name: F.bool_or(F.col("file") == name)
+    has = lambda name: F.bool_or(F.coalesce(F.col("file") == name, F.lit(False)))
     state = F.when(has("transcript.json"), "transcribed").when(has("session.json"), "valid").otherwise("orphaned")
-    return files.filter(is_session_id(F.col("session"))).groupBy("session").agg(state.alias("state")).orderBy("session")
+    return folders.filter(is_session_id(F.col("session"))).join(files, "session", "left").groupBy("session").agg(state.alias("state")).orderBy("session")
+
+
+def sessions_report(found: DataFrame) -> DataFrame:
+    """How many sessions are in each state, with their names in order."""
+    return found.groupBy("state").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("session")).alias("sessions"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated speaker, session, wav; blank lines and lines that begin with # go. One row for each pair, its files in order."""
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    """Tab-separated speaker, session, wav; blank lines and lines that begin with # go. One row for each pair, its files in the
+    order of their lines, which the parsed position in the file gives however the file is split."""
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "value"))
+    lines = text.filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
     parts = F.split("value", "\t")
-    rows = lines.select(F.when(F.size(parts) == 3, parts).otherwise(F.raise_error(F.concat(F.lit("not three fields: "), "value"))).alias("p"), "ord")
+    rows = lines.select(F.when(F.size(parts) == 3, parts).otherwise(F.raise_error(F.concat(F.lit("not three fields in line "), F.col("ord") + 1))).alias("p"), "ord")
     return rows.select(F.col("p")[0].alias("speaker"), F.col("p")[1].alias("session"), F.col("p")[2].alias("wav"), "ord").groupBy("speaker", "session").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "wav"))), lambda x: x.wav).alias("wavs"))
 
 
+def embedding_cache(spark: SparkSession, path: str, vector: str = "embedding") -> DataFrame:
+    """A table of vectors, which all have to have one length: reading fails on a row of another length than the first by name."""
+    df = spark.read.parquet(path)
+    sizes = [r["n"] for r in df.filter(F.col(vector).isNotNull()).select(F.size(vector).alias("n")).distinct().orderBy("n").limit(2).collect()]
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different lengths, such as {sizes[0]} and {sizes[1]}")
+    return df
+
+
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """profile, match_title, terms of a TOML file; global terms come first in each profile. A pattern that does not compile fails here."""
-    with open(path, "rb") as f:
-        doc = tomllib.load(f)
+    """profile, match_title, terms of a TOML file; global terms come first in each profile. A pattern that the engine's matcher
+    does not take fails here, with the line that holds it. The file is small by nature and read through Spark."""
+    content = spark.read.text(path, wholetext=True).first()["value"]
+    doc = tomllib.loads(content)
     rows = []
     for name, profile in doc.get("profiles", {}).items():
         if pattern := profile.get("match_title"):
-            re.compile(pattern)
+            try:
+                spark.range(1).select(F.lit("").rlike(pattern)).collect()
+            except Exception as error:
+                line = next((i for i, x in enumerate(content.splitlines(), 1) if "match_title" in x and pattern.replace("\\", "\\\\") in x or pattern in x), 0)
+                raise ValueError(f"line {line}: match_title of {name} is no pattern: {pattern}") from error
         rows.append((name, pattern, [*doc.get("terms", []), *profile.get("terms", [])]))
     return spark.createDataFrame(rows, "profile string, match_title string, terms array<string>")
 
@@ -65,13 +98,42 @@ def allocated_ids(starts: DataFrame, base: str, order: str) -> DataFrame:
     return starts.withColumn("session", F.when(n > 0, F.concat(F.col(base), F.lit("-"), n)).otherwise(F.col(base)))
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Write beside the target, then swap: a reader sees the old or the new table."""
+def replace(df: DataFrame, path: str) -> str:
+    """Write a new version of the table beside the others, then point to it; a reader sees the old or the new version, whole.
+
+    Versions are folders under path; the pointer is a file `_current` with the version's name, replaced by one rename over it,
+    and the version before stays until the one after this is written, for those who read it. Gives the version's name.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
-    df.write.mode("overwrite").parquet(path + ".new")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    if not fs.rename(new, target):
-        raise OSError(f"could not move {new} to {target}")
+    jvm, version = spark.sparkContext._jvm, f"v-{uuid.uuid4().hex}"
+    there = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    fs = there("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = current(spark, path)
+    df.write.parquet(f"{path}/{version}")
+    out = fs.create(there(f"_next-{version}"), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(there("").toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(there(f"_next-{version}")), context.makeQualified(there("_current")), over)
+    for status in fs.listStatus(there("")):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(status.getPath(), True)
+    return version
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The version that replace() wrote last, or none."""
+    if not _exists(spark, f"{path}/_current"):
+        return None
+    return spark.read.text(f"{path}/_current", wholetext=True).first()["value"].strip()
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that replace() wrote last."""
+    version = current(spark, path)
+    if version is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/{version}")

@@ -16,13 +16,19 @@ def _joined(order: str, line, between: str):  # noqa: ANN001, ANN202
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda s: s["l"]), between)
 
 
-def markdown(turns: DataFrame, keys: list[str], order: str, line: str = "**%s** [%s] %s") -> DataFrame:
+def markdown(turns: DataFrame, keys: list[str], order: str, line: str = "**%s** [%s] %s", header: DataFrame | None = None) -> DataFrame:
     """One Markdown text for each session of turns (order, speaker, start_s, end_s, text): a paragraph for each run of one speaker.
 
-    line is the paragraph's format: speaker, MM:SS, text.
+    line is the paragraph's format: speaker, MM:SS, text. header (keys, then a column for each field) puts a block of YAML fields in
+    front, its texts quoted; a session without header row has none.
     """
     b = segments.blocks(turns.select(*keys, order, "speaker", "start_s", "end_s", "text"), keys, order, "speaker", "start_s", "end_s", "text")
-    return b.groupBy(*keys).agg(_joined("run", F.format_string(line, "speaker", T.mmss(F.col("start")), "text"), "\n\n").alias("markdown"))
+    body = b.groupBy(*keys).agg(_joined("run", F.format_string(line, "speaker", T.mmss(F.col("start")), "text"), "\n\n").alias("markdown"))
+    if header is None:
+        return body
+    fields = [c for c in header.columns if c not in keys]
+    block = F.concat(F.lit("---\n"), *[F.concat(F.lit(f"{c}: "), T.yaml_scalar(F.col(c).cast("string")), F.lit("\n")) for c in fields], F.lit("---\n\n"))
+    return body.join(header.select(*keys, block.alias("_h")), keys, "left").select(*keys, F.concat(F.coalesce("_h", F.lit("")), F.col("markdown")).alias("markdown"))
 
 
 def web_vtt(turns: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -44,39 +50,54 @@ def write_transcripts(turns: DataFrame, key: str, order: str, path: str) -> None
     json_report(turns, [key], order, 1, order, "speaker", "start_s", "end_s", "text").write.mode("overwrite").parquet(f"{path}/json")
 
 
-def _evidence(head: bytes, size: int) -> tuple[str, int | None]:
-    """What a RIFF header declares against what the file holds. head: the file's first bytes."""
+def _evidence(head: bytes, size: int) -> tuple[str, int | None, int | None]:
+    """What a RIFF header declares against what the file holds, the bytes concerned and their length in milliseconds. head: the
+    file's first bytes. Of several chunks of one name the first counts, even if it cannot be used."""
     if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
-        return "not_a_wav", None
-    at, usable, data = 12, None, None
-    while at + 8 <= len(head) and (usable is None or data is None):
+        return "not_a_wav", None, None
+    at, rate, data = 12, None, None
+    while at + 8 <= len(head) and (rate is None or data is None):
         name, declared = head[at : at + 4], struct.unpack_from("<I", head, at + 4)[0]
-        if name == b"fmt " and usable is None:
+        if name == b"fmt " and rate is None:
             body = head[at + 8 : at + 8 + declared]
-            usable = len(body) >= 16 and struct.unpack_from("<I", body, 8)[0] > 0
+            rate = struct.unpack_from("<I", body, 8)[0] if len(body) >= 16 else 0
         elif name == b"data" and data is None:
             data = declared, at + 8
         at += 8 + declared + declared % 2
-    if not usable or data is None:
-        return "unknown", None
+    if not rate or data is None:
+        return "unknown", None, None
     declared, held = data[0], max(size - data[1], 0)
     if held == 0 and declared in (0, 0xFFFFFFFF):
-        return "header_only", None
-    if declared == 0xFFFFFFFF:
-        return "no_declared_length", held
-    return ("complete", None) if declared == held else ("short", declared - held) if declared > held else ("beyond", held - declared)
+        return "header_only", None, None
+    if declared == held:
+        return "complete", None, None
+    kind, gap = ("no_declared_length", held) if declared == 0xFFFFFFFF else ("short", declared - held) if declared > held else ("beyond", held - declared)
+    return kind, gap, gap * 1000 // rate
 
 
-def wav_evidence(spark: SparkSession, path: str, head: int = 65536) -> DataFrame:
-    """path, length, evidence and the bytes concerned, for each .wav under path. Only each file's first `head` bytes go to Python.
-
-    An empty file gives no row, as Spark's scan leaves it out.
+def wav_evidence(spark: SparkSession, paths: str | list[str], head: int = 65536) -> DataFrame:
+    """path, length, evidence, and bytes and millis of the audio concerned, for each .wav under the paths: complete, short, beyond,
+    no_declared_length, header_only, unknown or not_a_wav. Only each file's first `head` bytes go to Python. A file without
+    bytes gives no row, as Spark's scan leaves it out, and neither does one that is missing; see unfinished().
     """
 
     def judge(parts):  # noqa: ANN001, ANN202
         for part in parts:
             found = [_evidence(bytes(h), n) for h, n in zip(part["head"], part["length"], strict=True)]
-            yield pd.DataFrame({"path": part["path"], "length": part["length"], "evidence": [e for e, _ in found], "bytes": pd.array([b for _, b in found], dtype="Int64")})
+            yield pd.DataFrame({"path": part["path"], "length": part["length"], "evidence": [e for e, _, _ in found], "bytes": pd.array([b for _, b, _ in found], dtype="Int64"), "millis": pd.array([m for _, _, m in found], dtype="Int64")})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(paths)
+    return files.select("path", "length", F.expr(f"substring(content, 1, {head})").alias("head")).mapInPandas(judge, "path string, length long, evidence string, bytes long, millis long")
+
+
+def unfinished(sessions: DataFrame, evidence: DataFrame, tracks: tuple[str, ...] = ("mic", "speaker")) -> DataFrame:
+    """What is known of each session's tracks: session and a column for each track, `absent` where the session has no such file.
+    evidence: path (…/session/track.wav) and evidence."""
+    e = evidence.select(F.regexp_extract("path", "([^/]+)/([^/]+)[.]wav$", 1).alias("session"), F.regexp_extract("path", "([^/]+)[.]wav$", 1).alias("_track"), "evidence")
+    wide = sessions.select("session").distinct().join(e, "session", "left").groupBy("session").agg(*[F.max(F.when(F.col("_track") == t, F.col("evidence"))).alias(t) for t in tracks])
+    return wide.select("session", *[F.coalesce(t, F.lit("absent")).alias(t) for t in tracks])
+
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(path)
-    return files.select("path", "length", F.expr(f"substring(content, 1, {head})").alias("head")).mapInPandas(judge, "path string, length long, evidence string, bytes long")
+def template(explicit: str | None, stored: str | None, built_in: str) -> str:
+    """The line format that counts: the one asked for, else the one stored with the sessions, else the built-in one."""
+    return explicit if explicit is not None else stored if stored is not None else built_in
