@@ -3,59 +3,42 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Where sentences may begin and end: a full stop, exclamation or question mark before white space, and line ends.
-CUT = "[.!?]+[ \\t\\r]+|[\\r\\n]+"
+from tideline.llm.license_texts import ENOUGH, NOTICES, TEXTS
+
 #: Marks of a sentence's end and of a line's end in a normalised text; a sentence may run over line ends.
 _STOP, _LINE = "\x01", "\x02"
-_NOT_PLAIN = "[^a-z0-9]+"
-
-# Sentences of public license texts and notices, by id.
-SENTENCES = {
-    "apache2_notice": "Licensed under the Apache License, Version 2.0",
-    "apache2_not_use": "You may not use this file except in compliance with the License",
-    "apache2_copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "mit_notice": "Released under the MIT License",
-    "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    "mit_keep": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
-    "gpl3_notice": "This work is licensed under the GNU General Public License, version 3",
-    "gpl_free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "gpl_warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
-    "ccbync4_notice": "Licensed under CC BY-NC 4.0",
-    "ccby4_notice": "Licensed under CC BY 4.0",
-    "ccby4_long": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "cc0_notice": "This work is dedicated to the public domain under CC0 1.0",
-    "reserved": "All rights reserved",
-}
-
-# The published headers' own sentences where they run on, by the ids of the sentences they hold, in order.
-PUBLISHED = {
-    "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0": ("apache2_copy",),
-    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License": ("apache2_notice", "apache2_not_use"),
-    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software": ("mit_grant", "mit_keep"),
-}
-
-# A rule is a license and the sentence ids that have to follow each other among a text's known sentences.
-RULES = (
-    ("Apache-2.0", ("apache2_notice",)),
-    ("Apache-2.0-header", ("apache2_notice", "apache2_not_use", "apache2_copy")),
-    ("MIT", ("mit_notice",)),
-    ("MIT-text", ("mit_grant", "mit_keep")),
-    ("GPL-3.0-only", ("gpl3_notice",)),
-    ("GPL-3.0-or-later", ("gpl_free", "gpl_warranty")),
-    ("CC-BY-NC-4.0", ("ccbync4_notice",)),
-    ("CC-BY-4.0", ("ccby4_notice",)),
-    ("CC-BY-4.0-text", ("ccby4_long",)),
-    ("CC0-1.0", ("cc0_notice",)),
-    ("Proprietary", ("reserved",)),
-)
+#: Known sentences that may stand between two that a rule asks for, such as another license's.
+GAP = 2
 
 
 def normalised(sentence: str) -> str:
-    return re.sub(_NOT_PLAIN, " ", sentence.lower()).strip()
+    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+
+
+def sentences(text: str) -> list[str]:
+    """A license's sentences: cut at paragraphs, at a full stop before white space, and after the number of a list item."""
+    parts = [re.sub(r"^\s*([0-9]+[.)]|[*-])\s+", "", p) for p in re.split(r"\n\s*\n", text.strip())]
+    return [s.strip() for p in parts for s in re.split(r"[.!?]+\s+|[.!?]+$", p) if normalised(s)]
+
+
+@lru_cache(maxsize=1)
+def known() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
+    """The sentences (normalised, to their id) and the rules (license, ids that have to come in this order) of the table of
+    texts. A sentence that several licenses share has one id; a license with a longer rule than another's, of which it
+    holds all sentences, is told apart by its own ones."""
+    ids: dict[str, str] = {}
+    rules = []
+    for name, text in TEXTS.items():
+        order = tuple(ids.setdefault(normalised(s), f"{name.lower()}~{i}") for i, s in enumerate(sentences(text)))
+        rules.append((name, order[: ENOUGH.get(name)]))
+    for name, notices in NOTICES.items():
+        rules += [(name, (ids.setdefault(normalised(s), f"{name.lower()}~notice{i}"),)) for i, s in enumerate(notices)]
+    return ids, rules
 
 
 def marked(text: Column) -> Column:
@@ -67,20 +50,23 @@ def marked(text: Column) -> Column:
     return F.concat(F.lit(_STOP), F.trim(out), F.lit(_STOP))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: dict[str, str] = SENTENCES, rules=RULES, published: dict[str, tuple[str, ...]] = PUBLISHED) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", table: dict[str, str] | None = None, rules: list[tuple[str, tuple[str, ...]]] | None = None, gap: int = GAP) -> DataFrame:
     """Per document: key, n_known (known sentences in its whole text) and licenses (array of license names, sorted).
 
-    A known sentence begins and ends at a sentence's or line's end, and may be wrapped over lines; a published one counts as
-    all the sentences that it holds. A rule matches where its ids follow each other among the document's known sentences, whatever other sentences stand
-    between. Each document is worked on alone, without a shuffle; the tables of sentences and rules are parameters of
+    A known sentence begins and ends at a sentence's or line's end, and may be wrapped over lines, each behind a comment mark;
+    of sentences that begin at one place the longest counts, and none overlaps another. A rule matches where its ids come in
+    its order among the document's known sentences, with at most `gap` others between two of them, whatever unknown text
+    stands there. Each document is worked on alone, without a shuffle; the tables of sentences and rules are parameters of
     fixed size. Defined cases: a null or empty text knows no sentence; repeated rows give equal rows; an empty table gives
     an empty result; other columns are left out.
     """
-    held = {normalised(x): ids for x, ids in published.items()} | {normalised(x): (name,) for name, x in known.items()}
-    table = F.create_map(*[x for sentence, ids in held.items() for x in (F.lit(sentence), F.array(*map(F.lit, ids)))])
-    any_of = "|".join(x.replace(" ", f"[ {_LINE}]") for x in sorted(held, key=len, reverse=True))
+    table, rules = table or known()[0], rules or known()[1]
+    ids = F.create_map(*[x for sentence, name in table.items() for x in (F.lit(sentence), F.lit(name))])
+    any_of = "|".join(x.replace(" ", f"[ {_LINE}]") for x in sorted(table, key=len, reverse=True))
     found = F.regexp_extract_all(marked(F.coalesce(F.col(text), F.lit(""))), F.lit(f"(?<=[{_STOP}{_LINE}])(?:{any_of})(?=[{_STOP}{_LINE}])"), F.lit(0))
-    ids = F.flatten(F.transform(found, lambda x: F.try_element_at(table, F.translate(x, _LINE, " "))))
-    rows = docs.select(F.col(key), ids.alias("_ids")).withColumn("_run", F.concat(F.lit("|"), F.array_join("_ids", "|"), F.lit("|")))
-    matched = F.array(*[F.when(F.contains(F.col("_run"), F.lit("|" + "|".join(ids) + "|")), F.lit(name)) for name, ids in rules])
-    return rows.select(key, F.size("_ids").cast("long").alias("n_known"), F.array_sort(F.array_compact(matched)).alias("licenses"))
+    rows = docs.select(F.col(key), F.transform(found, lambda x: F.try_element_at(ids, F.translate(x, _LINE, " "))).alias("ids"))
+    rows = rows.withColumn("run", F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|")))
+    between = f"\\|(?:[^|]*\\|){{0,{gap}}}"
+    matched = F.array(*[F.when(F.col("run").rlike("\\|" + between.join(re.escape(i) for i in order) + "\\|"), F.lit(name)) for name, order in rules])
+    licenses = F.when(F.size("ids") > 0, F.array_sort(F.array_distinct(F.array_compact(matched)))).otherwise(F.array().cast("array<string>"))
+    return rows.select(key, F.size("ids").cast("long").alias("n_known"), licenses.alias("licenses"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm.licenses import CUT, RULES, SENTENCES, normalised
+from tideline.llm import licenses
 from tideline.llm.sharding import MULTIPLIER
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -33,16 +33,27 @@ FROM h
 """
 
 def licenses_sql() -> str:
-    known = ", ".join(f"('{normalised(s)}', '{name}')" for name, s in SENTENCES.items())
-    rules = ", ".join(f"('{name}', '|{'|'.join(ids)}|')" for name, ids in RULES)
+    """Stretches of whole lines or parts of them, between two ends of sentences, whose words are those of a known sentence."""
+    table, rules = licenses.known()
+    listed = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
+    most = max(x.count(" ") + 1 for x in table)
     return f"""
-WITH known(sentence, sid) AS (VALUES {known}), rules(name, run) AS (VALUES {rules}),
-d AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(coalesce(text, ''), '{CUT}') AS parts FROM documents),
-u AS (SELECT r, generate_subscripts(parts, 1) AS i, trim(regexp_replace(lower(unnest(parts)), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM d),
-k AS (SELECT r, count(*) AS n, '|' || string_agg(sid, '|' ORDER BY i) || '|' AS run FROM u JOIN known USING (sentence) GROUP BY r),
-l AS (SELECT k.r, string_agg(rules.name, ',' ORDER BY rules.name) AS licenses FROM k JOIN rules ON contains(k.run, rules.run) GROUP BY k.r)
-SELECT d.doc_id, coalesce(k.n, 0)::BIGINT AS n_known, coalesce(l.licenses, '') AS licenses FROM d LEFT JOIN k ON d.r = k.r LEFT JOIN l ON d.r = l.r
-"""
+WITH RECURSIVE known(sentence, sid) AS (VALUES {listed(table.items())}), rules(rule, name, ids) AS (SELECT col0, col1, string_split(col2, ' ') FROM (VALUES {listed((i, name, " ".join(ids)) for i, (name, ids) in enumerate(rules))})),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT r, generate_subscripts(p, 1) AS si, unnest(p) AS part FROM (SELECT r, regexp_split_to_array(text, '[.!?]+[ \\t\\r\\n]+') AS p FROM d)),
+l AS (SELECT r, si, generate_subscripts(p, 1) AS li, unnest(p) AS line FROM (SELECT r, si, regexp_split_to_array(part, '[\\r\\n]+') AS p FROM s)),
+w AS (SELECT r, si, li, array_to_string(regexp_extract_all(lower(line), '[a-z0-9]+'), ' ') AS words FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY r, si ORDER BY li) AS k FROM w WHERE words <> ''),
+c AS (SELECT a.r, a.si, a.k AS k1, b.k AS k2, a.words AS first, b.words AS last FROM n a JOIN n b ON a.r = b.r AND a.si = b.si AND b.k BETWEEN a.k AND a.k + {most} WHERE EXISTS (SELECT 1 FROM known WHERE starts_with(sentence, a.words)) AND EXISTS (SELECT 1 FROM known WHERE ends_with(sentence, b.words))),
+t AS (SELECT c.r, c.si, k1, k2, string_agg(n.words, ' ' ORDER BY n.k) AS sentence FROM c JOIN n ON n.r = c.r AND n.si = c.si AND n.k BETWEEN k1 AND k2 GROUP BY ALL),
+m AS (SELECT t.*, sid FROM t JOIN known USING (sentence)),
+f AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.r = m.r AND o.si = m.si AND o.k1 <= m.k1 AND o.k2 >= m.k2 AND o.k2 - o.k1 > m.k2 - m.k1)),
+i AS (SELECT r, sid, row_number() OVER (PARTITION BY r ORDER BY si, k1) AS pos FROM f),
+walk AS (SELECT r, rule, name, ids, 1 AS step, pos FROM (SELECT i.r, i.pos, rules.* FROM i JOIN rules ON i.sid = ids[1])),
+"""  + f"""more AS (SELECT * FROM go WHERE step = len(ids)),
+h AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM more GROUP BY r), q AS (SELECT r, count(*) AS n FROM i GROUP BY r)
+SELECT d.doc_id, coalesce(q.n, 0)::BIGINT AS n_known, coalesce(h.licenses, '') AS licenses FROM d LEFT JOIN q ON d.r = q.r LEFT JOIN h ON d.r = h.r
+""".replace("more AS (SELECT", f"go AS (SELECT * FROM walk UNION SELECT g.r, g.rule, g.name, g.ids, g.step + 1, i.pos FROM go g JOIN i ON i.r = g.r AND i.sid = g.ids[g.step + 1] AND i.pos BETWEEN g.pos + 1 AND g.pos + 1 + {licenses.GAP}),\nmore AS (SELECT", 1)
 
 
 def url_sql(entries, start: str) -> str:
