@@ -93,7 +93,7 @@ def rfc3339(ts: Column) -> Column:
 
 def yaml_scalar(text: Column) -> Column:
     """A text as a quoted JSON string, which YAML reads as the same text; null stays null as the word null."""
-    return F.coalesce(F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'^\{"t":(.*)\}$', 1), F.lit("null"))
+    return F.when(text.isNull(), "null").otherwise(F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'^\{"t":(.*)\}$', 1))
 
 
 def audio_span(millis: Column) -> Column:

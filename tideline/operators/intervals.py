@@ -42,7 +42,7 @@ def overlap_attribution(segments: DataFrame, turns: DataFrame, keys: list[str],
     touching = by_cluster.groupBy(*keys, segment).agg(F.min(F.struct((-F.col("o")).alias("no"), F.col("cluster"))).alias("_t"))
     touching = touching.select(*keys, segment, F.col("_t.cluster").alias("cluster"), (-F.col("_t.no")).alias("overlap_s"), F.lit(0.0).alias("gap_s"))
 
-    alone = segments.select(*keys, segment, "start_s", "end_s").distinct().join(touching, [*keys, segment], "left_anti")
+    alone = segments.select(*keys, segment, "start_s", "end_s").filter("start_s IS NOT NULL AND end_s IS NOT NULL").distinct().join(touching, [*keys, segment], "left_anti")
     none = lambda c, df: F.lit(None).cast(df.schema[c].dataType).alias(c)
     found = []
     for mine, theirs, sign in (("start_s", "end_s", 1), ("end_s", "start_s", -1)):

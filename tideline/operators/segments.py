@@ -84,13 +84,13 @@ def loops(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
 
 
 def collapsed_loops(rows: DataFrame, keys: list[str], order: str, start: str, end: str, text: str) -> DataFrame:
-    """Rows with each loop (see loops) replaced by one: the first text, from its first start to its last end; n counts them."""
+    """Rows with each loop (see loops) replaced by one: the first text, from its first start to its last end; repeats counts them."""
     numbered = runs(rows.withColumn("_p", plain(text)), keys, order, F.col("_p"))
     size = F.count("*").over(Window.partitionBy(*keys, "run"))
     looped = ((size >= 3) & (F.size(F.split("_p", " ")) >= 3)) | (size >= 5)
     numbered = numbered.withColumn("_of", F.when(looped, F.lit(None)).otherwise(F.col(order)))
     return numbered.groupBy(*keys, "run", "_of").agg(
-        F.min(order).alias(order), F.min_by(text, order).alias(text), F.min_by(start, order).alias(start), F.max_by(end, order).alias(end), F.count("*").alias("n")
+        F.min(order).alias(order), F.min_by(text, order).alias(text), F.min_by(start, order).alias(start), F.max_by(end, order).alias(end), F.count("*").alias("repeats")
     ).drop("run", "_of")
 
 

@@ -184,7 +184,7 @@ def peak_levels(spark, sf_dir):
 def collapsed_loops(spark, sf_dir):
     """The first four turns of each conversation say the same."""
     c = Tables(spark, sf_dir).conversations.select("conv_id", "turn", F.when(F.col("turn") < 4, "one two, THREE").otherwise(F.col("text")).alias("text"), (F.col("turn") * 5).alias("s"), (F.col("turn") * 5 + 4).alias("e"))
-    return segments.collapsed_loops(c, ["conv_id"], "turn", "s", "e", "text").select("conv_id", "turn", "text", "s", "e", "n")
+    return segments.collapsed_loops(c, ["conv_id"], "turn", "s", "e", "text").withColumnRenamed("repeats", "n")
 
 
 _LABEL = "printf('%d:%02d', (x // 60) % 100, x % 60)"

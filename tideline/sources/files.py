@@ -101,7 +101,7 @@ def allocated_ids(starts: DataFrame, base: str, order: str) -> DataFrame:
 def replace(df: DataFrame, path: str) -> str:
     """Write a new version of the table beside the others, then point to it; a reader sees the old or the new version, whole.
 
-    Versions are folders under path; the pointer is a file `_current` with the version's name, replaced by one rename over it,
+    Versions are folders under path; the pointer is a file `CURRENT` with the version's name, replaced by one rename over it,
     and the version before stays until the one after this is written, for those who read it. Gives the version's name.
     """
     spark = df.sparkSession
@@ -116,7 +116,7 @@ def replace(df: DataFrame, path: str) -> str:
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(there("").toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(context.makeQualified(there(f"_next-{version}")), context.makeQualified(there("_current")), over)
+    context.rename(context.makeQualified(there(f"_next-{version}")), context.makeQualified(there("CURRENT")), over)
     for status in fs.listStatus(there("")):
         name = status.getPath().getName()
         if name.startswith("v-") and name not in (version, before):
@@ -126,9 +126,9 @@ def replace(df: DataFrame, path: str) -> str:
 
 def current(spark: SparkSession, path: str) -> str | None:
     """The version that replace() wrote last, or none."""
-    if not _exists(spark, f"{path}/_current"):
+    if not _exists(spark, f"{path}/CURRENT"):
         return None
-    return spark.read.text(f"{path}/_current", wholetext=True).first()["value"].strip()
+    return spark.read.text(f"{path}/CURRENT", wholetext=True).first()["value"].strip()
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
