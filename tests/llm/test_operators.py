@@ -400,6 +400,21 @@ def test_bpe_equals_the_library(spark):
         assert own.decode(got).decode() == theirs.decode(want, skip_special_tokens=False) == t
 
 
+def test_bpe_long_words_and_a_full_memory(monkeypatch):
+    """Words far longer than any token, and a memory that turns over within one text."""
+    from tokenizers import Tokenizer
+
+    own, theirs = bpe.Codec(open(queries.TOKENIZER, "rb").read()), Tokenizer.from_file(queries.TOKENIZER)
+    monkeypatch.setattr(bpe, "MOST_WORDS", 3)
+    rng = random.Random(7)
+    runs = ["".join(rng.choice(letters) for _ in range(5000)) for letters in ("abcdefghinorst", "a", " ", "=", "日本語éöабв")]
+    for t in [*runs, "x".join(runs), " ".join(f"w{i % 7} {i}" for i in range(500))]:
+        want = theirs.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == struct.pack(f"<{len(want)}I", *want)
+        assert len(own.memory) <= 3 and len(own.older) <= 3
+    assert all(token.startswith(start) and start in own.ids for token, start in own.shorter.items())
+
+
 def test_bpe_edge_cases(spark):
     got = bpe.encode_table(odd_documents(spark), queries.TOKENIZER, ids=True).collect()
     by = {r["doc_id"]: r for r in got}

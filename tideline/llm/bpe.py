@@ -18,8 +18,9 @@ from tideline.llm.common import pieces, prepare
 
 #: Fixed value: the published pattern that cuts a text before byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Remembered words, their greatest length, and remembered pairs; a full memory is emptied.
-MOST_WORDS, MOST_LENGTH, MOST_PAIRS = 200_000, 48, 1_000_000
+#: Remembered words of the younger half of the memory, their greatest length, and remembered pairs. A full half becomes the
+#: older one, from which words in use come back; a full table of pairs is emptied.
+MOST_WORDS, MOST_LENGTH, MOST_PAIRS = 100_000, 48, 1_000_000
 
 
 def _byte_of_symbol() -> dict[str, int]:
@@ -42,6 +43,10 @@ class Codec:
         raw = lambda s: "".join(chr(symbol[c]) for c in s)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids = {raw(s): i for s, i in model["vocab"].items() if s not in special}
+        self.code = {s: i.to_bytes(4, "little") for s, i in self.ids.items()}
+        if any(chr(b) not in self.ids for b in range(256)):
+            raise ValueError("every byte must be a token, so that every text has an encoding")
+        self.most = max(map(len, self.ids))  # no match looks further, so long words are read in windows of this length
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.rank = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
         self.special = {s.encode(): i for s, i in special.items()}
@@ -52,8 +57,12 @@ class Codec:
         for s in self.ids:
             self.matcher.add_word(s, s)
         self.matcher.make_automaton()
+        # each token's longest proper beginning that is a token too: the matches at a place, from long to short
+        starts = ((s, next((s[:n] for n in range(len(s) - 1, 0, -1) if s[:n] in self.ids), None)) for s in self.ids)
+        self.shorter = {s: start for s, start in starts if start}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # decoding: all tokens' bytes in one run, and where each token starts and how long it is
         by_id = {i: s.encode("latin-1") for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         texts = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
@@ -82,37 +91,39 @@ class Codec:
         return known
 
     def encode_word(self, word: str) -> list[str]:
-        """Tokens of a word in byte form. Longest match first; a match that its left neighbour refuses gives way to a
-        shorter one, and a position from which no match goes on is struck out, so that each is given up once at most."""
-        matches: list[list[str]] = [[] for _ in word]
-        for end, token in self.matcher.iter(word):
-            matches[end + 1 - len(token)].append(token)  # grows from short to long
+        """Tokens of a word in byte form. Longest match first; a match that its left neighbour refuses gives way to the
+        next shorter one, and a position from which no match goes on is struck out, so that each is given up once at most."""
+        longest, shorter, known, most = self.matcher.iter_long, self.shorter, self.pairs.get, self.most
         out: list[str] = []
-        tried: list[int] = []  # of each token taken, its place among the matches at its start
-        closed = bytearray(len(word) + 1)
-        at, k = 0, len(matches[0]) - 1
-        while at < len(word):
-            here, left = matches[at], out[-1] if out else ""
-            while k >= 0 and (closed[at + len(here[k])] or not self.compatible(left, here[k])):
-                k -= 1
-            if k >= 0:
-                out.append(here[k])
-                tried.append(k)
-                at += len(here[k])
-                k = len(matches[at]) - 1 if at < len(word) else -1
+        closed: set[int] = set()
+        at, end, left, token = 0, len(word), "", next(longest(word[:most]))[1]
+        while True:
+            while token is not None:
+                fits = known((left, token))
+                if (self.compatible(left, token) if fits is None else fits) and at + len(token) not in closed:
+                    break
+                token = shorter.get(token)
+            if token is not None:
+                out.append(token)
+                at += len(token)
+                if at == end:
+                    return out
+                left, token = token, next(longest(word[at : at + most]))[1]
             else:
-                closed[at] = 1
+                closed.add(at)
                 if not out:
                     raise ValueError(f"no encoding of {word!r}")
-                at -= len(out.pop())
-                k = tried.pop() - 1
-        return out
+                token = out.pop()
+                at -= len(token)
+                left, token = out[-1] if out else "", shorter.get(token)
 
     def encode_piece(self, word: str) -> bytes:
-        ids = self.ids
-        found = np.array([ids[t] for t in self.encode_word(word.encode().decode("latin-1"))], dtype="<u4").tobytes()
+        found = self.older.get(word)
+        if found is None:
+            found = b"".join([self.code[t] for t in self.encode_word(word.encode().decode("latin-1"))])
         if len(word) <= MOST_LENGTH:
             if len(self.memory) >= MOST_WORDS:
+                self.older = dict(self.memory)
                 self.memory.clear()
             self.memory[word] = found
         return found
