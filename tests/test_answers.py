@@ -32,6 +32,28 @@ def test_answers_are_vetoed_or_take_a_name_or_apply(spark):
     assert [(r.k, r.verdict, r.other) for r in got] == [("x", "vetoed", 2), ("y", "taken", 2), ("z", "applied", None)]
 
 
+def test_a_group_is_answered_voice_by_voice(spark):
+    keys, sides = ["g", "sure"], ["g", "sure", "side"]
+    c = spark.createDataFrame([(g, i, float(i), 9.0) for g in "xy" for i in range(1, 7)], "g string, id int, first_s double, speech_s double")
+    edges = spark.createDataFrame([("x", 1, 2), ("x", 4, 5)], "g string, a int, b int")
+    known = spark.createDataFrame([("x", 4, "A")], "g string, id int, name string")
+
+    def derive(groups, given, forced, pending):
+        each = lambda df: groups.join(df, "g")
+        hand = assign.hand_awards(given.withColumn("ord", F.lit(1)), forced, each(edges), sides, "ord", pending)
+        return assign.labels(each(c), forced, hand, each(known), given.limit(0), given.limit(0), each(edges), sides)
+
+    rows = [("x", 6, "A", 6.0), ("x", 1, "A", 1.0), ("x", 2, "A", 2.0), ("x", 5, "A", 5.0), ("x", 5, "A", 5.0), ("x", None, "A", 1.0), ("x", 3, None, 1.0), ("y", 1, "B", None)]
+    a = spark.createDataFrame(rows, "g string, id int, name string, first_s double").withColumn("sure", F.explode(F.array(F.lit(False), F.lit(True))))
+    both = edges.withColumn("sure", F.explode(F.array(F.lit(False), F.lit(True))))
+    got = assign.folded_answers(a, derive, both, keys, F.col("sure")).collect()
+    told = lambda sure: sorted((r.g, r.id, r.verdict, r.other, r.overridden) for r in got if r.sure == sure)
+    # 2 is heard with 1, which was named just before; 5 would take the name from 4, which it is heard with; neither stops 6
+    assert told(False) == [("x", 1, "applied", None, False), ("x", 2, "vetoed", 1, False), ("x", 5, "taken", 4, False), ("x", 6, "applied", None, False), ("y", 1, "applied", None, False)]
+    assert told(True) == [("x", 1, "applied", None, False), ("x", 2, "applied", None, True), ("x", 5, "applied", None, True), ("x", 6, "applied", None, False), ("y", 1, "applied", None, False)]
+    assert assign.folded_answers(a.limit(0), derive, both, keys).count() == 0
+
+
 def test_leaving_out_a_reference_equals_ranking_without_it(spark):
     rng = random.Random(5)
     rows = [("s", i, f"n{r % 3}", r, round(rng.random(), 2)) for i in range(6) for r in range(9)]

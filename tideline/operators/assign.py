@@ -1,8 +1,10 @@
 """Constrained assignment of names to clusters, label precedence, grouping and bounded reference sets."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.lineage import checkpointed
+
 
 def symmetric(conflicts: DataFrame, keys: list[str]) -> DataFrame:
     return conflicts.select(*keys, "a", "b").union(conflicts.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -109,6 +111,43 @@ def judged_answers(answers: DataFrame, corrected: DataFrame, after: DataFrame, k
     return out.select(*keys, "id", "name", verdict.alias("verdict"), F.when(verdict == "vetoed", F.col("_holder")).when(verdict == "taken", F.col("_loser")).alias("other"))
 
 
+def folded_answers(answers: DataFrame, derive, conflicts: DataFrame, keys: list[str], authority: Column | None = None) -> DataFrame:  # noqa: ANN001
+    """What a group's answers would do one after the other: answers (keys, id, name, first_s), a group for each value of keys.
+
+    Members go by first_s, then id, each judged (see judged_answers) against what the applied ones before it left; a refused one
+    changes nothing. In groups where authority (a condition on keys) holds, the applied members and the one at hand are forced to
+    their name, and overridden says that a cluster heard with it had that name before. derive(groups, given, forced, pending)
+    gives labels (keys, side, id, label, kind) of groups (keys, side), where given, forced and pending (keys, side, id, name) are
+    the answers so far, those forced, and the one added; side tells apart what is known before, after, and before anything forced.
+
+    Each step labels all groups that have a member left at once, so there are as many steps as the longest group has members;
+    their number is all that reaches the driver. A cluster answered twice in a group counts once, with its smallest name and
+    first_s; null ids and names are left out; without answers there are no rows. Gives keys, id, name, verdict, other, overridden.
+    """
+    by_hand = F.lit(False) if authority is None else F.coalesce(authority, F.lit(False))
+    once = answers.filter("id IS NOT NULL AND name IS NOT NULL").groupBy(*keys, "id").agg(F.min("name").alias("name"), F.min("first_s").alias("first_s"))
+    line = checkpointed(once.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("first_s", "id"))))
+    edges, done = symmetric(conflicts, keys), line.limit(0).select(*keys, "id", "name")
+    steps = done.select("*", F.lit("").alias("verdict"), F.col("id").alias("other"), F.lit(False).alias("overridden"))
+    on = lambda df, *sides: df.withColumn("side", F.explode(F.array(*map(F.lit, sides)))).select(*keys, "side", *[c for c in df.columns if c not in keys])
+    for n in range(1, (line.agg(F.max("_n")).first()[0] or 0) + 1):
+        one = line.filter(F.col("_n") == n).select(*keys, "id", "name")
+        groups = one.select(*keys)
+        before = done.join(groups, keys, "left_semi")
+        given = on(before, "before", "after", "held").unionByName(on(one, "after"))
+        forced = on(before, "before", "after", "held").unionByName(on(one, "before", "after")).filter(by_hand)
+        sides = on(groups, "before", "after").unionByName(on(groups.filter(by_hand), "held"))
+        labelled = checkpointed(derive(sides, given, forced, on(one, "after")).select(*keys, "side", "id", "label", "kind"))
+        side = lambda name, df=labelled: df.filter(F.col("side") == name).drop("side")
+        holders = side("held").select(*keys, F.col("id").alias("b"), F.col("label").alias("name"))
+        beaten = edges.join(holders, [*keys, "b"]).select(*keys, F.col("a").alias("id"), "name", F.lit(True).alias("_beaten")).distinct()
+        judged = judged_answers(one, side("before"), side("after"), keys).join(beaten, [*keys, "id", "name"], "left")
+        step = checkpointed(judged.select(*keys, "id", "name", "verdict", "other", F.coalesce("_beaten", F.lit(False)).alias("overridden")))
+        done = done.unionByName(step.filter("verdict = 'applied'").select(*keys, "id", "name"))
+        steps = steps.unionByName(step)
+    return steps
+
+
 def without_each(ranked: DataFrame, keys: list[str], loose: float) -> DataFrame:
     """Rankings as they would be without each single reference: scenario (the reference left out), keys, id, name, similarity.
 
