@@ -70,6 +70,51 @@ SELECT p.page_id, coalesce(b.n, 0)::BIGINT AS n_active, b.n IS NOT NULL AS block
 """
 
 
+def crc32(hex_digits: str) -> str:
+    """Unsigned CRC-32 of bytes that are given by their hexadecimal digits."""
+    table = ", ".join(str(x) for x in _crc_table())
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all({hex_digits}, '..'), lambda x: ('0x' || x)::BIGINT)),
+  lambda c, b: xor(c >> 8, ([{table}][(xor(c, b) & 255) + 1])::BIGINT)), 4294967295::BIGINT)"""
+
+
+def trie_sql() -> str:
+    return f"""
+WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base, {crc32("hex(conv_id::VARCHAR)")} % 4 AS h FROM own GROUP BY conv_id),
+r AS (SELECT c.conv_id, o.pos, o.role, o.text FROM c JOIN own o ON o.conv_id = c.base AND o.pos <= c.h
+  UNION ALL SELECT c.conv_id, o.pos - c.h + least(c.h, coalesce(b.n, 0)), o.role, o.text FROM c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h LEFT JOIN c b ON b.conv_id = c.base),
+p AS MATERIALIZED (SELECT conv_id, pos AS depth, len(regexp_extract_all(text, '{WORD}')) AS words, md5(string_agg(md5(length(role) || ':' || role || text), '' ) OVER (PARTITION BY conv_id ORDER BY pos)) AS path FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+l AS (SELECT conv_id, max(depth) AS len FROM p GROUP BY conv_id),
+node AS MATERIALIZED (SELECT path, depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE l.len = depth), '')) AS ends_sha256 FROM p JOIN l ON p.conv_id = l.conv_id GROUP BY path, depth),
+up AS MATERIALIZED (SELECT n.path, n.depth, q.path AS above, q.depth AS above_depth FROM node n JOIN p q ON q.conv_id = n.conv_id AND q.depth <= n.depth),
+kids AS (SELECT above AS path, count(*) AS n_children FROM up WHERE above_depth = depth - 1 GROUP BY above),
+sums AS (SELECT above AS path, sum((n_convs - 1) * words)::BIGINT AS saved_tokens, count(*) FILTER (WHERE k.path IS NULL) AS n_leaves FROM up JOIN node n ON up.path = n.path LEFT JOIN kids k ON up.path = k.path GROUP BY above)
+SELECT n.conv_id, n.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM node n JOIN sums s ON n.path = s.path LEFT JOIN kids k ON n.path = k.path LEFT JOIN up ON up.path = n.path AND up.above_depth = n.depth - 1 LEFT JOIN node a ON a.path = up.above
+"""
+
+
+def periods_sql() -> str:
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws, {crc32("hex(doc_id::VARCHAR)")} AS h FROM documents),
+k AS (SELECT *, h % 10 = 0 AND len(ws) > 0 AS planted, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a, h // 10 AS g FROM d),
+m AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM k),
+i AS (SELECT *, unnest(range(0, n)) AS i FROM m),
+w AS MATERIALIZED (SELECT r, i, n, ws[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % p ELSE i END] AS w FROM i),
+e AS (SELECT x.r, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // 4),
+s AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e) GROUP BY r, q, island),
+f AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) = 1),
+t AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM f GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM f),
+c AS (SELECT w.r, string_agg(w.w, ' ' ORDER BY w.i) AS kept FROM w ANTI JOIN gone ON w.r = gone.r AND w.i = gone.i GROUP BY w.r)
+SELECT d.doc_id, coalesce(t.n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period, (1000 * b.length // b.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(t.runs, '')) AS runs_sha256, sha256(coalesce(c.kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t ON d.r = t.r LEFT JOIN b ON d.r = b.r LEFT JOIN c ON d.r = c.r
+"""
+
+
 def sharding_sql() -> str:
     low = 18446744073709551615
     crc = ", ".join(str(x) for x in _crc_table())
@@ -122,4 +167,4 @@ def _crc_table() -> list[int]:
 
 
 def sql(entries, start: str) -> dict[str, str]:
-    return {"op3_url_filter": url_sql(entries, start), "op4_source_mixing": MIXING, "op5_warc_archive": WARC, "op7_license_scan": licenses_sql(), "op9_sharding": sharding_sql(), "op10_quality_rules": QUALITY}
+    return {"op3_url_filter": url_sql(entries, start), "op4_source_mixing": MIXING, "op5_warc_archive": WARC, "op7_license_scan": licenses_sql(), "op9_sharding": sharding_sql(), "op10_quality_rules": QUALITY, "op11_conversation_trie": trie_sql(), "op12_period_runs": periods_sql()}
