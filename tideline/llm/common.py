@@ -101,3 +101,19 @@ def pieces(batch, column: str, most_bytes: int = 8 << 20):
         held += int(size)
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def gathered(batches, column: str, most_bytes: int):
+    """Join record batches that follow each other while the named text column of them holds less than most_bytes."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        more = batch.column(column).nbytes
+        if held and size + more > most_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.concat_batches(held)

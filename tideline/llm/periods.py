@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import pieces, prepare
+from tideline.llm.common import gathered, pieces, prepare
 
 #: A run has so many words at least, and so many periods.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
@@ -246,8 +246,8 @@ def runs_table(docs: DataFrame, repeat_some: bool = False) -> DataFrame:
     run = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
     def each(batches):
-        for batch in batches:
-            for piece in pieces(batch, "text", TEXT_BYTES):
+        for whole in gathered(batches, "text", TEXT_BYTES):
+            for piece in pieces(whole, "text", TEXT_BYTES):
                 ids = piece.column("doc_id").to_pylist()
                 texts = [(x.as_py() or "").encode("utf-8", "surrogatepass").split() for x in piece.column("text")]
                 if repeat_some:
