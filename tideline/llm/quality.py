@@ -15,8 +15,6 @@ from tideline.llm.common import discard, mix, pieces, prepare, stored
 
 _SPACES = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
-#: A document with fewer than one word in so many outside the lines it shares is a near copy of those that share the same.
-NEAR_WORDS = 50
 
 
 @dataclass(frozen=True)
@@ -101,22 +99,17 @@ def measure(docs: DataFrame, text: str = "text", host: str = "source", keep: tup
 
 
 def line_limits(measured: DataFrame, limits: Limits) -> DataFrame:
-    """host and line of the lines above their host's limit. measured has a column _row that numbers its rows.
+    """host and line of the lines above their host's limit.
 
-    Lines in enough rows of a host are counted again among different whole texts only. A text nearly all of whose words,
-    but not all, are in such lines stands for all texts with the same ones (see NEAR_WORDS): near copies of one document
-    count once, so that a line isn't boilerplate for having been copied along with its document. Null hosts are one host.
+    A line counts once for each different whole text of its host that has it; exact copies count once. Near copies are different
+    texts: what more of them than the limit share is boilerplate. Only lines in enough rows of a host are counted
+    by texts, so that few lines move. Null hosts are one host.
     """
-    lines = measured.select("_row", "host", "n_words", "digest", F.explode("lines").alias("x")).select("_row", "host", "n_words", "digest", "x.h", "x.w")
     hosts = measured.groupBy("host").agg(F.greatest(F.lit(float(limits.most_docs)), F.count("*") * F.lit(limits.most_share)).alias("_most")).withColumnRenamed("host", "_host")
     above = lambda counted: counted.join(hosts, counted["host"].eqNullSafe(hosts["_host"])).filter(F.col("docs") > F.col("_most")).select(F.col("host").alias("_host"), F.col("h").alias("_h"))
-    each = measured.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("h"))
+    each = measured.select("host", "digest", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("h"))
     some = stored(above(each.groupBy("host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") > limits.most_docs)), "quality-some")
-    common = lines.join(some, lines["host"].eqNullSafe(some["_host"]) & (lines["h"] == some["_h"]))
-    texts = common.groupBy("_row", "host", "n_words", "digest").agg(F.sum("w").alias("_shared"), F.array_sort(F.collect_set("h")).alias("hs"))
-    own = F.col("n_words") - F.col("_shared")
-    stands = F.when((own > 0) & (own * NEAR_WORDS < F.col("n_words")), F.xxhash64("hs")).otherwise(F.col("digest"))
-    different = texts.select("host", F.explode("hs").alias("h"), stands.alias("stands")).distinct()
+    different = each.join(some, each["host"].eqNullSafe(some["_host"]) & (each["h"] == some["_h"])).select("host", "h", "digest").distinct()
     return above(different.groupBy("host", "h").agg(F.count("*").alias("docs")))
 
 
