@@ -603,12 +603,10 @@ def test_common_lines_go_and_depleted_documents_with_them(spark):
     menu = "home about contact imprint privacy " * 12
     rows = [(i, f"{own(i)}\n{menu}", "en", "h", 0) for i in range(40)] + [(100, f"{own(100)} short\n{menu}", "en", "other", 0)]
     rows += [(200 + i, f"{menu}\none two three four five six seven eight nine ten {i}", "en", "h", 0) for i in range(3)]
-    rows += [(300 + i, "\n".join(own(900 + k) for k in range(8)) + f"\nlast {i}", "en", "h", 0) for i in range(60)]
     limits = quality.Limits(most_docs=20, base_repeat=100)
     got = {r["doc_id"]: r for r in quality.quality_table(spark.createDataFrame(rows, DOCS), limits).collect()}
     assert all(got[i]["n_left"] == 30 and got[i]["kept"] for i in range(40)) and got[100]["n_left"] == got[100]["n_words"]
     assert all(not got[200 + i]["kept"] for i in range(3))
-    assert all(got[300 + i]["kept"] for i in range(60))  # near copies of one document are not each other's boilerplate
     assert {r["doc_id"] for r in quality.keep_good(spark.createDataFrame(rows, DOCS), limits).collect()} == {i for i, r in got.items() if r["kept"]}
 
 
@@ -644,6 +642,14 @@ def test_lines_of_different_documents_go_whatever_else_they_hold(spark):
     assert {got[i] for i in range(300)} == {0} and {got[i] for i in (11000, 21000)} == {6} and got[5000] == 240
 
 
+def test_pages_of_one_menu_lose_it_however_little_else_they_hold(spark):
+    menu = "\n".join(f"menu {i} one two three four five six seven" for i in range(40))
+    rows = [(n * 1000 + i, menu + "\n" + " ".join(f"own{i}x{k}" for k in range(n)), "en", f"host {n}", 0) for n in range(0, 41, 4) for i in range(300)]
+    got = quality.quality_table(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r["n_left"] == r["doc_id"] // 1000 for r in got if r["doc_id"] >= 1000)  # without own words they are one text
+    assert not any(r["kept"] for r in got if 1000 <= r["doc_id"])
+
+
 def test_quality_edge_cases(spark):
     got = quality.quality_table(odd_documents(spark)).collect()
     assert len(got) == 10 and all(r["base_failed"] and not r["kept"] for r in got if r["n_words"] < 20)

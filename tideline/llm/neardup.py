@@ -2,20 +2,21 @@
 
 Documents with one shingle set form a class. Classes are put into groups of similar classes (a leader and what links
 with it); a group stores the union of its members' tokens. A class asks only groups with which it shares one of its rarest
-blocks (see cut), and a group is opened only if the class's overlap with the union reaches what the threshold needs of any
-member.
+tokens, of as many as a link needs, and a group is opened only if the class's overlap with the union reaches what the
+threshold needs of any member.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import discard, mix, pieces, prepare, sent, stored
@@ -165,8 +166,13 @@ def cut(tokens: np.ndarray, like: Likeness) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def sketches(docs: DataFrame, like: Likeness) -> DataFrame:
-    """doc_id, n_shingles, node and hints of every row; a text without words has no node."""
+def row_key() -> Column:
+    """A number that stands for a row's id and text, while rows may lack an id or share one."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"))
+
+
+def sketches(docs: DataFrame, like: Likeness, named: Callable[[np.ndarray, Likeness], np.ndarray] = hints) -> DataFrame:
+    """doc_id, key, n_shingles, node and hints (what `named` makes of a set) of every row; a text without words has no node."""
     prepare(docs.sparkSession)
 
     def each(batches):
@@ -177,28 +183,35 @@ def sketches(docs: DataFrame, like: Likeness) -> DataFrame:
                     tokens = shingles(value.as_py() or "", like.words)
                     n.append(len(tokens))
                     node.append(node_of(tokens) if len(tokens) else None)
-                    names.append(hints(tokens, like).view(np.int64))
+                    names.append(named(tokens, like).view(np.int64))
                 ends = np.cumsum([0, *map(len, names)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(names)))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists], ["doc_id", "n_shingles", "node", "hints"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists], ["doc_id", "key", "n_shingles", "node", "hints"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(each, "doc_id long, n_shingles long, node long, hints array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text")).mapInArrow(each, "doc_id long, key long, n_shingles long, node long, hints array<long>")
 
 
 def token_sets(docs: DataFrame, owners: DataFrame, like: Likeness) -> DataFrame:
-    """node, tokens (sorted 64-bit hashes) and plans (see cut) of the classes in owners (node, doc_id of one of its documents)."""
-    want = sent(owners.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")), 16)
-    ids = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text"))
-    rows = ids.join(want, F.col("_doc") == F.col("_id")).select("_node", "text")
+    """node, tokens (sorted 64-bit hashes) and plans (see cut) of the classes in owners (node, key of one of its documents).
+
+    Of equal rows each task takes one, so a class may come several times, but not as often as it has documents.
+    """
+    want = sent(owners.select(F.col("key").alias("_id"), F.col("node").alias("_node")), 16)
+    ids = docs.select(row_key().alias("_key"), F.col("text"))
+    rows = ids.join(want, F.col("_key") == F.col("_id")).select("_node", "text")
     plan = pa.list_(pa.struct([("spare", pa.int32()), ("names", pa.list_(pa.int64()))]))
 
     def each(batches):
+        seen: set[int] = set()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 node, sets, plans = [], [], []
                 for name, value in zip(piece.column("_node").to_pylist(), piece.column("text"), strict=True):
+                    if name in seen:
+                        continue
                     tokens = shingles(value.as_py() or "", like.words)
-                    if len(tokens) and node_of(tokens) == name:  # an id that several texts have
+                    if len(tokens) and node_of(tokens) == name:  # a key that several texts have
+                        seen.add(name)
                         node.append(name)
                         sets.append(tokens.tobytes())
                         plans.append([{"spare": spare, "names": names.view(np.int64)} for spare, names in cut(tokens, like)])
@@ -217,6 +230,30 @@ def rarest_blocks(sets: DataFrame) -> DataFrame:
     return held.filter(show > 0).select("node", F.explode(F.slice("held", F.lit(1), show)).alias("x")).select("node", F.col("x.block").alias("block"))
 
 
+def rarest_tokens(sets: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
+    """node and block: of each class in nodes as many of its rarest tokens as a link needs, least frequent first.
+
+    A link shares at least num / den of a set's n tokens, so all but n - ceil(n * num / den) of them: of so many and one more
+    of the set's rarest tokens one is shared, and the rarest shared one is among those of both sets. Tokens that one class
+    alone has take places, but leave before anything is sorted; a class that fills all places with them links with none.
+    """
+    wanted = sets.join(nodes, "node", "left_semi").select("node", "tokens")
+
+    def each(batches):
+        for batch in batches:
+            held = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
+            ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+            places = [len(t) - -(-len(t) * like.num // like.den) + 1 for t in held]
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*held, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(t) for t in held], pa.int64()), pa.array(places, pa.int64()), lists], ["node", "n", "places", "tokens"])
+
+    rows = wanted.mapInArrow(each, "node long, n long, places long, tokens array<long>").select("node", "n", "places", F.explode("tokens").alias("token"))
+    known = rows.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("c")).filter("least <> most").select("token", "c")
+    held = rows.join(known, "token").groupBy("node", "n", "places").agg(F.array_sort(F.collect_set(F.struct("c", "token"))).alias("held"))
+    show = F.col("places") - (F.col("n") - F.size("held"))
+    return held.filter(show > 0).select("node", F.explode(F.slice("held", F.lit(1), show.cast("int"))).alias("x")).select("node", F.col("x.token").alias("block"))
+
+
 def shared(a: np.ndarray, b: np.ndarray) -> int:
     """Elements that two sorted sets have in common."""
     if len(a) > len(b):
@@ -315,14 +352,7 @@ def open_groups(members: DataFrame, asking: DataFrame, sets: DataFrame, like: Li
 def link_components(docs: DataFrame, like: Likeness = Likeness()) -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows (stored), and component_id of each node (stored).
 
-    1. Classes that share a hint with another are cut into blocks, and show their rarest ones.
-    2. Each block names its smallest class as leader; every class of the block asks the leader. Links give first components.
-    3. Groups of about GROUP classes are cut from each component, and from the single classes that asked the same leader.
-       Where a block holds several components, each asks the groups of the larger ones, and single classes ask the groups of
-       single classes, each pair of groups in one direction.
-    No pair within a component is looked at again, and copies were merged before, so neither large groups of copies nor
-    large groups of near copies are expanded into pairs. A passage that many documents have is in nobody's rarest blocks but
-    for those documents that hold little else, which link.
+    Classes that share a hint with another are cut into blocks, and show their rarest ones; what shows one block meets in settled().
     """
     rows = stored(sketches(docs, like), "near-rows")
     classes = rows.filter("node IS NOT NULL")
@@ -331,22 +361,47 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> tuple[DataF
         posted = classes.select("node", F.explode("hints").alias("hint"))
         met = posted.groupBy("hint").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("hint")
         owners = owners.join(posted.join(met, "hint").select("node").distinct(), "node")
-    owners = stored(owners.filter("doc_id IS NOT NULL"), "near-owners")
+    owners = stored(owners, "near-owners")
     sets = stored(token_sets(docs, owners, like), "near-sets")
     posted = stored(rarest_blocks(sets), "near-posted")
+    several = stored(meeting(posted), "near-blocks")
+    discard(posted, owners)
+    return rows, settled(classes, sets, several, like)
+
+
+def meeting(posted: DataFrame) -> DataFrame:
+    """block, node and lead of the blocks that several nodes have: each names its smallest node as leader."""
     lists = posted.groupBy("block").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("block", "lead")
-    several = stored(posted.join(lists, "block"), "near-blocks")
+    return posted.join(lists, "block")
+
+
+def settled(classes: DataFrame, sets: DataFrame, several: DataFrame, like: Likeness) -> DataFrame:
+    """component_id of each node (stored). sets and several (see meeting) go.
+
+    1. Every class of a block asks the block's leader. Links give first components.
+    2. Where a block holds several components, its classes take part in the second step: they show their rarest tokens, and
+       only components that share one of these can still be joined. What thousands of texts have in common, however much of
+       each it is, is in nobody's rarest tokens but for those that hold little else, which link.
+    3. Groups of about GROUP classes are cut from each component, and from the single classes that asked the same leader.
+       Of components that share a rare token each asks the groups of the larger ones, and single classes ask the groups
+       of single classes, each pair of groups in one direction.
+    No pair within a component is looked at again, and copies were merged before, so neither large groups of copies nor
+    large groups of near copies are expanded into pairs.
+    """
     stars = stored(several.filter("node <> lead").select("node", "lead").distinct(), "near-stars")
-    discard(posted, owners)
     leaders = stars.select(F.col("lead").alias("gid"), F.col("lead").alias("node"), F.col("lead").alias("comp")).distinct()
     first = stored(open_groups(leaders, stars.select(F.col("lead").alias("gid"), "node", F.col("node").alias("comp")), sets, like), "near-links")
     comps = components(first)
     sizes = comps.groupBy("comp").agg(F.count("*").alias("n"))
     comps = stored(comps.join(sizes, "comp").select("node", "comp", "n"), "near-comps")
 
-    named = several.join(comps, "node", "left").select("block", F.coalesce("comp", "node").alias("comp"), F.coalesce("n", F.lit(1)).alias("n")).distinct()
+    placed = several.join(comps, "node", "left").select("block", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("n", F.lit(1)).alias("n"))
     # of two single classes one is the block's leader, which the other has asked
-    open_ = named.groupBy("block").agg(F.count("*").alias("_c"), F.max("n").alias("_m")).filter("_c > 2 OR (_c = 2 AND _m > 1)").select("block")
+    of_block = placed.select("block", "comp", "n").distinct().groupBy("block").agg(F.count("*").alias("_c"), F.max("n").alias("_m")).filter("_c > 2 OR (_c = 2 AND _m > 1)")
+    late = stored(placed.join(of_block.select("block"), "block").select("node").distinct(), "near-late")
+    rare = stored(rarest_tokens(sets, late, like), "near-rare")
+    named = rare.join(comps, "node", "left").select("block", F.coalesce("comp", "node").alias("comp"), F.coalesce("n", F.lit(1)).alias("n")).distinct()
+    open_ = named.groupBy("block").agg(F.count("*").alias("_c")).filter("_c > 1").select("block")
     mixed = stored(named.join(open_, "block"), "near-mixed")
     asked_first = stars.groupBy("node").agg(F.min("lead").alias("home"))
     single = mixed.filter("n = 1").select(F.col("comp").alias("node")).distinct().join(asked_first, "node", "left").withColumn("home", F.coalesce("home", "node"))
@@ -354,7 +409,7 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> tuple[DataF
     single = stored(single.join(homes, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("_cuts"))).alias("gid")), "near-single")
     entries = mixed.join(single.withColumnRenamed("node", "comp"), "comp", "left")  # gid: null for a component of several
     entries = stored(entries.select("block", "comp", "n", "gid"), "near-entries")
-    discard(several, stars, mixed)
+    discard(several, stars, late, rare, mixed)
     goals = entries.select("block", F.coalesce("gid", "comp").alias("goal"), F.col("n").alias("goal_n")).distinct()
     upward = F.when(F.col("goal_n") == 1, (F.col("n") == 1) & (F.col("gid") <= F.col("goal"))).otherwise((F.col("n") < F.col("goal_n")) | ((F.col("n") == F.col("goal_n")) & (F.col("comp") < F.col("goal"))))
     pairs = stored(entries.join(goals, "block").filter(upward).select("comp", "goal", (F.col("goal_n") > 1).alias("whole")).distinct(), "near-pairs")
@@ -370,16 +425,16 @@ def link_components(docs: DataFrame, like: Likeness = Likeness()) -> tuple[DataF
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     found = stored(named.select("node", "comp").join(least, "comp").select(F.col("node").alias("_node"), "component_id"), "near-found")
     discard(sets, first, comps, single, entries, pairs, groups, final)
-    return rows, found
+    return found
 
 
 def owners_of(classes: DataFrame) -> DataFrame:
-    """node and its smallest doc_id."""
-    return classes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    """node, its smallest doc_id and the key of one of its rows."""
+    return classes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
 
 
-def rows_with_components(docs: DataFrame, like: Likeness) -> DataFrame:
-    rows, found = link_components(docs, like)
+def rows_with_components(docs: DataFrame, like: Likeness, linked_by: Callable[[DataFrame, Likeness], tuple[DataFrame, DataFrame]] = link_components) -> DataFrame:
+    rows, found = linked_by(docs, like)
     linked = rows.filter("node IS NOT NULL").join(found, F.col("node") == F.col("_node"), "left").select("doc_id", "n_shingles", "component_id")
     out = stored(linked.unionByName(rows.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))), "near-documents")
     discard(rows, found)
@@ -390,8 +445,7 @@ def join_table(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row of docs (doc_id, text).
 
     Defined cases: a text without words, or null, has no shingles and is its own component; documents with equal sets are
-    linked; a row without doc_id is part of its class, but a class of such rows alone links with no other and has no
-    component_id; rows that repeat a doc_id with other texts are documents of their own; an empty table gives an empty
+    linked; a row without doc_id links as any other, and a component of such rows alone has no component_id; rows that repeat a doc_id with other texts are documents of their own; an empty table gives an empty
     result; other columns are left out.
     """
     return rows_with_components(docs, like)

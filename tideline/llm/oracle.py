@@ -115,6 +115,23 @@ FROM d LEFT JOIN t ON d.r = t.r LEFT JOIN b ON d.r = b.r LEFT JOIN c ON d.r = c.
 """
 
 
+def near_sql(words: int, num: int, den: int, kept: str = "") -> str:
+    """Links by counting the shingles that two different sets share, components by walking along links."""
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+s AS (SELECT r, doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - {words - 1}, 1) + 1), lambda i: array_to_string(ws[i:i + {words - 1}], ' ')))) AS shingles FROM d WHERE len(ws) > 0),
+k AS MATERIALIZED (SELECT r, doc_id, shingles, len(shingles) AS n, min(r) OVER (PARTITION BY md5(array_to_string(shingles, chr(10)))) AS node FROM s),
+c AS MATERIALIZED (SELECT node, any_value(n) AS n, unnest(any_value(shingles)) AS shingle FROM k GROUP BY node),
+p AS (SELECT x.node AS a, y.node AS b FROM c x JOIN c y ON x.shingle = y.shingle AND x.node < y.node AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) GROUP BY x.node, y.node, x.n, y.n HAVING {den} * count(*) >= {num} * (x.n + y.n - count(*))),
+l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT DISTINCT node, node AS other FROM k UNION SELECT reach.node, l.b FROM reach JOIN l ON reach.other = l.a),
+ids AS (SELECT node, min(doc_id) AS doc_id FROM k GROUP BY node),
+g AS (SELECT reach.node, min(ids.doc_id) AS component_id FROM reach JOIN ids ON ids.node = reach.other GROUP BY reach.node),
+o AS (SELECT d.doc_id, coalesce(k.n, 0)::BIGINT AS n_shingles, CASE WHEN k.r IS NULL THEN d.doc_id ELSE g.component_id END AS component_id FROM d LEFT JOIN k ON d.r = k.r LEFT JOIN g ON k.node = g.node)
+SELECT doc_id, n_shingles, component_id{kept} FROM o
+"""
+
+
 def sharding_sql() -> str:
     low = 18446744073709551615
     crc = ", ".join(str(x) for x in _crc_table())
@@ -146,11 +163,7 @@ u AS (SELECT r, count(*) - count(DISTINCT line) AS dups FROM p GROUP BY r),
 f AS (SELECT d.r, d.doc_id, d.host, md5(d.text) AS digest, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS n_words, length(regexp_replace(text, '{SPACE}', '', 'g'))::BIGINT AS word_chars,
       len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(u.dups, 0)::BIGINT AS n_dup_lines, coalesce(m.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN u ON d.r = u.r LEFT JOIN m ON d.r = m.r),
 most AS (SELECT host, greatest(50, count(*) * 0.01) AS most FROM d GROUP BY host),
-s AS (SELECT p.host, p.h FROM p JOIN most ON p.host IS NOT DISTINCT FROM most.host GROUP BY p.host, p.h, most HAVING count(DISTINCT p.r) > most),
-c AS (SELECT p.r, p.host, p.h, p.n FROM p JOIN s ON p.host IS NOT DISTINCT FROM s.host AND p.h = s.h),
-o AS (SELECT c.r, c.host, f.digest, f.n_words, sum(c.n) AS held, md5(string_agg(DISTINCT c.h, ',' ORDER BY c.h)) AS held_lines FROM c JOIN f ON c.r = f.r GROUP BY ALL),
-k AS (SELECT o.r, CASE WHEN n_words > held AND (n_words - held) * 50 < n_words THEN held_lines ELSE digest END AS stands FROM o),
-x AS (SELECT c.host, c.h FROM c JOIN k ON c.r = k.r JOIN most ON c.host IS NOT DISTINCT FROM most.host GROUP BY c.host, c.h, most HAVING count(DISTINCT k.stands) > most),
+x AS (SELECT p.host, p.h FROM p JOIN f ON p.r = f.r JOIN most ON p.host IS NOT DISTINCT FROM most.host GROUP BY p.host, p.h, most HAVING count(DISTINCT f.digest) > most),
 z AS (SELECT p.r, sum(p.n) AS gone FROM p JOIN x ON p.host IS NOT DISTINCT FROM x.host AND p.h = x.h GROUP BY p.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words - coalesce(gone, 0))::BIGINT AS n_left, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - coalesce(gone, 0) >= 0.3 * n_words AS kept FROM f LEFT JOIN z ON f.r = z.r
@@ -167,4 +180,4 @@ def _crc_table() -> list[int]:
 
 
 def sql(entries, start: str) -> dict[str, str]:
-    return {"op3_url_filter": url_sql(entries, start), "op4_source_mixing": MIXING, "op5_warc_archive": WARC, "op7_license_scan": licenses_sql(), "op9_sharding": sharding_sql(), "op10_quality_rules": QUALITY, "op11_conversation_trie": trie_sql(), "op12_period_runs": periods_sql()}
+    return {"op1_ngram_jaccard_join": near_sql(3, 90, 100), "op3_url_filter": url_sql(entries, start), "op4_source_mixing": MIXING, "op5_warc_archive": WARC, "op7_license_scan": licenses_sql(), "op9_sharding": sharding_sql(), "op10_quality_rules": QUALITY, "op11_conversation_trie": trie_sql(), "op12_period_runs": periods_sql(), "op13_minmax_dedup": near_sql(2, 80, 100, ", doc_id IS NOT DISTINCT FROM component_id AS kept")}

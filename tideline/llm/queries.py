@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, language, licenses, mixing, neardup, nearest, periods, quality, sharding, trie, urlfilter, warc
+from tideline.llm import bpe, language, licenses, minmax, mixing, neardup, nearest, periods, quality, sharding, trie, urlfilter, warc
 
 #: Where the tokenizer file is.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -87,8 +87,12 @@ def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.runs_digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.dedup_table(_table(spark, sf_dir, "documents"))
+
+
 def queries():
-    named = (op1_ngram_jaccard_join, op2_language_id, op3_url_filter, op4_source_mixing, op5_warc_archive, op6_bpe_codec, op7_license_scan, op8_nearest_neighbours, op9_sharding, op10_quality_rules, op11_conversation_trie, op12_period_runs)
+    named = (op1_ngram_jaccard_join, op2_language_id, op3_url_filter, op4_source_mixing, op5_warc_archive, op6_bpe_codec, op7_license_scan, op8_nearest_neighbours, op9_sharding, op10_quality_rules, op11_conversation_trie, op12_period_runs, op13_minmax_dedup)
     return {f.__name__: f for f in named}
 
 
