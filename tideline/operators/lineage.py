@@ -1,17 +1,29 @@
-"""Cutting the lineage of steps that build on each other."""
+"""The shared folder, and cutting the lineage of steps that build on each other."""
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A session in one process may do without the setting and gets a folder of
+    its own; on a cluster a missing setting is an error, as executors share no local folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _own[app]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder that spark.checkpoint.dir names. A session in one process may do without the
-    setting and gets a folder of its own; on a cluster a missing setting is an error, as executors share no local folder."""
+    """The rows, written to the shared folder; what builds on them doesn't plan or compute them again."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

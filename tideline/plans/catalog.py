@@ -342,12 +342,6 @@ def linkage_groups(spark, sf_dir):
     return assign.linkage_groups(c.select("session", "pos", "id"), pairs, t.conflicts(), ["session"], 0.8)
 
 
-@query()
-def bounded_references(spark, sf_dir):
-    e = Tables(spark, sf_dir).embeddings
-    return assign.reservoir(e.select(F.concat(F.lit("spk"), "label").alias("name"), F.col("vec_id").alias("ord"), "embedding", ((F.col("vec_id") * 7919) % 97).cast("double").alias("clip_s")))
-
-
 @query("SELECT user_id AS k, round(list_sort(list(value))[(count(*) // 2 + 1)::INT], 6) AS upper FROM events GROUP BY 1")
 def upper_medians(spark, sf_dir):
     e = Tables(spark, sf_dir).events.select(F.col("user_id").alias("k"), "value")
@@ -367,4 +361,4 @@ def local_supplier_volume(spark, sf_dir):
     return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-from tideline.plans import answers, meetings, sessions  # noqa: E402, F401  (register their queries)
+from tideline.plans import answers, meetings, sessions, streams  # noqa: E402, F401  (register their queries)

@@ -29,9 +29,11 @@ class Recorder(StatefulProcessor):
         phase, tried, due = held
         while phase == "beginning" and due is not None and at >= due:
             tried += 1
-            phase, due = ("watching", None) if tried >= self.tries else ("beginning", due + self.wait_ms)
-            if phase == "watching":
-                out.append((due if due is not None else at, "abandoned"))
+            if tried < self.tries:
+                due += self.wait_ms
+            else:
+                out.append((due, "abandoned"))  # when the last try was due, not when the next event tells of it
+                phase, due = "watching", None
         if phase == "watching" and kind == "Started":
             return "beginning", 0, at + self.wait_ms
         if phase == "beginning" and kind == "Ready":
