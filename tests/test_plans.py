@@ -103,3 +103,38 @@ def test_audio_headers_against_what_the_file_holds(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1][:-4]: (r.evidence, r.bytes) for r in reports.wav_evidence(spark, str(tmp_path)).collect()}
     assert {k: e for k, (e, _) in got.items()} == {k: k for k in cases}
     assert (got["short"][1], got["beyond"][1], got["no_declared_length"][1], got["complete"][1]) == (5, 5, 6, None)
+
+
+def test_spans_and_loud_windows_equal_a_walk(spark):
+    """Overlapping and nested regions, spans of more pieces than one look ahead, ramps and plateaus, null keys."""
+    import random
+
+    rng = random.Random(6)
+    regions = [(k, s, s + rng.choice([0, 3, 20, 150, 700]), 4000) for k in ("a", "b", None) for s in sorted(rng.randrange(3500) for _ in range(60))]
+    regions += [("c", s, s + 2, 4000) for s in range(0, 400, 5)]
+    want = []
+    for key in ("a", "b", None, "c"):
+        spans, held = [], []
+        for _, s, e, size in sorted(r for r in regions if r[0] == key):
+            for x in range(s, e, 480):
+                y = min(x + 480, e)
+                low, high = max(x - 10, 0), min(y + 10, size)
+                if spans and low < spans[-1][1] + 30 and max(spans[-1][1], high) - spans[-1][0] <= 500:
+                    spans[-1][1] = max(spans[-1][1], high)
+                else:
+                    spans.append([low, high])
+                held.append((len(spans) - 1, x, y, x == s, y == e))
+        want += [(key, n, *spans[n], *rest) for n, *rest in held]
+    got = planning.span_plan(spark.createDataFrame(regions, "k string, start long, end long, size long"), ["k"], 10, 30, 500)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+    loud = [(k, s, float(e)) for k in ("x", None) for s, e in enumerate(rng.choice([0, 1, 5, 5, 9, i % 50]) for i in range(300))] + [("ramp", s, float(s)) for s in range(90)]
+    want = []
+    for key in ("x", None, "ramp"):
+        taken = []
+        for s, _ in sorted(((s, e) for k, s, e in loud if k == key and e > 0), key=lambda c: (-c[1], c[0])):
+            if len(taken) < 5 and all(abs(s - t) >= 7 for t in taken):
+                taken.append(s)
+        want += [(key, s) for s in taken]
+    got = planning.loud_windows(spark.createDataFrame(loud, "k string, start long, energy double"), ["k"], 7, 5)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)

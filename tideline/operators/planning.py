@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators import stats
+from tideline.operators.lineage import checkpointed
 
 
 def track_offsets(mic_ticks: Column, speaker_ticks: Column, numer: Column, denom: Column) -> tuple[Column, Column]:
@@ -52,45 +52,106 @@ def window_plan(tracks: DataFrame, size: str, window: int, stride: int) -> DataF
     return tracks.filter(F.col(size) > 0).withColumn("window_start", F.explode(starts))
 
 
+#: Pieces that a span's start is compared with at once, when the next span's start is looked for.
+AHEAD = 16
+
+
+def _same(left: str, right: str, keys: list[str]) -> Column:
+    """All keys agree between two aliased tables, null with null."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return out
+
+
+def next_starts(pieces: DataFrame, keys: list[str], gap: int, most: int) -> DataFrame:
+    """keys, n and to: where the next span starts if one starts at piece n; no row where none follows. pieces: keys, n, low, high.
+
+    What follows a start depends on the start alone. Each start looks at its next AHEAD pieces; those that found no end of
+    their span there look further, round by round, until none is left. Only that is asked of the driver.
+    """
+    here = pieces.select(*keys, "n", F.col("low").alias("s"), F.col("high").alias("e"), F.col("n").alias("last"))
+    found = None
+    while True:
+        ahead = here.withColumn("j", F.explode(F.sequence(F.col("last") + 1, F.col("last") + AHEAD))).alias("h")
+        met = ahead.join(pieces.alias("p"), _same("h", "p", keys) & (F.col("h.j") == F.col("p.n"))).select("h.*", "low", "high")
+        before = F.greatest("e", F.coalesce(F.max("high").over(Window.partitionBy(*keys, "n").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)), F.col("e")))
+        joins = (F.col("low") < before + gap) & (F.greatest(before, F.col("high")) - F.col("s") <= most)
+        seen = met.withColumn("joins", joins).groupBy(*keys, "n", "s", "e", "last").agg(F.min(F.when(~F.col("joins"), F.col("j"))).alias("to"), F.count("*").alias("c"), F.max("high").alias("m"))
+        seen = checkpointed(seen.filter(F.col("to").isNotNull() | (F.col("c") == AHEAD)))
+        some = seen.filter("to IS NOT NULL").select(*keys, "n", "to")
+        found = some if found is None else found.unionByName(some)
+        here = seen.filter("to IS NULL").select(*keys, "n", "s", F.greatest("e", "m").alias("e"), (F.col("last") + AHEAD).alias("last"))
+        if here.isEmpty():
+            return checkpointed(found)
+
+
+def reached(jumps: DataFrame, keys: list[str], first: DataFrame) -> DataFrame:
+    """keys and n of what is reached from `first` (keys, n) by any number of jumps (keys, n, to; a later n each).
+
+    Pointer doubling: round k adds what 2 ** k jumps reach from all that is known, so rounds grow with the logarithm of the
+    longest chain.
+    """
+    known, jump = first, jumps
+    while True:
+        more = checkpointed(known.alias("k").join(jump.alias("j"), _same("k", "j", keys) & (F.col("k.n") == F.col("j.n"))).select(*[F.col(f"k.{k}").alias(k) for k in keys], F.col("to").alias("n")))
+        if more.isEmpty():
+            return known
+        known = checkpointed(known.unionByName(more))
+        jump = checkpointed(jump.alias("a").join(jump.alias("b"), _same("a", "b", keys) & (F.col("a.to") == F.col("b.n"))).select(*[F.col(f"a.{k}").alias(k) for k in keys], "a.n", "b.to"))
+
+
 def span_plan(regions: DataFrame, keys: list[str], context: int, gap: int, most: int) -> DataFrame:
     """Spans to work on, with what they own: keys, span, start, end, piece_start, piece_end, fade_in, fade_out.
 
     regions: keys, start, end, size (the track's length), in whole samples. A region is cut into pieces of at most `most` less
-    twice the context. A piece with its context joins the span before it if it begins less than `gap` after its end and the
-    two together hold at most `most`. The walk depends on its order, so each track is walked by itself.
+    twice the context. In the order of start and end, a piece with its context joins the span before it if it begins less than
+    `gap` after its end and the two together hold at most `most`. Regions without length own nothing; equal regions own
+    twice; null keys are a track; an empty table gives an empty result.
     """
-    named = {f.name: f.dataType.simpleString() for f in regions.schema.fields}
-    schema = ", ".join([f"`{k}` {named[k]}" for k in keys] + ["span long, start long, end long, piece_start long, piece_end long, fade_in boolean, fade_out boolean"])
     own = max(most - 2 * context, 1)
-
-    def walk(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        spans, rows = [], []
-        for r in group.sort_values(["start", "end"]).itertuples():
-            for a in range(int(r.start), int(r.end), own):
-                b = min(a + own, int(r.end))
-                low, high = max(a - context, 0), min(b + context, int(r.size_))
-                if spans and low < spans[-1][1] + gap and max(spans[-1][1], high) - spans[-1][0] <= most:
-                    spans[-1][1] = max(spans[-1][1], high)
-                else:
-                    spans.append([low, high])
-                rows.append((len(spans) - 1, a, b, a == r.start, b == r.end))
-        return pd.DataFrame([(*key, n, *spans[n], *rest) for n, *rest in rows], columns=[*keys, "span", "start", "end", "piece_start", "piece_end", "fade_in", "fade_out"])
-
-    return regions.withColumnRenamed("size", "size_").groupBy(*keys).applyInPandas(walk, schema)
+    cut = regions.filter(F.col("end") > F.col("start")).withColumn("piece_start", F.explode(F.sequence(F.col("start").cast("long"), F.col("end").cast("long") - 1, F.lit(own).cast("long"))))
+    cut = cut.withColumn("piece_end", F.least(F.col("piece_start") + own, F.col("end").cast("long")))
+    order = Window.partitionBy(*keys).orderBy("start", "end", "piece_start", "size")
+    pieces = checkpointed(cut.select(
+        *keys, F.row_number().over(order).cast("long").alias("n"), F.greatest(F.col("piece_start") - context, F.lit(0)).alias("low"), F.least(F.col("piece_end") + context, F.col("size").cast("long")).alias("high"),
+        "piece_start", "piece_end", (F.col("piece_start") == F.col("start")).alias("fade_in"), (F.col("piece_end") == F.col("end")).alias("fade_out"),
+    ))
+    starts = reached(next_starts(pieces.select(*keys, "n", "low", "high"), keys, gap, most), keys, pieces.filter("n = 1").select(*keys, "n"))
+    marked = pieces.alias("p").join(starts.withColumn("_first", F.lit(1)).alias("s"), _same("p", "s", keys) & (F.col("p.n") == F.col("s.n")), "left").select("p.*", "_first")
+    spans = marked.withColumn("span", F.count("_first").over(Window.partitionBy(*keys).orderBy("n")) - 1)
+    whole = Window.partitionBy(*keys, "span")
+    return spans.select(*keys, "span", F.min_by("low", "n").over(whole).alias("start"), F.max("high").over(whole).alias("end"), "piece_start", "piece_end", "fade_in", "fade_out")
 
 
 def loud_windows(candidates: DataFrame, keys: list[str], apart: int, most: int = 12) -> DataFrame:
-    """Up to `most` windows of each track, by falling energy (ties: earlier), each at least `apart` from all chosen before. candidates: keys, start, energy."""
-    named = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
-
-    def choose(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[int] = []
-        for start in group[group["energy"] > 0].sort_values(["energy", "start"], ascending=[False, True])["start"]:
-            if len(chosen) < most and all(abs(start - c) >= apart for c in chosen):
-                chosen.append(int(start))
-        return pd.DataFrame([(*key, c) for c in sorted(chosen)], columns=[*keys, "start"])
-
-    return candidates.groupBy(*keys).applyInPandas(choose, ", ".join([f"`{k}` {named[k]}" for k in keys] + ["start long"]))
+    """Up to `most` windows of each track, by falling energy (ties: earlier), each at least `apart` from all chosen before:
+    keys and start. candidates: keys, start, energy.
+
+    Rounds: every candidate that none beats within its distance is taken, as nothing can come before it that is near, and its
+    neighbours go. A track's best candidate left is taken in each round, so after `most` rounds the `most` best of all taken are
+    those that the walk takes. Stretches of `apart` samples hold one such candidate at most and meet only their neighbours, so a
+    track is worked on in as many parts as it has stretches. Energy that is null, NaN or not above zero is silence; equal
+    candidates count once; null keys are a track; an empty table gives an empty result.
+    """
+    stretch = lambda at: F.floor(F.col(at) / apart)
+    left = candidates.filter((F.col("energy") > 0) & ~F.isnan(F.col("energy").cast("double"))).select(*keys, F.col("start").cast("long").alias("start"), "energy").distinct()
+    left, taken = checkpointed(left.withColumn("part", stretch("start"))), None
+    near = lambda df: df.withColumn("part", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)))
+    meets = _same("x", "y", keys) & (F.col("x.part") == F.col("y.part")) & (F.abs(F.col("x.start") - F.col("y.start")) < apart)
+    for _ in range(most):
+        best = left.groupBy(*keys, "part").agg(F.max(F.struct("energy", (-F.col("start")).alias("_s"))).alias("b")).select(*keys, "part", (-F.col("b._s")).alias("start"), F.col("b.energy").alias("energy"))
+        better = (F.col("y.energy") > F.col("x.energy")) | ((F.col("y.energy") == F.col("x.energy")) & (F.col("y.start") < F.col("x.start")))
+        beaten = near(best).alias("x").join(left.alias("y"), meets & better, "left_semi").select(*keys, F.col("start")).distinct()
+        won = checkpointed(best.alias("x").join(beaten.alias("y"), _same("x", "y", keys) & (F.col("x.start") == F.col("y.start")), "left_anti"))
+        taken = won if taken is None else taken.unionByName(won)
+        left = checkpointed(left.alias("x").join(near(won).alias("y"), meets, "left_anti"))
+        if left.isEmpty():
+            break
+    if taken is None:
+        return left.select(*keys, "start").limit(0)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("energy").desc(), "start"))
+    return taken.withColumn("_n", rank).filter(F.col("_n") <= most).select(*keys, "start")
 
 
 def steady_lags(lags: DataFrame, keys: list[str], at: str, lag: str, tolerance: int, spread: int, least: int = 3) -> DataFrame:

@@ -51,11 +51,20 @@ def sampled_median(frames: DataFrame, keys: list[str], at: str, value: str, ever
     return stats.upper_medians(frames.filter(F.col(at) % every == 0), keys, value).withColumnRenamed("upper", "median")
 
 
-def energies(samples: DataFrame, keys: list[str], at: str, value: str, window: int) -> DataFrame:
-    """The energy of the window of so many samples that starts at each sample and is whole: keys, start, energy."""
-    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(0, window - 1)
-    e = samples.withColumn("energy", F.sum(F.col(value).cast("double") * F.col(value)).over(w)).withColumn("_n", F.count("*").over(w))
-    return e.filter(F.col("_n") == window).select(*keys, F.col(at).alias("start"), "energy")
+def energies(samples: DataFrame, keys: list[str], at: str, value: str, window: int, stride: int | None = None) -> DataFrame:
+    """The energy of each window of so many samples that is whole: keys, start, energy. Windows start every `stride` samples
+    from 0 on, a quarter of a window unless said otherwise.
+
+    Samples are summed in blocks first, and blocks in windows, so a track is not one task's work. A null value has no energy
+    but is there; a sample given twice counts twice; an empty table gives an empty result.
+    """
+    step = stride or max(1, window // 4)
+    block = math.gcd(window, step)
+    blocks = samples.groupBy(*keys, F.floor(F.col(at) / block).alias("_b")).agg(F.coalesce(F.sum(F.col(value).cast("double") * F.col(value)), F.lit(0.0)).alias("_e"), F.count("*").alias("_n"))
+    low, high = F.ceil((F.col("_b") * block + block - window) / step), F.floor(F.col("_b") * block / step)
+    spread = blocks.filter(high >= F.greatest(low, F.lit(0))).withColumn("start", F.explode(F.sequence(F.greatest(low, F.lit(0)) * step, high * step, F.lit(step).cast("long"))))
+    e = spread.groupBy(*keys, "start").agg(F.sum("_e").alias("energy"), F.sum("_n").alias("_n"))
+    return e.filter(F.col("_n") == window).select(*keys, "start", "energy")
 
 
 def dbfs(peak: Column) -> Column:

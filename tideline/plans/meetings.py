@@ -157,13 +157,24 @@ def sampled_medians(spark, sf_dir):
 
 @query(f"SELECT user_id, i AS \"start\", round(e, 4) AS energy FROM (SELECT user_id, i, sum(p * p) OVER w AS e, count(*) OVER w AS n FROM {_FR} WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE n = 8")
 def window_energies(spark, sf_dir):
-    return signal.energies(_frames(spark, sf_dir), ["user_id"], "i", "p", 8).withColumn("energy", F.round("energy", 4))
+    return signal.energies(_frames(spark, sf_dir), ["user_id"], "i", "p", 8, 1).withColumn("energy", F.round("energy", 4))
 
 
-@query()
+def greedy(candidates: str, apart: int, most: int) -> str:
+    """SQL that walks each user's candidates (user_id, start, energy) by falling energy and takes what is far from all taken."""
+    return (
+        f"WITH RECURSIVE c AS (SELECT user_id, start, row_number() OVER (PARTITION BY user_id ORDER BY energy DESC, start) AS n FROM ({candidates}) WHERE energy > 0),"
+        f" w AS (SELECT user_id, 0::BIGINT AS n, []::BIGINT[] AS taken FROM (SELECT DISTINCT user_id FROM c)"
+        f" UNION ALL SELECT w.user_id, c.n, CASE WHEN len(taken) < {most} AND len(list_filter(taken, lambda t: abs(t - c.start) < {apart})) = 0 THEN list_append(taken, c.start) ELSE taken END FROM w JOIN c ON c.user_id = w.user_id AND c.n = w.n + 1)"
+        f" SELECT user_id, unnest(arg_max(taken, n)) AS start FROM w GROUP BY user_id"
+    )
+
+
+@query(greedy(f"SELECT user_id, k * 2 AS start, round(sum(p * p), 6) AS energy FROM {_FR} JOIN range(0, 100000) r(k) ON i >= k * 2 AND i < k * 2 + 8 GROUP BY user_id, k HAVING count(*) = 8", 8, 4))
 def loudest_stretches(spark, sf_dir):
-    """The loudest windows by their measured energy."""
-    return planning.loud_windows(signal.energies(_frames(spark, sf_dir), ["user_id"], "i", "p", 8), ["user_id"], 8, 4)
+    """The loudest windows by their measured energy, which start every quarter of a window."""
+    e = signal.energies(_frames(spark, sf_dir), ["user_id"], "i", "p", 8)
+    return planning.loud_windows(e.withColumn("energy", F.round("energy", 6)), ["user_id"], 8, 4)
 
 
 @query(f"WITH l AS (SELECT user_id % 2 AS source, user_id // 2 AS pair, i, p / 100 AS v FROM {_FR}), s AS (SELECT pair, source, -20 - source * 3 - max(v) AS lufs, CASE source WHEN 0 THEN -0.5 ELSE 0.75 END::DOUBLE AS pan, source * 1.5::DOUBLE AS off FROM l GROUP BY pair, source), g AS (SELECT *, pow(10, least(-23 - lufs, 6) / 20) AS gain, (greatest(-1, least(1, pan)) + 1) * pi() / 4 AS th FROM s), m AS (SELECT l.pair, l.i + floor(off * 4 + 0.5)::BIGINT AS i, sum(v * gain * cos(th)) AS l, sum(v * gain * sin(th)) AS r FROM l JOIN g USING (pair, source) GROUP BY ALL), k AS (SELECT pair, max(greatest(abs(l), abs(r))) AS peak FROM m GROUP BY 1) SELECT pair, i, round(l * CASE WHEN peak > 0.99 THEN 0.99 / peak ELSE 1 END, 6) AS \"left\", round(r * CASE WHEN peak > 0.99 THEN 0.99 / peak ELSE 1 END, 6) AS \"right\" FROM m JOIN k USING (pair)")

@@ -9,6 +9,7 @@ from tideline.functions import vectors as V
 from tideline.operators import cache, names, planning, segments, voices
 from tideline.operators import vectors as vec
 from tideline.plans.catalog import _CL, _EDGE, _FR, CUT, EVENTS, Tables, _frames, query
+from tideline.plans.meetings import greedy
 from tideline.sources import reports
 
 _TURNS = "(SELECT conv_id, turn, role AS speaker, turn * 7.5::DOUBLE AS start_s, turn * 7.5::DOUBLE + (turn % 4) * 0.5::DOUBLE AS end_s, text FROM conversations)"
@@ -45,12 +46,16 @@ def _regions(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", (F.col("turn") * 900).alias("start"), (F.col("turn") * 900 + (F.col("turn") * 37 % 11) * 90).alias("end"), F.lit(100_000).cast("long").alias("size"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE r AS (SELECT conv_id, turn * 900 AS s, turn * 900 + (turn * 37 % 11) * 90 AS e, 100000 AS size FROM conversations), p AS (SELECT *, unnest(range(s, e, 1900)) AS a FROM r), q AS (SELECT *, least(a + 1900, e) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY s, e, a) AS n FROM p), k AS (SELECT *, greatest(a - 50, 0) AS low, least(b + 50, size) AS high FROM q),"
+    " w AS (SELECT conv_id, n, 0::BIGINT AS span, low AS first, high AS last FROM k WHERE n = 1 UNION ALL SELECT conv_id, n, CASE WHEN near THEN span ELSE span + 1 END, CASE WHEN near THEN first ELSE low END, CASE WHEN near THEN greatest(last, high) ELSE high END FROM (SELECT w.conv_id, k.n, w.span, w.first, w.last, k.low, k.high, k.low < w.last + 150 AND greatest(w.last, k.high) - w.first <= 2000 AS near FROM w JOIN k ON k.conv_id = w.conv_id AND k.n = w.n + 1))"
+    " SELECT k.conv_id, w.span, min(first) OVER v AS \"start\", max(last) OVER v AS \"end\", a AS piece_start, b AS piece_end, a = s AS fade_in, b = e AS fade_out FROM k JOIN w USING (conv_id, n) WINDOW v AS (PARTITION BY k.conv_id, w.span)"
+)
 def span_plan(spark, sf_dir):
     return planning.span_plan(_regions(Tables(spark, sf_dir)), ["conv_id"], 50, 150, 2000)
 
 
-@query()
+@query(greedy(f"SELECT user_id, i AS start, round(p * p, 6) AS energy FROM {_FR}", 4, 3))
 def loud_windows(spark, sf_dir):
     f = _frames(spark, sf_dir)
     return planning.loud_windows(f.select("user_id", F.col("i").alias("start"), F.round(F.col("p") * F.col("p"), 6).alias("energy")), ["user_id"], 4, 3)
