@@ -52,6 +52,12 @@ def test_a_group_is_answered_voice_by_voice(spark):
     assert told(False) == [("x", 1, "applied", None, False), ("x", 2, "vetoed", 1, False), ("x", 5, "taken", 4, False), ("x", 6, "applied", None, False), ("y", 1, "applied", None, False)]
     assert told(True) == [("x", 1, "applied", None, False), ("x", 2, "applied", None, True), ("x", 5, "applied", None, True), ("x", 6, "applied", None, False), ("y", 1, "applied", None, False)]
     assert assign.folded_answers(a.limit(0), derive, both, keys).count() == 0
+    # the walk in one task for each session tells the same
+    grouped = a.withColumn("grp", F.col("sure").cast("long")).withColumn("authority", F.col("sure"))
+    none = known.limit(0)
+    walked = assign.walked_answers(grouped, c, none.withColumn("ord", F.lit(0)), known, none, none, edges, ["g"])
+    assert sorted(((r.g, bool(r.grp), r.id, r.name, r.verdict, r.other, r.overridden) for r in walked.collect()), key=str) == sorted(((r.g, r.sure, r.id, r.name, r.verdict, r.other, r.overridden) for r in got), key=str)
+    assert assign.walked_answers(grouped.limit(0), c, none.withColumn("ord", F.lit(0)), known, none, none, edges, ["g"]).count() == 0
 
 
 def test_leaving_out_a_reference_equals_ranking_without_it(spark):

@@ -148,6 +148,94 @@ def folded_answers(answers: DataFrame, derive, conflicts: DataFrame, keys: list[
     return steps
 
 
+def walked_answers(answers: DataFrame, clusters: DataFrame, hand: DataFrame, identified: DataFrame, tentative: DataFrame, denied: DataFrame, conflicts: DataFrame, keys: list[str]) -> DataFrame:
+    """What folded_answers gives, from what is known of a session, in one task for it: answers (keys, grp, id, name, first_s,
+    authority boolean), clusters (keys, id, first_s), hand (keys, id, name and ord: rows given by hand before), identified, tentative
+    and denied (keys, id, name), conflicts (keys, a, b). Answers don't change who is identified; see labels for what they change.
+
+    An answer replaces its cluster's rows given by hand. All groups of a session are walked beside each other's state, each from
+    the session as it is. Work and memory of a task are those of a session: its clusters, conflicts and answers, no vectors. A
+    group has authority where any of its answers says so. Nulls, repeated answers and empty tables as in folded_answers; null
+    keys are no session. Gives keys, grp, id, name, verdict, other, overridden.
+    """
+    null = lambda kind: F.lit(None).cast(kind)
+
+    def part(what: str, df: DataFrame, i: str = "id", j=None, name: str | None = "name", at: str | None = None, grp=None, sure=None) -> DataFrame:  # noqa: ANN001
+        return df.select(
+            *keys, F.lit(what).alias("what"), F.col(i).cast("long").alias("i"), (null("long") if j is None else F.col(j).cast("long")).alias("j"), (null("string") if name is None else F.col(name).cast("string")).alias("name"),
+            (null("double") if at is None else F.col(at).cast("double")).alias("at"), (null("long") if grp is None else F.col(grp).cast("long")).alias("grp"), (null("boolean") if sure is None else F.col(sure)).alias("sure"),
+        )
+
+    rows = part("answer", answers.filter("id IS NOT NULL AND name IS NOT NULL"), at="first_s", grp="grp", sure="authority")
+    for more in (part("cluster", clusters, name=None, at="first_s"), part("hand", hand, j="ord"), part("identified", identified), part("tentative", tentative), part("denied", denied), part("edge", conflicts, i="a", j="b", name=None)):
+        rows = rows.unionByName(more)
+    asked = answers.select(*keys).distinct()
+
+    def walk(pdf):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        of = {what: list(g.itertuples()) for what, g in pdf.groupby("what")}
+        order = [int(r.i) for r in sorted(of.get("cluster", []), key=lambda r: (r.at, r.i))]
+        unknown = {i: f"Unknown {n}" for n, i in enumerate(order, 1)}
+        standing: dict[int, str] = {}
+        for r in sorted(of.get("hand", []), key=lambda r: r.j):
+            standing.setdefault(int(r.i), r.name)
+        known = {what: {int(r.i): r.name for r in of.get(what, [])} for what in ("identified", "tentative")}
+        refused = {(int(r.i), r.name) for r in of.get("denied", [])}
+        rivals: dict[int, set[int]] = {}
+        for r in of.get("edge", []):
+            rivals.setdefault(int(r.i), set()).add(int(r.j))
+            rivals.setdefault(int(r.j), set()).add(int(r.i))
+        meets = lambda i, name, holders: any(holders.get(x) == name for x in rivals.get(i, ()))
+
+        def labelled(given: dict[int, str], forced: dict[int, str], pending: int | None) -> dict[int, tuple[str, bool]]:
+            """Each cluster's label, and whether it is a name."""
+            stands = {i: n for i, n in given.items() if i not in forced and not meets(i, n, forced)}
+            if pending in stands and any(x < pending and stands.get(x, forced.get(x)) == stands[pending] for x in rivals.get(pending, ())):
+                del stands[pending]
+            held = stands | forced
+            out = {}
+            for i in order:
+                name = held.get(i)
+                for what in ("identified", "tentative"):
+                    guess = known[what].get(i)
+                    if name is None and guess is not None and not meets(i, guess, held) and not (what == "tentative" and (i, guess) in refused):
+                        name = guess
+                out[i] = (unknown[i], False) if name is None else (name, True)
+            return out
+
+        out = []
+        groups: dict[int, dict[int, list]] = {}
+        sure: set[int] = set()
+        for r in of.get("answer", []):
+            seen = groups.setdefault(int(r.grp), {}).setdefault(int(r.i), [r.name, r.at])
+            seen[0] = min(seen[0], r.name)
+            seen[1] = r.at if seen[1] != seen[1] else min(seen[1], r.at) if r.at == r.at else seen[1]
+            if r.sure is True or r.sure == 1:
+                sure.add(int(r.grp))
+        for grp, members in groups.items():
+            given, done = dict(standing), {}
+            for i, (name, _) in sorted(members.items(), key=lambda m: (m[1][1] == m[1][1], m[1][1] if m[1][1] == m[1][1] else 0.0, m[0])):
+                forced = done | {i: name} if grp in sure else {}
+                before, after = labelled(given, forced, None), labelled(given | {i: name}, forced, i)
+                beaten = grp in sure and any(lab == name for x, (lab, _) in labelled(given, done, None).items() if x in rivals.get(i, ()))
+                holder = min((x for x in order if x != i and after[x][0] == name), default=None)
+                loser = min((x for x in order if x != i and before[x][1] and after[x][0] != before[x][0]), default=None)
+                verdict, other = ("vetoed", holder) if i not in after or after[i][0] != name else ("taken", loser) if loser is not None else ("applied", None)
+                if verdict == "applied":
+                    given[i], done[i] = name, name
+                out.append((grp, i, name, verdict, other, beaten))
+        told = pd.DataFrame(out, columns=["grp", "id", "name", "verdict", "other", "overridden"]).astype({"other": "Int64"})
+        for k in reversed(keys):
+            told.insert(0, k, pdf[k].iloc[0])
+        return told
+
+    schema = answers.select(*keys).schema
+    for name, kind in (("grp", "long"), ("id", "long"), ("name", "string"), ("verdict", "string"), ("other", "long"), ("overridden", "boolean")):
+        schema = schema.add(name, kind)
+    return rows.join(asked, keys, "left_semi").groupBy(*keys).applyInPandas(walk, schema)
+
+
 def without_each(ranked: DataFrame, keys: list[str], loose: float) -> DataFrame:
     """Rankings as they would be without each single reference: scenario (the reference left out), keys, id, name, similarity.
 
@@ -162,10 +250,12 @@ def without_each(ranked: DataFrame, keys: list[str], loose: float) -> DataFrame:
     return out.select("scenario", *keys, "id", "name", F.when(F.col("_best") == F.col("scenario"), F.col("_second")).otherwise(F.col("similarity")).alias("similarity")).filter("similarity IS NOT NULL")
 
 
-def labels(clusters: DataFrame, forced: DataFrame, assigned: DataFrame, identified: DataFrame, tentative: DataFrame, denied: DataFrame, conflicts: DataFrame, keys: list[str]) -> DataFrame:
-    """The label of each cluster (keys, id, first_s) by precedence: forced, assigned by hand, identified, tentative, Unknown N.
+def labels(clusters: DataFrame, forced: DataFrame, assigned: DataFrame, identified: DataFrame, tentative: DataFrame, denied: DataFrame, conflicts: DataFrame, keys: list[str], one_speaker: DataFrame | None = None) -> DataFrame:
+    """The label of each cluster (keys, id, first_s) by precedence: the session's one speaker (one_speaker: keys, name), forced,
+    assigned by hand, identified, tentative, Unknown N.
 
-    An identified or tentative name gives way where the cluster conflicts with one that was assigned that name by hand; a
+    Where a session is said to have one speaker, every cluster is theirs and reads as assigned, conflicts or not; of several
+    names the smallest counts. An identified or tentative name gives way where the cluster conflicts with one that was assigned that name by hand; a
     tentative one also where it was denied. Unknown voices are numbered by their first appearance. Gives label and kind.
     """
     hand = forced.select(*keys, "id", "name").union(assigned.select(*keys, "id", "name")).distinct()
@@ -177,6 +267,8 @@ def labels(clusters: DataFrame, forced: DataFrame, assigned: DataFrame, identifi
     out = clusters.select(*keys, "id", "first_s")
     for part in (named(forced, "forced"), named(assigned, "assigned"), strict, loose):
         out = out.join(part, [*keys, "id"], "left")
+    said = (clusters.limit(0).select(*keys, F.lit("").alias("name")) if one_speaker is None else one_speaker).groupBy(*keys).agg(F.min("name").alias("_one"))
+    out = out.join(said, keys, "left").withColumn("assigned", F.coalesce("_one", "assigned")).withColumn("forced", F.when(F.col("_one").isNull(), F.col("forced")))
     n = F.row_number().over(Window.partitionBy(*keys).orderBy("first_s", "id"))
     kind = F.when(F.col("forced").isNotNull(), "forced").when(F.col("assigned").isNotNull(), "assigned").when(F.col("identified").isNotNull(), "identified").when(F.col("tentative").isNotNull(), "tentative").otherwise("unknown")
     return out.withColumn("_n", n).select(*keys, "id", F.coalesce("forced", "assigned", "identified", "tentative", F.concat(F.lit("Unknown "), F.col("_n"))).alias("label"), kind.alias("kind"))
