@@ -98,30 +98,115 @@ def allocated_ids(starts: DataFrame, base: str, order: str) -> DataFrame:
     return starts.withColumn("session", F.when(n > 0, F.concat(F.col(base), F.lit("-"), n)).otherwise(F.col(base)))
 
 
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _point(spark: SparkSession, path: str, version: str | None) -> None:
+    """Make a version the current one by one rename over the pointer; None takes the pointer away."""
+    over, fs = _hadoop(spark, f"{path}/CURRENT")
+    if version is None:
+        fs.delete(over, False)
+        return
+    jvm = spark.sparkContext._jvm
+    written, _ = _hadoop(spark, f"{path}/_next-{version}")
+    out = fs.create(written, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(over.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    option = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    option[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(written), context.makeQualified(over), option)
+
+
+def _write_version(df: DataFrame, path: str) -> str:
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    return version
+
+
+def _clear_versions(spark: SparkSession, path: str, stay: tuple[str | None, ...]) -> None:
+    top, fs = _hadoop(spark, path)
+    for status in fs.listStatus(top):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in stay:
+            fs.delete(status.getPath(), True)
+
+
 def replace(df: DataFrame, path: str) -> str:
     """Write a new version of the table beside the others, then point to it; a reader sees the old or the new version, whole.
 
     Versions are folders under path; the pointer is a file `CURRENT` with the version's name, replaced by one rename over it,
     and the version before stays until the one after this is written, for those who read it. Gives the version's name.
     """
-    spark = df.sparkSession
-    jvm, version = spark.sparkContext._jvm, f"v-{uuid.uuid4().hex}"
-    there = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    fs = there("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    before = current(spark, path)
-    df.write.parquet(f"{path}/{version}")
-    out = fs.create(there(f"_next-{version}"), True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(there("").toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(context.makeQualified(there(f"_next-{version}")), context.makeQualified(there("CURRENT")), over)
-    for status in fs.listStatus(there("")):
-        name = status.getPath().getName()
-        if name.startswith("v-") and name not in (version, before):
-            fs.delete(status.getPath(), True)
-    return version
+    return replace_all({path: df}, df.sparkSession)[path]
+
+
+class NotReverted(RuntimeError):
+    """A commit failed, and so did pointing some of its tables back."""
+
+
+def replace_all(tables: dict[str, DataFrame], spark: SparkSession) -> dict[str, str]:
+    """Replace several tables (path: rows) as one: all new versions are written before any pointer moves, and where a pointer
+    can't be moved, those moved before go back to what they said.
+
+    A failure while writing leaves every table as it was, with a version that nothing points to and that goes too. A table
+    that can't be pointed back is named in NotReverted, with what failed first as its cause. Without tables nothing
+    happens. Gives each path's version. The pointers move one after the other: a reader between two of them sees the first
+    table's new version beside the second's old one, but each table whole.
+    """
+    before = {path: current(spark, path) for path in tables}
+    written: dict[str, str] = {}
+    moved: list[str] = []
+    try:
+        for path, df in tables.items():
+            written[path] = _write_version(df, path)
+        for path, version in written.items():
+            moved.append(path)  # a move that fails may have happened
+            _point(spark, path, version)
+    except Exception as error:
+        stuck = []
+        for path in reversed(moved):
+            try:
+                _point(spark, path, before[path])
+            except Exception:  # noqa: BLE001  named below
+                stuck.append(path)
+        if stuck:
+            raise NotReverted(f"these tables may have their new versions: {', '.join(stuck)}") from error
+        for path in written:
+            _clear_versions(spark, path, (before[path],))
+        raise
+    for path, version in written.items():
+        _clear_versions(spark, path, (version, before[path]))
+    return written
+
+
+def documents(spark: SparkSession, sessions_: DataFrame, root: str, name: str, schema: StructType, version: tuple[int, int], needed: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """JSON documents root/session/name of the sessions (session), and the sessions whose document can't be used.
+
+    The first has session and the schema's columns, the second session and why: missing, not JSON of this form, an
+    unsupported version (schema_version outside the range), or without one of the `needed` fields. One bad file costs its own
+    session only. A file is read whole by one task; paths are matched with sessions by their folder's name.
+    """
+    raw = StructType([*schema.fields]).add("_corrupt_record", "string")
+    where, _ = _hadoop(spark, root)
+    if not _exists(spark, root):
+        read = spark.createDataFrame([], "path string, value string")
+    else:
+        read = spark.read.text(where.toString(), wholetext=True, recursiveFileLookup=True, pathGlobFilter=name).select(F.col("_metadata.file_path").alias("path"), "value")
+    found = read.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("_of"), F.from_json("value", raw, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"), F.lit(True).alias("_there"))
+    all_ = sessions_.select("session").distinct().join(found, F.col("session") == F.col("_of"), "left")
+    v = F.col("d.schema_version")
+    absent = [F.when(F.col(f"d.{c}").isNull(), F.lit(c)) for c in needed]
+    why = (
+        F.when(F.col("_there").isNull(), F.lit("missing")).when(F.col("d").isNull() | F.col("d._corrupt_record").isNotNull(), F.lit("not JSON of this form"))
+        .when(v.isNull(), F.lit("no version")).when(~v.between(*version), F.concat(F.lit("unsupported version "), v.cast("string")))
+    )
+    if absent:
+        why = why.when(F.coalesce(*absent).isNotNull(), F.concat(F.lit("without "), F.coalesce(*absent)))
+    judged = all_.withColumn("why", why)
+    return judged.filter("why IS NULL").select("session", "d.*").drop("_corrupt_record"), judged.filter("why IS NOT NULL").select("session", "why")
 
 
 def current(spark: SparkSession, path: str) -> str | None:

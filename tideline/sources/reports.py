@@ -43,11 +43,19 @@ def json_report(rows: DataFrame, keys: list[str], order: str, version: int, *col
     return rows.groupBy(*keys).agg(items.alias("_i")).select(*keys, F.to_json(F.struct(F.lit(version).alias("version"), *keys, F.col("_i").alias("rows")), {"ignoreNullFields": "false"}).alias("report"))
 
 
-def write_transcripts(turns: DataFrame, key: str, order: str, path: str) -> None:
-    """Writes Markdown and WebVTT tables under path, then the JSON one: where it is complete, so are the others."""
-    markdown(turns, [key], order).write.mode("overwrite").parquet(f"{path}/markdown")
-    web_vtt(turns, [key], order).write.mode("overwrite").parquet(f"{path}/vtt")
-    json_report(turns, [key], order, 1, order, "speaker", "start_s", "end_s", "text").write.mode("overwrite").parquet(f"{path}/json")
+def write_transcripts(turns: DataFrame, key: str, order: str, path: str, changed: DataFrame | None = None) -> None:
+    """Writes Markdown and WebVTT tables under path, then the JSON one: where it has a session's turns, so have the others.
+
+    Tables are partitioned by key. With `changed` (key) only the sessions in it are written again, and the files of the others stay
+    as they are; a changed session without turns keeps what it had. Null keys have a partition of their own; without rows
+    nothing is written over.
+    """
+    if changed is not None:
+        turns = turns.join(changed.select(key).distinct(), key, "left_semi")
+    kinds = (("markdown", markdown(turns, [key], order)), ("vtt", web_vtt(turns, [key], order)), ("json", json_report(turns, [key], order, 1, order, "speaker", "start_s", "end_s", "text")))
+    for name, table in kinds:
+        mode = "static" if changed is None else "dynamic"
+        table.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(key).parquet(f"{path}/{name}")
 
 
 def _evidence(head: bytes, size: int) -> tuple[str, int | None, int | None]:
@@ -55,15 +63,16 @@ def _evidence(head: bytes, size: int) -> tuple[str, int | None, int | None]:
     file's first bytes. Of several chunks of one name the first counts, even if it cannot be used."""
     if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         return "not_a_wav", None, None
-    at, rate, data = 12, None, None
-    while at + 8 <= len(head) and (rate is None or data is None):
+    at, fmt, data = 12, None, None
+    while at + 8 <= len(head):
         name, declared = head[at : at + 4], struct.unpack_from("<I", head, at + 4)[0]
-        if name == b"fmt " and rate is None:
+        if name == b"fmt " and fmt is None:
             body = head[at + 8 : at + 8 + declared]
-            rate = struct.unpack_from("<I", body, 8)[0] if len(body) >= 16 else 0
+            fmt = (struct.unpack_from("<I", body, 4)[0], struct.unpack_from("<H", body, 12)[0]) if len(body) >= 16 else (0, 0)
         elif name == b"data" and data is None:
             data = declared, at + 8
         at += 8 + declared + declared % 2
+    rate = fmt[0] * fmt[1] if fmt else 0  # sample rate times block align; the byte rate is an estimate for buffers
     if not rate or data is None:
         return "unknown", None, None
     declared, held = data[0], max(size - data[1], 0)
@@ -77,17 +86,34 @@ def _evidence(head: bytes, size: int) -> tuple[str, int | None, int | None]:
 
 def wav_evidence(spark: SparkSession, paths: str | list[str], head: int = 65536) -> DataFrame:
     """path, length, evidence, and bytes and millis of the audio concerned, for each .wav under the paths: complete, short, beyond,
-    no_declared_length, header_only, unknown or not_a_wav. Only each file's first `head` bytes go to Python. A file without
-    bytes gives no row, as Spark's scan leaves it out, and neither does one that is missing; see unfinished().
+    no_declared_length, header_only, unknown, not_a_wav or unreadable.
+
+    Spark lists the files and reads none of them; tasks open each and read its first `head` bytes, however long it is. What can't
+    be opened is unreadable. A file without bytes gives no row, as Spark's scan leaves it out, and neither does one that is
+    missing; see unfinished().
     """
 
     def judge(parts):  # noqa: ANN001, ANN202
         for part in parts:
-            found = [_evidence(bytes(h), n) for h, n in zip(part["head"], part["length"], strict=True)]
+            found = [_evidence(h, n) if (h := _head(p, head)) is not None else ("unreadable", None, None) for p, n in zip(part["path"], part["length"], strict=True)]
             yield pd.DataFrame({"path": part["path"], "length": part["length"], "evidence": [e for e, _, _ in found], "bytes": pd.array([b for _, b, _ in found], dtype="Int64"), "millis": pd.array([m for _, _, m in found], dtype="Int64")})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(paths)
-    return files.select("path", "length", F.expr(f"substring(content, 1, {head})").alias("head")).mapInPandas(judge, "path string, length long, evidence string, bytes long, millis long")
+    return files.select("path", "length").mapInPandas(judge, "path string, length long, evidence string, bytes long, millis long")
+
+
+def _head(path: str, size: int) -> bytes | None:
+    """The first bytes of a file under a path as Spark's scan gives it, or None where it can't be opened."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    where, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    try:
+        with where.open_input_file(name) as file:
+            return file.read(size)
+    except OSError:
+        return None
 
 
 def unfinished(sessions: DataFrame, evidence: DataFrame, tracks: tuple[str, ...] = ("mic", "speaker")) -> DataFrame:
