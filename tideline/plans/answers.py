@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import assign, intervals, policies, voices
 from tideline.operators import vectors as vec
+from tideline.operators.lineage import checkpointed
 from tideline.plans.catalog import _BOTH, _CL, _REF, _TRIALS, CUT, LOOSE, Tables, _awarded, _labels, query  # noqa: F401
 from tideline.plans.sessions import _TURNS, _turns
 
@@ -108,9 +109,9 @@ def answer_previews(spark, sf_dir):
     keys = ["scenario", "session"]
     asked = t.clusters().filter("id % 17 = 0").select(F.col("id").alias("scenario"), "session", "id", F.concat(F.lit("spk"), F.col("id") % 3).alias("name"))
     each = lambda df: asked.select("scenario", "session").join(df, "session")
-    ranked = _ranked(t).groupBy("session", "id", "name").agg(F.max("similarity").alias("similarity")).persist()
+    ranked = checkpointed(_ranked(t).groupBy("session", "id", "name").agg(F.max("similarity").alias("similarity")))
     edges, none = each(t.conflicts()), asked.limit(0).select("scenario", "session", "id", "name")
-    standing = each(_hand(t)).persist()
+    standing = checkpointed(each(_hand(t)))
     now = assign.derived_labels(each(t.clusters()), each(ranked), standing, none, none, edges, keys, CUT, LOOSE)
     rows = standing.join(asked.select(*keys, "id"), [*keys, "id"], "left_anti").withColumn("ord", F.lit(0)).unionByName(asked.select(*keys, "id", "name").withColumn("ord", F.lit(1)))
     given = assign.hand_awards(rows, none, edges, keys, "ord", asked)
@@ -122,10 +123,10 @@ def answer_previews(spark, sf_dir):
 def denial_previews(spark, sf_dir):
     """What the tentative names read once they are refused."""
     t = Tables(spark, sf_dir)
-    ranked = _ranked(t).groupBy("session", "id", "name").agg(F.max("similarity").alias("similarity")).persist()
-    hand = _hand(t).persist()
+    ranked = checkpointed(_ranked(t).groupBy("session", "id", "name").agg(F.max("similarity").alias("similarity")))
+    hand = checkpointed(_hand(t))
     none = hand.limit(0)
-    before = assign.derived_labels(t.clusters(), ranked, hand, none, none, t.conflicts(), ["session"], CUT, LOOSE).persist()
+    before = checkpointed(assign.derived_labels(t.clusters(), ranked, hand, none, none, t.conflicts(), ["session"], CUT, LOOSE))
     denied = before.filter("kind = 'tentative'").select("session", "id", F.col("label").alias("name"))
     after = assign.derived_labels(t.clusters(), ranked, hand, denied, none, t.conflicts(), ["session"], CUT, LOOSE)
     return assign.changed_labels(before, after, ["session"])
@@ -137,10 +138,10 @@ def removal_scan(spark, sf_dir):
     t = Tables(spark, sf_dir)
     keys = ["scenario", "session"]
     full = _ranked(t)
-    less = assign.without_each(full, ["session"], LOOSE).persist()
+    less = checkpointed(assign.without_each(full, ["session"], LOOSE))
     each = lambda df: less.select(*keys).distinct().join(df, "session")
     none = less.limit(0).select(*keys, "id", "name")
-    ranked = full.groupBy("session", "id", "name").agg(F.max("similarity").alias("similarity")).persist()
+    ranked = checkpointed(full.groupBy("session", "id", "name").agg(F.max("similarity").alias("similarity")))
     plain = none.drop("scenario").distinct()
     before = each(assign.derived_labels(t.clusters(), ranked, plain, plain, plain, t.conflicts(), ["session"], CUT, LOOSE))
     after = assign.derived_labels(each(t.clusters()), less, none, none, none, each(t.conflicts()), keys, CUT, LOOSE)
