@@ -68,3 +68,15 @@ def test_pieces_of_a_splice_never_overlap(spark, size):
     r = spark.createDataFrame([("a", 0.0, 5.0), ("a", 4.0, 6.0), ("a", 4.5, 4.6), ("a", 8.0, 12.0)], "k string, start_s double, end_s double").withColumn("size", F.lit(size))
     got = [(x.piece_start_s, x.piece_end_s) for x in segments.splice(r, ["k"], 0.5, 1.0, "size" if size else None).orderBy("spliced_s").collect()]
     assert got == [(0.0, 4.0), (4.0, 4.5), (4.5, 5.1), (8.0, size or 12.0)]
+
+
+def test_a_session_without_speaker_audio_is_not_built(spark):
+    import pytest
+
+    from tideline.operators import intervals
+
+    pieces = spark.createDataFrame([("a", "speaker", 1, 2.0), ("a", "speaker", 2, 1.0), ("b", "mic", 1, 1.0), ("c", "speaker", 1, 1.0)], "session string, track string, n int, size double")
+    built = intervals.built_tracks(spark.createDataFrame([("a",), ("a",)], "session string"), pieces, "n", "size").collect()
+    assert sorted(map(tuple, built), key=str) == [("a", "mic", None, 0.0, 1.0, True), ("a", "speaker", 1, 0.0, 2.0, False), ("a", "speaker", 2, 2.5, 1.0, False)]
+    with pytest.raises(Exception, match="no audio for session b"):
+        intervals.built_tracks(spark.createDataFrame([("b",)], "session string"), pieces, "n", "size").collect()

@@ -174,3 +174,20 @@ def running_placement(pieces: DataFrame, keys: list[str], order: str, size: str,
     """Where each piece starts when pieces are put after each other with a gap: placed_s."""
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return pieces.withColumn("placed_s", F.coalesce(F.sum(F.col(size) + gap).over(before), F.lit(0.0)))
+
+
+def built_tracks(sessions: DataFrame, pieces: DataFrame, order: str, size: str, gap: float = 0.5, silence: float = 1.0) -> DataFrame:
+    """The speaker and mic tracks of new sessions: session, track, order, placed_s, length_s and silent.
+
+    sessions: session; pieces: session, track (speaker or mic), order and size in seconds. A track's pieces follow each other
+    with a gap; a session without mic pieces gets one piece of silence there, and one without speaker pieces fails, as there is
+    nothing to measure. Pieces of other sessions or tracks go; equal pieces count each; no sessions, no rows.
+    """
+    wanted = sessions.select("session").distinct()
+    named = wanted.join(pieces.filter(F.col("track").isin("speaker", "mic")).select(F.col("session").alias("_s"), "track", order, size), F.col("session") == F.col("_s"), "left")
+    has = named.groupBy("session").agg(F.count_if(F.col("track") == "speaker").alias("speaker"), F.count_if(F.coalesce(F.col("track") == "mic", F.lit(False))).alias("mic"))
+    checked = has.withColumn("_ok", F.when(F.col("speaker") > 0, True).otherwise(F.raise_error(F.concat(F.lit("no audio for session "), F.col("session").cast("string"))).cast("boolean"))).filter("_ok")
+    placed = running_placement(named.filter("track IS NOT NULL").drop("_s"), ["session", "track"], order, size, gap)
+    out = placed.join(checked.select("session"), "session").select("session", "track", order, "placed_s", F.col(size).cast("double").alias("length_s"), F.lit(False).alias("silent"))
+    quiet = checked.filter("mic = 0").select("session", F.lit("mic").alias("track"), F.lit(None).cast(pieces.schema[order].dataType).alias(order), F.lit(0.0).alias("placed_s"), F.lit(silence).alias("length_s"), F.lit(True).alias("silent"))
+    return out.unionByName(quiet)

@@ -107,9 +107,8 @@ def without_reference(references: DataFrame, removed: DataFrame, order: str) ->
 
 
 def names_by_appearance(rows: DataFrame, order: str) -> DataFrame:
-    """Different names in the order in which they appear first: name, place."""
-    first = rows.filter("name IS NOT NULL").groupBy("name").agg(F.min(order).alias("first"))
-    return first.orderBy("first", "name")
+    """Different names with where each appears first: name, first. Sort by first, then name, to have them in order; rows without a name go."""
+    return rows.filter("name IS NOT NULL").groupBy("name").agg(F.min(order).alias("first"))
 
 
 def group_members(asked: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators import assign
-from tideline.plans.catalog import Tables, _frames, query
+from tideline.operators import assign, cache, intervals
+from tideline.plans.catalog import _FR, Tables, _frames, query
 from tideline.streaming import carried, grace, recording, replay
 
 #: Parts of the time that a replay takes one after the other.
@@ -117,3 +117,21 @@ def bounded_references_stream(spark, sf_dir):
     o = offers(Tables(spark, sf_dir)).select("name", "ord", F.xxhash64("embedding").alias("vector"), "clip_s")
     parts = [o.filter(F.pmod("ord", F.lit(200)) < 70), o.filter(F.pmod("ord", F.lit(200)).between(70, 139)), o.filter(F.pmod("ord", F.lit(200)) >= 140)]
     return carried.last_references(replay.replayed(parts, lambda s: carried.references_stream(s, 4)))
+
+
+_PIECES = "(SELECT conv_id AS session, CASE WHEN turn % 2 = 0 THEN 'speaker' ELSE 'mic' END AS track, turn, (turn % 4 + 1) * 0.5 AS size FROM conversations WHERE turn % 2 = 0 OR conv_id % 3 <> 0)"
+
+
+@query(f"SELECT session, track, turn, coalesce(sum(size + 0.5) OVER (PARTITION BY session, track ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS placed_s, size::DOUBLE AS length_s, false AS silent FROM {_PIECES} UNION ALL SELECT DISTINCT conv_id, 'mic', NULL, 0, 1, true FROM conversations WHERE conv_id NOT IN (SELECT session FROM {_PIECES} WHERE track = 'mic')")
+def built_tracks(spark, sf_dir):
+    """Even turns are a session's speaker track, odd ones its mic track; every third session has no mic."""
+    c = Tables(spark, sf_dir).conversations
+    pieces = c.filter("turn % 2 = 0 OR conv_id % 3 <> 0").select(F.col("conv_id").alias("session"), F.when(F.col("turn") % 2 == 0, "speaker").otherwise("mic").alias("track"), "turn", ((F.col("turn") % 4 + 1) * 0.5).alias("size"))
+    return intervals.built_tracks(c.select(F.col("conv_id").alias("session")), pieces, "turn", "size")
+
+
+@query(f"WITH l AS (SELECT user_id // 4 AS session, user_id % 4 AS slot, i, ((user_id * 31 + i * 17) % 41 - 20) / 4 AS x FROM {_FR}) SELECT session, i // 3 AS frame, slot, round(avg(1 / (1 + exp(-x))), 6) AS p FROM l GROUP BY ALL HAVING count(*) = 3")
+def pooled_frames(spark, sf_dir):
+    """Three frames of a slot pooled to one."""
+    l = _frames(spark, sf_dir).select(F.floor(F.col("user_id") / 4).alias("session"), (F.col("user_id") % 4).alias("slot"), "i", (((F.col("user_id") * 31 + F.col("i") * 17) % 41 - 20) / 4).alias("x"))
+    return cache.pooled(l, ["session"], "i", "slot", "x", 3).select("session", F.col("i").alias("frame"), "slot", F.round("p", 6).alias("p"))
