@@ -332,6 +332,16 @@ def test_rows_without_an_id_draw_by_their_texts(spark):
     assert all(abs(r["taken"] - r["size"]) < 0.1 * r["size"] for r in by.values()) and sum(r["n"] for r in by.values()) == 1200
 
 
+def test_repeated_rows_meet_their_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 64)
+    docs = spark.createDataFrame([(1, "a b c d", "one")] * 400 + [(None, "x y", None)] * 300 + [(i, "w " * (i % 9), "two") for i in range(2000)], "doc_id long, text string, source string")
+    got = mixing.mix_table(docs)
+    by = {r["source_size"]: r for r in got.groupBy("source_size").agg(F.max("target").alias("target"), F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()}
+    assert {size: r["n"] for size, r in by.items()} == {1600: 400, 600: 300, docs.filter("source = 'two'").selectExpr("sum(size(filter(split(text, ' '), x -> x <> '')))").first()[0]: 2000}
+    assert all(abs(r["taken"] - r["target"]) <= 0.1 * r["target"] for r in by.values())
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.mix_table(docs.repartition(7)).collect()))
+
+
 def test_mix_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a b c", "s", 7, 8, "x")], "doc_id long, text string, source string, copies long, rate long, row string")
     assert {tuple(r) for r in mixing.mix_documents(docs).collect()} == {(1, "a b c", "s", 7, 8, "x")}

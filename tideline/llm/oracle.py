@@ -8,7 +8,7 @@ from tideline.llm.sharding import MULTIPLIER
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 MIXING = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest, row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) AS number FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight,
       sum(source_size) OVER () * 1.5::DOUBLE AS total, source_size * 2.0::DOUBLE AS cap FROM s),
@@ -19,7 +19,7 @@ l AS (SELECT arg_min(level, ratio) AS level FROM f WHERE level < ratio),
 t AS (SELECT f.source, f.source_size, CASE WHEN l.level IS NULL THEN cap ELSE least(cap, l.level * weight) END AS target FROM f CROSS JOIN l),
 r AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS rate FROM t)
 SELECT d.doc_id, d.size, r.source_size, round(r.target, 6) AS target,
-  (d.size * (floor(rate) + CASE WHEN ('0x' || substr(md5('17|' || coalesce(d.doc_id::VARCHAR, '') || '|' || d.digest), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+  (d.size * (floor(rate) + CASE WHEN ('0x' || substr(md5('17|' || coalesce(d.doc_id::VARCHAR, '') || '|' || d.digest || CASE WHEN d.number > 1 THEN '|' || d.number ELSE '' END), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
