@@ -507,6 +507,75 @@ def test_wrapped_licenses_are_recognised(spark):
     assert got == {1: mit, 2: apache, 3: (3, ["GPL-3.0-or-later"]), 4: mit, 5: apache, 7: (0, []), 8: (1, ["MIT"]), 9: (0, [])}
 
 
+BSD = """Copyright (c) 2020 Someone, Inc. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+
+ * Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+ * Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{more}
+THIS SOFTWARE IS PROVIDED BY {who} "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL {who} BE LIABLE FOR
+ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+HOLDERS = """
+ * Neither the name Someone, nor Another, nor the names of its contributors may
+   be used to endorse or promote products derived from this software without
+   specific prior written permission.
+"""
+ADVERTISING = """
+3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement: This product includes software
+   developed by Someone and its contributors.
+"""
+
+
+def test_holders_stand_in_slots_and_marks_give_way(spark):
+    """The same texts by the operator and by SQL that cuts the sentences itself."""
+    import duckdb
+
+    from tideline.llm import oracle
+
+    everyone = "Everyone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n"
+    texts = [
+        (1, BSD.format(who="THE COPYRIGHT HOLDERS AND CONTRIBUTORS", more="")), (2, BSD.format(who="Someone", more=HOLDERS)),
+        (3, BSD.format(who="THE REGENTS AND CONTRIBUTORS", more=ADVERTISING + HOLDERS)), (4, BSD.format(who="word " * 13, more="")),
+        (5, "News of today.\n\nCopyright 2020 Someone. All rights reserved.\n"), (6, "All rights reserved.\n" + MIT_TEXT), (7, None), (8, ""),
+        (9, "   GNU GENERAL PUBLIC LICENSE\n     Version 2, June 1991\n\n Copyright (C) 1989\n " + everyone), (10, everyone),
+        (11, "      Apache License\n   Version 2.0, January 2004\n  http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n 1. Definitions.\n"),
+        (12, MIT_TEXT.split("subject")[0].rstrip(" \n,") + ".\n"), (13, "x " * 50_000 + "\nCC0 1.0 Universal\n"), (13, "x " * 50_000 + "\nCC0 1.0 Universal\n"),
+        (14, "developed by\nAll advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by"),
+    ]
+    want = {1: "BSD-2-Clause", 2: "BSD-3-Clause", 3: "BSD-4-Clause", 4: "All-rights-reserved", 5: "All-rights-reserved", 6: "MIT-text", 7: "", 8: "", 9: "GPL-2.0", 10: "", 11: "Apache-2.0", 12: "MIT-0", 13: "CC0-1.0", 14: ""}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [tuple(r) for r in licenses.scan(docs).select("doc_id", "n_known", F.array_join("licenses", ",")).collect()]
+    assert {i: names for i, _, names in got} == want
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+        assert sorted(con.execute(oracle.licenses_sql()).fetchall()) == sorted(got)
+
+
+def test_license_table_of_any_size(spark):
+    """A table of 20,000 sentences costs no more regular expressions than a small one."""
+    table = {f"this is the known sentence of license number {i}": f"n{i}" for i in range(20_000)}
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('Some text.\nThis is the known sentence of\nlicense number ', id * 40, '.\nmore') AS text")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs, table=table, rules=[("even", ("n80",))]).collect()}
+    assert got == {i: (["even"] if i == 2 else []) for i in range(500)}
+
+
 # --- 8 nearest neighbours
 
 

@@ -1,4 +1,4 @@
-"""Public license texts and notices, as their authors publish them; names of holders and years are not part of them."""
+"""Public license texts and notices, as their authors publish them; <holder> stands for the names of holders."""
 
 # Whole texts, by SPDX name.
 TEXTS = {
@@ -21,7 +21,7 @@ Redistribution and use in source and binary forms, with or without modification,
 
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+THIS SOFTWARE IS PROVIDED BY <holder> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <holder> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
 """,
     "BSD-3-Clause": """
 Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
@@ -30,7 +30,7 @@ Redistribution and use in source and binary forms, with or without modification,
 
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
-3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+3. Neither the name <holder> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
 """,
     "Zlib": """
 This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
@@ -83,6 +83,51 @@ This Source Code Form is subject to the terms of the Mozilla Public License, v.
 """,
 }
 
+# Titles and sentences by which the whole text of a longer license is known, in the order in which they come.
+PASSAGES = {
+    "Apache-2.0": ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    "GPL-1.0": ("GNU GENERAL PUBLIC LICENSE Version 1, February 1989", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    "LGPL-2.0": ("GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    "LGPL-2.1": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    "AGPL-3.0": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    "GFDL-1.2": ("GNU Free Documentation License Version 1.2, November 2002", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    "GFDL-1.3": ("GNU Free Documentation License Version 1.3, 3 November 2008", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    "MPL-1.1": ("MOZILLA PUBLIC LICENSE Version 1.1",),
+    "MPL-2.0": ("Mozilla Public License Version 2.0",),
+    "EPL-1.0": ("Eclipse Public License - v 1.0",),
+    "EPL-2.0": ("Eclipse Public License - v 2.0",),
+    "CDDL-1.0": ("COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0",),
+    "EUPL-1.2": ("EUROPEAN UNION PUBLIC LICENCE v", "1.2 EUPL the European Union 2007, 2016"),
+    "OFL-1.1": ("SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007",),
+    "Artistic-1.0": ("The \"Artistic License\" Preamble",),
+    "Artistic-2.0": ("The Artistic License 2.0",),
+    "MS-PL": ("Microsoft Public License (Ms-PL)",),
+    "PSF-2.0": ("PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2",),
+    "WTFPL": ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",),
+    "CC0-1.0": ("CC0 1.0 Universal",),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International Public License",),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International Public License",),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International Public License",),
+    "CC-BY-ND-4.0": ("Creative Commons Attribution-NoDerivatives 4.0 International Public License",),
+    "CC-BY-NC-SA-4.0": ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International Public License",),
+    "CC-BY-NC-ND-4.0": ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International Public License",),
+    "X11": ("Except as contained in this notice, the name <holder> shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from <holder>",),
+    "MIT-0": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",),
+    "0BSD": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
+    "PostgreSQL": ("Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",),
+    "BSD-4-Clause": ("All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by <holder>",),
+    "embedding-exception": ("As an exception, if, as a result of your compiling your source code, portions of this Software are embedded into a machine-executable object form of such source code, you may redistribute such embedded portions in such object form without including the above copyright and permission notices",),
+}
+
+# Licenses whose sentences come without another known one between them.
+CLOSE = ("BSD-2-Clause", "BSD-3-Clause")
+
+# Sentences that say nothing of a license by themselves; they count only where no license is known.
+MARKS = {"All-rights-reserved": ("All rights reserved",)}
+
 # How many of a text's first sentences are enough, where what follows is often left out.
 ENOUGH = {"MIT-text": 2, "Apache-2.0-header": 3}
 
@@ -98,5 +143,5 @@ NOTICES = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     "CC0-1.0": ("This work is dedicated to the public domain under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-    "Proprietary": ("All rights reserved",),
+    "Proprietary": ("This software is proprietary and confidential", "Proprietary and confidential", "Unauthorized copying of this file, via any medium, is strictly prohibited"),
 }

@@ -33,27 +33,38 @@ FROM h
 """
 
 def licenses_sql() -> str:
-    """Stretches of whole lines or parts of them, between two ends of sentences, whose words are those of a known sentence."""
-    table, rules = licenses.known()
-    listed = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
-    most = max(x.count(" ") + 1 for x in table)
-    return f"""
-WITH RECURSIVE known(sentence, sid) AS (VALUES {listed(table.items())}), rules(rule, name, ids) AS (SELECT col0, col1, string_split(col2, ' ') FROM (VALUES {listed((i, name, " ".join(ids)) for i, (name, ids) in enumerate(rules))})),
+    """Stretches of whole lines or parts of them, between two ends of sentences, whose words are those of a known sentence. The
+    sentences and rules are cut from the texts here, in SQL; § stands for the names of holders."""
+    from tideline.llm import license_texts as table
+
+    rows = [(name, table.ENOUGH.get(name, 1000), 0 if name in table.CLOSE else 2, 0, 1, text.strip()) for name, text in table.TEXTS.items()]
+    rows += [(name, 1000, 2, 0, 0, "\n\n".join(parts)) for name, parts in table.PASSAGES.items()]
+    rows += [(name, 1000, 2, mark, 0, text) for mark, notices in ((0, table.NOTICES), (1, table.MARKS)) for name, texts in notices.items() for text in texts]
+    listed = ", ".join("({0!r}, {1}, {2}, {3}, {4}, '{5}')".format(*r[:5], r[5].replace("<holder>", "§").replace("'", "''")) for r in rows)
+    return rf"""
+WITH RECURSIVE src(name, enough, gap, mark, cut, text) AS (VALUES {listed}),
+cuts AS (SELECT name, enough, gap, mark, row_number() OVER () AS rule, CASE WHEN cut = 1 THEN flatten(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda p: regexp_split_to_array(regexp_replace(p, '^\s*([0-9]+[.)]|[*-])\s+', ''), '[.!?]+\s+|[.!?]+$'))) ELSE regexp_split_to_array(text, '\n\s*\n') END AS parts FROM src),
+rules AS MATERIALIZED (SELECT rule, name, gap, mark, (list_filter(list_transform(parts, lambda p: trim(regexp_replace(lower(p), '[^a-z0-9§]+', ' ', 'g'))), lambda p: p <> ''))[1:enough] AS ids, list_filter(list_transform(parts, lambda p: trim(regexp_replace(lower(p), '[^a-z0-9§]+', ' ', 'g'))), lambda p: p <> '') AS every FROM cuts),
+known AS MATERIALIZED (SELECT sentence, contains(sentence, '§') AS slot, string_split(sentence, '§')[1] AS head, string_split(sentence, '§')[-1] AS tail, replace(sentence, '§', '[a-z0-9]+( [a-z0-9]+){{0,11}}') AS pattern FROM (SELECT DISTINCT unnest(every) AS sentence FROM rules)),
+longest AS (SELECT max(len(string_split(sentence, ' ')) + 12 * len(string_split(sentence, '§'))) AS most FROM known),
 d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-s AS (SELECT r, generate_subscripts(p, 1) AS si, unnest(p) AS part FROM (SELECT r, regexp_split_to_array(text, '[.!?]+[ \\t\\r\\n]+') AS p FROM d)),
-l AS (SELECT r, si, generate_subscripts(p, 1) AS li, unnest(p) AS line FROM (SELECT r, si, regexp_split_to_array(part, '[\\r\\n]+') AS p FROM s)),
+s AS (SELECT r, generate_subscripts(p, 1) AS si, unnest(p) AS part FROM (SELECT r, regexp_split_to_array(text, '[.!?]+[ \t\r\n]+') AS p FROM d)),
+l AS (SELECT r, si, generate_subscripts(p, 1) AS li, unnest(p) AS line FROM (SELECT r, si, regexp_split_to_array(part, '[\r\n]+') AS p FROM s)),
 w AS (SELECT r, si, li, array_to_string(regexp_extract_all(lower(line), '[a-z0-9]+'), ' ') AS words FROM l),
-n AS (SELECT *, row_number() OVER (PARTITION BY r, si ORDER BY li) AS k FROM w WHERE words <> ''),
-c AS (SELECT a.r, a.si, a.k AS k1, b.k AS k2, a.words AS first, b.words AS last FROM n a JOIN n b ON a.r = b.r AND a.si = b.si AND b.k BETWEEN a.k AND a.k + {most} WHERE EXISTS (SELECT 1 FROM known WHERE starts_with(sentence, a.words)) AND EXISTS (SELECT 1 FROM known WHERE ends_with(sentence, b.words))),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY r, si ORDER BY li) AS k FROM w WHERE words <> ''),
+a AS MATERIALIZED (SELECT n.* FROM n WHERE EXISTS (SELECT 1 FROM known WHERE starts_with(sentence, n.words) OR (slot AND starts_with(n.words, head)))),
+c AS (SELECT a.r, a.si, a.k AS k1, b.k AS k2 FROM a JOIN n b ON a.r = b.r AND a.si = b.si AND b.k >= a.k AND b.k <= a.k + (SELECT most FROM longest)),
 t AS (SELECT c.r, c.si, k1, k2, string_agg(n.words, ' ' ORDER BY n.k) AS sentence FROM c JOIN n ON n.r = c.r AND n.si = c.si AND n.k BETWEEN k1 AND k2 GROUP BY ALL),
-m AS (SELECT t.*, sid FROM t JOIN known USING (sentence)),
+m AS MATERIALIZED (SELECT t.r, t.si, t.k1, t.k2, known.sentence AS sid FROM t JOIN known ON t.sentence = known.sentence WHERE NOT slot
+  UNION ALL SELECT t.r, t.si, t.k1, t.k2, known.sentence FROM t JOIN known ON slot AND starts_with(t.sentence, head) AND ends_with(t.sentence, tail) AND regexp_full_match(t.sentence, pattern)),
 f AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.r = m.r AND o.si = m.si AND o.k1 <= m.k1 AND o.k2 >= m.k2 AND o.k2 - o.k1 > m.k2 - m.k1)),
-i AS (SELECT r, sid, row_number() OVER (PARTITION BY r ORDER BY si, k1) AS pos FROM f),
-walk AS (SELECT r, rule, name, ids, 1 AS step, pos FROM (SELECT i.r, i.pos, rules.* FROM i JOIN rules ON i.sid = ids[1])),
-"""  + f"""more AS (SELECT * FROM go WHERE step = len(ids)),
-h AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM more GROUP BY r), q AS (SELECT r, count(*) AS n FROM i GROUP BY r)
+i AS MATERIALIZED (SELECT r, sid, row_number() OVER (PARTITION BY r ORDER BY si, k1) AS pos FROM f),
+go AS (SELECT i.r, rule, name, gap, mark, ids, 1 AS step, pos FROM i JOIN rules ON i.sid = ids[1]
+  UNION SELECT g.r, g.rule, g.name, g.gap, g.mark, g.ids, g.step + 1, i.pos FROM go g JOIN i ON i.r = g.r AND i.sid = g.ids[g.step + 1] AND i.pos BETWEEN g.pos + 1 AND g.pos + 1 + g.gap),
+h AS (SELECT r, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (mark = 0), string_agg(DISTINCT name, ',' ORDER BY name) FILTER (mark = 1)) AS licenses FROM go WHERE step = len(ids) GROUP BY r),
+q AS (SELECT r, count(*) AS n FROM i GROUP BY r)
 SELECT d.doc_id, coalesce(q.n, 0)::BIGINT AS n_known, coalesce(h.licenses, '') AS licenses FROM d LEFT JOIN q ON d.r = q.r LEFT JOIN h ON d.r = h.r
-""".replace("more AS (SELECT", f"go AS (SELECT * FROM walk UNION SELECT g.r, g.rule, g.name, g.ids, g.step + 1, i.pos FROM go g JOIN i ON i.r = g.r AND i.sid = g.ids[g.step + 1] AND i.pos BETWEEN g.pos + 1 AND g.pos + 1 + {licenses.GAP}),\nmore AS (SELECT", 1)
+"""
 
 
 def url_sql(entries, start: str) -> str:
