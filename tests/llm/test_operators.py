@@ -611,6 +611,39 @@ def test_nearest_copies_ties_and_odd_vectors(spark):
     assert len(nearest.search(spark.createDataFrame([(100, [1.0, 0.0]), (101, [0.0, 1.0])], "vec_id long, embedding array<float>")).collect()) == 1
 
 
+def _recall(got, v, ids):
+    table, hits = np.stack([v[i] for i in ids]), 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((table - v[q]) ** 2).sum(axis=1))
+        near = [ids[i] for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        hits += len(set(near) & {r["vec_id"] for r in got if r["query_id"] == q})
+    return hits / (10 * len(ids[ids % 100 == 0]))
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_nearest_recall_at_the_parameters_of_the_query(spark, clusters):
+    """Vectors without structure open most cells, vectors in clusters few; recall holds in both."""
+    rng = np.random.default_rng(1)
+    n = 12_000
+    v = rng.normal(size=(n, 32)) if not clusters else 8 * rng.normal(size=(clusters, 32))[rng.integers(clusters, size=n)] + rng.normal(size=(n, 32))
+    quantizer = nearest.fit(v[:4000])
+    opened = nearest.probes(quantizer, v[:4000], 10, 0.98)
+    assert opened <= 8 if clusters else opened > 24
+    got = nearest.search(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 10 * n // 100
+    assert _recall(got, dict(enumerate(v)), np.arange(n)) >= 0.95
+
+
+def test_nearest_exact_and_sparse_cells(spark):
+    """With `exact` all is found; a query whose cells hold too few rows opens more of them."""
+    rng = np.random.default_rng(2)
+    v = {i: x for i, x in enumerate(np.concatenate([rng.normal(size=(900, 6)), 50 + 9 * rng.normal(size=(7, 6))]))}
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>")
+    got = nearest.search(rows, exact=True, block_rows=100, query_rows=2).collect()
+    assert _recall(got, v, np.arange(len(v))) == 1.0 and len(got) == 100
+    assert len(nearest.search(rows.filter("vec_id >= 900"), words=7).collect()) == 6
+
+
 # --- 9 sharding
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import prepare, stored
+from tideline.llm.common import discard, prepare, stored
 
 
 #: Queries that a task scores at a time.
@@ -51,6 +51,11 @@ class Quantizer:
             return np.tile(np.arange(most), (len(queries), 1))
         return np.argpartition(norms[None, :] - 2 * inner, most - 1, axis=1)[:, :most]
 
+    def cells(self, vectors: np.ndarray) -> np.ndarray:
+        """For each vector the words of the first book, nearest first; the nearest one is the vector's cell."""
+        book = self.books[0].astype(np.float64)
+        return np.argsort((book**2).sum(axis=1)[None, :] - 2 * vectors @ book.T, axis=1, kind="stable")
+
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(self.books[m][codes[:, m]] for m in range(len(self.books)))
 
@@ -73,6 +78,28 @@ def fit(sample: np.ndarray, books: int = 16, words: int = 64, rounds: int = 6, s
     return Quantizer(np.stack(out))
 
 
+def probes(quantizer: Quantizer, sample: np.ndarray, k: int, aim: float, most: int = 512) -> int:
+    """How many cells a search has to open for `aim` of its nearest vectors: measured between up to `most` different vectors of
+    the sample and all of the sample. Vectors of the whole table lie nearer to each other than those of a sample, hence
+    rather in the same or in neighbouring cells. A sample of too few vectors asks for all cells."""
+    different = np.unique(sample, axis=0)
+    words = len(quantizer.books[0])
+    if len(different) < 10 * k:
+        return words
+    asked = np.random.default_rng(5).permutation(len(different))[:most]
+    far = (different**2).sum(axis=1)[None, :] - 2 * different[asked] @ different.T
+    far[np.arange(len(asked)), asked] = np.inf
+    near = np.argpartition(far, k - 1, axis=1)[:, :k]
+    cell = quantizer.cells(different)[:, 0]
+    place = np.argsort(quantizer.cells(different[asked]), axis=1)
+    found = np.bincount(np.take_along_axis(place, cell[near], axis=1).ravel(), minlength=words).cumsum() / near.size
+    return int(np.searchsorted(found, min(aim, found[-1]))) + 1
+
+
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id and v (array<double>) of the rows that take part.
 
@@ -90,7 +117,8 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
 
 def _pack(blocks: DataFrame, quantizer: Quantizer | None) -> DataFrame:
-    """One row for each block: its ids, its vectors and, for the index, its codes and the norms of what the codes stand for."""
+    """One row for each block (cell, part): its ids, its vectors and, for the index, its codes and the norms of what the codes
+    stand for."""
 
     def each(key, table):
         ids = table.column("vec_id").to_numpy()
@@ -100,40 +128,76 @@ def _pack(blocks: DataFrame, quantizer: Quantizer | None) -> DataFrame:
         if quantizer is not None:
             near = quantizer.encode(v.astype(np.float32))
             codes, norms = near.tobytes(), (quantizer.decode(near).astype(np.float64) ** 2).sum(axis=1).tobytes()
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": [ids[order].tobytes()], "vectors": [v.tobytes()], "codes": pa.array([codes], pa.binary()), "norms": pa.array([norms], pa.binary())})
+        where = {name: pa.array([x.as_py()], pa.int32()) for name, x in zip(("cell", "part"), key)}
+        return pa.table({**where, "ids": [ids[order].tobytes()], "vectors": [v.tobytes()], "codes": pa.array([codes], pa.binary()), "norms": pa.array([norms], pa.binary())})
 
-    return blocks.groupBy("block").applyInArrow(each, "block int, ids binary, vectors binary, codes binary, norms binary")
+    return blocks.groupBy("cell", "part").applyInArrow(each, "cell int, part int, ids binary, vectors binary, codes binary, norms binary")
 
 
-def search(vectors: DataFrame, k: int = 10, every: int = 100, sample_rows: int = 16384, books: int = 16, words: int = 64, shortlist: int = 96, block_rows: int = 4096, query_rows: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, k: int = 10, every: int = 100, sample_rows: int = 16384, books: int = 16, words: int = 64, shortlist: int = 96, block_rows: int = 4096, query_rows: int = 8192, aim: float = 0.98, exact: bool = False) -> DataFrame:
     """For each row whose id is divisible by `every`, its k nearest other rows by Euclidean distance.
 
     The quantizer is fitted on about sample_rows rows chosen by hash (a bound on what the driver receives); every row is
-    indexed. Rows are dealt by hash into blocks of about block_rows, queries into blocks of about query_rows, and each
-    query block meets each index block in one task of a join on the pair of block numbers; blocks of queries are large,
-    because each of them reads the whole index, and are worked off in slices. There, tables of inner
+    indexed. A row's cell is the nearest word of the first codebook; a query opens the cells nearest to it, as many as `aim` of
+    the nearest rows ask for (see probes()), and more where these hold too few rows. Vectors without any structure ask for
+    most cells, vectors in clusters for few. The rows of a cell are dealt by hash into blocks of about block_rows, its
+    queries into blocks of about query_rows, and these meet in one task for each pair of blocks. There, tables of inner
     products of queries and codewords, with the stored norms, score the block's codes; the `shortlist` best different
-    vectors are measured exactly, and the block's k nearest go on. Ties go to the smaller id; copies of a vector fill no
-    more than one place of the shortlist. Defined cases: see usable(); tables without queries give an empty result.
+    vectors are measured exactly, and the block's k nearest go on. With `exact` every cell is opened and every vector
+    measured. Ties go to the smaller id; copies of a vector fill no more than one place of the shortlist. Defined cases: see
+    usable(); tables without queries give an empty result.
     """
     spark = vectors.sparkSession
     prepare(spark)
     rows = stored(usable(vectors), "ann-rows")
-    n, n_queries = rows.agg(F.count("*"), F.count(F.when(F.pmod("vec_id", F.lit(every)) == 0, 1))).first()
-    schema = "query_id long, rank int, vec_id long, score double"
+    asking = F.pmod("vec_id", F.lit(every)) == 0
+    n, n_queries = rows.agg(F.count("*"), F.count(F.when(asking, 1))).first()
     if not n or not n_queries:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     wide = 1 << 30
     chosen = rows.filter(F.pmod(F.xxhash64(F.lit(11), F.col("vec_id")), F.lit(wide)) < int(wide * min(1.0, sample_rows / n)))
     sample = np.array(chosen.orderBy("vec_id").toArrow().column("v").to_pylist() or [r["v"] for r in rows.orderBy("vec_id").limit(1).collect()])
     quantizer = fit(sample, books, words)
-    n_index, n_ask = -(-n // block_rows), -(-n_queries // query_rows)
-    block = lambda seed, count: F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id")), F.lit(count)).cast("int").alias("block")
-    index = stored(_pack(rows.select(block(1, n_index), "vec_id", "v"), quantizer), "ann-index")
-    asked = stored(_pack(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select(block(2, n_ask), "vec_id", "v"), None), "ann-queries")
-    left = index.withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(n_ask - 1))))
-    right = asked.select(F.col("block").alias("ask"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))))
-    tables = quantizer
+    opened = words if exact else probes(quantizer, sample, k, aim)
+    most = max(shortlist, n) if exact else shortlist
+
+    def placed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                cell = quantizer.cells(_matrix(batch.column("v")))[:, 0]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], ["vec_id", "v", "cell"])
+
+    in_cells = rows.select("vec_id", "v").mapInArrow(placed, "vec_id long, v array<double>, cell int")
+    held = np.zeros(words, np.int64)  # one number for each word of the first book
+    for r in in_cells.groupBy("cell").count().collect():
+        held[r["cell"]] = r["count"]
+
+    def opening(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            order = quantizer.cells(_matrix(batch.column("v")))
+            enough = (held[order].cumsum(axis=1) > k).argmax(axis=1)  # a query's own row is one of them
+            last = np.where(held.sum() > k, np.maximum(enough + 1, opened), words)
+            cells = [[int(c) for c in o[:m] if held[c]] for o, m in zip(order, last)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], ["vec_id", "v", "cells"])
+
+    asked = rows.filter(asking).select("vec_id", "v").mapInArrow(opening, "vec_id long, v array<double>, cells array<int>").select("vec_id", "v", F.explode("cells").alias("cell"))
+    asked = stored(asked, "ann-asked")
+    asks = np.zeros(words, np.int64)
+    for r in asked.groupBy("cell").count().collect():
+        asks[r["cell"]] = r["count"]
+    parts, turns = -(-held // block_rows), -(-asks // query_rows)
+    of_cell = lambda numbers: F.element_at(F.array(*[F.lit(int(x)) for x in numbers]), F.col("cell") + 1)
+    dealt = lambda seed, numbers: F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id")), of_cell(numbers)).cast("int").alias("part")
+    index = stored(_pack(in_cells.select("cell", dealt(1, parts), "vec_id", "v"), quantizer), "ann-index")
+    queries = stored(_pack(asked.select("cell", dealt(2, turns), "vec_id", "v"), None), "ann-queries")
+    discard(rows, asked)
+    n_pairs = max(1, int((parts * turns).sum()))
+    keys, tasks = ("cell", "part", "turn"), min(n_pairs, max(1024, n_pairs // 16))
+    each = lambda numbers: F.explode(F.sequence(F.lit(0), (of_cell(numbers) - 1).cast("int")))
+    left = index.filter(of_cell(turns) > 0).withColumn("turn", each(turns)).repartition(tasks, *keys)
+    right = queries.select("cell", F.col("part").alias("turn"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).withColumn("part", each(parts)).repartition(tasks, *keys)
 
     def score(batches):
         for batch in batches:
@@ -149,7 +213,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, sample_rows: int =
                 out_q, out_v, out_d = [], [], []
                 for i, own in enumerate(q_ids):
                     if i % SLICE == 0:
-                        best = tables.shortlist(q[i : i + SLICE], codes[first], norms[first], shortlist)
+                        best = quantizer.shortlist(q[i : i + SLICE], codes[first], norms[first], most)
                     near = best[i % SLICE]
                     d = np.sqrt(((v[first[near]] - q[i]) ** 2).sum(axis=1))
                     pairs = []
@@ -164,7 +228,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, sample_rows: int =
                     out_d += [x for x, _ in pairs[:k]]
                 yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_d, pa.float64())], ["query_id", "vec_id", "score"])
 
-    pairs = left.join(right, ["ask", "block"]).repartition(max(1, min(n_index * n_ask, 4096)), "ask", "block")
+    pairs = left.join(right, list(keys))
     found = pairs.select("ids", "vectors", "codes", "norms", "q_ids", "q_vectors").mapInArrow(score, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
