@@ -4,17 +4,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.functions.vectors import comparable_cosine, cosine_distance, normalised
+from tideline.functions.vectors import comparable_cosine, cosine_distance, dot, length, normalised
+from tideline.operators.lineage import checkpointed
 
 #: Bytes of references up to which every probe meets all of them in one broadcast; more are dealt into blocks of this size.
 MOST_BROADCAST = 32 << 20
 
 
+#: References around which cells are drawn: what every task holds of them.
+PIVOTS = 64
+#: References of a cell that one task meets; more of them are dealt to several.
+CELL_ROWS = 1 << 16
+
+
+def measured(rows: DataFrame) -> int:
+    """Bytes of a table's texts and arrays."""
+    sized = [F.coalesce(F.size(f.name) * 8 if isinstance(f.dataType, T.ArrayType) else F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in rows.schema.fields if not isinstance(f.dataType, T.StructType)]
+    return rows.agg(F.sum(sum(sized, F.lit(16)))).first()[0] or 0
+
+
 def against(probes: DataFrame, references: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """Every probe beside every reference. References of at most `most` bytes, as their texts and arrays were measured, are
     broadcast; larger ones are cut into blocks of that size, and probes are sent to each block by an equi-join."""
-    sized = [F.coalesce(F.size(f.name) * 8 if isinstance(f.dataType, T.ArrayType) else F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in references.schema.fields if not isinstance(f.dataType, T.StructType)]
-    total = references.agg(F.sum(sum(sized, F.lit(16)))).first()[0] or 0
+    total = measured(references)
     if total <= most:
         return probes.crossJoin(F.broadcast(references))
     blocks = -(-total // most)
@@ -36,9 +48,42 @@ def ranked_names(probes: DataFrame, references: DataFrame, probe: str = "vec_id"
     return best.join(counts, "name").withColumn("rank", F.row_number().over(order))
 
 
-def nearest_name(probes: DataFrame, references: DataFrame, cut: float, probe: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The most similar reference of each probe (ties: smaller name), kept where its distance is under the cut."""
-    best = similarities(probes, references, probe, vector).groupBy(probe).agg(F.max(F.struct("similarity", F.lit(0).alias("_"))).alias("_m"), F.min(F.struct((-F.col("similarity")).alias("d"), F.col("name"))).alias("_b"))
+def reachable(probes: DataFrame, references: DataFrame, least: float, probe: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """probe, name, similarity of the pairs among which each probe's most similar reference is, if its similarity is above `least`.
+
+    References lie in cells around up to `pivots` of them, each in that of its nearest pivot. In a cell of radius d around c no
+    similarity to p is above p.c + |p| d, whatever the lengths of the vectors; as pivots are references, the best of them is a
+    similarity that is reached. A probe opens the cells alone whose bound is not under both, so nothing is lost, and a
+    cell of many references is dealt to several tasks. Defined cases: references without a pivot of their number of dimensions are
+    met by all probes; null and empty vectors meet nothing; equal references count once.
+    """
+    size = lambda p: F.size(p["v"])
+    known = references.filter(F.size(vector) > 0).select("name", F.col(vector).cast("array<double>").alias("v")).distinct()
+    first = checkpointed(known.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).withColumn("cell", F.row_number().over(Window.orderBy(F.xxhash64("v"), "v"))))
+    listed = first.agg(F.collect_list(F.struct("cell", "v")).alias("ps"))
+    apart = lambda a, b: F.sqrt(F.greatest(dot(a, a) - 2 * dot(a, b) + dot(b, b), F.lit(0.0)))
+    near = F.array_min(F.transform(F.filter("ps", lambda p: size(p) == F.size("v")), lambda p: F.struct(apart(F.col("v"), p["v"]).alias("d"), p["cell"].alias("cell"))))
+    held = checkpointed(known.crossJoin(F.broadcast(listed)).withColumn("near", near).select("name", "v", F.coalesce("near.cell", F.lit(-1)).alias("cell"), F.col("near.d").alias("d")))
+    cells = held.groupBy("cell").agg(F.max("d").alias("d"), F.ceil(F.count("*") / cell_rows).alias("parts"))
+    table = checkpointed(cells.join(F.broadcast(first), "cell", "left"))  # one row for each pivot, and one for the rest
+    bounds = table.agg(F.collect_list(F.struct("cell", "d", "parts", "v", length(F.col("v")).alias("length"))).alias("cs"))
+    rows = probes.select(probe, F.col(vector).cast("array<double>").alias("p")).filter(F.size("p") > 0).crossJoin(F.broadcast(bounds)).withColumn("norm", length(F.col("p")))
+    # A part in 1e9 for rounding.
+    reach = lambda c: F.col("dots")[c["cell"]] + F.col("norm") * c["d"] + 1e-9 * (1 + F.col("norm") * (c["length"] + c["d"]))
+    rows = rows.withColumn("dots", F.map_from_entries(F.transform("cs", lambda c: F.struct(c["cell"], comparable_cosine(F.col("p"), c["v"])))))
+    rows = rows.withColumn("floor", F.greatest(F.lit(float(least)), F.array_max(F.map_values("dots"))))
+    opened = rows.withColumn("c", F.explode(F.filter("cs", lambda c: (c["cell"] == -1) | (reach(c) >= F.col("floor")))))
+    met = opened.select(probe, "p", F.col("c.cell").alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("c.parts") - 1)).alias("part"))
+    dealt = held.join(F.broadcast(table.select("cell", "parts")), "cell").withColumn("part", F.pmod(F.xxhash64("name", "v"), "parts"))
+    return met.join(dealt, ["cell", "part"]).select(probe, "name", comparable_cosine(F.col("p"), F.col("v")).alias("similarity")).filter("similarity IS NOT NULL")
+
+
+def nearest_name(probes: DataFrame, references: DataFrame, cut: float, probe: str = "vec_id", vector: str = "embedding", most: int = MOST_BROADCAST) -> DataFrame:
+    """The most similar reference of each probe (ties: smaller name), kept where its distance is under the cut. References of more
+    than `most` bytes are met by the cells that can hold the most similar one."""
+    small = measured(references.select("name", vector)) <= most
+    pairs = similarities(probes, references, probe, vector) if small else reachable(probes, references, 1 - cut, probe, vector)
+    best = pairs.groupBy(probe).agg(F.min(F.struct((-F.col("similarity")).alias("d"), F.col("name"))).alias("_b"))
     return best.select(probe, F.col("_b.name").alias("name"), (-F.col("_b.d")).alias("similarity")).filter(1 - F.col("similarity") < cut)
 
 
