@@ -59,3 +59,14 @@ def test_cells_of_empty_tables(spark):
     p = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
     r = spark.createDataFrame([("a", [1.0])], COLUMNS)
     assert vectors.reachable(p, r.filter("false"), 0.0).count() == 0 and vectors.reachable(p.filter("false"), r, 0.0).count() == 0
+
+
+def test_assembled_clusters_have_embeddings(spark):
+    from tideline.operators import voices
+
+    turns = [(1, 0, 0.0, 1.0, [3.0, 0.0]), (1, 0, 5.0, 9.0, [0.0, 3.0]), (1, 0, 9.0, 9.4, [9.0, 9.0]), (1, 1, 1.0, 9.0, [0.0, 2.0]), (1, 1, 1.0, 3.0, None), (1, 2, 0.0, 2.0, [1.0, 0.0]), (1, 2, 3.0, 4.0, [-1.0, 0.0]), (1, 3, 0.0, 50.0, []), (None, None, 0.0, 1.0, [0.0, 5.0])]
+    schema = "k long, slot int, start_s double, end_s double, v array<double>"
+    got = {(r["k"], r["slot"]): (r["id"], r["speech_s"], r["first_s"], [round(x, 6) for x in r["embedding"]]) for r in voices.assemble(spark.createDataFrame(turns, schema), ["k"], "slot", vector="v").collect()}
+    half = round(0.5**0.5, 6)
+    assert got == {(1, 1): (0, 8.0, 1.0, [0.0, 1.0]), (1, 0): (1, 5.0, 0.0, [half, half]), (1, 2): (2, 3.0, 0.0, [0.0, 0.0]), (None, None): (0, 1.0, 0.0, [0.0, 1.0])}
+    assert voices.assemble(spark.createDataFrame([], schema), ["k"], "slot", vector="v").count() == 0

@@ -8,10 +8,24 @@ from tideline.operators import assign
 from tideline.operators import vectors as vec
 
 
-def assemble(turns: DataFrame, keys: list[str], slot: str, least: float = 0.5) -> DataFrame:
-    """Clusters of turns of at least `least`, numbered from 0 by falling speech (ties: slot): keys, id, slot, speech_s, first_s."""
-    held = turns.filter(F.col("end_s") - F.col("start_s") >= least).groupBy(*keys, slot).agg(F.sum(F.col("end_s") - F.col("start_s")).alias("speech_s"), F.min("start_s").alias("first_s"))
-    return held.withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("speech_s"), slot)) - 1)
+def assemble(turns: DataFrame, keys: list[str], slot: str, least: float = 0.5, vector: str | None = None) -> DataFrame:
+    """Clusters of turns of at least `least`, numbered from 0 by falling speech (ties: slot): keys, id, slot, speech_s, first_s.
+
+    With the turns' vectors, turns without one (null or empty) are left out, and a cluster has an embedding: the mean of its turns'
+    vectors, each turn counting once, at length one (a zero mean stays zero). Defined cases: null keys and slots are keys and
+    slots of their own; repeated turns count as often as they come; an empty table gives an empty result.
+    """
+    held = turns.filter(F.col("end_s") - F.col("start_s") >= least)
+    if vector:
+        held = held.filter(F.size(vector) > 0)
+    out = held.groupBy(*keys, slot).agg(F.sum(F.col("end_s") - F.col("start_s")).alias("speech_s"), F.min("start_s").alias("first_s"))
+    if vector:
+        means = vec.group_means(held, [*keys, slot], vector)
+        names = [*keys, slot]
+        means = means.select(*[F.col(k).alias(f"_{k}") for k in names], F.coalesce("unit", "mean").alias("embedding"))
+        same = [out[k].eqNullSafe(means[f"_{k}"]) for k in names]
+        out = out.join(means, same, "left").drop(*[f"_{k}" for k in names])
+    return out.withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("speech_s"), slot)) - 1)
 
 
 def representatives(turns: DataFrame, keys: list[str], order: str, track_end: str, n: int = 3, least: float = 1.5) -> DataFrame:

@@ -102,6 +102,15 @@ def assembled_clusters(spark, sf_dir):
     return voices.unknown_numbers(voices.assemble(t, ["conv_id"], "slot"), ["conv_id"])
 
 
+@query("WITH k AS (SELECT vec_id // 40 AS session, vec_id % 4 AS slot, (vec_id * 7 % 101)::DOUBLE AS start_s, (vec_id % 13) * 0.25::DOUBLE AS size, embedding FROM embeddings WHERE (vec_id % 13) * 0.25::DOUBLE >= 0.5 AND len(embedding) > 0), g AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY speech_s DESC, slot) - 1 AS id FROM (SELECT session, slot, sum(size) AS speech_s, min(start_s) AS first_s FROM k GROUP BY ALL)), m AS (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY session, slot)) AS length FROM (SELECT session, slot, i, avg(x::DOUBLE) AS m FROM (SELECT session, slot, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM k) GROUP BY ALL)) SELECT session, slot, id, speech_s, first_s, i, round(m / length, 6) AS x FROM g JOIN m USING (session, slot)")
+def assembled_voices(spark, sf_dir):
+    """Every component of the embeddings of assembled clusters; the vectors of 40 consecutive ids are turns of one session."""
+    start, id_ = (F.col("vec_id") * 7 % 101).cast("double"), F.col("vec_id")
+    turns = Tables(spark, sf_dir).embeddings.select(F.floor(id_ / 40).alias("session"), (id_ % 4).alias("slot"), start.alias("start_s"), (start + (id_ % 13) * F.lit(0.25).cast("double")).alias("end_s"), "embedding")
+    clusters = voices.assemble(turns, ["session"], "slot", vector="embedding")
+    return clusters.select("session", "slot", "id", "speech_s", "first_s", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
 @query(f"WITH t AS (SELECT conv_id, turn, start_s, end_s, end_s - start_s AS d, row_number() OVER (PARTITION BY conv_id ORDER BY end_s - start_s DESC, turn) AS rep FROM {_TURNS}), s AS (SELECT *, greatest(start_s - (1.5 - d) / 2, 0) AS x FROM t WHERE rep <= 3) SELECT conv_id, turn, rep, CASE WHEN d >= 1.5 THEN start_s WHEN x + 1.5 > 40 THEN greatest(40 - 1.5, 0) ELSE x END::DOUBLE AS rep_start_s, CASE WHEN d >= 1.5 THEN end_s WHEN x + 1.5 > 40 THEN 40 ELSE x + 1.5 END::DOUBLE AS rep_end_s FROM s")
 def representative_turns(spark, sf_dir):
     t = _turns(Tables(spark, sf_dir)).withColumn("size", F.lit(40.0))
