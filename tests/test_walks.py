@@ -65,6 +65,10 @@ class Session:
 
 @pytest.fixture(scope="module")
 def known(spark):
+    return sessions_of(spark)
+
+
+def sessions_of(spark):
     """Sessions with all references, each pair's similarity, and the names that stand by hand."""
     t = Tables(spark, TABLES)
     clusters, sims, refs, edges, hand = defaultdict(dict), defaultdict(dict), defaultdict(dict), defaultdict(list), defaultdict(dict)

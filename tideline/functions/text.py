@@ -122,3 +122,14 @@ def sample_at(seconds: Column, rate: int, rounded: bool = True) -> Column:
     """The sample of an instant, by rounding to the nearest one or by cutting off; not before 0."""
     at = F.greatest(seconds, F.lit(0.0)) * rate
     return (F.floor(at + 0.5) if rounded else F.floor(at)).cast("long")
+
+
+def trimmed(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+
+
+def spoken(seconds: Column) -> Column:
+    """Seconds of speech as read in a question: 37s, or 3m 25s."""
+    whole = F.round(seconds).cast("long")
+    return F.when(whole < 60, F.format_string("%ds", whole)).otherwise(F.format_string("%dm %02ds", F.floor(whole / 60), whole % 60))

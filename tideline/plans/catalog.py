@@ -361,4 +361,4 @@ def local_supplier_volume(spark, sf_dir):
     return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-from tideline.plans import answers, meetings, naming, sessions, streams  # noqa: E402, F401  (register their queries)
+from tideline.plans import answers, meetings, naming, previews, sessions, streams  # noqa: E402, F401  (register their queries)

@@ -5,11 +5,11 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import text as T
-from tideline.operators import segments
+from tideline.operators import outcomes, segments
 
 
 def _joined(order: str, line, between: str):  # noqa: ANN001, ANN202
@@ -43,6 +43,64 @@ def json_report(rows: DataFrame, keys: list[str], order: str, version: int, *col
     return rows.groupBy(*keys).agg(items.alias("_i")).select(*keys, F.to_json(F.struct(F.lit(version).alias("version"), *keys, F.col("_i").alias("rows")), {"ignoreNullFields": "false"}).alias("report"))
 
 
+#: What the read-only documents call their layouts: a new field keeps the name, a renamed or retyped one takes the next.
+LIST_SCHEMA, DRY_RUN_SCHEMA = "voices.list.v1", "voices.dry-run.v1"
+_KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
+def voice_lists(voices: DataFrame, candidates: DataFrame, sessions: DataFrame, schema: str = LIST_SCHEMA) -> DataFrame:
+    """One document for each session with offered voices: its voices by place, and the names that each sounds like, nearest first.
+
+    voices: session, id, place, number, label, speech_s; candidates: session, id, name, similarity, n_references; sessions: session,
+    meeting. Gives session, report (JSON: schema, and sessions with this one in it) and lines, one block for each voice, which ask
+    as a person is asked. Defined cases: a session without row in sessions has no meeting (null); a voice without candidates has an
+    empty list; ties of similarity go by name; sessions without voices and null sessions give no document.
+    """
+    c = candidates.select("session", "id", F.struct((-F.col("similarity")).alias("o"), "name", "similarity", F.col("n_references").alias("references")).alias("_c"))
+    met = voices.join(c, ["session", "id"], "left").groupBy("session", "id", "place", "number", "label", "speech_s").agg(F.array_sort(F.collect_list("_c")).alias("_c"))
+    asks = F.when(F.col("label") == F.col("number"), F.format_string("who is %s?", "number")).when(F.endswith("label", F.lit("?")), F.format_string("is %s %s", "number", "label")).otherwise(F.format_string("is %s %s?", "number", "label"))
+    head = F.concat(F.col("session").cast("string"), F.lit("  "), asks, F.lit("  "), T.spoken(F.col("speech_s")), F.lit(" of speech"))
+    named = F.transform("_c", lambda x: F.concat(F.lit("    "), F.rpad(x["name"], F.greatest(F.lit(20), F.length(x["name"])), F.lit(" ")), F.lit(" "), F.format_string("%6.2f", x["similarity"].cast("double")), F.lit("  "), F.format_string("%2d ref", x["references"])))
+    found = F.transform("_c", lambda x: F.struct(x["name"].alias("name"), x["similarity"].alias("similarity"), x["references"].alias("references")))
+    each = met.select("session", "place", "id", F.struct("number", "label", F.col("speech_s").alias("speech_seconds"), found.alias("candidates")).alias("_v"), F.array_join(F.concat(F.array(head), named), "\n").alias("_l"))
+    whole = each.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("place", "id", "_v", "_l"))).alias("_all")).join(sessions.select("session", "meeting"), "session", "left")
+    one = F.struct(F.col("session").cast("string").alias("id"), "meeting", F.col("_all._v").alias("voices"))
+    return whole.select("session", F.to_json(F.struct(F.lit(schema).alias("schema"), F.array(one).alias("sessions")), _KEEP_NULLS).alias("report"), F.array_join("_all._l", "\n\n").alias("lines"))
+
+
+def _json(value: Column) -> Column:
+    """A text, number or array as JSON, null as null."""
+    return F.coalesce(F.regexp_extract(F.to_json(F.struct(value.alias("v")), _KEEP_NULLS), '(?s)^\\{"v":(.*)\\}$', 1), F.lit("null"))
+
+
+def _object(**fields: Column) -> Column:
+    parts = [F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def dry_runs(outcome: DataFrame, keys: list[str], schema: str = DRY_RUN_SCHEMA) -> DataFrame:
+    """What each answer would do, as a document and as lines: outcome holds keys, id, number, name, the columns of
+    outcomes.outcomes, and verdict, other_number and losing of the labels (see assign.judged_answers).
+
+    Gives keys, id, report (JSON: schema, voice, name, consequence with refused, stored, session_only, displaced and stale) and
+    lines. refused and stored are the bare name of their case, or an object of that name with its fields. A blank name has no
+    consequence (null). The first of keys is the session. Every row gives one document.
+    """
+    c = F.col
+    refused = F.when(c("verdict") == "vetoed", _object(Vetoed=_object(holder=_json(c("other_number"))))).when(c("verdict") == "taken", _object(Taken=_object(voice=_json(c("other_number")), losing=_json(c("losing")))))
+    stored = (
+        F.when(c("stored") == "enrolled", '"Enrolled"').when(c("stored") == "already_held", '"AlreadyHeld"').when(c("stored") == "added", _object(Added=_object(held=_json(c("held")))))
+        .when(c("stored") == "replaced", _object(Replaced=_object(held=_json(c("held")), evicted_seconds=_json(c("evicted_s")))))
+        .when(c("stored") == "at_capacity", _object(AtCapacity=_object(held=_json(c("held")), shortest=_json(c("shortest_s")))))
+    )
+    null = F.lit("null")
+    consequence = _object(refused=F.coalesce(refused, null), stored=F.coalesce(stored, null), session_only=_json(c("session_only")), displaced=_json(c("displaced")), stale=_json(c("stale")))
+    name = F.coalesce("name", F.lit(""))
+    report = _object(schema=_json(F.lit(schema)), voice=_object(session=_json(c(keys[0]).cast("string")), number=_json(c("number"))), name=_json(name), consequence=F.when(c("name").isNull(), null).otherwise(consequence))
+    head = F.format_string('%s in %s, answering "%s":', c("number"), c(keys[0]).cast("string"), name)
+    return outcome.select(*keys, "id", report.alias("report"), F.array_join(F.concat(F.array(head), F.transform(outcomes.sentences(), lambda l: F.concat(F.lit("  "), l))), "\n").alias("lines"))
+
+
 def write_transcripts(turns: DataFrame, key: str, order: str, path: str, changed: DataFrame | None = None) -> None:
     """Writes Markdown and WebVTT tables under path, then the JSON one: where it has a session's turns, so have the others.
 
