@@ -18,6 +18,8 @@ VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = b"\r\n\r\n"
 RECORDS, PAYLOADS = "page_id long, sha256 string, response boolean, header binary", "sha256 string, payload binary"
+#: How many buckets an archive's payloads are in.
+LAYOUT = "buckets int"
 #: Repetitions of one row that are numbered in one array.
 RUN = 100_000
 
@@ -50,8 +52,14 @@ def fields_of(header: bytes) -> dict[str, str]:
     return dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
 
 
-def _table(path: str) -> str:
-    return "warc_payloads_" + hashlib.md5(path.encode()).hexdigest()
+def _bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """The payloads under path in their buckets, in any session: named in its catalog while the plan is made, and no longer."""
+    name, place = f"warc_payloads_{uuid.uuid4().hex}", f"{path}/payloads".replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} (sha256 STRING, payload BINARY) USING parquet CLUSTERED BY (sha256) SORTED BY (sha256) INTO {buckets} BUCKETS LOCATION '{place}'")
+    try:
+        return spark.read.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> str:
@@ -61,8 +69,8 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
     payloads without moving these again; `records` holds each record's exact header. Of records whose payloads are equal
     and of at least least_bytes, the one with the smallest page_id (then url) is the response and the others revisit it; the
     rest are responses. Defined cases: a null html is an empty payload; a null page_id or url comes after all others; of
-    repeated rows one is the response; rows of one page_id that differ in url are records of their own; an empty table
-    gives an empty archive; other columns are not archived.
+    repeated rows one is the response; rows of one page_id that differ in url are records of their own; a payload of any
+    length, up to the 2 GB of a value, is one record; an empty table gives an empty archive; other columns are not archived.
     """
     spark = pages.sparkSession
     prepare(spark)
@@ -90,7 +98,10 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
     # payloads of one digest are equal: a map-side merge leaves one of them for each task, and one shuffle one of all
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once = keyed.groupBy("sha256").agg(F.any_value("payload").alias("payload"))
-    once.write.bucketBy(buckets, "sha256").sortBy("sha256").option("path", f"{path}/payloads").format("parquet").saveAsTable(_table(path))
+    name = f"warc_payloads_{uuid.uuid4().hex}"
+    once.write.bucketBy(buckets, "sha256").sortBy("sha256").option("path", f"{path}/payloads").format("parquet").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    spark.createDataFrame([(buckets,)], LAYOUT).coalesce(1).write.parquet(f"{path}/layout")
     return path
 
 
@@ -102,8 +113,9 @@ def read_archive(spark: SparkSession, path: str, bodies: bool | str = False) ->
     payload is multiplied; bodies=True gives it to revisits too. A payload whose bytes do not have the digest it is stored
     under, or not the digest and length that a header names, fails the job; so does a header without payload.
 
-    Responses meet their payloads in buckets where this session wrote the archive. Revisits, of which one payload can have
-    any number, meet digests only, in a shuffle whose large partitions can be split.
+    Responses meet their payloads in the buckets that the archive was written in, whichever session reads it. Revisits, of
+    which one payload can have any number, meet digests only, in a shuffle whose large partitions can be split. Nothing
+    stays in the catalog. Defined cases are those of write_archive; an empty archive gives no records.
     """
     prepare(spark)
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + (["record", "payload"] if bodies else [])
@@ -133,7 +145,8 @@ def read_archive(spark: SparkSession, path: str, bodies: bool | str = False) ->
     files = spark.read.schema(PAYLOADS).parquet(f"{path}/payloads")
     if not bodies:
         return joined(records, files, False).mapInArrow(parse, schema)
-    buckets = spark.read.table(_table(path)) if spark.catalog.tableExists(_table(path)) else files
+    (layout,) = spark.read.schema(LAYOUT).parquet(f"{path}/layout").collect()
+    buckets = _bucketed(spark, path, layout["buckets"])
     responses = joined(records.filter("response"), buckets, True).mapInArrow(parse, schema)
     return responses.unionByName(joined(records.filter("NOT response"), files, bodies is True).mapInArrow(parse, schema))
 
@@ -152,7 +165,9 @@ def parse_stream(data: bytes) -> list[tuple[dict[str, str], bytes]]:
 
 def rebuilt(records: DataFrame) -> DataFrame:
     """What rebuilt records (record, and payload_bytes and payload_digest of the payload that a revisit means) say of
-    themselves: page_id, payload_bytes, payload_digest, record_type, refers_to. A response is measured by its own block."""
+    themselves: page_id, payload_bytes, payload_digest, record_type, refers_to. A response is measured by its own block.
+    Defined cases: repeated records give a row each, an empty page is a null page_id, records of any length pass in batches of a
+    few, an empty table gives an empty result, and other columns are left out."""
 
     def each(batches):
         for batch in batches:
