@@ -11,12 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import mix, pieces, prepare, stored
+from tideline.llm.common import discard, mix, pieces, prepare, stored
 
 #: A slot index takes 21 bits of a hash, so three probes use 63 of its 64 bits.
 SLOT_BITS, PROBES = 21, 3
 #: Bytes of text whose grams are laid out at once, whole texts at least; each takes some 80 bytes meanwhile.
 PIECE = 1 << 20
+#: Share of all labelled texts that a language needs to be learned: what bounds the languages, and so slots and driver.
+LEAST_SHARE = 1 / 1000
 _SPACE = np.uint32(32)
 
 
@@ -70,16 +72,20 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def learn(labelled: DataFrame, docs_per_language: int = 2000, most_grams: int = 100_000, least_count: int = 3, ratio: float = 0.34) -> Filters:
+def learn(labelled: DataFrame, docs_per_language: int = 2000, most_grams: int = 100_000, least_count: int = 3, ratio: float = 0.34, least_share: float = LEAST_SHARE) -> Filters:
     """Fit the filters on about docs_per_language whole texts of each language.
 
     labelled: doc_id, text, lang, all non-null. Texts are chosen by a hash of doc_id. A gram enters the filter of each
     language in which its share of all grams is at least `ratio` times that in the language where it is greatest; of these
     about the most_grams most frequent of each language are taken, so that no language loses its grams to another. The
-    driver receives these (12 bytes each) and nothing else.
+    driver receives these (12 bytes each) and the languages that at least `least_share` of the labelled texts have, which are
+    1 / least_share at most; labels of fewer texts, such as the many values of a dirty column, are not learned.
     """
     prepare(labelled.sparkSession)
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    by_lang = stored(labelled.groupBy("lang").count(), "language-counts")
+    every = by_lang.agg(F.sum("count")).first()[0] or 0
+    counts = by_lang.filter(F.col("count") >= every * least_share).orderBy(F.desc("count"), "lang").collect()
+    discard(by_lang)
     languages = tuple(r["lang"] for r in counts)
     kind, bits = next(((t, n) for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= n), (np.uint64, 64))
     slots = np.zeros((1 << SLOT_BITS, max(1, -(-len(languages) // bits))), dtype=kind)
@@ -146,7 +152,9 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", keep: tuple[s
     """Columns `keep`, then lang_pred and score of each row's whole text.
 
     Defined cases: a null text and a text without letters are `und` with score 0; a text none of whose grams is known
-    gets the most frequent language with score 0; without learned languages everything is `und`.
+    gets the most frequent language with score 0; without learned languages everything is `und`; ties go to the more
+    frequent language; repeated rows are judged alike, each for itself; a text of any length is judged whole; an empty table
+    gives an empty result; columns besides `keep` are left out.
     """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(filters)  # a fixed number of slots, a bit for each language
