@@ -266,6 +266,15 @@ def test_every_language_can_be_predicted(spark):
     assert len(filters.languages) == 71 and all(got[r[0]][0] == r[2] and got[r[0]][1] > 0.1 for r in rows)
 
 
+def test_a_dirty_language_column_is_not_learned(spark):
+    rows = [(i, "the cat sat on the mat" if i % 2 else "le chat est dans la maison", "en" if i % 2 else "fr", "s", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows + [(1000 + i, f"junk {i}", f"x{i}", "s", 0) for i in range(500)], DOCS)
+    filters = language.learn(docs, least_share=0.01)
+    assert set(filters.languages) == {"en", "fr"} and len(language.learn(docs, least_share=0.0).languages) == 502
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, filters).collect()}
+    assert all(got[r[0]] == r[2] for r in rows)
+
+
 def test_probe_returns_all_languages_of_a_gram():
     slots = np.zeros(1 << language.SLOT_BITS, np.uint8)
     h = np.array([12345678901234567890], np.uint64)
@@ -296,6 +305,36 @@ def test_url_filter_takes_long_urls_empty_lists_and_equal_keys(spark):
     assert got == {1: (3, "l", "path"), 2: (2, "l", "domain")}
 
 
+def test_a_generated_list_equals_brute_force(spark):
+    """Some 6000 dated entries of all kinds against captures at many times, by a walk over every entry that a URL can match."""
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdef") + rng.choice("xyz")
+    entries = []
+    for _ in range(6000):
+        kind, host = rng.choice(("domain", "host", "path")), ".".join(word() for _ in range(rng.choice((1, 2, 3)))) + ".org"
+        key = host + "/" + "".join(word() + "/" for _ in range(rng.choice((1, 2)))) if kind == "path" else host
+        entries.append((rng.choice("lmn"), kind, key, rng.choice(("add", "add", "remove")), rng.randrange(100)))
+    pages = [(i, f"http://{'.'.join(word() for _ in range(rng.choice((1, 2, 3))))}.org/{word()}/{word()}/p?q", rng.randrange(-5, 110)) for i in range(1500)]
+    by = {}
+    for name, kind, key, action, at in entries:
+        by.setdefault((kind, key), {}).setdefault(name, []).append((at, action == "add"))
+    want = {}
+    for i, url, at in pages:
+        host, *folders = url[7:].split("/")[:-1]
+        labels = host.split(".")
+        keys = [("host", host), *(("domain", ".".join(labels[k:])) for k in range(len(labels))), *(("path", "/".join([host, *folders[:k]]) + "/") for k in range(1, len(folders) + 1))]
+        active = []
+        for kind, key in keys:
+            for name, dated in by.get((kind, key), {}).items():
+                past = [(t, listed) for t, listed in dated if t <= at]
+                if past and min(past, key=lambda x: (-x[0], x[1]))[1]:
+                    active.append((-len(key), kind, name, key))
+        want[i] = (len(active), min(active)[1:] if active else (None, None, None))
+    table = spark.createDataFrame(entries, "list string, kind string, key string, action string, effective long")
+    got = urlfilter.evaluate(spark.createDataFrame(pages, "page_id long, url string, fetched_at long"), table).collect()
+    assert {r["page_id"]: (r["n_active"], (r["kind"], r["list"], r["entry"])) for r in got} == want and sum(n > 1 for n, _ in want.values()) > 50
+
+
 # --- 4 mixing
 
 
@@ -383,6 +422,20 @@ def test_records_keep_their_own_url_and_repetitions(spark, monkeypatch):
     assert all(responses[f["WARC-Refers-To"]][1].decode() == {i: h for i, _, h in rows}[r["page_id"]] and r["payload"] is None for (f, _), r in fields if r["record_type"] == "revisit")
     told = sorted(map(tuple, warc.rebuilt(warc.read_archive(spark, path, bodies="records")).collect()))
     assert told == sorted(map(tuple, warc.read_archive(spark, path).collect()))
+    other = spark.newSession()
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    read = warc.read_archive(other, path, bodies="records")
+    assert sorted(map(tuple, warc.rebuilt(read).collect())) == told and not [t for t in spark.catalog.listTables() if t.name.startswith("warc_")]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan, plan
+
+
+def test_a_very_long_payload_comes_back(spark):
+    long = "é<p>" * 8_000_000
+    path = warc.write_archive(spark.createDataFrame([(2, "u", long), (1, "v", "a"), (3, "w", long)], "page_id long, url string, html string"))
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.rebuilt(warc.read_archive(spark, path, bodies="records")).collect()}
+    size, digest = len(long.encode()), warc.digest_of(long.encode())
+    assert got == {1: (1, warc.digest_of(b"a"), "response", None), 2: (size, digest, "response", None), 3: (size, digest, "revisit", 2)}
 
 
 def test_damaged_archive_fails(spark):

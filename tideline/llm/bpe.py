@@ -159,8 +159,9 @@ def encode_table(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
     """Encode every whole text with the tokenizer file at `path`, decode the ids again, and give digests of both.
 
     Columns: keep, n_tokens, ids_sha256, decoded_sha256, and with ids=True the ids themselves (array<int>). Defined cases:
-    a null text counts as empty (0 tokens); repeated rows give equal rows; other columns are left out. The driver reads
-    the file and sends its bytes, of fixed size, to the executors.
+    a null text counts as empty (0 tokens); repeated rows give equal rows; of merges that tie the file's order decides; texts of
+    any length are encoded whole, in linear time; an empty table gives an empty result; other columns are left out. The
+    driver reads the file and sends its bytes, of fixed size, to the executors.
     """
     prepare(docs.sparkSession)
     with open(path, "rb") as f:
