@@ -133,3 +133,15 @@ def spoken(seconds: Column) -> Column:
     """Seconds of speech as read in a question: 37s, or 3m 25s."""
     whole = F.round(seconds).cast("long")
     return F.when(whole < 60, F.format_string("%ds", whole)).otherwise(F.format_string("%dm %02ds", F.floor(whole / 60), whole % 60))
+
+
+def hundredths(x: Column) -> Column:
+    """A number with two decimals, six places wide, rounded as C and Rust print it: by the number's exact binary value, a tie
+    to the even digit. format_string rounds the shortest decimals that stand for it instead, so 0.295 would read 0.30."""
+    v = F.abs(x.cast("double"))
+    n = F.rint(v * 200)
+    high = v * 134217729.0 - (v * 134217729.0 - v)  # the upper half of its bits, so that the products are exact
+    beside = (high * 200 - n) + (v - high) * 200
+    odd = F.when(beside < 0, n - 1).when(beside > 0, n + 1).otherwise(n + 1 - (n + 1) % 4)
+    whole = F.when(v < 1e9, F.when(n % 2 == 0, n).otherwise(odd) / 200).otherwise(v)
+    return F.format_string("%6.2f", F.when(x < 0, -whole).otherwise(whole))

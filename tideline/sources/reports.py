@@ -60,7 +60,7 @@ def voice_lists(voices: DataFrame, candidates: DataFrame, sessions: DataFrame, s
     met = voices.join(c, ["session", "id"], "left").groupBy("session", "id", "place", "number", "label", "speech_s").agg(F.array_sort(F.collect_list("_c")).alias("_c"))
     asks = F.when(F.col("label") == F.col("number"), F.format_string("who is %s?", "number")).when(F.endswith("label", F.lit("?")), F.format_string("is %s %s", "number", "label")).otherwise(F.format_string("is %s %s?", "number", "label"))
     head = F.concat(F.col("session").cast("string"), F.lit("  "), asks, F.lit("  "), T.spoken(F.col("speech_s")), F.lit(" of speech"))
-    named = F.transform("_c", lambda x: F.concat(F.lit("    "), F.rpad(x["name"], F.greatest(F.lit(20), F.length(x["name"])), F.lit(" ")), F.lit(" "), F.format_string("%6.2f", x["similarity"].cast("double")), F.lit("  "), F.format_string("%2d ref", x["references"])))
+    named = F.transform("_c", lambda x: F.concat(F.lit("    "), F.rpad(x["name"], F.greatest(F.lit(20), F.length(x["name"])), F.lit(" ")), F.lit(" "), T.hundredths(x["similarity"]), F.lit("  "), F.format_string("%2d ref", x["references"])))
     found = F.transform("_c", lambda x: F.struct(x["name"].alias("name"), x["similarity"].alias("similarity"), x["references"].alias("references")))
     each = met.select("session", "place", "id", F.struct("number", "label", F.col("speech_s").alias("speech_seconds"), found.alias("candidates")).alias("_v"), F.array_join(F.concat(F.array(head), named), "\n").alias("_l"))
     whole = each.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("place", "id", "_v", "_l"))).alias("_all")).join(sessions.select("session", "meeting"), "session", "left")
