@@ -161,7 +161,7 @@ def steady_lags(lags: DataFrame, keys: list[str], at: str, lag: str, tolerance:
     go. result: measured (lag at the middle of the time left), too_few_windows or inconsistent_windows (over `spread` apart).
     """
     middle = lambda df, c, name: df.join(stats.upper_medians(df, keys, c).withColumnRenamed("upper", name), keys)
-    fit = stats.repeated_median(lags, keys, at, lag)
+    fit = checkpointed(stats.repeated_median(lags, keys, at, lag))  # met by each of the medians below
     counted = lags.groupBy(*keys).agg(F.count("*").alias("_n"))
     p = lags.join(fit, keys).join(counted, keys).withColumn("_r", F.col(lag) - F.round(F.col("intercept") + F.col("slope") * F.col(at)))
     p = middle(middle(p, "_r", "_c").withColumn("_d", F.abs(F.col("_r") - F.col("_c"))), "_d", "_m")

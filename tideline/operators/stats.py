@@ -56,17 +56,52 @@ def upper_medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return middle.select(*keys, "upper")
 
 
+#: Slopes that a task holds at a time.
+SLOPES = 1 << 20
+
+
+def _upper(values, counts):  # noqa: ANN001, ANN202
+    """For each row of values the upper of the two middle ones, each counted so often (none: NaN)."""
+    import numpy as np
+
+    order = np.argsort(np.where(counts > 0, values, np.nan), axis=1, kind="stable")
+    order = np.take_along_axis(order, np.argsort(np.take_along_axis(counts == 0, order, axis=1), axis=1, kind="stable"), axis=1)
+    upto = np.take_along_axis(counts, order, axis=1).cumsum(axis=1)
+    at = (upto > upto[:, -1:] // 2).argmax(axis=1)
+    return np.where(upto[:, -1] > 0, np.take_along_axis(values, np.take_along_axis(order, at[:, None], axis=1), axis=1)[:, 0], np.nan)
+
+
 def repeated_median(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """slope and intercept by upper medians: of each point's slopes to the others, then of those. A key's points are the
-    windows of a track; their pairs are rows of a self-join, and points of one x have no slope to each other. A key whose
-    points all share an x has no row."""
+    windows of a track and one row; a point meets the others there, so a task holds a track's windows and some of their
+    slopes, and pairs are no rows. Points of one x have no slope to each other. A key whose points all share an x has no row."""
     p = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("_c"))
-    other = p.select(*keys, F.col("_x").alias("_u"), F.col("_y").alias("_v"), F.col("_c").alias("_k"))
-    slopes = p.join(other, keys).filter("_x <> _u").withColumn("s", (F.col("_v") - F.col("_y")) / (F.col("_u") - F.col("_x"))).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))))
-    each = upper_medians(slopes, [*keys, "_x", "_y", "_c"], "s").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))))
-    slope = upper_medians(each, keys, "upper").withColumnRenamed("upper", "slope")
-    level = p.join(slope, keys).withColumn("_z", F.col("_y") - F.col("slope") * F.col("_x")).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))))
-    return slope.join(upper_medians(level, keys, "_z").withColumnRenamed("upper", "intercept"), keys)
+    tracks = p.groupBy(*keys).agg(F.collect_list(F.struct("_x", "_y", "_c")).alias("_p")).select(*keys, F.col("_p._x").alias("_x"), F.col("_p._y").alias("_y"), F.col("_p._c").alias("_c"))
+
+    def line(x, y, c):  # noqa: ANN001, ANN202
+        import numpy as np
+
+        each, step = [], max(1, SLOPES // len(x))
+        for i in range(0, len(x), step):
+            run, rise = x[None, :] - x[i : i + step, None], y[None, :] - y[i : i + step, None]
+            apart = run != 0
+            each.append(_upper(np.divide(rise, run, out=np.zeros_like(run), where=apart), np.where(apart, c[None, :], 0)))
+        sloped = np.where((x != x[0]).any(), c, 0)  # where any two differ, each point has another beside it
+        slope = _upper(np.concatenate(each)[None, :], sloped[None, :])[0]
+        return (slope, _upper((y - slope * x)[None, :], c[None, :])[0]) if sloped.any() else None
+
+    def lines(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            at = {name: batch.column(name) for name in ("_x", "_y", "_c")}
+            found = [line(*(column[i].values.to_numpy(zero_copy_only=False) for column in at.values())) for i in range(batch.num_rows)]
+            some = np.flatnonzero([f is not None for f in found])
+            told = [pa.array([found[i][j] for i in some], pa.float64()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.select(keys).take(pa.array(some, pa.int64())).columns, *told], [*keys, "slope", "intercept"])
+
+    return tracks.mapInArrow(lines, tracks.select(*keys).schema.add("slope", "double").add("intercept", "double"))
 
 
 def gated_loudness(steps: DataFrame, keys: list[str], order: str, energy: str, absolute: float = -70.0, relative: float = 10.0) -> DataFrame:
