@@ -4,11 +4,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """count, min, p05, median (mean of the middle two), p95 (both by nearest rank), max and mean."""
-    v = F.col(value)
-    disc = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
-    return rows.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("least"), disc(0.05).alias("p05"), F.percentile(v, 0.5).alias("median"), disc(0.95).alias("p95"), F.max(v).alias("most"), F.avg(v).alias("mean"))
+def spread(rows: DataFrame, keys: list[str], value: str, width: float = 0.001) -> DataFrame:
+    """count, min, p05, median (mean of the middle two), p95 (both by nearest rank), max and mean; of keys without values a row of
+    nulls.
+
+    Rows become one for each value with its count, values stretches of `width`. Running sums go over the stretches, whose number
+    the range of values bounds, and within each stretch over its own values, so no task reads all values of a key.
+    """
+    by = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(value).alias("_n"), F.sum(value).alias("_s"))
+    by = by.withColumn("_w", F.floor(F.col("_v") / width))
+    sums = by.groupBy(*keys, "_w").agg(F.sum("_n").alias("_wn"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.sum("_s").alias("_ws"))
+    sums = sums.withColumn("_before", F.sum("_wn").over(Window.partitionBy(*keys).orderBy("_w")) - F.col("_wn")).withColumn("_all", F.sum("_wn").over(Window.partitionBy(*keys)))
+    whole = sums.groupBy(*keys).agg(F.sum("_wn").alias("n"), F.min("_least").alias("least"), F.max("_most").alias("most"), (F.sum("_ws") / F.nullif(F.sum("_wn"), F.lit(0))).alias("mean"))
+    ranks = {"p05": F.greatest(F.ceil(0.05 * F.col("_all")), F.lit(1)), "low": F.floor((F.col("_all") + 1) / 2), "high": F.floor(F.col("_all") / 2) + 1, "p95": F.greatest(F.ceil(0.95 * F.col("_all")), F.lit(1))}
+    upto = F.col("_before") + F.col("_wn")
+    asked = sums.filter("_w IS NOT NULL").filter(F.exists(F.array(*ranks.values()), lambda r: (r > F.col("_before")) & (r <= upto)))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys] + [F.col("_w") == F.col("_kw")]
+    inside = by.join(F.broadcast(asked.select(*[F.col(k).alias(f"_k{k}") for k in keys], F.col("_w").alias("_kw"), "_before", "_all")), same)
+    to = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_w").orderBy("_v"))
+    inside = inside.withColumn("_to", to)
+    at = lambda name: F.max(F.when((ranks[name] <= F.col("_to")) & (ranks[name] > F.col("_to") - F.col("_n")), F.col("_v"))).alias(name)
+    found = inside.groupBy(*[F.col(k).alias(f"_k{k}") for k in keys]).agg(*map(at, ranks))
+    out = whole.join(found, [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys], "left")
+    return out.select(*keys, "n", "least", "p05", ((F.col("low") + F.col("high")) / 2).alias("median"), "p95", "most", "mean")
 
 
 def error_rates(trials: DataFrame, cut: float, same: str = "same", distance: str = "distance") -> DataFrame:
