@@ -86,15 +86,97 @@ def hand_awards(resolved: DataFrame, forced: DataFrame, conflicts: DataFrame, ke
     return force.unionByName(stands)
 
 
+def names_in_session(sims: list[tuple], short: set, rivals: dict[int, set[int]], cut: float, loose: float) -> tuple[dict, dict]:
+    """What award_names and tentative_names give in one session, by cluster. sims: id, name, similarity, each name's best."""
+    best, awarded, holders, guessed = {}, {}, {}, {}
+    for i, name, sim in sims:
+        if i not in best or (-sim, name) < best[i]:
+            best[i] = (-sim, name)
+    for minus, i in sorted((minus, i) for i, (minus, _) in best.items() if 1 + minus < cut):
+        name = best[i][1]
+        if holders.setdefault(name, set()).isdisjoint(rivals.get(i, ())):
+            awarded[i] = name
+            holders[name].add(i)
+    for i, _, name in sorted((i, -sim, name) for i, name, sim in sims if i in short and i not in awarded and name in holders and 1 - sim < loose):
+        if i not in guessed and holders[name].isdisjoint(rivals.get(i, ())):
+            guessed[i] = name
+            holders[name].add(i)
+    return awarded, guessed
+
+
+def labels_in_session(order: list[int], awarded: dict, guessed: dict, rivals: dict[int, set[int]], forced: dict, hand: dict, denied: set) -> list[tuple]:
+    """What labels gives in one session: id, label, kind of each cluster, by first appearance. forced, hand: a name by cluster."""
+    out = []
+    free = lambda i, name: name is not None and not any(forced.get(x) == name or hand.get(x) == name for x in rivals.get(i, ()))
+    for n, i in enumerate(order, 1):
+        name, guess = awarded.get(i), guessed.get(i)
+        if i in forced:
+            out.append((i, forced[i], "forced"))
+        elif i in hand:
+            out.append((i, hand[i], "assigned"))
+        elif free(i, name):
+            out.append((i, name, "identified"))
+        elif free(i, guess) and (i, guess) not in denied:
+            out.append((i, guess, "tentative"))
+        else:
+            out.append((i, f"Unknown {n}", "unknown"))
+    return out
+
+
+def _facts(keys: list[str], clusters: DataFrame, ranked: DataFrame, conflicts: DataFrame, floor: float, most: float, **named: DataFrame) -> DataFrame:
+    """What is known of each session as rows of one table: keys, what, i, j, k, name, x, y. Null keys have clusters only."""
+    null = lambda kind: F.lit(None).cast(kind)
+
+    def part(what: str, df: DataFrame, i: str, j=None, k=None, name=None, x=None, y=None) -> DataFrame:  # noqa: ANN001
+        of = lambda c, kind: null(kind) if c is None else (F.col(c) if isinstance(c, str) else c).cast(kind)
+        return df.select(*keys, F.lit(what).alias("what"), of(i, "long").alias("i"), of(j, "long").alias("j"), of(k, "long").alias("k"), of(name, "string").alias("name"), of(x, "double").alias("x"), of(y, "double").alias("y"))
+
+    # nulls come first and NaN last, as in Spark's order
+    place = F.coalesce(F.nanvl(F.col("first_s").cast("double"), F.lit(float("inf"))), F.lit(float("-inf")))
+    near = ranked.filter(1 - F.col("similarity") < most)
+    two = "reference" in ranked.columns
+    parts = [part("sim", near, "id", k="reference" if two else None, name="name", x="similarity", y="second" if two else None), part("edge", conflicts, "a", j="b")]
+    parts += [part(what, df, "id", name="name") for what, df in named.items()]
+    rows = part("cluster", clusters, "id", j=F.col("speech_s") < floor, x=place)
+    for more in parts:
+        rows = rows.unionByName(more.dropna(subset=keys))
+    # a number of its own, as few bytes of a session take long to walk
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def _session(table) -> tuple[dict, list[int], set, dict[int, set[int]]]:  # noqa: ANN001
+    """Of the rows of one session: those of each kind, clusters by first appearance, the short ones, and whom each conflicts with."""
+    of: dict[str, list] = {}
+    for what, *row in zip(*(table.column(c).to_pylist() for c in ("what", "i", "j", "k", "name", "x", "y")), strict=True):
+        of.setdefault(what, []).append(row)
+    order = [r[0] for r in sorted(of.get("cluster", []), key=lambda r: (r[4], r[0]))]
+    rivals: dict[int, set[int]] = {}
+    for a, b, *_ in of.get("edge", []):
+        rivals.setdefault(a, set()).add(b)
+        rivals.setdefault(b, set()).add(a)
+    return of, order, {r[0] for r in of.get("cluster", []) if r[1]}, rivals
+
+
 def derived_labels(clusters: DataFrame, ranked: DataFrame, hand: DataFrame, denied: DataFrame, forced: DataFrame, conflicts: DataFrame, keys: list[str], cut: float, loose: float, floor: float = 5.0) -> DataFrame:
     """The label of each cluster from the whole of what is known: clusters (keys, id, first_s, speech_s), ranked (keys, id, name,
-    similarity: each name's best), hand (keys, id, name: awarded by hand), denied (keys, id, name). See award_names,
-    tentative_names and labels. Scenarios that differ in what is known are told apart by one more key."""
-    nearest = ranked.groupBy(*keys, "id").agg(F.min(F.struct((-F.col("similarity")).alias("d"), "name")).alias("_b")).select(*keys, "id", F.col("_b.name").alias("name"), (-F.col("_b.d")).alias("similarity"))
-    awarded = award_names(nearest.filter(1 - F.col("similarity") < cut), conflicts, keys)
-    short = ranked.join(clusters.filter(F.col("speech_s") < floor).select(*keys, "id"), [*keys, "id"])
-    guessed = tentative_names(short, awarded, conflicts, keys, loose)
-    return labels(clusters, forced, hand, awarded, guessed, denied, conflicts, keys)
+    similarity: each name's best), hand and forced (keys, id, name: one a cluster, of several the smallest), denied (keys, id,
+    name). See award_names, tentative_names and labels. Scenarios that differ in what is known are told apart by one more key.
+
+    A session is one group, from a single shuffle, and its names are walked there; of its similarities only those that are near
+    enough to count are sent, and no vectors. Ids are integers. Null similarities don't count. Gives keys, id, label, kind.
+    """
+    import pyarrow as pa
+
+    def walk(table):  # noqa: ANN001, ANN202
+        of, order, short, rivals = _session(table)
+        by = lambda what: {r[0]: r[3] for r in sorted(of.get(what, []), key=lambda r: r[3] or "", reverse=True) if r[3] is not None}
+        found = names_in_session([(r[0], r[3], r[4]) for r in of.get("sim", [])], short, rivals, cut, loose)
+        told = labels_in_session(order, *found, rivals, by("forced"), by("hand"), {(r[0], r[3]) for r in of.get("denied", [])})
+        head = [pa.array([table.column(k)[0].as_py()] * len(told), table.schema.field(k).type) for k in keys]
+        return pa.table([*head, pa.array([r[0] for r in told], pa.int64()), pa.array([r[1] for r in told], pa.string()), pa.array([r[2] for r in told], pa.string())], [*keys, "id", "label", "kind"])
+
+    schema = clusters.select(*keys, F.col("id").cast("long").alias("id"), F.lit("").alias("label"), F.lit("").alias("kind")).schema
+    return _facts(keys, clusters, ranked, conflicts, floor, max(cut, loose), hand=hand, denied=denied, forced=forced).groupBy(*keys).applyInArrow(walk, schema)
 
 
 def judged_answers(answers: DataFrame, corrected: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -236,6 +318,14 @@ def walked_answers(answers: DataFrame, clusters: DataFrame, hand: DataFrame, ide
     return rows.join(asked, keys, "left_semi").groupBy(*keys).applyInPandas(walk, schema)
 
 
+def best_two(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """Each name's best reference for a cluster (ties: the smaller), its similarity, and that of the next one (second), from
+    ranked: keys, id, name, reference, similarity of every pair."""
+    order = Window.partitionBy(*keys, "id", "name").orderBy(F.desc("similarity"), "reference")
+    two = ranked.withColumn("_n", F.row_number().over(order)).filter("_n <= 2").groupBy(*keys, "id", "name")
+    return two.agg(F.max(F.when(F.col("_n") == 1, F.col("reference"))).alias("reference"), F.max("similarity").alias("similarity"), F.max(F.when(F.col("_n") == 2, F.col("similarity"))).alias("second"))
+
+
 def without_each(ranked: DataFrame, keys: list[str], loose: float) -> DataFrame:
     """Rankings as they would be without each single reference: scenario (the reference left out), keys, id, name, similarity.
 
@@ -243,11 +333,43 @@ def without_each(ranked: DataFrame, keys: list[str], loose: float) -> DataFrame:
     for those clusters that it is the best of, so a session is worked out again only for references that are within `loose`
     of one of its clusters and the best of their name there; others give no rows, as nothing changes.
     """
-    order = Window.partitionBy(*keys, "id", "name").orderBy(F.desc("similarity"), "reference")
-    two = ranked.withColumn("_n", F.row_number().over(order)).filter("_n <= 2").groupBy(*keys, "id", "name").agg(F.max(F.when(F.col("_n") == 1, F.col("reference"))).alias("_best"), F.max("similarity").alias("similarity"), F.max(F.when(F.col("_n") == 2, F.col("similarity"))).alias("_second"))
-    touched = two.filter(1 - F.col("similarity") < loose).select(*keys, F.col("_best").alias("scenario")).distinct()
+    two = best_two(ranked, keys)
+    touched = two.filter(1 - F.col("similarity") < loose).select(*keys, F.col("reference").alias("scenario")).distinct()
     out = two.join(touched, keys)
-    return out.select("scenario", *keys, "id", "name", F.when(F.col("_best") == F.col("scenario"), F.col("_second")).otherwise(F.col("similarity")).alias("similarity")).filter("similarity IS NOT NULL")
+    return out.select("scenario", *keys, "id", "name", F.when(F.col("reference") == F.col("scenario"), F.col("second")).otherwise(F.col("similarity")).alias("similarity")).filter("similarity IS NOT NULL")
+
+
+def removal_changes(clusters: DataFrame, two: DataFrame, conflicts: DataFrame, keys: list[str], cut: float, loose: float, floor: float = 5.0) -> DataFrame:
+    """What changes without each single reference, where nothing is given by hand: reference, keys, id, label, new_label. two: what
+    best_two gives; clusters, conflicts and the rules as in derived_labels.
+
+    Only references that are near enough to count and the best of their name for one of a session's clusters change anything
+    there. All of them are tried in the session's one group, over its rankings as they are, so no ranking is copied for a
+    reference, and only changed labels leave the group.
+    """
+    import pyarrow as pa
+
+    def walk(table):  # noqa: ANN001, ANN202
+        of, order, short, rivals = _session(table)
+        sims = of.get("sim", [])
+        label = lambda awarded, guessed: labels_in_session(order, awarded, guessed, rivals, {}, {}, set())
+        awarded, guessed = names_in_session([(i, name, sim) for i, _, _, name, sim, _ in sims], short, rivals, cut, loose)
+        before, out, most = label(awarded, guessed), [], {}
+        for i, _, _, name, sim, _ in sims:
+            most[i] = min(most.get(i, (float("inf"), "")), (-sim, name))
+        held = set(awarded.values())
+        # without the others no cluster's nearest name changes, and none that is tried
+        for reference in {best for i, _, best, name, _, _ in sims if most[i][1] == name or (i in short and i not in awarded and name in held)}:
+            left = [(i, name, second if best == reference else sim) for i, _, best, name, sim, second in sims]
+            after = label(*names_in_session([r for r in left if r[2] is not None], short, rivals, cut, loose))
+            out += [(reference, was[0], was[1], now[1]) for was, now in zip(before, after, strict=True) if was[1] != now[1]]
+        head = [pa.array([table.column(k)[0].as_py()] * len(out), table.schema.field(k).type) for k in keys]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+        told = [pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)]
+        return pa.table([told[0], *head, *told[1:]], ["reference", *keys, "id", "label", "new_label"])
+
+    schema = clusters.select(F.lit(0).cast("long").alias("reference"), *keys, F.col("id").cast("long").alias("id"), F.lit("").alias("label"), F.lit("").alias("new_label")).schema
+    return _facts(keys, clusters, two, conflicts, floor, max(cut, loose)).groupBy(*keys).applyInArrow(walk, schema)
 
 
 def labels(clusters: DataFrame, forced: DataFrame, assigned: DataFrame, identified: DataFrame, tentative: DataFrame, denied: DataFrame, conflicts: DataFrame, keys: list[str], one_speaker: DataFrame | None = None) -> DataFrame:

@@ -34,10 +34,64 @@ def against(probes: DataFrame, references: DataFrame, most: int = MOST_BROADCAST
     return probes.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(right, "_block").drop("_block")
 
 
+def compared(probes: DataFrame, references: DataFrame, vector: str = "embedding", under: float | None = None, most: int = MOST_BROADCAST) -> DataFrame:
+    """Every comparable pair, or those at a distance under `under`: the columns of both sides but their vectors, and similarity.
+
+    References of at most `most` bytes, as measured, are sent to all tasks, and the probes are dealt evenly over the cores, however
+    few pieces their file has. Products are added in order of the dimensions, one by one, as comparable_cosine adds them, so both
+    give the same doubles. More references meet the probes in blocks (see against). Null and empty vectors, those that hold a null,
+    and pairs of different lengths give no row.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    left, right = [c for c in probes.columns if c != vector], [c for c in references.columns if c != vector]
+    near = lambda s: F.lit(True) if under is None else 1 - s < under
+    if measured(references) > most:
+        pairs = against(probes, references.withColumnRenamed(vector, "_reference"), most)
+        return pairs.select(*left, *right, comparable_cosine(F.col(vector), F.col("_reference")).alias("similarity")).filter(F.col("similarity").isNotNull() & near(F.col("similarity")))
+
+    def grids(table):  # noqa: ANN001, ANN202
+        """Rows and vectors of each length."""
+        v = table.column(vector)
+        v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+        whole = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).copy()
+        flat = v.flatten()
+        if flat.null_count:
+            whole[pc.list_parent_indices(v).to_numpy(zero_copy_only=False)[flat.is_null().to_numpy(zero_copy_only=False)]] = 0
+        for n in np.unique(whole[whole > 0]):
+            rows = np.flatnonzero(whole == n)
+            yield int(n), rows, v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+
+    told = references.toArrow()
+    known = {n: (rows, np.ascontiguousarray(grid.T)) for n, rows, grid in grids(told)}
+    sent = probes.sparkSession.sparkContext.broadcast((told.select(right), known))
+
+    def meet(batches):  # noqa: ANN001, ANN202
+        names, others = sent.value
+        for batch in batches:
+            for n, rows, grid in grids(batch):
+                if n not in others:
+                    continue
+                which, columns = others[n]
+                step = max(1, (1 << 18) // len(which))
+                for at in range(0, len(rows), step):
+                    part = np.ascontiguousarray(grid[at : at + step].T)
+                    sums = np.zeros((part.shape[1], len(which)))
+                    for x, y in zip(part, columns, strict=True):
+                        sums += x[:, None] * y
+                    i, j = np.nonzero(np.ones_like(sums, dtype=bool) if under is None else 1 - sums < under)
+                    mine, theirs = pa.array(rows[at + i]), pa.array(which[j])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(mine) for c in left), *(names.column(c).combine_chunks().take(theirs) for c in right), pa.array(sums[i, j])], [*left, *right, "similarity"])
+
+    schema = T.StructType([*(probes.schema[c] for c in left), *(references.schema[c] for c in right), T.StructField("similarity", T.DoubleType())])
+    return probes.select(*left, vector).repartition(4 * probes.sparkSession.sparkContext.defaultParallelism).mapInArrow(meet, schema)
+
+
 def similarities(probes: DataFrame, references: DataFrame, probe: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """probe, name, similarity of each comparable pair. references: name and a vector column."""
-    right = references.select(F.col("name"), F.col(vector).alias("_reference"))
-    return against(probes.select(probe, vector), right).select(probe, "name", comparable_cosine(F.col(vector), F.col("_reference")).alias("similarity")).filter("similarity IS NOT NULL")
+    return compared(probes.select(probe, vector), references.select("name", vector), vector)
 
 
 def ranked_names(probes: DataFrame, references: DataFrame, probe: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideline.operators import assign, intervals, policies, voices
 from tideline.operators import vectors as vec
 from tideline.operators.lineage import checkpointed
-from tideline.plans.catalog import _BOTH, _CL, _REF, _TRIALS, CUT, LOOSE, Tables, _awarded, _labels, query  # noqa: F401
+from tideline.plans.catalog import _BOTH, _CL, _REF, _TRIALS, CUT, LOOSE, Tables, _awarded, _labels, _near, _ranked, query  # noqa: F401
 from tideline.plans.sessions import _TURNS, _turns
 
 #: Rows given by hand: every third cluster takes a name in turn, and every ninth has a second row with another name.
@@ -65,14 +65,6 @@ def fragment_trials(spark, sf_dir):
     return vec.trials_of(_labelled(spark, sf_dir))
 
 
-def _ranked(t: Tables) -> DataFrame:
-    """Every cluster beside every reference."""
-    refs = t.references().select("name", F.col("vec_id").alias("reference"), F.col("embedding").alias("_e"))
-    from tideline.functions.vectors import comparable_cosine
-
-    return vec.against(t.clusters().select("session", "id", "embedding"), refs).select("session", "id", "name", "reference", comparable_cosine(F.col("embedding"), F.col("_e")).alias("similarity"))
-
-
 _SIMS = f"(SELECT c.session, c.id, r.name, list_inner_product(c.embedding::DOUBLE[], r.rv::DOUBLE[]) AS sim FROM {_CL} c, {_REF} r)"
 
 
@@ -109,7 +101,7 @@ def answer_previews(spark, sf_dir):
     keys = ["scenario", "session"]
     asked = t.clusters().filter("id % 17 = 0").select(F.col("id").alias("scenario"), "session", "id", F.concat(F.lit("spk"), F.col("id") % 3).alias("name"))
     each = lambda df: asked.select("scenario", "session").join(df, "session")
-    ranked = checkpointed(_ranked(t).groupBy("session", "id", "name").agg(F.max("similarity").alias("similarity")))
+    ranked = _near(t)
     edges, none = each(t.conflicts()), asked.limit(0).select("scenario", "session", "id", "name")
     standing = checkpointed(each(_hand(t)))
     now = assign.derived_labels(each(t.clusters()), each(ranked), standing, none, none, edges, keys, CUT, LOOSE)
@@ -123,7 +115,7 @@ def answer_previews(spark, sf_dir):
 def denial_previews(spark, sf_dir):
     """What the tentative names read once they are refused."""
     t = Tables(spark, sf_dir)
-    ranked = checkpointed(_ranked(t).groupBy("session", "id", "name").agg(F.max("similarity").alias("similarity")))
+    ranked = _near(t)
     hand = checkpointed(_hand(t))
     none = hand.limit(0)
     before = checkpointed(assign.derived_labels(t.clusters(), ranked, hand, none, none, t.conflicts(), ["session"], CUT, LOOSE))
@@ -136,18 +128,10 @@ def denial_previews(spark, sf_dir):
 def removal_scan(spark, sf_dir):
     """For each reference, the labels that would change without it, and whether they are its own name's (depends)."""
     t = Tables(spark, sf_dir)
-    keys = ["scenario", "session"]
-    full = _ranked(t)
-    less = checkpointed(assign.without_each(full, ["session"], LOOSE))
-    each = lambda df: less.select(*keys).distinct().join(df, "session")
-    none = less.limit(0).select(*keys, "id", "name")
-    ranked = checkpointed(full.groupBy("session", "id", "name").agg(F.max("similarity").alias("similarity")))
-    plain = none.drop("scenario").distinct()
-    before = each(assign.derived_labels(t.clusters(), ranked, plain, plain, plain, t.conflicts(), ["session"], CUT, LOOSE))
-    after = assign.derived_labels(each(t.clusters()), less, none, none, none, each(t.conflicts()), keys, CUT, LOOSE)
-    owner = t.references().select(F.col("vec_id").alias("scenario"), "name")
-    moved = assign.changed_labels(before, after, keys).join(owner, "scenario")
-    return moved.select(F.col("scenario").alias("reference"), "session", "id", "label", "new_label", (F.col("label") == F.col("name")).alias("depends"))
+    two = assign.best_two(_ranked(t, max(CUT, LOOSE)), ["session"])
+    moved = assign.removal_changes(t.clusters(), two, t.conflicts(), ["session"], CUT, LOOSE)
+    owner = t.references().select(F.col("vec_id").alias("reference"), "name")
+    return moved.join(owner, "reference").select("reference", "session", "id", "label", "new_label", (F.col("label") == F.col("name")).alias("depends"))
 
 
 # --- instants

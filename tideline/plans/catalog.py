@@ -9,6 +9,7 @@ from tideline.functions import text as T
 from tideline.functions import vectors as V
 from tideline.operators import assign, intervals, names, segments, stats
 from tideline.operators import vectors as vec
+from tideline.operators.lineage import checkpointed
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -309,26 +310,37 @@ def tentative_names(spark, sf_dir):
     return _tentative(Tables(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
-def _labels(t: Tables, references: DataFrame | None = None) -> DataFrame:
-    if references is not None:
-        t.references = lambda: references
+def _ranked(t: Tables, under: float | None = None) -> DataFrame:
+    """Every cluster beside every reference, or beside those at a distance under `under`."""
+    refs = t.references().select("name", F.col("vec_id").alias("reference"), "embedding")
+    return vec.compared(t.clusters().select("session", "id", "embedding"), refs, under=under)
+
+
+def _near(t: Tables) -> DataFrame:
+    """Each name's best similarity for each cluster, where it is near enough to count for a label."""
+    return checkpointed(_ranked(t, max(CUT, LOOSE)).groupBy("session", "id", "name").agg(F.max("similarity").alias("similarity")))
+
+
+def _labels(t: Tables, ranked: DataFrame) -> DataFrame:
     c = t.clusters()
     hand = c.filter("id % 37 = 0").select("session", "id", F.lit("Hand").alias("name"))
     denied = c.filter("id % 11 = 0").select("session", "id", F.concat(F.lit("spk"), F.col("label")).alias("name"))
     forced = c.filter("id % 59 = 0").select("session", "id", F.lit("Forced").alias("name"))
-    return assign.labels(c, forced, hand, _awarded(t), _tentative(t), denied, t.conflicts(), ["session"])
+    return assign.derived_labels(c, ranked, hand, denied, forced, t.conflicts(), ["session"], CUT, LOOSE)
 
 
 @query()
 def effective_labels(spark, sf_dir):
-    return _labels(Tables(spark, sf_dir))
+    t = Tables(spark, sf_dir)
+    return _labels(t, _near(t))
 
 
 @query()
 def labels_without_a_name(spark, sf_dir):
     """What changes if every reference of one name went."""
     t = Tables(spark, sf_dir)
-    return assign.changed_labels(_labels(t), _labels(Tables(spark, sf_dir), t.references().filter("name <> 'spk3'")), ["session"])
+    ranked = _near(t)
+    return assign.changed_labels(_labels(t, ranked), _labels(t, ranked.filter("name <> 'spk3'")), ["session"])
 
 
 @query()
