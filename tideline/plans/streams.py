@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import assign, cache, intervals
 from tideline.plans.catalog import _FR, Tables, _frames, query
-from tideline.streaming import carried, grace, recording, replay
+from tideline.streaming import carried, grace, grouped, recording, replay
 
 #: Parts of the time that a replay takes one after the other.
 PARTS = 3
@@ -61,7 +61,8 @@ def recorder_states(spark, sf_dir):
 def grace_stream_sessions(spark, sf_dir):
     kind = F.when(F.col("event_id") % 89 == 0, "Interrupt").otherwise(_one_of(["Started", "Stopped", "Stopped", "Other"], F.col("event_id") % 4))
     parts = _events(Tables(spark, sf_dir), "key", kind)
-    return replay.replayed(parts, lambda s: grace.grace_stream(s, GRACE_MS))
+    groups = grouped.groups_for(Tables(spark, sf_dir).events, "user_id")
+    return replay.replayed(parts, lambda s: grace.grace_stream(s, GRACE_MS, groups=groups))
 
 
 #: Frames of a chunk, and a rule small enough that the proxies' sessions compress their caches again and again.
