@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.streaming import grace, grouped, replay
+from tideline.streaming import grace, grouped, recording, replay
 
 KEYS = 60
 
@@ -43,6 +43,12 @@ def test_groups_bound_the_state_rows_of_many_keys(spark, updates):
     assert 0 < sum(updates) <= 4
 
 
+def test_groups_bound_the_state_rows_of_many_recorders(spark, updates):
+    rows = [(f"k{i}", i, "Started") for i in range(KEYS)]
+    replay.replayed([events(spark, "device", rows)], lambda s: recording.recorder_stream(s, groups=2))
+    assert 0 < sum(updates) <= 8  # a timer is a row, too, and is also found by its time
+
+
 def test_groups_grow_in_number_with_the_keys(spark):
     assert grouped.groups_for(spark.range(100), "id") == grouped.FEWEST
     assert grouped.groups_for(spark.range(0), "id") == grouped.FEWEST

@@ -46,7 +46,8 @@ def recorder_states(spark, sf_dir):
     """Each user is a recorder; what no event settles in time, the deadline does."""
     kind = F.when(F.col("event_id") % 97 == 0, "Interrupt").otherwise(_one_of(["Started", "Ready", "Stopped", "Started", "Idle", "Ready", "Started"], F.col("event_id") % 7))
     parts = _events(Tables(spark, sf_dir), "device", kind)
-    return replay.replayed(parts, lambda s: recording.recorder_stream(s, TRIES, WAIT_MS))
+    groups = grouped.groups_for(Tables(spark, sf_dir).events, "user_id")
+    return replay.replayed(parts, lambda s: recording.recorder_stream(s, TRIES, WAIT_MS, groups=groups))
 
 
 @query(

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tideline.streaming.grouped import GROUPS, in_groups, names
+
 OUT = "device string, at_ms long, event string"
 
 
@@ -16,13 +18,14 @@ class Recorder(StatefulProcessor):
 
     Started begins a session: `began` follows at once if the recorder is ready (Ready within `tries` retries, `wait_ms` apart),
     else the session is abandoned. Stopped and Idle abandon a session that has not begun, and end one that has. Interrupt exits.
+    A group's devices share one state, without those that watch, and one timer, the earliest of their deadlines.
     """
 
     def __init__(self, tries: int, wait_ms: int) -> None:
         self.tries, self.wait_ms = tries, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("phase", "phase string, tried int, next long")
+        self.state = handle.getValueState("phases", "device array<string>, phase array<string>, tried array<int>, next array<long>")
         self.handle = handle
 
     def _step(self, held: tuple, at: int, kind: str, out: list) -> tuple:
@@ -47,34 +50,50 @@ class Recorder(StatefulProcessor):
             return ("exited" if kind == "Interrupt" else "watching"), 0, None
         return ("exited" if kind == "Interrupt" else phase), tried, due
 
-    def _keep(self, held: tuple) -> None:
+    def _held(self) -> dict:
+        return {d: tuple(x) for d, *x in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
+
+    def _deadline(self, held: tuple) -> int | None:
+        """When the last try is due."""
+        return None if held[2] is None else held[2] + self.wait_ms * max(0, self.tries - held[1] - 1)
+
+    def _keep(self, held: dict) -> None:
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.state.update(held)
-        if held[2] is not None:
-            self.handle.registerTimer(int(held[2]) + self.wait_ms * max(0, self.tries - held[1] - 1))
+        held = {d: x for d, x in held.items() if x[0] != "watching"}
+        if not held:
+            return self.state.clear()
+        self.state.update((list(held), *map(list, zip(*held.values(), strict=True))))
+        if due := [t for t in map(self._deadline, held.values()) if t is not None]:
+            self.handle.registerTimer(min(due))
+
+    def _frame(self, out: dict) -> pd.DataFrame:
+        return pd.DataFrame([(d, *x) for d, found in out.items() for x in found], columns=["device", "at_ms", "event"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held, out = (self.state.get() if self.state.exists() else ("watching", 0, None)), []
-        for r in pd.concat(list(rows)).sort_values(["ts_ms", "kind"]).itertuples():
-            held = self._step(held, int(r.ts_ms), r.kind, out)
+        held, out = self._held(), {}
+        came = pd.concat(list(rows)).sort_values(["ts_ms", "kind"])
+        for device, at, kind in zip(names(came["device"]), came["ts_ms"], came["kind"], strict=True):
+            held[device] = self._step(held.get(device, ("watching", 0, None)), int(at), kind, out.setdefault(device, []))
         self._keep(held)
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=["device", "at_ms", "event"])
+        yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held, out = self.state.get(), []
-        held = self._step(held, expiredTimerInfo.getExpiryTimeInMs(), "", out)
+        held, out, now = self._held(), {}, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        for device, x in held.items():
+            if (due := self._deadline(x)) is not None and due <= now:
+                held[device] = self._step(x, due, "", out.setdefault(device, []))
         self._keep(held)
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=["device", "at_ms", "event"])
+        yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
-def recorder_stream(events: DataFrame, tries: int = 5, wait_ms: int = 2000, watermark: str = "10 seconds") -> DataFrame:
+def recorder_stream(events: DataFrame, tries: int = 5, wait_ms: int = 2000, watermark: str = "10 seconds", groups: int = GROUPS) -> DataFrame:
     """events (a stream): device, ts timestamp, ts_ms long, kind (Started, Ready, Stopped, Idle, Interrupt). Needs the RocksDB
-    state store. Emits what happens to sessions: device, at_ms, event (began, ended, abandoned)."""
-    return events.withWatermark("ts", watermark).groupBy("device").transformWithStateInPandas(Recorder(tries, wait_ms), OUT, "append", "eventtime")
+    state store. Emits what happens to sessions: device, at_ms, event (began, ended, abandoned). State is held by groups of devices."""
+    return in_groups(events.withWatermark("ts", watermark), "device", groups).transformWithStateInPandas(Recorder(tries, wait_ms), OUT, "append", "eventtime")
 
 
 def queue_update(fifo: DataFrame, chunk: DataFrame, keys: list[str], frame: str, most: int = 40, at_least: int = 300) -> tuple[DataFrame, DataFrame]:
