@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.streaming import grace, grouped, recording, replay
+from tideline.streaming import carried, grace, grouped, recording, replay
 
 KEYS = 60
 
@@ -49,6 +49,12 @@ def test_groups_bound_the_state_rows_of_many_recorders(spark, updates):
     assert 0 < sum(updates) <= 8  # a timer is a row, too, and is also found by its time
 
 
+def test_groups_bound_the_state_rows_of_many_caches(spark, updates):
+    frames = spark.createDataFrame([(i, 0, 0, [0.1, 0.9, 0.0, 0.2]) for i in range(KEYS)], "session long, chunk long, frame long, probs array<double>")
+    got = replay.replayed([frames], lambda s: carried.cache_stream(s, carried.CacheRule(), 2))
+    assert got.count() == KEYS and 0 < sum(updates) <= 4
+
+
 def test_groups_grow_in_number_with_the_keys(spark):
     assert grouped.groups_for(spark.range(100), "id") == grouped.FEWEST
     assert grouped.groups_for(spark.range(0), "id") == grouped.FEWEST

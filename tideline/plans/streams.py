@@ -87,7 +87,8 @@ def carried_cache(spark, sf_dir):
     """The last queue and cache of each session, carried over chunks that arrive in three batches."""
     chunks = cache_chunks(spark, sf_dir)
     parts = [chunks.filter("chunk < 2"), chunks.filter("chunk >= 2 AND chunk < 4"), chunks.filter("chunk >= 4")]
-    states = carried.last_states(replay.replayed(parts, lambda s: carried.cache_stream(s, RULE)))
+    groups = grouped.groups_for(chunks, "session")
+    states = carried.last_states(replay.replayed(parts, lambda s: carried.cache_stream(s, RULE, groups)))
     return states.select("session", "chunk", "part", "position", "frame", F.transform("probs", lambda x: F.round(x, 6)).alias("probs"))
 
 

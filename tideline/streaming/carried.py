@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tideline.streaming.grouped import GROUPS, in_groups
+
+#: Rows that go out at once.
+OUT_ROWS = 20_000
 CACHE_OUT = "session long, chunk long, part string, position long, frame long, probs array<double>"
 REFERENCES_OUT = "name string, upto long, ord long, clip_s double"
 
@@ -56,54 +61,74 @@ class CarriedCache(StatefulProcessor):
 
     A chunk's frames after the last known one join the queue. Frames known before are new estimates: they count for what is in
     the queue, and in the cache as long as it was never compressed, as its rows are in order until then. When the queue runs
-    over, its oldest frames move to the cache, and a cache that runs over is compressed.
+    over, its oldest frames move to the cache, and a cache that runs over is compressed. A group's sessions share one state.
     """
 
     def __init__(self, rule: CacheRule) -> None:
         self.rule = rule
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.queue = handle.getListState("queue", "frame long, probs array<double>")
-        self.cache = handle.getListState("cache", "frame long, probs array<double>")
-        self.progress = handle.getValueState("progress", "last long, compressed boolean")
+        frames = "frame array<long>, probs array<double>"
+        self.state = handle.getValueState("sessions", f"session array<long>, last array<long>, compressed array<boolean>, queued array<int>, cached array<int>, {frames}")
+
+    def _held(self) -> dict:
+        """Queue, cache, last frame and whether it was ever compressed, by session."""
+        if not self.state.exists():
+            return {}
+        *sessions, frame, probs = self.state.get()
+        slots, rows = self.rule.slots, iter(range(len(frame)))
+        take = lambda n: [(frame[i], list(probs[i * slots : (i + 1) * slots])) for _, i in zip(range(n), rows)]  # noqa: B905, E731
+        return {s: (take(queued), take(cached), last, compressed) for s, last, compressed, queued, cached in zip(*sessions, strict=True)}
+
+    def _keep(self, held: dict) -> None:
+        rows = [r for queue, cache, *_ in held.values() for r in queue + cache]
+        queues, caches, last, compressed = zip(*held.values(), strict=True)
+        self.state.update((list(held), list(last), list(compressed), [len(q) for q in queues], [len(c) for c in caches], [f for f, _ in rows], [x for _, p in rows for x in p]))
+
+    def _after(self, told: dict, queue: list, cache: list, last: int, compressed: bool) -> tuple[list, list, int, bool]:
+        """The session's state after a chunk."""
+        queue = [(f, told.get(f, p)) for f, p in queue] + [(f, p) for f, p in told.items() if f > last]
+        cache = cache if compressed else [(f, told.get(f, p)) for f, p in cache]
+        if (over := len(queue) - self.rule.queue) > 0:
+            leave = min(max(self.rule.at_least, over), len(queue))
+            cache, queue = cache + queue[:leave], queue[leave:]
+        if len(cache) > self.rule.capacity:
+            nobody = (None, [0.0] * self.rule.slots)
+            cache = [nobody if i is None else cache[i] for i in kept_rows(np.array([p for _, p in cache]), self.rule)]
+            compressed = True
+        return queue, cache, max([last, *told]), compressed
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = lambda state: [(r[0], list(r[1])) for r in state.get()] if state.exists() else []
-        queue, cache = held(self.queue), held(self.cache)
-        last, compressed = self.progress.get() if self.progress.exists() else (-1, False)
-        out = []
-        for chunk, part in pd.concat(list(rows)).sort_values(["chunk", "frame"]).groupby("chunk", sort=True):
-            told = {int(f): [float(x) for x in p] for f, p in zip(part["frame"], part["probs"], strict=True)}
-            queue = [(f, told.get(f, p)) for f, p in queue] + [(f, p) for f, p in told.items() if f > last]
-            cache = cache if compressed else [(f, told.get(f, p)) for f, p in cache]
-            last = max([last, *told])
-            if (over := len(queue) - self.rule.queue) > 0:
-                leave = min(max(self.rule.at_least, over), len(queue))
-                cache, queue = cache + queue[:leave], queue[leave:]
-            if len(cache) > self.rule.capacity:
-                nobody = (None, [0.0] * self.rule.slots)
-                cache = [nobody if i is None else cache[i] for i in kept_rows(np.array([p for _, p in cache]), self.rule)]
-                compressed = True
+        held, out = self._held(), []
+        came = pd.concat(list(rows)).sort_values(["session", "chunk", "frame"])
+        each = zip(came["session"].tolist(), came["chunk"].tolist(), came["frame"].tolist(), came["probs"], strict=True)
+        for (session, chunk), part in groupby(each, lambda r: (None if r[0] != r[0] else int(r[0]), int(r[1]))):
+            told = {int(f): [float(x) for x in p] for _, _, f, p in part}
+            held[session] = queue, cache, *_ = self._after(told, *held.get(session, ([], [], -1, False)))
             for name, rows_ in (("cache", cache), ("queue", queue)):
-                out += [(key[0], chunk, name, i, f, p) for i, (f, p) in enumerate(rows_)]
-        for state, rows_ in ((self.queue, queue), (self.cache, cache)):
-            state.put(rows_) if rows_ else state.clear()
-        self.progress.update((int(last), bool(compressed)))
+                out += [(session, chunk, name, i, f, p) for i, (f, p) in enumerate(rows_)]
+            if len(out) >= OUT_ROWS:
+                yield self._frame(out)
+                out = []
+        self._keep(held)
+        yield self._frame(out)
+
+    def _frame(self, out: list) -> pd.DataFrame:
         frame = pd.DataFrame(out, columns=["session", "chunk", "part", "position", "frame", "probs"])
-        yield frame.astype({"session": "int64", "chunk": "int64", "position": "int64", "frame": "Int64"})
+        return frame.astype({"session": "Int64", "chunk": "int64", "position": "int64", "frame": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def cache_stream(frames: DataFrame, rule: CacheRule) -> DataFrame:
+def cache_stream(frames: DataFrame, rule: CacheRule, groups: int = GROUPS) -> DataFrame:
     """frames (a stream): session long, chunk long, frame long, probs array<double> (a probability for each slot). Needs the
     RocksDB state store. Emits queue and cache of a session after each of its chunks.
 
     Chunks of a session come in order. A frame given twice in a chunk counts with one of its rows; a chunk without new frames changes
-    estimates only; an empty stream gives nothing. State is a queue and a cache a session, both of bounded size.
+    estimates only; an empty stream gives nothing. State is a queue and a cache a session, both of bounded size, held by groups of sessions.
     """
-    return frames.groupBy("session").transformWithStateInPandas(CarriedCache(rule), CACHE_OUT, "append", "none")
+    return in_groups(frames, "session", groups).transformWithStateInPandas(CarriedCache(rule), CACHE_OUT, "append", "none")
 
 
 def last_states(states: DataFrame) -> DataFrame:
