@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import pieces, prepare
+from tideline.llm.common import given_back, pieces, prepare
 
 #: Fixed value: the published pattern that cuts a text before byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Remembered words of the younger half of the memory, their greatest length, and remembered pairs. A full half becomes the
 #: older one, from which words in use come back; a full table of pairs is emptied.
-MOST_WORDS, MOST_LENGTH, MOST_PAIRS = 100_000, 48, 1_000_000
+MOST_WORDS, MOST_LENGTH, MOST_PAIRS = 100_000, 48, 250_000
 
 
 def _byte_of_symbol() -> dict[str, int]:
@@ -186,4 +186,4 @@ def encode_table(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
                 columns = [*(piece.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(whole, pa.list_(pa.int32()))] if ids else []), names=schema.names)
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(given_back(each), schema)

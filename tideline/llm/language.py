@@ -11,12 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import discard, mix, pieces, prepare, stored
+from tideline.llm.common import discard, given_back, mix, pieces, prepare, stored
 
 #: A slot index takes 21 bits of a hash, so three probes use 63 of its 64 bits.
 SLOT_BITS, PROBES = 21, 3
 #: Bytes of text whose grams are laid out at once, whole texts at least; each takes some 80 bytes meanwhile.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Share of all labelled texts that a language needs to be learned: what bounds the languages, and so slots and driver.
 LEAST_SHARE = 1 / 1000
 _SPACE = np.uint32(32)
@@ -104,7 +104,7 @@ def learn(labelled: DataFrame, docs_per_language: int = 2000, most_grams: int =
                     found, n = np.unique(hashes[bit == l], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), l, np.int32)), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["bit", "gram", "n"])
 
-    found = sample.select("text", F.col("_l.bit").alias("bit")).mapInArrow(count, "bit int, gram long, n long")
+    found = sample.select("text", F.col("_l.bit").alias("bit")).mapInArrow(given_back(count), "bit int, gram long, n long")
     by = stored(found.groupBy("gram", "bit").agg(F.sum("n").alias("n")), "language-grams")
     totals = by.groupBy("bit").agg(F.sum("n").alias("total"))
     shares = by.join(F.broadcast(totals), "bit").select("gram", F.struct("bit", "n", (F.col("n") / F.col("total")).alias("share")).alias("x"))
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", keep: tuple[s
                 names, score = classify(piece.column("_text"), sent.value)
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(given_back(each), schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import discard, mix, pieces, prepare, sent, stored
+from tideline.llm.common import discard, given_back, mix, pieces, prepare, sent, stored
 from tideline.llm.components import components
 
 #: Members of a group at most, and classes that ask it in one task at most.
@@ -188,7 +188,7 @@ def sketches(docs: DataFrame, like: Likeness, named: Callable[[np.ndarray, Liken
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(names)))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists], ["doc_id", "key", "n_shingles", "node", "hints"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text")).mapInArrow(each, "doc_id long, key long, n_shingles long, node long, hints array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text")).mapInArrow(given_back(each), "doc_id long, key long, n_shingles long, node long, hints array<long>")
 
 
 def token_sets(docs: DataFrame, owners: DataFrame, like: Likeness) -> DataFrame:
@@ -217,7 +217,7 @@ def token_sets(docs: DataFrame, owners: DataFrame, like: Likeness) -> DataFrame:
                         plans.append([{"spare": spare, "names": names.view(np.int64)} for spare, names in cut(tokens, like)])
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary()), pa.array(plans, plan)], ["node", "tokens", "plans"])
 
-    return rows.mapInArrow(each, "node long, tokens binary, plans array<struct<spare int, names array<long>>>")
+    return rows.mapInArrow(given_back(each), "node long, tokens binary, plans array<struct<spare int, names array<long>>>")
 
 
 def rarest_blocks(sets: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def rarest_tokens(sets: DataFrame, nodes: DataFrame, like: Likeness) -> DataFram
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*held, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(t) for t in held], pa.int64()), pa.array(places, pa.int64()), lists], ["node", "n", "places", "tokens"])
 
-    rows = wanted.mapInArrow(each, "node long, n long, places long, tokens array<long>").select("node", "n", "places", F.explode("tokens").alias("token"))
+    rows = wanted.mapInArrow(given_back(each), "node long, n long, places long, tokens array<long>").select("node", "n", "places", F.explode("tokens").alias("token"))
     known = rows.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("c")).filter("least <> most").select("token", "c")
     held = rows.join(known, "token").groupBy("node", "n", "places").agg(F.array_sort(F.collect_set(F.struct("c", "token"))).alias("held"))
     show = F.col("places") - (F.col("n") - F.size("held"))
@@ -346,7 +346,7 @@ def open_groups(members: DataFrame, asking: DataFrame, sets: DataFrame, like: Li
                     links += group.ask(node, tokens, comp)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
-    return rows.select("gid", "chunk", "role", "node", "comp", "tokens").mapInArrow(each, "a long, b long")
+    return rows.select("gid", "chunk", "role", "node", "comp", "tokens").mapInArrow(given_back(each), "a long, b long")
 
 
 def link_components(docs: DataFrame, like: Likeness = Likeness()) -> tuple[DataFrame, DataFrame]:
