@@ -96,19 +96,10 @@ def policy_sweep(spark, sf_dir):
 
 @query()
 def answer_previews(spark, sf_dir):
-    """What naming every 17th cluster after its left neighbour's label would do to its session; each answer is a scenario of its own."""
+    """What naming every 17th cluster after its left neighbour's label would do to its session; each answer is tried for itself."""
     t = Tables(spark, sf_dir)
-    keys = ["scenario", "session"]
-    asked = t.clusters().filter("id % 17 = 0").select(F.col("id").alias("scenario"), "session", "id", F.concat(F.lit("spk"), F.col("id") % 3).alias("name"))
-    each = lambda df: asked.select("scenario", "session").join(df, "session")
-    ranked = _near(t)
-    edges, none = each(t.conflicts()), asked.limit(0).select("scenario", "session", "id", "name")
-    standing = checkpointed(each(_hand(t)))
-    now = assign.derived_labels(each(t.clusters()), each(ranked), standing, none, none, edges, keys, CUT, LOOSE)
-    rows = standing.join(asked.select(*keys, "id"), [*keys, "id"], "left_anti").withColumn("ord", F.lit(0)).unionByName(asked.select(*keys, "id", "name").withColumn("ord", F.lit(1)))
-    given = assign.hand_awards(rows, none, edges, keys, "ord", asked)
-    after = assign.derived_labels(each(t.clusters()), each(ranked), given, none, none, edges, keys, CUT, LOOSE)
-    return assign.judged_answers(asked, now, after, keys).drop("scenario")
+    asked = t.clusters().filter("id % 17 = 0").select("session", "id", F.concat(F.lit("spk"), F.col("id") % 3).alias("name"))
+    return assign.answer_verdicts(asked, t.clusters(), _near(t), _hand(t), t.conflicts(), ["session"], CUT, LOOSE)
 
 
 @query()
