@@ -79,10 +79,35 @@ def test_answers_are_tried_in_one_walk_as_the_joins_try_each(spark, facts):
     assert assign.answer_verdicts(odd.limit(0), clusters, ranked, hand, edges, ["session"], CUT, LOOSE).count() == 0
 
 
-@pytest.mark.parametrize("name", ["answer_previews"])
-def test_a_query_of_labels_walks_its_sessions_once(spark, name):
+@pytest.mark.parametrize("without, refused", [("n1", False), (None, True), ("n1", True)])
+def test_changed_labels_come_from_one_walk_as_from_two_and_a_join(spark, facts, without, refused):
+    clusters, pairs, edges, hand, forced, denied = facts
+    ranked = pairs.groupBy("session", "id", "name").agg(F.max("similarity").alias("similarity")).localCheckpoint()
+    some = denied.filter("id % 2 = 0")
+    before = joined(clusters, ranked, hand, some, forced, edges, ["session"]).localCheckpoint()
+    tentative = before.filter("kind = 'tentative'").select("session", "id", F.col("label").alias("name"))
+    after = joined(clusters, ranked.filter(F.col("name") != (without or "")), hand, some.unionByName(tentative) if refused else some, forced, edges, ["session"])
+    got = assign.label_changes(clusters, ranked, hand, some, forced, edges, ["session"], CUT, LOOSE, without=without, refused=refused)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, assign.changed_labels(before, after, ["session"]).collect())) and got.count()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_changed_labels_of_a_cluster_that_comes_twice_are_those_of_the_join(spark, facts):
+    clusters, pairs, edges, hand, forced, denied = facts
+    ranked = pairs.groupBy("session", "id", "name").agg(F.max("similarity").alias("similarity")).localCheckpoint()
+    twice = clusters.unionByName(clusters.filter("id % 3 = 0")).unionByName(clusters.limit(2).withColumn("session", F.lit(None).cast("long"))).localCheckpoint()
+    derive = lambda near: assign.derived_labels(twice, near, hand, denied, forced, edges, ["session"], CUT, LOOSE)
+    want = assign.changed_labels(derive(ranked), derive(ranked.filter("name <> 'n1'")), ["session"]).collect()
+    got = assign.label_changes(twice, ranked, hand, denied, forced, edges, ["session"], CUT, LOOSE, without="n1").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({(r.id, r.label) for r in want}) < len(want)
+
+
+@pytest.mark.parametrize("name", ["answer_previews", "denial_previews"])
+def test_a_query_of_labels_walks_its_sessions_once(spark, monkeypatch, name):
+    walks, facts_of = [], assign._facts
+    monkeypatch.setattr(assign, "_facts", lambda *a, **k: walks.append(1) or facts_of(*a, **k))
     plan = catalog.queries()[name](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("FlatMapGroupsInArrow") == 1
+    assert len(walks) == 1 and plan.count("FlatMapGroupsInArrow") == 1
 
 
 @pytest.mark.parametrize("most", [vec.MOST_BROADCAST, 0])

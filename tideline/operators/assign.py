@@ -183,6 +183,37 @@ def derived_labels(clusters: DataFrame, ranked: DataFrame, hand: DataFrame, deni
     return _facts(keys, clusters, ranked, conflicts, floor, max(cut, loose), hand=hand, denied=denied, forced=forced).groupBy(*keys).applyInArrow(walk, schema)
 
 
+def label_changes(clusters: DataFrame, ranked: DataFrame, hand: DataFrame, denied: DataFrame, forced: DataFrame, conflicts: DataFrame, keys: list[str], cut: float, loose: float, floor: float = 5.0, without: str | None = None, refused: bool = False) -> DataFrame:
+    """What changed_labels gives between what derived_labels gives and what it would give without the references of one name
+    (without), with the tentative labels refused (refused), or both: keys, id, label, new_label. The rest as in derived_labels.
+
+    Both labellings are walked in a session's one group, from a single shuffle, and only changed labels leave it.
+    """
+    import pyarrow as pa
+
+    def walk(table):  # noqa: ANN001, ANN202
+        of, order, short, rivals = _session(table)
+        sims, denials = [(r[0], r[3], r[4]) for r in of.get("sim", [])], {(r[0], r[3]) for r in of.get("denied", [])}
+        by_force, by_hand = _by_cluster(of, "forced"), _by_cluster(of, "hand")
+        found = names_in_session(sims, short, rivals, cut, loose)
+        before, later = labels_in_session(order, *found, rivals, by_force, by_hand, denials), {}
+        if without is not None:
+            # a null name is not known to be another one
+            found = names_in_session([r for r in sims if r[1] is not None and r[1] != without], short, rivals, cut, loose)
+        if refused:
+            denials |= {(i, label) for i, label, kind in before if kind == "tentative"}
+        for i, label, _ in labels_in_session(order, *found, rivals, by_force, by_hand, denials):
+            later.setdefault(i, []).append(label)
+        out = [(i, label, new) for i, label, _ in before if i is not None for new in later[i] if new != label]
+        head = [pa.array([table.column(k)[0].as_py()] * len(out), table.schema.field(k).type) for k in keys]
+        kinds = (pa.int64(), pa.string(), pa.string())
+        return pa.table([*head, *(pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds))], [*keys, "id", "label", "new_label"])
+
+    schema = clusters.select(*keys, F.col("id").cast("long").alias("id"), F.lit("").alias("label"), F.lit("").alias("new_label")).schema
+    some = clusters.dropna(subset=keys)  # null keys meet nothing in changed_labels
+    return _facts(keys, some, ranked, conflicts, floor, max(cut, loose), hand=hand, denied=denied, forced=forced).groupBy(*keys).applyInArrow(walk, schema)
+
+
 def answer_verdicts(answers: DataFrame, clusters: DataFrame, ranked: DataFrame, hand: DataFrame, conflicts: DataFrame, keys: list[str], cut: float, loose: float, floor: float = 5.0) -> DataFrame:
     """What each answer (keys, id, name) would do to its session as it is, apart from the others: see judged_answers. hand: names
     given by hand that stand; an answer replaces its cluster's one, and stands as the pending row of hand_awards does. clusters,

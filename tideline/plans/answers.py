@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tideline.operators import assign, intervals, policies, voices
 from tideline.operators import vectors as vec
-from tideline.operators.lineage import checkpointed
 from tideline.plans.catalog import _BOTH, _CL, _REF, _TRIALS, CUT, LOOSE, Tables, _awarded, _labels, _near, _ranked, query  # noqa: F401
 from tideline.plans.sessions import _TURNS, _turns
 
@@ -106,13 +105,9 @@ def answer_previews(spark, sf_dir):
 def denial_previews(spark, sf_dir):
     """What the tentative names read once they are refused."""
     t = Tables(spark, sf_dir)
-    ranked = _near(t)
-    hand = checkpointed(_hand(t))
+    hand = _hand(t)
     none = hand.limit(0)
-    before = checkpointed(assign.derived_labels(t.clusters(), ranked, hand, none, none, t.conflicts(), ["session"], CUT, LOOSE))
-    denied = before.filter("kind = 'tentative'").select("session", "id", F.col("label").alias("name"))
-    after = assign.derived_labels(t.clusters(), ranked, hand, denied, none, t.conflicts(), ["session"], CUT, LOOSE)
-    return assign.changed_labels(before, after, ["session"])
+    return assign.label_changes(t.clusters(), _near(t), hand, none, none, t.conflicts(), ["session"], CUT, LOOSE, refused=True)
 
 
 @query()
