@@ -102,7 +102,7 @@ def test_changed_labels_of_a_cluster_that_comes_twice_are_those_of_the_join(spar
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({(r.id, r.label) for r in want}) < len(want)
 
 
-@pytest.mark.parametrize("name", ["answer_previews", "denial_previews"])
+@pytest.mark.parametrize("name", ["answer_previews", "denial_previews", "labels_without_a_name"])
 def test_a_query_of_labels_walks_its_sessions_once(spark, monkeypatch, name):
     walks, facts_of = [], assign._facts
     monkeypatch.setattr(assign, "_facts", lambda *a, **k: walks.append(1) or facts_of(*a, **k))

@@ -321,26 +321,23 @@ def _near(t: Tables) -> DataFrame:
     return checkpointed(_ranked(t, max(CUT, LOOSE)).groupBy("session", "id", "name").agg(F.max("similarity").alias("similarity")))
 
 
-def _labels(t: Tables, ranked: DataFrame) -> DataFrame:
+def _labels(t: Tables, derive=assign.derived_labels, **change: str) -> DataFrame:  # noqa: ANN001
     c = t.clusters()
     hand = c.filter("id % 37 = 0").select("session", "id", F.lit("Hand").alias("name"))
     denied = c.filter("id % 11 = 0").select("session", "id", F.concat(F.lit("spk"), F.col("label")).alias("name"))
     forced = c.filter("id % 59 = 0").select("session", "id", F.lit("Forced").alias("name"))
-    return assign.derived_labels(c, ranked, hand, denied, forced, t.conflicts(), ["session"], CUT, LOOSE)
+    return derive(c, _near(t), hand, denied, forced, t.conflicts(), ["session"], CUT, LOOSE, **change)
 
 
 @query()
 def effective_labels(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return _labels(t, _near(t))
+    return _labels(Tables(spark, sf_dir))
 
 
 @query()
 def labels_without_a_name(spark, sf_dir):
     """What changes if every reference of one name went."""
-    t = Tables(spark, sf_dir)
-    ranked = _near(t)
-    return assign.changed_labels(_labels(t, ranked), _labels(t, ranked.filter("name <> 'spk3'")), ["session"])
+    return _labels(Tables(spark, sf_dir), assign.label_changes, without="spk3")
 
 
 @query()
